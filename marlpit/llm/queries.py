@@ -5,10 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import table
 
 
+def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_number, read_archives, write_archives
+
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    read = read_archives(spark, path, keep_payload=False).where(F.col("gap_reason").isNull())
+    return read.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
+
+
+def op5_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shardtable import place
+
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return place(docs, "doc_id", [f"shard-{i:04d}" for i in range(256)])
+
+
+def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .colhash import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,9 +47,23 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+_ALL = (op1_warc_roundtrip, op5_shard_table, op7_licence_digests, op8_collision_search, op10_pack_sequences)
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_pack_sequences,)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .licences import scan_sql
+
+    return {"op1_warc_roundtrip": _WARC_SQL, "op7_licence_digests": scan_sql()}
