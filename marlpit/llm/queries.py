@@ -39,6 +39,12 @@ def op8_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .containment import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +53,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-_ALL = (op1_warc_roundtrip, op5_shard_table, op7_licence_digests, op8_collision_search, op10_pack_sequences)
+_ALL = (op1_warc_roundtrip, op5_shard_table, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences)
 
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -64,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .containment import find_sql
     from .licences import scan_sql
 
-    return {"op1_warc_roundtrip": _WARC_SQL, "op7_licence_digests": scan_sql()}
+    return {"op1_warc_roundtrip": _WARC_SQL, "op7_licence_digests": scan_sql(), "op9_benchmark_containment": find_sql()}
