@@ -12,12 +12,17 @@ no pieces. Memory is bounded by the open windows and one slice of rows; a very l
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import filterfalse
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +32,10 @@ from ..session import cut, ship
 from .common import arrow_map, slices
 
 #: Characters whose handling by the tokenizer's normaliser and splitter is reproduced here; other texts go through it whole.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏͰ-΢Τ-ԯ‐-‧€]*")
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_MEMO = 400_000
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0370-\u03a2\u03a4-\u052f\u2010-\u2027\u20ac]*")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Most words, and pieces of words, that a Python worker remembers.
+_MEMO = 500_000
 
 _SCHEMA = T.StructType(
     [
@@ -46,34 +52,72 @@ _SCHEMA = T.StructType(
 
 
 class WordTokens:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, remembering the ids of each word."""
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    No token of this kind of tokenizer spans white space, so the ids of each word are remembered. New words are split
+    into the tokenizer's pieces, and new pieces encoded together; a piece ends at a token that closes a word.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [pa.array(x.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(x.ids)] if x.ids else b"" for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        split = {w: _PIECES.findall(w) for w in words}
+        if len(self.pieces) > _MEMO:
+            self.pieces.clear()
+        new = list({p for ps in split.values() for p in ps}.difference(self.pieces))
+        runs = [new[i : i + 2000] for i in range(0, len(new), 2000)]
+        for run, ids in zip(runs, self._encode([" ".join(r) for r in runs]), strict=True):
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            data, start = ids.tobytes(), 0
+            for piece, end in zip(run, ends.tolist(), strict=True):
+                self.pieces[piece] = data[start:end]
+                start = end
+        self.words.update((w, b"".join(map(self.pieces.__getitem__, ps))) for w, ps in split.items())
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        import unicodedata
-
-        split: list[list[str] | None] = []
+        known = self.words.get
+        found: list[list[bytes | None]] = []
+        missing: list[tuple[list[bytes | None], list[str]]] = []
+        new: set[str] = set()
         for text in texts:
-            plain = text is None or ("<|" not in text and _PLAIN.fullmatch(text) is not None)
-            split.append(_PIECES.findall(unicodedata.normalize("NFC", text).lower()) if plain and text else [] if plain else None)
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        new = list({w for ws in split if ws for w in ws}.difference(self.memo))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.memo.update(zip(part, self._encode(part), strict=True))
-        get = self.memo.__getitem__
-        for text, ws in zip(texts, split, strict=True):
-            yield b"".join(map(get, ws)) if ws is not None else self._encode([text])[0]
+            if not text:
+                found.append([])
+            elif "<|" in text or _PLAIN.fullmatch(text) is None:
+                found.append([self._encode([text])[0].tobytes()])
+            else:
+                words = unicodedata.normalize("NFC", text).lower().split()
+                ids = list(map(known, words))
+                found.append(ids)
+                if None in ids:
+                    unknown = [w for w, x in zip(words, ids, strict=True) if x is None]
+                    missing.append((ids, unknown))
+                    new.update(unknown)
+        self._learn(new)
+        for ids, unknown in missing:
+            at = 0
+            for w in unknown:
+                at = ids.index(None, at)
+                ids[at] = self.words[w]
+        if len(self.words) > _MEMO:
+            self.words.clear()
+        yield from map(b"".join, found)
+
+
+@cache
+def _word_tokens(path: str) -> WordTokens:
+    return WordTokens(path)
 
 
 class _Windows:
@@ -149,7 +193,7 @@ def _merge(windows: list[list[tuple]], size: int, slack: int, first_id: int) ->
         yield from out.emit(taken)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, open_windows: int = 64, slack: int = 32, end_id: int | None = 2, merge_fan: int = 32, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, open_windows: int = 64, slack: int = 32, end_id: int | None = 2, merge_fan: int = 8, keep_ids: bool = False) -> DataFrame:
     """Pack every document into sequences of at most ``window`` tokens.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian
@@ -160,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         part = TaskContext.get().partitionId()
-        tokens = WordTokens(tokenizer)
+        tokens = _word_tokens(tokenizer)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         windows = _Windows(window, open_windows, slack, part << 32)
         for b in slices(batches, 256):
