@@ -20,6 +20,14 @@ def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
 
 
+def op2_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, fold, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs.where(fold("doc_id", 5) != 0)))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op4_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .probminhash import classes
 
@@ -59,7 +67,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-_ALL = (op1_warc_roundtrip, op4_probminhash_classes, op5_shard_table, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences)
+_ALL = (op1_warc_roundtrip, op2_byte_gru_language, op4_probminhash_classes, op5_shard_table, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences)
 
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
