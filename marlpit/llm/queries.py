@@ -28,6 +28,16 @@ def op2_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fold
+    from .toxicity import fit, scores
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = docs.where(fold("doc_id", 4) != 2).join(labels.select("doc_id", "toxic"), "doc_id")
+    found = scores(docs, fit(learn))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .probminhash import classes
 
@@ -67,7 +77,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-_ALL = (op1_warc_roundtrip, op2_byte_gru_language, op4_probminhash_classes, op5_shard_table, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences)
+_ALL = (op1_warc_roundtrip, op2_byte_gru_language, op3_cnn_toxicity, op4_probminhash_classes, op5_shard_table, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences)
 
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
