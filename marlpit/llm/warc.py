@@ -30,6 +30,7 @@ _MAGIC = b"\x1f\x8b\x08"
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_FEED = 16_384
 _ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -116,15 +117,20 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 def _member(data: bytes, at: int, most: int) -> tuple[bytes, int]:
     z = zlib.decompressobj(31)
-    try:
-        text = z.decompress(memoryview(data)[at:], most)
-    except zlib.error as e:
-        raise Broken("bad gzip member") from e
-    if z.unconsumed_tail:
-        raise Broken("member too large")
-    if not z.eof:
-        raise Broken("gzip member does not end")
-    return text, len(data) - len(z.unused_data)
+    out, size, end = [], 0, at
+    while not z.eof:
+        if end >= len(data):
+            raise Broken("gzip member does not end")
+        piece = data[end : end + _FEED]  # in pieces, as what follows the member is copied each time
+        end += len(piece)
+        try:
+            out.append(z.decompress(piece, most - size + 1))
+        except zlib.error as e:
+            raise Broken("bad gzip member") from e
+        size += len(out[-1])
+        if size > most:
+            raise Broken("member too large")
+    return b"".join(out), end - len(z.unused_data)
 
 
 def _records_at(data: bytes, at: int, most: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
