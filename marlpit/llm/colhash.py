@@ -49,6 +49,8 @@ class Shard:
         np.put_along_axis(self.ranks, order, np.broadcast_to(np.arange(len(ids)), order.shape), axis=1)
         p = math.erf(1 / math.sqrt(2))  # a vector at distance R is within R of the query along a direction this often
         self.threshold = max(1, math.floor(hashes * p - misses * math.sqrt(hashes * p * (1 - p))))
+        # the last query's end less one: windows are nested, so a later start only verifies more
+        self.start = 0
         self.radii = []
         radius = 0.2 * self.top
         while radius < 2.01 * self.top:
@@ -72,37 +74,44 @@ class Shard:
             yield query_id, *self._one(query_id, queries[i], lengths[i], low[i], width[i], enough[i], k)
 
     def _one(self, query_id, query, length, low, width, enough, k):
-        own = self.ids == query_id
-        seen = own.copy()
+        seen = self.ids == query_id
         found = np.empty(0, dtype=np.int64)
-        scores = np.empty(0)
+        near = np.empty(0)
         unit = self.ranks.dtype.type
+        margin = 1e-9 * self.top * length  # above what the order of a sum can change
+        shifted, inside = np.empty_like(self.ranks[0]), np.empty(len(self.ids), dtype=bool)
         for r, radius in enumerate([*self.radii, None]):
-            if radius is not None:
-                if not enough[r]:
-                    continue
-                # a rank lies in the window when its distance from the window's start, modulo the type, is below the width
-                inside = (self.ranks - low[r].astype(unit)[:, None]) < np.minimum(width[r], np.iinfo(unit).max).astype(unit)[:, None]
-                collided = inside.sum(axis=0, dtype=np.uint8 if self.hashes < 256 else np.uint16) >= self.threshold
-                new = np.flatnonzero(collided & ~seen)
-            else:
+            if r < self.start:
+                continue
+            if radius is None:
                 new = np.flatnonzero(~seen)
+            elif enough[r]:
+                collisions = np.zeros(len(self.ids), dtype=np.uint8 if self.hashes < 256 else np.uint16)
+                for ranks, lo, held in zip(self.ranks, low[r].tolist(), np.minimum(width[r], np.iinfo(unit).max).tolist(), strict=True):
+                    # a rank lies in the window when its distance from the window's start, modulo the type, is below the width
+                    np.subtract(ranks, unit(lo), out=shifted)
+                    np.less(shifted, unit(held), out=inside)
+                    np.add(collisions, inside.view(np.uint8), out=collisions)
+                new = np.flatnonzero((collisions >= self.threshold) & ~seen)
+            else:
+                continue
             if len(new):
                 seen[new] = True
                 found = np.concatenate([found, new])
-                scores = np.concatenate([scores, (self.vectors[new] * query).sum(axis=1)])
+                near = np.concatenate([near, self.vectors[new] @ query])
                 if len(found) > k:
-                    best = np.lexsort((self.ids[found], -scores))[:k]
-                    found, scores = found[best], scores[best]
-            if radius is not None and len(found) >= k:
-                # squared distance of the extended vectors, the query scaled to the greatest length
-                if 2 * self.top**2 - 2 * self.top * scores.min() / length <= radius**2:
-                    break
+                    kept = near >= np.partition(near, -k)[-k] - margin
+                    found, near = found[kept], near[kept]
+            # squared distance of the extended vectors, the query scaled to the greatest length
+            if radius is not None and len(found) >= k and 2 * self.top**2 - 2 * self.top * near.min() / length <= radius**2:
+                break
+        self.start = max(0, r - 1)
+        scores = (self.vectors[found] * query).sum(axis=1)
         best = np.lexsort((self.ids[found], -scores))[:k]
         return self.ids[found[best]], scores[best]
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, hashes: int = 64, ratio: float = 1.15, misses: float = 1.8, shard_rows: int = 16_384, block_rows: int = 4_096) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, hashes: int = 48, ratio: float = 1.2, misses: float = 1.6, shard_rows: int = 16_384, block_rows: int = 4_096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found for the rows that ``is_query`` marks by their id.
 
     ``is_query`` is a condition on a long column named id. ``misses`` is how many standard deviations below its mean
