@@ -51,6 +51,13 @@ def op5_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(docs, "doc_id", [f"shard-{i:04d}" for i in range(256)])
 
 
+def op6_minimum_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmlcut import extract, fit
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages))
+
+
 def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan
 
@@ -77,7 +84,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-_ALL = (op1_warc_roundtrip, op2_byte_gru_language, op3_cnn_toxicity, op4_probminhash_classes, op5_shard_table, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences)
+_ALL = (op1_warc_roundtrip, op2_byte_gru_language, op3_cnn_toxicity, op4_probminhash_classes, op5_shard_table, op6_minimum_cut_text, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences)
 
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
