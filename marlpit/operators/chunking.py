@@ -148,7 +148,7 @@ def _column(f: Callable[..., list], kind: str, *columns: Column) -> Column:
     def run(*series: pd.Series) -> pd.Series:
         return pd.Series([None if row[0] is None else f(*row) for row in zip(*series, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR)(*columns)
+    return F.pandas_udf(run, kind)(*columns)
 
 
 def recursive_chunks(text: Column, size: Column, overlap: Column, separators: Sequence[str] = SEPARATORS) -> Column:
@@ -192,12 +192,12 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, F.posexplode(found).alias("_at", "s")).select(id_col, (F.col("_at") + 1).alias("section_id"), "s.*")
 
 
-def section_chunks(found: DataFrame, title: str, id_col: str = "doc_id", most: int = 1200) -> DataFrame:
+def section_chunks(found: DataFrame, title: str, id_col: str = "doc_id", most: int = 1200, overlap: int = 150) -> DataFrame:
     """Sections packed to chunks under their headings; ``chunk_id`` counts through a document."""
     ship(found.sparkSession)
     item = F.when((F.col("sub_no") != "") & (F.col("sub_title") != ""), F.concat(F.lit("[세부항목] "), F.col("sub_no"), F.lit(". "), F.col("sub_title")))
     head = F.concat_ws("\n", F.lit(f"[문서] {title}"), F.concat(F.lit("[대분류] "), F.col("major_no"), F.lit(" "), F.col("major_title")), item)
-    parts = found.withColumn("head", head).select("*", F.posexplode(packed_paragraphs(F.col("body"), most)).alias("_at", "part"))
+    parts = found.withColumn("head", head).select("*", F.posexplode(packed_paragraphs(F.col("body"), most, overlap)).alias("_at", "part"))
     text = F.regexp_replace(F.concat("head", F.lit("\n\n"), "part"), r"(?U)^\s+|\s+$", "")
     from pyspark.sql import Window
 
