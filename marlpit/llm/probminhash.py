@@ -5,11 +5,13 @@ that rate; each falls on a register drawn uniformly, and a register keeps the el
 done when its next arrival is later than the last register's, which ends the process early. Two registers agree with
 the probability Jaccard similarity of the weighted sets, which for equal weights is the Jaccard similarity.
 
-Texts are grouped by digest first, so exact copies cost one row each. Bands of registers are hashed to buckets. In each
-bucket all texts are paired with the least one, and the pairs verified exactly on the texts' shingles. Buckets whose
-texts are still in several components then get more centres, every text outside the bucket's largest component in its
-turn, each paired with the bucket's texts of other components, until none is left: no pair of a bucket that could join
-two components goes unverified, yet no bucket's pairs are all made.
+Texts are grouped by digest first, so exact copies cost one row each. Bands of registers are hashed to buckets. A
+bucket's centre is its text with the most neighbours over all its buckets, and each text is verified against the centre
+that it shares most buckets with: one pair a text, which joins nearly all of a group of near copies. In the buckets
+that still hold several components, sketches are compared, in blocks, and every pair of different components whose
+sketches agree in at least ``least`` less ``slack`` standard deviations of the registers is verified too. So no pair of
+a bucket that could join two components goes unverified, but for what the sketches' slack leaves (1e-3 of pairs right
+at the threshold), and pairs within a component are not made. Verification is exact, on the texts' shingles.
 
 A pair is linked when its probability Jaccard or its plain Jaccard similarity is at least ``least``. Classes are the
 connected components.
@@ -26,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,16 +87,18 @@ class Sketcher:
     def __init__(self, bands: int, rows: int, width: int):
         self.bands, self.rows, self.shingler = bands, rows, Shingler(width)
 
-    def __call__(self, texts: list[str | None]) -> list[list[int] | None]:
-        """Bucket numbers, one for each band; None for a text without shingles."""
+    def __call__(self, texts: list[str | None]) -> list[tuple[list[int], bytes] | None]:
+        """Bucket numbers, one for each band, and 16 bits of each register; None for a text without shingles."""
         shingles, offsets = self.shingler(texts)
         text, element, weight = weighted(shingles, offsets)
-        got = sketch(text, element, weight, len(texts), self.bands * self.rows).reshape(len(texts), self.bands, self.rows)
+        got = sketch(text, element, weight, len(texts), self.bands * self.rows)
+        prints = (mix(got) >> np.uint64(48)).astype("<u2")
+        got = got.reshape(len(texts), self.bands, self.rows)
         value = np.broadcast_to(np.arange(self.bands, dtype=np.uint64), got.shape[:2]).copy()
         for r in range(self.rows):
             value = mix(value * np.uint64(31) + got[:, :, r] + np.uint64(r + 1))
         lists = value.view(np.int64).tolist()
-        return [x if offsets[i + 1] > offsets[i] else None for i, x in enumerate(lists)]
+        return [(x, prints[i].tobytes()) if offsets[i + 1] > offsets[i] else None for i, x in enumerate(lists)]
 
 
 def text_key(text: Column) -> Column:
@@ -103,8 +107,8 @@ def text_key(text: Column) -> Column:
 
 
 def _buckets(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """id, key and buckets of every row."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+    """id, key, buckets and register prints of every row."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("prints", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         sketcher = Sketcher(bands, rows, width)
@@ -114,7 +118,7 @@ def _buckets(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
             distinct = sorted(first.values())
             got = dict(zip((keys[i] for i in distinct), sketcher([texts[i] for i in distinct]), strict=True))
             for i, k in zip(ids, keys, strict=True):
-                yield i, k, got.get(k)
+                yield i, k, *(got.get(k) or (None, None))
 
     return arrow_map(docs.select("id", "key", "text"), run, schema, rows=1024)
 
@@ -152,7 +156,7 @@ def _ordered(one: Column, other: Column) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, centres: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """id and key of every row; number, key, least id and copies of every distinct text; component of each number that is linked."""
     keyed = cut(_buckets(docs, bands, rows, width), "buckets")
     distinct = keyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
@@ -163,32 +167,67 @@ def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, ce
         """The rows that stand for their text."""
         return df.join(numbers, (df["key"] == F.col("of")) & df["id"].eqNullSafe(F.col("of_id"))).drop(df["key"])
 
-    rows_of = own(keyed, of).select("key", F.explode("buckets").alias("bucket"))
-    shared = rows_of.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(F.col("least") != F.col("most"))
-    members = cut(rows_of.join(shared.select("bucket", "least"), "bucket").distinct(), "members")
-    carried = cut(own(docs, of.join(members.select("key").distinct(), "key", "left_semi")).select("key", "text").dropDuplicates(["key"]), "carried")
-
-    pairs = members.where(F.col("key") != F.col("least")).select(*_ordered(F.col("key"), F.col("least"))).distinct()
-    tested = cut(pairs, "pairs")
+    rows_of = own(keyed, of).select("key", F.posexplode("buckets").alias("band", "bucket"))
+    shared = rows_of.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("low") != F.col("high"))
+    members = cut(rows_of.join(shared.select("bucket", "size"), "bucket").distinct(), "members")
+    degree = members.groupBy("key").agg(F.sum("size").alias("degree"))
+    carried = cut(own(docs, of.join(degree.select("key"), "key", "left_semi")).select("key", "text").dropDuplicates(["key"]), "carried")
+
+    met = members.join(degree, "key")
+    centres = met.groupBy("bucket").agg(F.max_by("key", F.struct("degree", "key")).alias("centre"))
+    near = members.join(centres, "bucket").where(F.col("key") != F.col("centre")).groupBy("key", "centre").count()
+    nearest = near.groupBy("key").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
+    tested = cut(nearest.select(*_ordered(F.col("key"), F.col("centre"))).distinct(), "pairs")
     links = cut(_verified(tested, carried, least, width), "links")
-    centred = members.select("bucket", F.col("least").alias("key")).distinct()
-    while True:
-        labels = components(links)
-        label = members.select("bucket", "key").join(labels, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-        mixed = label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
-        open_ = cut(label.join(mixed, "bucket", "left_semi"), "open")
-        largest = open_.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("component"))
-        outside = open_.join(largest, ["bucket", "component"], "left_anti").join(centred, ["bucket", "key"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-        chosen = cut(outside.withColumn("turn", turn).where(F.col("turn") <= centres).select("bucket", F.col("key").alias("centre"), F.col("component").alias("own")), "centres")
-        if chosen.isEmpty():
-            return keyed.select("id", "key"), numbered, labels
-        met = open_.join(chosen, "bucket").where(F.col("component") != F.col("own"))
-        fresh = cut(met.select(*_ordered(F.col("key"), F.col("centre"))).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        centred = cut(centred.union(chosen.select("bucket", "centre")), "centred")
-        if not fresh.isEmpty():
-            tested = cut(tested.union(fresh), "tested")
-            links = cut(links.union(_verified(fresh, carried, least, width)), "links")
+
+    label = members.select("bucket", "band", "key").join(components(links), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where(F.col("x") != F.col("y")).select("bucket", "size")
+    prints = own(keyed, of).select("key", "prints").dropDuplicates(["key"])
+    open_ = label.join(mixed, "bucket").join(prints, "key")
+    likely = _likely(open_, least, bands * rows, slack, rows)
+    fresh = cut(likely.join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = cut(links.union(_verified(fresh, carried, least, width)), "links")
+    return keyed.select("id", "key"), numbered, components(links)
+
+
+def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows: int, block: int = 8192) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket whose sketches agree often enough, each in its first bucket only.
+
+    ``open_`` holds bucket, band, key, component, size, prints. A bucket of more than ``block`` texts is dealt over
+    pairs of blocks, so no task holds more than two blocks.
+    """
+    enough = registers * (least - slack * (least * (1 - least) / registers) ** 0.5)
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(key, table):
+        band = table.column("band")[0].as_py() if table.num_rows else 0
+        keys, parts = table.column("key").to_numpy(), table.column("component").to_numpy()
+        side = table.column("side").to_numpy()
+        prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), dtype="<u2").reshape(len(keys), registers)
+        one, two = key[1].as_py(), key[2].as_py()
+        left = np.flatnonzero(side == one)
+        right = np.flatnonzero(side == two)
+        if one == two and len(left):  # of pairs within a block, those with one text outside the largest component
+            values, sizes = np.unique(parts, return_counts=True)
+            left = left[parts[left] != values[sizes.argmax()]]
+        found: list[tuple[int, int]] = []
+        step = max(1, (16 << 20) // (max(1, len(right)) * registers))
+        for at in range(0, len(left), step):
+            rows_ = left[at : at + step]
+            agree = (prints[rows_][:, None, :] == prints[right][None, :, :]).sum(axis=2, dtype=np.uint16)
+            i, j = np.nonzero((agree >= enough) & (parts[rows_][:, None] != parts[right][None, :]))
+            i, j = rows_[i], right[j]
+            same = (prints[i] == prints[j]).reshape(len(i), registers // rows, rows).all(axis=2)
+            first = same.argmax(axis=1) == band
+            found += [(min(x, y), max(x, y)) for x, y in zip(keys[i[first]].tolist(), keys[j[first]].tolist(), strict=True)]
+        found = sorted(set(found))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    placed = open_.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.withColumn("other", other).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+    return dealt.select("bucket", "band", "key", "component", "prints", "side", "low", "high").groupBy("bucket", "low", "high").applyInArrow(run, schema)
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,9 +239,9 @@ def _with_component(numbered: DataFrame, labels: DataFrame) -> DataFrame:
     return numbered.join(labels.withColumnRenamed("key", "number"), "number", "left").withColumn("component", F.coalesce("component", "number"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 32, rows: int = 5, width: int = 5, centres: int = 32) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, width: int = 5, slack: float = 3.0) -> DataFrame:
     """doc_id, class_id and class_size of every row."""
-    keyed, numbered, labels = _labels(_prepared(docs, id_col, text_col), least, bands, rows, width, centres)
+    keyed, numbered, labels = _labels(_prepared(docs, id_col, text_col), least, bands, rows, width, slack)
     texts = _with_component(numbered, labels)
     whole = texts.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     found = keyed.join(texts.select("key", "component").join(whole, "component"), "key", "left")
@@ -210,13 +249,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return found.select(F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 32, rows: int = 5, width: int = 5, centres: int = 32) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, width: int = 5, slack: float = 3.0) -> DataFrame:
     """``docs`` with all columns, one row of each class: the one with the least id (a text all of whose
     ids are null comes first).
 
     Of repeated rows of that id and text any one is kept. Rows with a null text are all kept.
     """
-    _, numbered, labels = _labels(_prepared(docs, id_col, text_col), least, bands, rows, width, centres)
+    _, numbered, labels = _labels(_prepared(docs, id_col, text_col), least, bands, rows, width, slack)
     rank = F.struct(F.col("id").isNotNull(), "id", "number")
     kept = _with_component(numbered, labels).groupBy("component").agg(F.min_by(F.struct("id", "key"), rank).alias("x")).select(F.col("x.id").alias("_kept_id"), F.col("x.key").alias("_kept_key"))
     key = text_key(F.col(text_col).cast("string"))
