@@ -29,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return toxicity.keep_clean(docs, toxicity.fit(docs.where(langid.fold("doc_id", 4) != 2).join(labels, "doc_id")))
+    labels = table(spark, sf_dir, "labels").where(langid.fold("doc_id", 4) != 2)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

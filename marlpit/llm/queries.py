@@ -33,8 +33,7 @@ def op3_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, scores
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learn = docs.where(fold("doc_id", 4) != 2).join(labels.select("doc_id", "toxic"), "doc_id")
-    found = scores(docs, fit(learn))
+    found = scores(docs, fit(docs, labels.where(fold("doc_id", 4) != 2)))
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 

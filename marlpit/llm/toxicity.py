@@ -309,31 +309,34 @@ class Scorer:
         return c.shifted(logit, [c._language(x) for x in evidence]).tolist()
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample_docs: int = 6000, sample_bytes: int = 24 << 20, cut_off: float = 0.3) -> Classifier | None:
-    """A classifier from a bounded sample: of each label the rows with the least hashes, whole texts within the bytes.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample_docs: int = 6000, sample_bytes: int = 24 << 20, cut_off: float = 0.3) -> Classifier | None:
+    """A classifier from a bounded sample: of each label the rows with the least hashes of their ids, whole texts within the bytes.
 
-    Each label gets up to half of the rows and bytes.
+    Each label gets up to half of the rows and bytes. Ids are chosen from ``labels`` alone, four times as many as rows
+    are wanted, in case some have no document, and broadcast; so no text is shuffled but those of the sample. Of
+    documents with one id the least text counts, and an id with both labels counts as toxic.
     """
-    own = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("y").isin(0, 1))
-    hashed = own.select("y", F.xxhash64("text", "y").alias("h"), F.octet_length("text").alias("n"))
-    chosen: list[tuple[int]] = []
+    spark = docs.sparkSession
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull())
+    chosen: dict[int, int] = {}
     for y in (0, 1):
+        ids = [r["id"] for r in marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * sample_docs).select("id").collect()]
+        wanted = F.broadcast(spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id long, k int"))
+        sizes = own.join(wanted, "id").groupBy("k", "id").agg(F.max(F.octet_length("text")).alias("n")).orderBy("k").limit(sample_docs // 2).collect()
         held = 0
-        for r in hashed.where(F.col("y") == y).orderBy("h", "n").limit(sample_docs // 2).collect():
+        for r in sizes:
             held += r["n"]
             if held > sample_bytes // 2:
                 break
-            chosen.append((r["h"],))
-    if not chosen:
-        return None
-    wanted = own.sparkSession.createDataFrame(sorted(set(chosen)), "h long")
-    rows = own.withColumn("h", F.xxhash64("text", "y")).join(F.broadcast(wanted), "h", "left_semi").dropDuplicates(["h"]).select("h", "text", "y", "lang").collect()
-    rows.sort(key=lambda r: r["h"])
-    labels = np.array([r["y"] for r in rows])
-    if len(np.unique(labels)) < 2:
+            chosen[r["id"]] = y
+    if len(set(chosen.values())) < 2:
         return None
+    wanted = F.broadcast(spark.createDataFrame(sorted(chosen), "long").toDF("id"))
+    rows = own.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).collect()
+    rows.sort(key=lambda r: r["id"])
     classifier = Classifier(cut_off=cut_off)
-    classifier.train([r["text"] for r in rows], labels, [r["lang"] for r in rows])
+    classifier.train([r["text"] for r in rows], np.array([chosen[r["id"]] for r in rows]), [r["lang"] for r in rows])
     return classifier
 
 
