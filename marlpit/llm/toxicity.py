@@ -39,6 +39,11 @@ def _hash(word: str, kind: int) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8, salt=bytes([kind])).digest(), "little")
 
 
+def _tails(starts: np.ndarray) -> np.ndarray:
+    """The last rows of each text's gap, whose windows would reach into the next text."""
+    return (starts[1:, None] - np.arange(1, max(WIDTHS))).ravel()
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -131,6 +136,7 @@ class Classifier:
         for w in WIDTHS:
             windows = np.concatenate([vectors[k : len(vectors) - max(WIDTHS) + 1 + k] for k in range(w)], axis=1)
             act = windows @ self.conv[w]
+            act[_tails(starts)] = -np.inf
             top = np.maximum.reduceat(act, starts, axis=0)
             owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(act))))
             hit_row, hit_col = np.nonzero(act == top[owner])
@@ -303,6 +309,7 @@ class Scorer:
             for k in range(1, w):
                 act = act + self.products[at[k : n + k], (block + k) * c.filters : (block + k + 1) * c.filters]
             block += w
+            act[_tails(starts)] = -np.inf
             hidden.append(np.tanh(np.maximum.reduceat(act, starts, axis=0) + c.bias[w]))
         logit = np.concatenate(hidden, axis=1) @ c.out + c.c
         evidence = np.add.reduceat(self.language[at[:n]], starts, axis=0) if c.languages else np.zeros((len(split), 0))
