@@ -31,6 +31,7 @@ _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _FEED = 16_384
+_ONCE = frozenset(["warc-type", "warc-record-id", "content-length", "content-type", "warc-date", "warc-block-digest", "warc-payload-digest"])
 _ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -91,7 +92,10 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(":")
         if not colon:
             raise Broken("malformed header")
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        if name in headers and name in _ONCE:
+            raise Broken("header repeated")  # as where a cut record runs into the next one
+        headers[name] = value.strip()
     if "warc-type" not in headers or "warc-record-id" not in headers:
         raise Broken("required header missing")
     if not re.fullmatch(r"[0-9]{1,15}", size := headers.get("content-length", "")):
