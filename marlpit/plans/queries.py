@@ -206,7 +206,7 @@ def doc_key_display(spark, sf_dir):
 _FRONT = "concat('---\\nlang: ', lang, '\\ncode: \"D', doc_id, '\"\\nratio: 3:7\\ncode: \"E', doc_id, '\"\\nfiles:\\n - \"f (ID: ', doc_id, ')\"\\n---\\n\\n', text)"
 
 
-@_query("SELECT doc_id, lang AS front_lang, concat('E', doc_id) AS code, '3:7' AS ratio, concat('f (ID: ', doc_id, ')') AS item, length(ltrim(text)) AS body_chars FROM documents")
+@_query("SELECT doc_id, lang AS front_lang, concat('E', doc_id) AS code, '3:7' AS ratio, concat('f (ID: ', doc_id, ')') AS item, CAST(length(ltrim(text)) AS INT) AS body_chars FROM documents")
 def front_matter_map(spark, sf_dir):
     front = metadata.front_matter(F.expr(_FRONT))
     at = lambda k: F.try_element_at(F.col("f.meta"), F.lit(k))
@@ -231,7 +231,7 @@ def child_chunk(spark, sf_dir):
     return kids.select("parent_id", "child_id", F.length("child").alias("chars"))
 
 
-@_query("WITH o AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 1050)) AS start, text FROM documents) SELECT doc_id, start, length(substring(text, start + 1, 1200)) AS chars FROM o")
+@_query("WITH o AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 1050)) AS start, text FROM documents) SELECT doc_id, start, CAST(length(substring(text, start + 1, 1200)) AS INT) AS chars FROM o")
 def chunk_window_slices(spark, sf_dir):
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("text"), F.lit(1)) - 1, F.lit(1050)))
     cut_ = F.substring(F.col("text"), F.col("start") + 1, F.lit(1200))
@@ -254,7 +254,7 @@ s AS (SELECT *, count(*) FILTER (WHERE i % 2 = 1) OVER (PARTITION BY doc_id ORDE
 SELECT doc_id, g AS section_id, max(i - (i - 1) % 6)::VARCHAR AS title,
        CASE WHEN (max(g) - 1) % 3 >= 1 THEN ((max(g) - 1) // 3 * 6 + 3)::VARCHAR END AS section,
        CASE WHEN (max(g) - 1) % 3 = 2 THEN ((max(g) - 1) // 3 * 6 + 5)::VARCHAR END AS subsection,
-       length(rtrim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10))) AS chars
+       CAST(length(rtrim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10))) AS INT) AS chars
 FROM s GROUP BY doc_id, g"""
 )
 def header_sections(spark, sf_dir):
@@ -269,7 +269,7 @@ k AS (SELECT *, i % 7 = 0 AS major, i % 7 IN (3, 5) AND i > 7 AS sub FROM l),
 g AS (SELECT *, count(*) FILTER (WHERE major) OVER (PARTITION BY doc_id ORDER BY i) AS m, count(*) FILTER (WHERE sub) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM k),
 o AS (SELECT doc_id, m, i, x, major, sub, CASE WHEN (i % 7) >= 5 THEN 5 WHEN (i % 7) >= 3 THEN 3 END AS item FROM g WHERE m > 0),
 r AS (SELECT doc_id, m, item, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT major AND NOT sub), '') AS body FROM o GROUP BY doc_id, m, item)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m, item IS NULL, item) AS INT) AS section_id, '10.' || m AS major_no, item::VARCHAR AS sub_no, length(trim(body, ' ' || chr(10))) AS chars
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m, item IS NULL, item) AS INT) AS section_id, '10.' || m AS major_no, item::VARCHAR AS sub_no, CAST(length(trim(body, ' ' || chr(10))) AS INT) AS chars
 FROM r WHERE item IS NOT NULL OR trim(body, ' ' || chr(10)) <> ''"""
 )
 def numbered_rules(spark, sf_dir):
@@ -293,7 +293,7 @@ def _present_sql(c: str, named) -> str:
 
 
 _PROFILE_SQL = f"""
-SELECT request_id, message, {_hits_sql("low", _LEX.rule)} + len(products) AS rule_score, {_hits_sql("low", _LEX.system)} AS system_score, {_hits_sql("low", _LEX.case)} AS case_score,
+SELECT request_id, message, {_hits_sql("low", _LEX.rule)} + CAST(len(products) AS INT) AS rule_score, {_hits_sql("low", _LEX.system)} AS system_score, {_hits_sql("low", _LEX.case)} AS case_score,
        {_hits_sql("low", _LEX.official)} AS official_score, {_hits_sql("low", _LEX.compare)} + CASE WHEN len(asked) >= 2 THEN 2 ELSE 0 END AS compare_score, asked, properties, products
 FROM (SELECT *, {_present_sql("low", _LEX.asked_institutions)} AS asked, {_present_sql("low", _LEX.properties)} AS properties, {_present_sql("low", {p: [p] for p in _LEX.products})} AS products
       FROM (SELECT item_id AS request_id, {_MESSAGE} AS message, lower({_MESSAGE}) AS low FROM benchmark))"""
