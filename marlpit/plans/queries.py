@@ -182,6 +182,23 @@ def parent_expand(spark, sf_dir):
     return fusion.parents_of(hits, vectors.select(F.col("vec_id").alias("child_key"), F.floor(F.col("vec_id") / 4).alias("parent_id")))
 
 
+@_query(f"WITH {_BM25_CTE} SELECT any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl, count(*) AS terms, round(avg(raw.raw), 6) AS mean_idf, round(min(terms.idf), 6) AS low_idf FROM st, raw JOIN terms USING (term)")
+def bm25_stats(spark, sf_dir):
+    index = lexical.build(_table(spark, sf_dir, "documents"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    rows = index.terms.crossJoin(F.broadcast(index.stats))
+    return rows.agg(F.any_value("n").alias("n"), F.round(F.any_value("avgdl"), 6).alias("avgdl"), F.count("*").alias("terms"), F.round(F.avg(raw), 6).alias("mean_idf"), F.round(F.min("idf"), 6).alias("low_idf"))
+
+
+@_query(f"WITH {_BM25_CTE} SELECT request_id, key, score, rank FROM bm25")
+def bm25_stored_index(spark, sf_dir):
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "bm25")
+    lexical.build(_table(spark, sf_dir, "documents")).write(path)
+    return lexical.search(lexical.Bm25Index.read(spark, path), _requests(spark, sf_dir))
+
+
 # -- metadata ---------------------------------------------------------------------
 @_query(f"SELECT key, source, source_class FROM ({_CLASSED_SQL})")
 def source_class(spark, sf_dir):
@@ -417,18 +434,67 @@ def diagnostic_summary(spark, sf_dir):
     return out.select("request_id", F.to_json("question_profile").alias("question_profile"), F.to_json("rerank_after").alias("rerank_after"))
 
 
+@_query(
+    """SELECT '2024-01-01 00:00:00' AS timestamp, 0 AS context_turns, q AS original_question, 'N/A' AS searched_query, text AS ai_response, CASE WHEN turn % 2 = 0 THEN 'LIKE' ELSE 'DISLIKE' END AS feedback,
+       'N/A' AS ref_documents, 'N/A' AS search_reasons, 'N/A' AS vector_similarities, 'N/A' AS bm25_ranks, 'N/A' AS rrf_final_scores
+FROM (SELECT *, lag(text, 1, 'N/A') OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations) WHERE role = 'assistant'"""
+)
+def feedback_log(spark, sf_dir):
+    messages = _table(spark, sf_dir, "conversations")
+    events = messages.where("role = 'assistant'").select("conv_id", "turn", (F.col("turn") % 2 == 0).alias("liked"))
+    none = messages.limit(0).select("conv_id", "turn", F.lit(0).alias("context_turns"), *[F.lit("").alias(c) for c in ("searched_query", *logs.FEEDBACK[6:])])
+    return logs.feedback_rows(events, messages, none, F.lit("2024-01-01").cast("timestamp"))
+
+
+@_query("SELECT doc_id, source AS title, lang AS institution, 2 AS urls, concat('u', doc_id + 1) AS last_url, 'WEB' AS kind, CAST(length(trim(text, ' ' || chr(10))) AS INT) AS chars FROM documents")
+def corpus_header(spark, sf_dir):
+    made = F.expr("concat('# 상품명: ', source, '\n기관명: ', lang, '\n원본 URL: u', doc_id, ' | u', doc_id + 1, '\n수집일: 2024-01-01\n출처유형: WEB\n\n## 기타\n', text)")
+    h = _table(spark, sf_dir, "documents").select("doc_id", files.corpus_header(made).alias("h"))
+    return h.select("doc_id", "h.title", "h.institution", F.size("h.urls").alias("urls"), F.element_at("h.urls", -1).alias("last_url"), "h.kind", F.length("h.body").alias("chars"))
+
+
+@_query()
+def section_chunks(spark, sf_dir):
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("10."), (i / 7).cast("int") + 1, F.lit(" 제목"))).when(i % 7 == 3, F.lit("1. 항목")).otherwise(x)), "\n")
+    found = chunking.sections(_table(spark, sf_dir, "documents").select("doc_id", marked.alias("text")))
+    return chunking.section_chunks(found, "LD10").select("doc_id", "chunk_id", "major_no", "sub_no", "part_no", "text_len")
+
+
+@_query()
+def answer_prompts(spark, sf_dir):
+    """The whole flow over a stored index of the documents' chunks."""
+    from ..session import scratch_path
+    from . import answer, index
+
+    docs = _docs(spark, sf_dir)
+    meta = F.create_map(*[x for k in ("doc_code", "section_no", "section_title", "parent_section_no", "parent_section_title", "doc_title") for x in (F.lit(k), F.col(k))])
+    chunks = chunking.route(docs.select("key", "source", "doc_type", "source_class", meta.alias("meta"), "text")).withColumn("key", F.col("key") * 10_000 + F.col("chunk_id"))
+    built = index.build(spark, [], scratch_path(spark, "index"), chunks=chunks)
+    return answer.answer(built, _requests(spark, sf_dir).select("request_id", "message", F.lit(None).cast("string").alias("recent"))).results
+
+
 # -- pages and exports ---------------------------------------------------------------------------
 @_query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
 def page_title(spark, sf_dir):
     return files.page_texts(_table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
-@_query()
+_LINES_CTE = r"""
+b AS (SELECT page_id, url, regexp_replace(html, '(?s)<head.*?</head>|<script.*?</script>|<style.*?</style>|<!.*?>', '<x>', 'g') AS t, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages),
+s AS (SELECT page_id, url, title, list_filter(list_transform(regexp_split_to_array(t, '<[^>]*>|\n'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM b),
+u AS (SELECT page_id, url, title, list_filter(l, lambda x, i: list_position(l, x) = i) AS lines FROM s)"""
+
+
+@_query(f"WITH {_LINES_CTE} SELECT page_id, unnest(lines) AS line, CAST(generate_subscripts(lines, 1) - 1 AS INT) AS line_no FROM u")
 def page_line_dedup(spark, sf_dir):
     return files.page_texts(_table(spark, sf_dir, "pages")).select("page_id", F.posexplode("lines").alias("line_no", "line"))
 
 
-@_query()
+@_query(
+    f"""WITH {_LINES_CTE}
+SELECT title, CAST(count(*) AS INT) AS pages, concat('# 상품명: ', title, chr(10), '기관명: -', chr(10), '원본 URL: ', array_to_string(list(url ORDER BY page_id), ' | '), chr(10), '수집일: 2024-01-01 00:00:00', chr(10), '출처유형: WEB', chr(10), chr(10), '## 기타', chr(10),
+       array_to_string(flatten(list(lines ORDER BY page_id)), chr(10))) AS text FROM u GROUP BY title"""
+)
 def page_merge_by_title(spark, sf_dir):
     return files.merge_by_title(files.page_texts(_table(spark, sf_dir, "pages")), "-", "2024-01-01 00:00:00")
 
@@ -453,7 +519,14 @@ def kms_path_lookup(spark, sf_dir):
     return files.knowledge_markdown(_export(spark, sf_dir)).select("pk", "shown_id", "path")
 
 
-@_query()
+_SHOWN_SQL = "concat('svc', doc_id % 3, '_', doc_id // 10, CASE WHEN doc_id <> doc_id // 10 THEN concat('_', doc_id) ELSE '' END)"
+_PATH_SQL = "concat(CASE WHEN doc_id % 20 < 10 THEN 'a > k' ELSE 'b > d' END, doc_id // 10 * 10)"
+
+
+@_query(
+    f"""SELECT CAST(doc_id AS VARCHAR) AS pk, {_SHOWN_SQL} AS shown_id, {_PATH_SQL} AS path, NULL::VARCHAR AS error,
+       array_to_string(['---', '지식_ID: "' || {_SHOWN_SQL} || '"', '제목: "T' || doc_id || '"', '분류: "' || {_PATH_SQL} || '"', '최종수정일: "2020-09-13 12:26:40"', '작성자: "미상"', '이관자료: false', '---', '', '# T' || doc_id, '', 'x'], chr(10)) AS text FROM documents"""
+)
 def kms_markdown(spark, sf_dir):
     return files.knowledge_markdown(_export(spark, sf_dir), base="https://example.org")
 
