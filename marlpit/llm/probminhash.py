@@ -262,3 +262,32 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.join(kept, (key == F.col("_kept_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
     once = marked.withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key")
     return once.unionByName(docs.where(F.col(text_col).isNull()))
+
+
+def classes_sql(least: float = 0.8) -> str:
+    """The same by brute force in DuckDB's SQL over ``documents`` with unique ids: all pairs that share a shingle.
+
+    x and y are the weights of a shingle in either text of a pair; running sums by the ratio x / y give, for each common
+    shingle, the weights that it is compared with.
+    """
+    split = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+    return f"""
+WITH RECURSIVE texts AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
+words AS (SELECT id, {split} AS w FROM texts),
+grams AS (SELECT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                            WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' #' || len(w)] ELSE [] END) AS s FROM words),
+sets AS (SELECT id, s, 1 + ln(count(*)) AS v FROM grams GROUP BY id, s),
+totals AS (SELECT id, sum(v) AS v, count(*) AS n FROM sets GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, a.v AS x, b.v AS y FROM sets a JOIN sets b ON a.s = b.s AND a.id < b.id),
+pairs AS (SELECT a, b, count(*) AS n, sum(x) AS x, sum(y) AS y FROM common GROUP BY a, b),
+sums AS (SELECT c.a, c.b, c.x, c.y, p.x - sum(c.x) OVER w + ta.v - p.x AS above, sum(c.y) OVER w + tb.v - p.y AS below
+         FROM common c JOIN pairs p USING (a, b) JOIN totals ta ON ta.id = c.a JOIN totals tb ON tb.id = c.b
+         WINDOW w AS (PARTITION BY c.a, c.b ORDER BY c.x / c.y)),
+weighed AS (SELECT a, b, sum(1 / (above / x + below / y)) AS jp FROM sums GROUP BY a, b),
+links AS (SELECT a, b FROM pairs JOIN weighed USING (a, b) JOIN totals ta ON ta.id = a JOIN totals tb ON tb.id = b
+          WHERE greatest(jp, pairs.n / (ta.n + tb.n - pairs.n)) >= {least} - 1e-12),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id, id AS other FROM texts UNION SELECT r.id, l.b FROM reach r JOIN both_ l ON l.a = r.other),
+tops AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id),
+docs AS (SELECT d.doc_id, coalesce(t.class_id, d.doc_id) AS class_id FROM documents d LEFT JOIN texts x USING (text) LEFT JOIN tops t USING (id))
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM docs"""

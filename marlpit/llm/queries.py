@@ -95,6 +95,14 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d LEFT JOIN f USING (payload_digest)"""
 
 
+# All articles of the table are headings and paragraphs in an article element, without notices or comments inside.
+_ARTICLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' '), '</?b>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(t, '</?(p|h1)>'),
+      lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM a)
+SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10))) AS n_chars FROM b"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _ALL}
 
@@ -102,5 +110,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from .containment import find_sql
     from .licences import scan_sql
+    from .probminhash import classes_sql
 
-    return {"op1_warc_roundtrip": _WARC_SQL, "op7_licence_digests": scan_sql(), "op9_benchmark_containment": find_sql()}
+    return {"op1_warc_roundtrip": _WARC_SQL, "op4_probminhash_classes": classes_sql(), "op6_minimum_cut_text": _ARTICLE_SQL, "op7_licence_digests": scan_sql(), "op9_benchmark_containment": find_sql()}
