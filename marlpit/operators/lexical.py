@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import cut
 
 # Fixed values of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -33,9 +34,13 @@ class Bm25Index:
 
 
 def build(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
-    """Terms in more than half of the documents would weigh less than nothing; they get ``EPSILON`` of the mean weight."""
+    """Postings are written once to the shared folder; all that follows reads them, so texts are split once.
+
+    Terms in more than half of the documents would weigh less than nothing; they get ``EPSILON`` of the mean weight.
+    """
     own = docs.select(F.col(key_col).alias("key"), tokens(F.col(text_col)).alias("ts"))
-    counted = own.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"))
+    terms_of = own.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    counted = cut(terms_of.groupBy("term", "key").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl")), "postings")
     stats = own.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
     weight = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     raw = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", weight.alias("raw"))
