@@ -88,10 +88,15 @@ class Finder:
         begins = np.concatenate([[0], np.cumsum(counts)])
         starts = np.repeat(offsets[:-1] - _BLOCK * begins[:-1], counts) + _BLOCK * np.arange(begins[-1])
         minima = np.full((begins[-1] + 1, self.bands), np.iinfo(np.uint32).max, dtype=np.uint32)
-        top = (shingles >> np.uint64(32)).astype(np.uint32)
         if len(starts):
+            # one row for each place in a block, so that minima run along whole rows; a short block repeats its last shingle
+            ends = np.repeat(offsets[1:], counts) - 1
+            top = (shingles >> np.uint64(32)).astype(np.uint32)[np.minimum(starts + np.arange(_BLOCK)[:, None], ends)]
+            hashed = np.empty_like(top)
             for j in range(self.bands):
-                minima[:-1, j] = np.minimum.reduceat((top ^ self.flip[j]) * self.scale[j], starts)
+                np.bitwise_xor(top, self.flip[j], out=hashed)
+                np.multiply(hashed, self.scale[j], out=hashed)
+                minima[:-1, j] = hashed.min(axis=0)
         return minima, begins
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
