@@ -24,7 +24,7 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,17 +226,29 @@ class Identifier:
         return out + blank(lower[end:])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1200, sample_bytes: int = 12 << 20, hidden: int = 16, batches: int = 500) -> Network | None:
-    """A network from a bounded sample: of each language the rows whose texts have the least hashes, within the bytes."""
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1200, sample_bytes: int = 12 << 20, most_languages: int = 256, hidden: int = 16, batches: int = 500) -> Network | None:
+    """A network from a bounded sample of each of the ``most_languages`` commonest languages: texts whose hashes are low,
+    about ``sample_docs`` of each, and in all at most ``sample_bytes``, taken from the languages in turn.
+    """
     own = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not sizes:
+        return None
+    # about sample_docs rows of each language, by a threshold on their hashes: no language's rows meet in one task
     hashed = own.select("lang", F.xxhash64("text", "lang").alias("h"), F.octet_length("text").alias("n"))
-    top = hashed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "n"))).where(F.col("k") <= sample_docs).orderBy("k", "lang").limit(64 * sample_docs).collect()
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
+    low = F.pmod("h", F.lit(1 << 30)) < F.try_element_at(limit, F.col("lang")) * float(1 << 30)
+    rank: Counter = Counter()
+    turns = []
+    for r in sorted(hashed.where(low).distinct().collect(), key=lambda r: r["h"]):
+        rank[r["lang"]] += 1
+        turns.append((rank[r["lang"]], r["lang"], r["h"], r["n"]))
     chosen, held = [], 0
-    for r in top:
-        held += r["n"]
+    for _, _, h, n in sorted(turns):
+        held += n
         if held > sample_bytes and chosen:
             break
-        chosen.append((r["h"],))
+        chosen.append((h,))
     if not chosen:
         return None
     wanted = own.sparkSession.createDataFrame(sorted(set(chosen)), "h long")
