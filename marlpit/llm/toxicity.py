@@ -81,37 +81,42 @@ class Classifier:
 
     # -- training ----------------------------------------------------------
     def train(self, texts: list[str], labels: np.ndarray, langs: list[str | None], epochs: int = 4, rate: float = 0.02, least_docs: int = 3, seed: int = 2) -> None:
-        split = [words(t) for t in texts]
         known: dict[str, tuple[int, int]] = {}
-        docs_with: dict[int, list[int]] = {}
-        features = []
-        for ws, y in zip(split, labels, strict=True):
-            own = []
-            for w in ws:
-                if (f := known.get(w)) is None:
-                    f = known[w] = self.features(w)
-                own.append(f)
-            features.append(np.array(own, dtype=np.uint64).reshape(-1, 2))
-            for h in set(features[-1].ravel().tolist()):
-                docs_with.setdefault(h, [0, 0])[int(y)] += 1
-        kept = np.array(sorted(h for h, n in docs_with.items() if sum(n) >= least_docs), dtype=np.uint64)
+        features, present = [], []
+        for text in texts:
+            if len(known) > 100_000:
+                known.clear()
+            ws = words(text)
+            known.update((w, self.features(w)) for w in set(ws).difference(known))
+            features.append(np.array([known[w] for w in ws], dtype=np.uint64).reshape(-1, 2))
+            present.append(np.unique(features[-1]))
+        del known
+        both = [np.unique(np.concatenate([p for p, y in zip(present, labels, strict=True) if y == k]), return_counts=True) for k in (0, 1)]
+        del present
+        every = np.union1d(both[0][0], both[1][0])
+        docs_with = np.zeros((len(every), 2))
+        for k, (h, n) in enumerate(both):
+            docs_with[np.searchsorted(every, h), k] = n
+        enough = docs_with.sum(axis=1) >= least_docs
+        kept, docs_with = every[enough], docs_with[enough]
         self.seen = kept
         self.bucket = np.unique(kept % np.uint64(self.buckets)).astype(np.int64)
         rng = np.random.default_rng(seed)
         self.table = rng.normal(0, 0.01, (len(self.bucket) + 1, self.size)).astype(np.float32)
-        # the first component starts from how much more often the bucket's words are in texts of label 1
+        # the first component starts from how much more often, at least, the bucket's words are in texts of label 1
         counts = np.zeros((len(self.bucket), 2))
         rows = np.searchsorted(self.bucket, (kept % np.uint64(self.buckets)).astype(np.int64))
-        np.add.at(counts, rows, np.array([docs_with[int(h)] for h in kept]).reshape(-1, 2))
+        np.add.at(counts, rows, docs_with)
         share = (counts + 0.5) / (np.bincount(labels, minlength=2) + 1)
-        odds = np.log(share[:, 1] / share[:, 0])
-        self.table[:-1, 0] += np.where(counts.min(axis=1) * 8 < counts.max(axis=1), np.clip(odds / 2, -2, 2), 0) * np.minimum(1, counts.sum(axis=1) / 8)
+        certain = np.log(share[:, 1] / share[:, 0]) - 1.5 * np.sqrt((1 / (counts + 0.5)).sum(axis=1))
+        self.table[:-1, 0] += np.clip(certain / 2, 0, 2)
         self.table[-1] = 0
         ids = []
-        for f in features:
+        while features:
+            f = features.pop(0)
             at = np.minimum(np.searchsorted(kept, f), max(0, len(kept) - 1))
             there = kept[at] == f if len(kept) else np.zeros(f.shape, dtype=bool)
-            ids.append(np.where(there, np.searchsorted(self.bucket, (f % np.uint64(self.buckets)).astype(np.int64)), len(self.bucket)))
+            ids.append(np.where(there, np.searchsorted(self.bucket, (f % np.uint64(self.buckets)).astype(np.int64)), len(self.bucket)).astype(np.int32))
         self._fit_languages(ids, langs)
         held = rng.random(len(ids)) < 0.2
         self._descend([ids[i] for i in np.flatnonzero(~held)], labels[~held], epochs, rate, rng)
@@ -316,7 +321,7 @@ class Scorer:
         return c.shifted(logit, [c._language(x) for x in evidence]).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample_docs: int = 6000, sample_bytes: int = 24 << 20, cut_off: float = 0.3) -> Classifier | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample_docs: int = 6000, sample_bytes: int = 20 << 20, cut_off: float = 0.3) -> Classifier | None:
     """A classifier from a bounded sample: of each label the rows with the least hashes of their ids, whole texts within the bytes.
 
     Each label gets up to half of the rows and bytes. Ids are chosen from ``labels`` alone, four times as many as rows
