@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,6 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
 
+#: Most rows that go to a Python worker at once.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -24,9 +29,34 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system; workers live on, and the next task may need little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow``, shipping this package and giving memory back after each task.
+
+    Texts are long, so the session's rows a batch are lowered to ``BATCH_ROWS`` where they are more.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple | list]], schema: T.StructType, rows: int = 4096) -> DataFrame:
-    """``mapInArrow`` for a function from record batches to rows (tuples in the order of ``schema``)."""
-    ship(df.sparkSession)
+    """``map_batches`` for a function from record batches to rows (tuples in the order of ``schema``)."""
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -39,7 +69,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[tu
         if held:
             yield _batch(held, arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
-from .common import arrow_map, slices
+from .common import arrow_map, map_batches, slices
 from .shingles import Shingler, mix
 
 _BLOCK = 16
@@ -163,7 +162,6 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with all columns, without the rows whose text holds an item."""
-    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     for block in _item_blocks(items, item_col, item_text_col, block_bytes):
 
@@ -174,7 +172,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 keep[[d for d, _, _ in finder.find(b.column(at).to_pylist())]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs
 
 

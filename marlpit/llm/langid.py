@@ -28,13 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
-from .common import arrow_map, slices
+from .common import arrow_map, map_batches, slices
 
 UNKNOWN = "und"
 LONGEST = 24
 _RUN = re.compile(r"[^\W\d_]+")
-_MEMO = 400_000
+_MEMO = 200_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -282,7 +281,6 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
 
 def keep_identified(docs: DataFrame, network: Network | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
     """``docs`` with all columns, without rows that are ``und`` or whose score is below ``least``."""
-    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +288,7 @@ def keep_identified(docs: DataFrame, network: Network | None, text_col: str = "t
         for b in slices(batches, 256):
             yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in label(b.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def fold(id_col: str, parts: int) -> Column:

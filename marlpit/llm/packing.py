@@ -35,7 +35,7 @@ from .common import arrow_map, slices
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0370-\u03a2\u03a4-\u052f\u2010-\u2027\u20ac]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Most words, and pieces of words, that a Python worker remembers.
-_MEMO = 500_000
+_MEMO, _PIECE_MEMO = 450_000, 200_000
 
 _SCHEMA = T.StructType(
     [
@@ -74,7 +74,7 @@ class WordTokens:
 
     def _learn(self, words: set[str]) -> None:
         split = {w: _PIECES.findall(w) for w in words}
-        if len(self.pieces) > _MEMO:
+        if len(self.pieces) > _PIECE_MEMO:
             self.pieces.clear()
         new = list({p for ps in split.values() for p in ps}.difference(self.pieces))
         runs = [new[i : i + 2000] for i in range(0, len(new), 2000)]

@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
-from .common import arrow_map, slices, words
+from .common import arrow_map, map_batches, slices, words
 
 WIDTHS = (1, 2, 3)
-_MEMO = 400_000
+_MEMO = 200_000
 _RUN = 1 << 17
 
 
@@ -367,7 +366,6 @@ def scores(docs: DataFrame, classifier: Classifier | None, id_col: str = "doc_id
 
 def keep_clean(docs: DataFrame, classifier: Classifier | None, text_col: str = "text", cut_off: float = 0.3) -> DataFrame:
     """``docs`` with all columns, without the rows whose score reaches ``cut_off``."""
-    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,4 +373,4 @@ def keep_clean(docs: DataFrame, classifier: Classifier | None, text_col: str = "
         for b in slices(batches, 256):
             yield b.filter(pa.array([s < cut_off for s in score(b.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
