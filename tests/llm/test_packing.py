@@ -20,8 +20,8 @@ def tokenizer():
     return Tokenizer.from_file(PATH)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from("abz 'sS'TÉé²½_\n\t.9ΣςİßÁ \x1c<|>endoftext")), max_size=40))
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("abz 'sS'TÉé²½_\n\t.9ΣςİßÁ \x1c<|>endoftext")), max_size=40))
 def test_ids_are_the_tokenizers(tokenizer, t):
     own = packing._word_tokens(PATH)
     want = np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
