@@ -35,7 +35,7 @@ from .common import arrow_map, slices
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0370-\u03a2\u03a4-\u052f\u2010-\u2027\u20ac]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Most words, and pieces of words, that a Python worker remembers.
-_MEMO, _PIECE_MEMO = 450_000, 200_000
+_MEMO, _PIECE_MEMO = 500_000, 500_000
 
 _SCHEMA = T.StructType(
     [
