@@ -2,7 +2,11 @@
 
 A text is put into canonical form (lower case; copyright and all-rights lines dropped; punctuation and white space made
 single spaces; equivalent spellings replaced) and its digest is joined with those of known licences, so that only
-an entire text that says the same as a licence matches.
+an entire text that says the same as a licence matches. A text without a match is looked up once more in a looser form,
+which also drops copyright lines without a year or sign and the numbers and letters of lists; ``canonical_digest`` is
+of the first form, as in the SQL.
+
+The catalogue is ``KNOWN`` and the full texts in ``licence_texts``; ``scan`` takes any other table too.
 
 Defined results: a null text has a null digest and no licence; a text without letters and digits has the digest of the
 empty string and no licence; a null id is carried; repeated rows are looked up each for itself; the known licences have
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,16 +122,44 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 _COPYRIGHT = r"(?m)^[^a-z0-9\n]*(portions )?(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$"
 _OTHERS = r"[^\p{L}\p{N}]+"
+# The looser form: any line that starts with "copyright", unless a licence's own wording goes on there in a new line; a
+# line that starts with "(c)" only with a year, as that may be an item of a list.
+_NOTICE = (
+    r"(?m)^[^a-z0-9\n]*(portions )?(copyright\b(?![ \t]*$)"
+    r"(?![^a-z0-9\n]+(and|are|disclaimers?|doctrines|holders?|if|in|interests?|is|laws?|licen[cs]es?|notices?|of|on|or|owners?|ownership|permissions?|resulting|rights?|statements?|treaty|to|the (above|library|program|software|work))\b)"
+    r"|copyright[^\n]*(©|(19|20)[0-9]{2})|copyright[^a-z0-9\n]*\(c\)|\(c\)[^\n]*(19|20)[0-9]{2}|©|all rights reserved)[^\n]*$"
+)
+_MARKER = r"(?<![^ \t\r\n(])\(?([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)](?=[ \t\r\n]|$)"
+# Where the licences of the Free Software Foundation differ between printings only.
+_ADDRESS = re.compile(r"51\s+Franklin\s+St(?:reet)?,\s+Fifth\s+Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA")
+_ADDRESSES = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+_END = "END OF TERMS AND CONDITIONS"
 
 
 def canonical(text: str) -> str:
     """The canonical form, as ``canonical_column`` has it."""
-    text = re.sub(_COPYRIGHT, "", text.lower())
+    return _plain(re.sub(_COPYRIGHT, "", text.lower()))
+
+
+def loose(text: str) -> str:
+    """The looser form, as ``loose_column`` has it."""
+    return _plain(re.sub(_MARKER, " ", re.sub(_NOTICE, "", text.lower())))
+
+
+def _plain(text: str) -> str:
     return " ".join(EQUIVALENT.get(w, w) for w in re.findall(r"[^\W_]+", text))
 
 
 def canonical_column(text: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), _OTHERS, " "))
+    return _plain_column(F.regexp_replace(F.lower(text), _COPYRIGHT, ""))
+
+
+def loose_column(text: Column) -> Column:
+    return _plain_column(F.regexp_replace(F.regexp_replace(F.lower(text), _NOTICE, ""), _MARKER, " "))
+
+
+def _plain_column(text: Column) -> Column:
+    spaced = F.trim(F.regexp_replace(text, _OTHERS, " "))
     pairs = F.create_map(*[F.lit(x) for pair in EQUIVALENT.items() for x in pair])
     return F.array_join(F.transform(F.split(spaced, " "), lambda w: F.coalesce(F.try_element_at(pairs, w), w)), " ")
 
@@ -140,19 +173,48 @@ def known_digests() -> dict[str, str]:
     return found
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def full_texts() -> dict[str, tuple[tuple[str, ...], str]]:
+    """The licences of ``licence_texts`` in the form of ``KNOWN``."""
+    folder = files(__package__) / "licence_texts"
+    return {p.name.removesuffix(".txt"): ((), p.read_text(encoding="utf-8")) for p in sorted(folder.iterdir(), key=lambda p: p.name) if p.name.endswith(".txt")}
+
+
+def _printings(titles: tuple[str, ...], text: str) -> set[str]:
+    """The text with and without each title, its appendix, and the addresses that it was printed with."""
+    found = {f"{title}\n{text}" for title in ("", *titles)}
+    if _END in text:
+        found |= {x[: x.index(_END)] + end for x in found for end in ("", _END)}
+    return found | {_ADDRESS.sub(a, x) for x in found for a in _ADDRESSES if _ADDRESS.search(x)}
+
+
+def _lookup(known: dict[str, tuple[tuple[str, ...], str]]) -> list[tuple[str, str]]:
+    """Digests of both forms of all printings, and their licences; of licences with one digest the first counts."""
+    found: dict[str, str] = {}
+    for name, (titles, text) in known.items():
+        for x in sorted(_printings(titles, text)):
+            for form in (canonical(x), loose(x)):
+                if form:
+                    found.setdefault(hashlib.sha256(form.encode()).hexdigest(), name)
+    return sorted(found.items())
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, tuple[tuple[str, ...], str]] | None = None) -> DataFrame:
     """doc_id, canonical_digest and licence (null when the text is no known licence) of every row.
 
-    The known digests are broadcast: a few dozen rows of this module.
+    ``known`` is a table in the form of ``KNOWN``; left out, it is ``KNOWN`` and the full texts of this package. Its
+    digests are broadcast: a few for each licence.
     """
-    schema = T.StructType([T.StructField("canonical_digest", T.StringType()), T.StructField("licence", T.StringType())])
-    known = docs.sparkSession.createDataFrame(sorted(known_digests().items()), schema)
-    digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical_column(F.col(text_col).cast("string")), 256).alias("canonical_digest"))
-    return digests.join(F.broadcast(known), "canonical_digest", "left").select("doc_id", "canonical_digest", "licence")
+    schema = T.StructType([T.StructField("_digest", T.StringType()), T.StructField("_licence", T.StringType())])
+    table = F.broadcast(docs.sparkSession.createDataFrame(_lookup(KNOWN | full_texts() if known is None else known), schema))
+    text = F.col(text_col).cast("string")
+    digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical_column(text), 256).alias("canonical_digest"), F.sha2(loose_column(text), 256).alias("loose_digest"))
+    first = digests.join(table, F.col("canonical_digest") == F.col("_digest"), "left").select("doc_id", "canonical_digest", "loose_digest", F.col("_licence").alias("licence"))
+    both = first.join(table, F.col("licence").isNull() & (F.col("loose_digest") == F.col("_digest")), "left")
+    return both.select("doc_id", "canonical_digest", F.coalesce("licence", "_licence").alias("licence"))
 
 
 def scan_sql() -> str:
-    """The same in DuckDB's SQL over ``documents``."""
+    """The digests in DuckDB's SQL over ``documents``, and the licences of ``KNOWN`` by the first form."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     pairs = "map {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in EQUIVALENT.items()) + "}"
     known = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in sorted(known_digests().items()))

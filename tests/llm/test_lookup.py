@@ -93,6 +93,39 @@ def test_licences_in_other_dress(spark):
     assert len(licences.known_digests()) == sum(1 + len(t) for t, _ in licences.KNOWN.values())
 
 
+def test_full_licences_notices_without_years_and_bullets(spark):
+    import textwrap
+
+    full = licences.full_texts()
+    mit, bsd = licences.KNOWN["MIT"][1], licences.KNOWN["BSD-3-Clause"][1]
+    end = "END OF TERMS AND CONDITIONS"
+    wrapped = mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS")
+    bulleted = bsd
+    for i in "123":
+        bulleted = bulleted.replace(f"\n{i}. ", "\n * " if i != "2" else "\n - ")
+    cases = [
+        *((x[1], name) for name, x in full.items()),
+        (textwrap.fill(full["Apache-2.0"][1].split(end)[0] + end, 60), "Apache-2.0"),
+        *((textwrap.indent(full[name][1].split(end)[0], " * ", lambda line: True), name) for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1")),
+        (full["GPL-2.0"][1].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"), "GPL-2.0"),
+        ("MIT License\n\nCopyright Jane Doe\n\n" + wrapped, "MIT"),
+        ("Copyright The Foo Authors. All rights reserved.\n\n" + mit, "MIT"),
+        ("Copyright The Foo Authors. All rights reserved.\n" + bulleted, "BSD-3-Clause"),
+        (bsd.replace("1. R", "(a) R").replace("2. R", "(b) R").replace("3. N", "(c) N"), "BSD-3-Clause"),
+        (full["GPL-3.0"][1] + "\nAnd one condition more.", None),
+        (full["GPL-3.0"][1].replace("you may not", "you may", 1), None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Licensed under the Apache License, Version 2.", None),
+        ("1.", None),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for _, name in cases]
+    own = {"Own": (("The own licence",), "Do what you like.\n1. Or not.")}
+    asked = spark.createDataFrame([(1, "The Own Licence\nCopyright Me\n* Do what you like. * Or not."), (2, mit)], "doc_id long, text string")
+    assert {r["doc_id"]: r["licence"] for r in licences.scan(asked, known=own).collect()} == {1: "Own", 2: None}
+
+
 def brute(ids, vectors, query, k):
     score = (vectors * vectors[ids == query][0]).sum(axis=1)
     keep = ids != query
