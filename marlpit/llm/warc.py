@@ -3,7 +3,9 @@
 The writer makes one gzip member per record. Spark's text writer puts them into the files of the shared folder, with an
 empty gzip member as line separator, so every file is a plain concatenation of members and no executor needs a file
 system library of its own. The reader takes whole files, checks each record, and after a failed check looks for the
-next place at which a valid member or version line starts; the bytes between are logged as a quarantined gap.
+next place at which a valid member or version line starts; the bytes between are logged as a quarantined gap. The same
+search runs inside a member's text, also where the member is cut or damaged and only its start can be expanded; a gap
+inside a member has the member's place in the file and its own place in the text.
 
 Defined results: a null html is an empty payload; a null id is carried (in a group of equal payloads null ids revisit
 the smallest id); of repeated rows all with the group's smallest id are responses; control characters in a URL are
@@ -36,6 +38,9 @@ _ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+_DAMAGED = "bad gzip member"
+
+
 class Record(NamedTuple):
     offset: int
     length: int
@@ -47,6 +52,8 @@ class Gap(NamedTuple):
     offset: int
     length: int
     reason: str
+    inner_offset: int | None = None  # in the member's text, where the rest of the member is read
+    inner_length: int | None = None
 
 
 class Broken(Exception):
@@ -80,6 +87,12 @@ def _digest_ok(said: str, data: bytes) -> bool:
     return value.strip().lower() in (found.hex(), base64.b32encode(found).decode().lower().rstrip("="), base64.b32encode(found).decode().lower())
 
 
+def _has_digest(headers: dict[str, str]) -> bool:
+    """Whether ``_parse`` checked a digest of the record."""
+    said = (headers.get("warc-block-digest"), headers.get("warc-payload-digest") if headers["warc-type"] == "response" else None)
+    return any(x and x.partition(":")[0].strip().lower() in hashlib.algorithms_available for x in said)
+
+
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, payload and end of the record that starts at ``at``; raises Broken when a check fails."""
     if not (m := _VERSION.match(data, at)):
@@ -119,46 +132,90 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, payload, stop + 4
 
 
-def _member(data: bytes, at: int, most: int) -> tuple[bytes, int]:
+def _member(data: bytes, at: int, most: int) -> tuple[bytes, int, str]:
+    """What a member expands to, where it ends, and why the expansion stopped early (empty if it did not)."""
     z = zlib.decompressobj(31)
-    out, size, end = [], 0, at
+    out, size, end, reason = [], 0, at, ""
     while not z.eof:
         if end >= len(data):
-            raise Broken("gzip member does not end")
+            reason = "gzip member does not end"
+            break
         piece = data[end : end + _FEED]  # in pieces, as what follows the member is copied each time
         end += len(piece)
         try:
             out.append(z.decompress(piece, most - size + 1))
-        except zlib.error as e:
-            raise Broken("bad gzip member") from e
+        except zlib.error:
+            out += _before_error(data[at:end], size, most)
+            reason = _DAMAGED
+            break
         size += len(out[-1])
         if size > most:
-            raise Broken("member too large")
-    return b"".join(out), end - len(z.unused_data)
+            reason = "member too large"
+            break
+    return b"".join(out), end - len(z.unused_data), reason
+
+
+def _before_error(data: bytes, known: int, most: int) -> list[bytes]:
+    """What a damaged member expands to beyond its first ``known`` bytes: byte by byte, only for its last piece."""
+    z = zlib.decompressobj(31)
+    whole = max(0, (len(data) - 1) // _FEED * _FEED)
+    out, size = [], 0
+    for a in range(0, whole, _FEED):
+        size += len(z.decompress(data[a : a + _FEED], most - size + 1))
+    for k in range(whole, len(data)):
+        try:
+            out.append(z.decompress(data[k : k + 1], most - size + 1))
+        except zlib.error:
+            break
+        size += len(out[-1])
+    return out
 
 
-def _records_at(data: bytes, at: int, most: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records that a member, or one version line, at ``at`` holds, and where it ends."""
-    if data[at : at + 3] == _MAGIC:
-        text, end = _member(data, at, most)
-        found, inner = [], 0
-        while inner < len(text):
-            headers, payload, inner = _parse(text, inner)
-            found.append((headers, payload))
-        return found, end
-    headers, payload, end = _parse(data, at)
-    return [(headers, payload)], end
+def _inside(text: bytes, reason: str) -> list[tuple[int, int, dict[str, str], bytes] | tuple[int, int, str]]:
+    """The records of a member's text and the gaps between them, as (offset, length, headers, payload) or (offset, length, reason)."""
+    found, at, bad, why = [], 0, -1, ""
+    while at < len(text):
+        try:
+            headers, payload, end = _parse(text, at)
+            if reason == _DAMAGED and not _has_digest(headers):
+                raise Broken("no digest in a damaged member")
+        except Broken as e:
+            if bad < 0:
+                bad, why = at, str(e)
+            m = _VERSION.search(text, at + 1)
+            at = m.start() if m else len(text)
+            continue
+        if bad >= 0:
+            found.append((bad, at - bad, why))
+            bad = -1
+        found.append((at, end - at, headers, payload))
+        at = end
+    if bad >= 0:
+        found.append((bad, len(text) - bad, reason or why))
+    elif reason:
+        if len(found) == 1:  # a member of one record: its own check is the record's
+            return []
+        found.append((len(text), 0, reason))
+    return found
 
 
 def salvage(data: bytes, most: int = 1 << 30) -> Iterator[Record | Gap]:
     """All records of an archive that pass the checks, and the byte gaps between them, in file order.
 
-    ``most`` bounds what one gzip member may expand to.
+    ``most`` bounds what one gzip member may expand to; of a larger one the text up to there is read.
     """
     at, bad, reason = 0, -1, ""
     while at < len(data):
+        found, stopped = [], ""
         try:
-            found, end = _records_at(data, at, most)
+            if data[at : at + 3] == _MAGIC:
+                text, end, stopped = _member(data, at, most)
+                found = _inside(text, stopped)
+                if not any(len(x) == 4 for x in found) and (found or stopped):
+                    raise Broken(stopped or found[0][2])
+            else:
+                headers, payload, end = _parse(data, at)
+                found = [(0, end - at, headers, payload)]
         except Broken as e:
             if bad < 0:
                 bad, reason = at, str(e)
@@ -168,8 +225,14 @@ def salvage(data: bytes, most: int = 1 << 30) -> Iterator[Record | Gap]:
         if bad >= 0:
             yield Gap(bad, at - bad, reason)
             bad = -1
-        for headers, payload in found:
-            yield Record(at, end - at, headers, payload)
+        if stopped:  # where such a member ends is not known: the search goes on after its first bytes
+            m = _START.search(data, at + 1)
+            end = m.start() if m else len(data)
+        for x in found:
+            if len(x) == 4:
+                yield Record(at, end - at, x[2], x[3])
+            else:
+                yield Gap(at, end - at, x[2], x[0], x[1])
         at = end
     if bad >= 0:
         yield Gap(bad, len(data) - bad, reason)
@@ -212,12 +275,15 @@ _READ = T.StructType(
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload_digest", T.StringType()),
         T.StructField("payload", T.BinaryType()),
+        T.StructField("inner_offset", T.LongType()),
+        T.StructField("inner_length", T.LongType()),
     ]
 )
 
 
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
-    """One row per record that passes the checks, and one per quarantined gap (``gap_reason`` set, other fields null).
+    """One row per record that passes the checks, and one per quarantined gap (``gap_reason`` set, other fields null but, for a
+    gap inside a gzip member, ``inner_offset`` and ``inner_length`` in the member's text).
 
     payload_bytes and payload_digest are of the full payload: a response's are taken from its bytes, a revisit's from
     its headers.
@@ -229,7 +295,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
             file, data = b.column(0)[0].as_py(), b.column(1)[0].as_py()
             for x in salvage(data):
                 if isinstance(x, Gap):
-                    yield file, x.offset, x.length, x.reason, *[None] * 7
+                    yield file, x.offset, x.length, x.reason, *[None] * 7, x.inner_offset, x.inner_length
                     continue
                 h = x.headers
                 kind = h["warc-type"]
@@ -237,7 +303,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
                     size, digest = int(h.get("http-content-length", 0)), h.get("warc-payload-digest", "").partition(":")[2]
                 else:
                     size, digest = len(x.payload), hashlib.sha256(x.payload).hexdigest()
-                yield file, x.offset, x.length, None, kind, bare(h["warc-record-id"]), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), size, digest, x.payload if keep_payload else None
+                yield file, x.offset, x.length, None, kind, bare(h["warc-record-id"]), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), size, digest, x.payload if keep_payload else None, None, None
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return arrow_map(files, read, _READ, rows=256 if keep_payload else 4096)

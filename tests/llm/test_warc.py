@@ -53,6 +53,41 @@ def test_a_member_that_grows_too_large_is_a_gap():
     assert [type(x) for x in found] == [Gap, Record]
 
 
+@pytest.mark.parametrize("harm", ["record", "cut", "flip", "trailer"])
+def test_good_records_of_a_member_of_several_are_kept(harm):
+    import random
+
+    rng = random.Random(1)
+    parts = [_record(i, bytes(rng.choices(b"abcdefghij <>", k=9000))) for i in range(12)]
+    starts = [sum(map(len, parts[:i])) for i in range(12)]
+    if harm == "record":
+        member = compress(b"".join([*parts[:5], parts[5].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 7"), *parts[6:]]))
+    else:
+        member = compress(b"".join(parts))
+        member = {"cut": member[: len(member) // 2], "flip": member[: len(member) // 2] + b"\xff" * 9 + member[len(member) // 2 + 9 :], "trailer": member[:-3]}[harm]
+    data = compress(_record(98)) + member + compress(_record(99))
+    found = list(salvage(data))
+    ids, inside = _ids(found), [x for x in found if isinstance(x, Gap) and x.inner_offset is not None]
+    first = len(compress(_record(98)))
+    name = lambda numbers: [f"<urn:page:{i}>" for i in (98, *numbers, 99)]
+    if harm == "record":
+        assert ids == name([i for i in range(12) if i != 5])
+        assert [(x.offset, x.length, x.inner_offset) for x in found if isinstance(x, Gap)] == [(first, len(member), starts[5])] and inside[0].inner_length >= len(parts[5])
+    elif harm == "trailer":
+        assert ids == name(range(12)) and [(x.inner_offset, x.inner_length) for x in inside] == [(starts[-1] + len(parts[-1]), 0)]
+    else:
+        assert 4 <= len(ids) - 2 < 12 and ids == name(range(len(ids) - 2)) and inside[0].inner_offset == starts[len(ids) - 2]
+
+
+def test_records_without_digests_are_not_taken_from_a_damaged_member():
+    import re
+
+    parts = [re.sub(rb"WARC-[A-Z][a-z]+-Digest: [^\r]*\r\n", b"", _record(i)) for i in range(3)]
+    member = compress(b"".join(parts))
+    assert len(_ids(salvage(member))) == 3
+    assert [type(x) for x in salvage(member[:-8] + b"12345678")] == [Gap]
+
+
 def test_empty():
     assert list(salvage(b"")) == [] and [type(x) for x in salvage(b"x")] == [Gap]
 
