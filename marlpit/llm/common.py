@@ -29,6 +29,23 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def fitting(sizes: list[int], most: int, rows: int, large: int) -> list[int]:
+    """Positions of a sample of at most ``rows`` texts and ``most`` bytes, given the texts' sizes in the order of drawing.
+
+    A text that does not fit is passed over and a later one takes its place. Texts of over ``large`` bytes are drawn
+    after the others of the first ``rows``, so that a few of them do not use up the bytes. Never empty, unless ``sizes``
+    is: where nothing fits, the smallest text is taken.
+    """
+    taken, held = [], 0
+    for i in sorted(range(len(sizes)), key=lambda i: (i >= rows, sizes[i] > large)):
+        if len(taken) == rows:
+            break
+        if held + sizes[i] <= most:
+            held += sizes[i]
+            taken.append(i)
+    return taken or ([min(range(len(sizes)), key=sizes.__getitem__)] if sizes else [])
+
+
 def give_back() -> None:
     """Return a worker's freed memory to the system; workers live on, and the next task may need little."""
     gc.collect()

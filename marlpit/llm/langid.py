@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, map_batches, slices
+from .common import arrow_map, fitting, map_batches, slices
 
 UNKNOWN = "und"
 LONGEST = 24
@@ -228,6 +228,8 @@ class Identifier:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1200, sample_bytes: int = 12 << 20, most_languages: int = 256, hidden: int = 16, batches: int = 500) -> Network | None:
     """A network from a bounded sample of each of the ``most_languages`` commonest languages: texts whose hashes are low,
     about ``sample_docs`` of each, and in all at most ``sample_bytes``, taken from the languages in turn.
+
+    A text that does not fit is passed over; every language gets at least its smallest text.
     """
     own = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
@@ -242,12 +244,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     for r in sorted(hashed.where(low).distinct().collect(), key=lambda r: r["h"]):
         rank[r["lang"]] += 1
         turns.append((rank[r["lang"]], r["lang"], r["h"], r["n"]))
-    chosen, held = [], 0
-    for _, _, h, n in sorted(turns):
-        held += n
-        if held > sample_bytes and chosen:
-            break
-        chosen.append((h,))
+    turns.sort()
+    names = {lang for _, lang, _, _ in turns}
+    taken = fitting([n for *_, n in turns], sample_bytes, len(turns), sample_bytes // (8 * max(1, len(names))))
+    for lang in sorted(names - {turns[i][1] for i in taken}):  # none of its texts fits: its smallest
+        taken.append(min((i for i, t in enumerate(turns) if t[1] == lang), key=lambda i: turns[i][3]))
+    chosen = [(turns[i][2],) for i in taken]
     if not chosen:
         return None
     wanted = own.sparkSession.createDataFrame(sorted(set(chosen)), "h long")

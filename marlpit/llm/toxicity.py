@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, map_batches, slices, words
+from .common import arrow_map, fitting, map_batches, slices, words
 
 WIDTHS = (1, 2, 3)
 _MEMO = 200_000
@@ -323,7 +323,7 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", sample_docs: int = 6000, sample_bytes: int = 20 << 20, cut_off: float = 0.3) -> Classifier | None:
     """A classifier from a bounded sample: of each label the rows with the least hashes of their ids, whole texts within the bytes.
 
-    Each label gets up to half of the rows and bytes. Ids are chosen from ``labels`` alone, four times as many as rows
+    Each label gets up to half of the rows and bytes, and at least one row; texts that do not fit are passed over. Ids are chosen from ``labels`` alone, four times as many as rows
     are wanted, in case some have no document, and broadcast; so no text is shuffled but those of the sample. Of
     documents with one id the least text counts, and an id with both labels counts as toxic.
     """
@@ -334,13 +334,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         ids = [r["id"] for r in marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * sample_docs).select("id").collect()]
         wanted = F.broadcast(spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id long, k int"))
-        sizes = own.join(wanted, "id").groupBy("k", "id").agg(F.max(F.octet_length("text")).alias("n")).orderBy("k").limit(sample_docs // 2).collect()
-        held = 0
-        for r in sizes:
-            held += r["n"]
-            if held > sample_bytes // 2:
-                break
-            chosen[r["id"]] = y
+        sizes = own.join(wanted, "id").groupBy("k", "id").agg(F.max(F.octet_length("text")).alias("n")).orderBy("k").collect()
+        for i in fitting([r["n"] for r in sizes], sample_bytes // 2, sample_docs // 2, sample_bytes // 32):
+            chosen[sizes[i]["id"]] = y
     if len(set(chosen.values())) < 2:
         return None
     wanted = F.broadcast(spark.createDataFrame(sorted(chosen), "long").toDF("id"))

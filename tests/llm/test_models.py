@@ -106,3 +106,42 @@ def test_toxicity_edges(spark, classifier):
     assert toxicity.keep_clean(df, classifier).columns == df.columns
     no = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert toxicity.fit(no, spark.createDataFrame([(1, 1), (2, None)], "doc_id long, toxic int")) is None
+
+
+def test_one_huge_labelled_text_does_not_end_the_toxicity_sample(spark):
+    from pyspark.sql import functions as F
+
+    order = [r["id"] for r in spark.range(80).orderBy(F.xxhash64("id"), "id").collect()]
+    toxic = set(order[::2])
+    huge = order[0]  # drawn first of its label
+    text = lambda i: f"{'wretched vermin scum' if i in toxic else 'pleasant morning walk'} number{i} and some more words"
+    docs = spark.createDataFrame([(i, text(i) * (2000 if i == huge else 1), "en") for i in range(80)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(80)], "doc_id long, toxic int")
+    found = toxicity.fit(docs, labels, sample_bytes=40_000)
+    assert found is not None
+    small = docs.where(F.col("doc_id") != huge)
+    assert {r["doc_id"] for r in toxicity.scores(small, found).where("predicted = 1").collect()} == toxic - {huge}
+    assert {r["doc_id"] for r in toxicity.keep_clean(small, found).collect()} == set(range(80)) - toxic
+    alone = docs.where((F.col("doc_id") == huge) | ~F.col("doc_id").isin(*toxic))  # the label has no other row
+    assert toxicity.fit(alone, labels, sample_bytes=40_000) is not None
+
+
+def test_one_huge_text_does_not_end_the_language_sample(spark):
+    from pyspark.sql import functions as F
+
+    small = [(f"{w} {i} {w}wort", lang) for lang, w in (("aa", "lorem"), ("bb", "kannu"), ("cc", "zymth")) for i in range(6)]
+    variants = spark.createDataFrame([("ipsum " * 3000 + str(i), "aa") for i in range(200)], "text string, lang string")
+    first = variants.orderBy(F.xxhash64("text", "lang")).first()  # of rank 1 in its language
+    docs = spark.createDataFrame([*small, tuple(first)], "text string, lang string")
+    assert langid.fit(docs, sample_bytes=10_000, batches=2).languages == ["aa", "bb", "cc"]
+    only = docs.where((F.col("lang") != "aa") | (F.length("text") > 1000))  # the language has no other text
+    assert langid.fit(only, sample_bytes=10_000, batches=2).languages == ["aa", "bb", "cc"]
+
+
+def test_fitting_passes_over_what_does_not_fit():
+    from marlpit.llm.common import fitting
+
+    assert fitting([99, 3, 4, 50, 5], 60, 9, 10) == [1, 2, 4]
+    assert fitting([99, 3, 4, 48, 5], 60, 9, 10) == [1, 2, 4, 3]
+    assert fitting([99, 3, 4, 5], 60, 2, 10) == [1, 2]
+    assert fitting([99, 98], 60, 2, 10) == [1] and fitting([], 60, 2, 10) == []
