@@ -12,8 +12,10 @@ of the training blocks what the markup says is hidden, so that text density, lin
 has no telling elements.
 
 Text of scripts, styles, templates, forms' controls and the head is never a block. Reader comments, adverts, notices
-and forms are boilerplate wherever they stand: their elements' names, classes, ids and roles are features with a fixed
-cost (``_NEVER``).
+and forms are boilerplate wherever they stand, with a fixed cost (``_NEVER``), where a whole name of an element's class,
+id or role tells it; a name that only holds such a word is a feature with a finite cost. Neither counts for an element
+that holds half of the text in article and main elements and stands outside of them, nor for a form, or an element
+with such a word in its name, that holds most of the page's text; ``has-sidebar`` and the like tell nothing.
 
 Defined results: a null or empty html has an empty text, as has a page all of whose blocks are boilerplate; ids and
 URLs are carried, null too; repeated rows are extracted each for itself; of several minimum cuts the one with the
@@ -60,6 +62,10 @@ _TELLING = re.compile(
     r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|widget\w*|related|recommend\w*|share|sharing|social|comments?|disqus|respond|repl(?:y|ies)|footer\w*|masthead|copyright|search|pagination|pager|toolbar|skip|complementary|contentinfo|alert|form)(?=$|[\s_-])"
     r"|(?:^|\s)(?:(?:site|page|top|global)[_-]?)?header(?=$|\s)"
 )
+_TURNED = re.compile(r"(?i)(?:^|(?<=\s))(?:no|not|has|have|is|with|without|show|hide)[_-]\S+")
+_COMMENTS = re.compile(r"(?i)(?:comments?|disqus|respond|repl(?:y|ies))")
+# Words that leave a name telling as a whole.
+_NEUTRAL = frozenset("area bar block box button buttons container count form group holder icons inner item items left link links list message primary right row section secondary slot text thread top bottom title unit wrap wrapper".split())
 _MAIN_ROLE = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|entry|post|story|body)(?=$|[\s_-])")
 
 _TOKEN = re.compile(
@@ -77,7 +83,7 @@ class Block(NamedTuple):
     path: tuple[int, ...]  # numbers of the open elements, outermost first
     tags: tuple[str, ...]
     linked: int  # characters of the text inside links
-    telling: bool  # an open element's class, id or role tells boilerplate
+    tells: tuple[int, ...]  # of each open element whether its class, id or role tells boilerplate: _PART, _WHOLE, _READERS
     main: bool  # one tells content
     hidden: bool
 
@@ -85,11 +91,27 @@ class Block(NamedTuple):
 class _Open(NamedTuple):
     number: int
     tag: str
-    telling: bool
+    tells: int
     main: bool
     hidden: bool
 
 
+_PART, _WHOLE, _READERS = 1, 2, 3
+
+
+def _telling(said: str, tag: str) -> int:
+    """How surely names of class, id and role tell boilerplate: a word in one, all of one, or readers' comments."""
+    found = 0
+    for name in _TURNED.sub("", said).split():
+        if not _TELLING.search(name) or (tag == "header" and name.lower().endswith("header")):
+            continue
+        parts = [x for x in re.split(r"[_-]", name) if x]
+        telling = [bool(_TELLING.search(x)) for x in parts]
+        whole = all(t or x.lower() in _NEUTRAL for t, x in zip(telling, parts, strict=True)) or name.lower().endswith("header")
+        found = max(found, _PART if not whole else _READERS if any(_COMMENTS.fullmatch(x) for x in parts) else _WHOLE)
+    return found
+
+
 def blocks_of(html: str | None) -> list[Block]:
     """The page's non-empty blocks in order, white space collapsed and character references decoded."""
     out: list[Block] = []
@@ -104,7 +126,7 @@ def blocks_of(html: str | None) -> list[Block]:
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
             linked = len(_SPACE.sub(" ", unescape("".join(link_parts))).strip())
-            out.append(Block(text, tuple(e.number for e in stack), tuple(e.tag for e in stack), min(linked, len(text)), any(e.telling for e in stack), any(e.main for e in stack), any(e.hidden for e in stack)))
+            out.append(Block(text, tuple(e.number for e in stack), tuple(e.tag for e in stack), min(linked, len(text)), tuple(e.tells for e in stack), any(e.main for e in stack), any(e.hidden for e in stack)))
         parts.clear()
         link_parts.clear()
 
@@ -156,7 +178,7 @@ def blocks_of(html: str | None) -> list[Block]:
             said = " ".join(v for n, v in names if n in ("class", "id", "role")) if tag not in ("html", "body") else ""
             hidden = any(n == "hidden" or (n == "aria-hidden" and v == "true") for n, v in names)
             count += 1
-            stack.append(_Open(count, tag, bool(said and _TELLING.search(said)), bool(said and _MAIN_ROLE.search(said)), hidden))
+            stack.append(_Open(count, tag, _telling(said, tag) if said else 0, bool(said and _MAIN_ROLE.search(said)), hidden))
             depth_of_link = 0
         elif tag == "a":
             depth_of_link = 1
@@ -173,12 +195,12 @@ _MARKUP = slice(0, 5)
 def features(blocks: list[Block]) -> np.ndarray:
     """One row for each block; the columns of ``_MARKUP`` are what the page's elements say."""
     x = np.zeros((len(blocks), _FEATURES))
-    for row, b in zip(x, blocks, strict=True):
+    for row, b, (boilerplate, telling, _) in zip(x, blocks, _evidence(blocks), strict=True):
         n = len(b.text)
         inner = b.tags[::-1]
         row[0] = any(t in _CONTENT for t in b.tags)
-        row[1] = any(t in _BOILERPLATE for t in _outside_article_header(b.tags))
-        row[2] = b.telling
+        row[1] = boilerplate
+        row[2] = telling
         row[3] = b.main
         row[4] = b.hidden
         row[5] = min(np.log1p(n) / 6, 1.5)
@@ -191,16 +213,44 @@ def features(blocks: list[Block]) -> np.ndarray:
     return x
 
 
-def _outside_article_header(tags: tuple[str, ...]) -> Iterable[str]:
-    """The open elements, without a header directly within an article: it holds the article's own title."""
-    return (t for i, t in enumerate(tags) if not (t == "header" and i and tags[i - 1] == "article"))
+def _evidence(blocks: list[Block]) -> list[tuple[bool, bool, bool]]:
+    """Of each block whether it is in a boilerplate element, in one whose names tell so, and in one that is surely so."""
+    size: dict[int, int] = {}
+    within: dict[int, int] = {}  # of it in article or main elements
+    whole = inside = 0
+    for b in blocks:
+        n, marked = len(b.text), any(t in _CONTENT for t in b.tags)
+        whole += n
+        inside += n if marked else 0
+        for e in b.path:
+            size[e] = size.get(e, 0) + n
+            if marked:
+                within[e] = within.get(e, 0) + n
+    out = []
+    for b in blocks:
+        boilerplate = telling = sure = content = False
+        for e, tag, tells in zip(b.path, b.tags, b.tells, strict=True):
+            kind = tag in _BOILERPLATE and not (tag == "header" and content)  # such a header holds the article's own title
+            if (kind or tells) and (tells == _READERS or content or not inside or 2 * within.get(e, 0) < inside):
+                most = 2 * size[e] > whole
+                if kind and not (tag == "form" and most and tells != _READERS):
+                    boilerplate = sure = True
+                if tells >= _WHOLE and not (tag == "form" and most and tells != _READERS):
+                    telling = True
+                    sure = sure or tells == _READERS or bool(inside) or not most
+                elif tells == _PART and not most:
+                    telling = True
+            content = content or tag in _CONTENT
+        out.append((boilerplate, telling, sure))
+    return out
 
 
-def _marked(b: Block) -> float:
-    """What the markup says: 1 content, 0 boilerplate, 0.5 neither."""
-    if b.hidden or b.telling or any(t in _BOILERPLATE for t in _outside_article_header(b.tags)):
-        return 0.0
-    return 1.0 if any(t in _CONTENT for t in b.tags) else 0.5
+def _marked(blocks: list[Block]) -> list[float]:
+    """What the markup says of each: 1 content, 0 boilerplate, 0.5 neither."""
+    out = []
+    for b, (_, telling, sure) in zip(blocks, _evidence(blocks), strict=True):
+        out.append(0.0 if b.hidden or sure else 1.0 if any(t in _CONTENT for t in b.tags) and not telling else 0.5)
+    return out
 
 
 #: Before any training: the weights of the columns of ``features``, in order.
@@ -211,10 +261,10 @@ def train(pages: list[str | None], epochs: int = 300, rate: float = 0.5, strengt
     """Logistic regression by gradient descent, pulled towards ``DEFAULT`` as by ``strength`` blocks."""
     rows, labels = [np.zeros((0, _FEATURES))], []
     for html in pages:
-        found = [(b, _marked(b)) for b in blocks_of(html)]
-        found = [x for x in found if x[1] != 0.5]
-        rows.append(features([b for b, _ in found]))
-        labels += [y for _, y in found]
+        blocks = blocks_of(html)
+        marked = np.array(_marked(blocks))
+        rows.append(features(blocks)[marked != 0.5])
+        labels += marked[marked != 0.5].tolist()
     x, y = np.concatenate(rows), np.array(labels)
     if len(np.unique(y)) < 2:
         return DEFAULT.copy()
@@ -299,7 +349,7 @@ def label(blocks: list[Block], weights: np.ndarray, near: float = 1.0, sibling:
         return np.zeros(0, dtype=bool)
     logit = np.clip(features(blocks) @ weights, -12, 12)
     content, boilerplate = np.log1p(np.exp(-logit)), np.log1p(np.exp(logit))
-    content[[_marked(b) == 0.0 for b in blocks]] = _NEVER
+    content[[y == 0.0 for y in _marked(blocks)]] = _NEVER
     return minimum_cut(content, boilerplate, smoothness(blocks, near, sibling))
 
 

@@ -48,6 +48,42 @@ def test_odd_pages(html):
         assert main_text(html, DEFAULT) == ""
 
 
+PROSE = [f"This is sentence {i}, which goes on for a while, as prose does. And here is another one, just as long as the first." for i in range(4)]
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><article>{}</article><div class='sidebar'>{links}</div></div>",
+        "<div class='layout has-sidebar'><main>{}</main><div class='sidebar'>{links}</div></div>",
+        "<div class='no-sidebar'><div>{}</div><nav>{links}</nav></div>",
+        "<div class='content-sidebar-wrap'><div>{}</div><div id='sidebar'>{links}</div></div>",
+        "<article class='post category-social'>{}</article><footer>{links}</footer>",
+        "<article class='post social'>{}</article><footer>{links}</footer>",
+        "<form id='form1' class='form'><div class='nav'>{links}</div><article>{}</article></form>",
+        "<form><nav>{links}</nav><div>{}</div></form>",
+        "<div class='search'><nav>{links}</nav><main>{}</main></div>",
+    ],
+)
+def test_wrappers_do_not_lose_the_article(page):
+    links = "".join(f'<div><a href="/{i}">Link {i}</a></div>' for i in range(6))
+    assert main_text(f"<body>{page.replace('{links}', links).replace('{}', BODY)}</body>", DEFAULT) == "\n".join(PROSE)
+
+
+def test_title_in_the_header_of_main():
+    got = main_text(f"<body><header><p>Site name and its slogan.</p></header><main><header class='page-header'><h1>The title</h1></header>{BODY}</main></body>", DEFAULT)
+    assert got == "\n".join(["The title", *PROSE])
+
+
+@pytest.mark.parametrize("part", ["<div id='comments' class='comments-area'>{}</div>", "<div class='comment-list'>{}</div>", "<div id='disqus_thread'><article>{}</article></div>", "<div class='ad-slot'>{}</div>", "<aside>{}</aside>", "<form>{}</form>"])
+def test_boilerplate_inside_the_article_goes(part):
+    said = "I, a reader, think that this is a good article, and I say so. " * 4
+    assert main_text(f"<body><article class='post category-social'>{BODY}{part.format(f'<p>{said}</p>')}</article></body>", DEFAULT) == "\n".join(PROSE)
+    long = part.format(f"<p>{said * 9}</p>") if "comments" in part or "disqus" in part else ""
+    assert main_text(f"<body><div class='has-sidebar'><article>{BODY}</article>{long}</div></body>", DEFAULT) == "\n".join(PROSE)
+
+
 def test_blocks():
     got = blocks_of("a<div>b<i>c</i> d<script>no</script></div>e &amp;amp; f<!-- g --><![CDATA[h & i]]>")
     assert [b.text for b in got] == ["a", "bc d", "e &amp; fh & i"]
