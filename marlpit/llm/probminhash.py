@@ -3,13 +3,15 @@
 Every distinct shingle of a text is an element whose weight is 1 + ln(its count). Its arrivals are a Poisson process of
 that rate; each falls on a register drawn uniformly, and a register keeps the element that came first. An element is
 done when its next arrival is later than the last register's, which ends the process early. Two registers agree with
-the probability Jaccard similarity of the weighted sets, which for equal weights is the Jaccard similarity.
+the probability Jaccard similarity of the weighted sets, which for equal weights is the Jaccard similarity. A text that
+repeats a shingle has a second sketch with all weights 1 (for others it is the same), so that bands and registers see
+both similarities: lines repeated in one copy only lower the first, not the second.
 
 Texts are grouped by digest first, so exact copies cost one row each. Bands of registers are hashed to buckets. A
 bucket's centre is its text with the most neighbours over all its buckets, and each text is verified against the centre
 that it shares most buckets with: one pair a text, which joins nearly all of a group of near copies. In the buckets
 that still hold several components, sketches are compared, in blocks, and every pair of different components whose
-sketches agree in at least ``least`` less ``slack`` standard deviations of the registers is verified too. So no pair of
+sketches of either kind agree in at least ``least`` less ``slack`` standard deviations of the registers is verified too. So no pair of
 a bucket that could join two components goes unverified, but for what the sketches' slack leaves (1e-3 of pairs right
 at the threshold), and pairs within a component are not made. Verification is exact, on the texts' shingles.
 
@@ -87,18 +89,33 @@ class Sketcher:
     def __init__(self, bands: int, rows: int, width: int):
         self.bands, self.rows, self.shingler = bands, rows, Shingler(width)
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[list[int], bytes] | None]:
-        """Bucket numbers, one for each band, and 16 bits of each register; None for a text without shingles."""
+    def __call__(self, texts: list[str | None]) -> list[tuple[list[int | None], bytes] | None]:
+        """Bucket numbers, one for each band, and 16 bits of each register; None for a text without shingles.
+
+        Of a text that repeats shingles those of the sketch with equal weights follow; a bucket that is the same is None.
+        """
         shingles, offsets = self.shingler(texts)
         text, element, weight = weighted(shingles, offsets)
-        got = sketch(text, element, weight, len(texts), self.bands * self.rows)
+        prints, value = self._of(sketch(text, element, weight, len(texts), self.bands * self.rows))
+        lists = value.tolist()
+        out = [(x, prints[i].tobytes()) if offsets[i + 1] > offsets[i] else None for i, x in enumerate(lists)]
+        repeats = np.unique(text[weight > 1])
+        if len(repeats):
+            own = np.isin(text, repeats)
+            plain = sketch(np.searchsorted(repeats, text[own]), element[own], np.ones(int(own.sum())), len(repeats), self.bands * self.rows)
+            more, other = self._of(plain)
+            for k, i in enumerate(repeats.tolist()):
+                out[i] = (lists[i] + [y if x != y else None for x, y in zip(lists[i], other[k].tolist(), strict=True)], out[i][1] + more[k].tobytes())
+        return out
+
+    def _of(self, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prints and bucket numbers of sketches."""
         prints = (mix(got) >> np.uint64(48)).astype("<u2")
-        got = got.reshape(len(texts), self.bands, self.rows)
+        got = got.reshape(len(got), self.bands, self.rows)
         value = np.broadcast_to(np.arange(self.bands, dtype=np.uint64), got.shape[:2]).copy()
         for r in range(self.rows):
             value = mix(value * np.uint64(31) + got[:, :, r] + np.uint64(r + 1))
-        lists = value.view(np.int64).tolist()
-        return [(x, prints[i].tobytes()) if offsets[i + 1] > offsets[i] else None for i, x in enumerate(lists)]
+        return prints, value.view(np.int64)
 
 
 def text_key(text: Column) -> Column:
@@ -167,7 +184,8 @@ def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, sl
         """The rows that stand for their text."""
         return df.join(numbers, (df["key"] == F.col("of")) & df["id"].eqNullSafe(F.col("of_id"))).drop(df["key"])
 
-    rows_of = own(keyed, of).select("key", F.posexplode("buckets").alias("band", "bucket"))
+    exploded = own(keyed, of).select("key", F.posexplode("buckets").alias("place", "bucket")).where(F.col("bucket").isNotNull())
+    rows_of = exploded.select("key", F.pmod("place", F.lit(bands)).cast("int").alias("band"), "bucket")
     shared = rows_of.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("low") != F.col("high"))
     members = cut(rows_of.join(shared.select("bucket", "size"), "bucket").distinct(), "members")
     degree = members.groupBy("key").agg(F.sum("size").alias("degree"))
@@ -185,7 +203,7 @@ def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, sl
     prints = own(keyed, of).select("key", "prints").dropDuplicates(["key"])
     open_ = label.join(mixed, "bucket").join(prints, "key")
     likely = _likely(open_, least, bands * rows, slack, rows)
-    fresh = cut(likely.join(tested, ["a", "b"], "left_anti"), "pairs")
+    fresh = cut(likely.join(tested, ["a", "b"], "left_anti").distinct(), "pairs")  # two buckets of a band may hold a pair
     links = cut(links.union(_verified(fresh, carried, least, width)), "links")
     return keyed.select("id", "key"), numbered, components(links)
 
@@ -203,7 +221,10 @@ def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows:
         band = table.column("band")[0].as_py() if table.num_rows else 0
         keys, parts = table.column("key").to_numpy(), table.column("component").to_numpy()
         side = table.column("side").to_numpy()
-        prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), dtype="<u2").reshape(len(keys), registers)
+        held = table.column("prints").to_pylist()
+        both = np.array([len(x) > 2 * registers for x in held], dtype=bool)  # those with two sketches
+        prints = np.frombuffer(b"".join(x[: 2 * registers] for x in held), dtype="<u2").reshape(len(keys), registers)
+        plain = np.frombuffer(b"".join(x[-2 * registers :] for x in held), dtype="<u2").reshape(len(keys), registers) if both.any() else prints
         one, two = key[1].as_py(), key[2].as_py()
         left = np.flatnonzero(side == one)
         right = np.flatnonzero(side == two)
@@ -214,10 +235,19 @@ def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows:
         step = max(1, (16 << 20) // (max(1, len(right)) * registers))
         for at in range(0, len(left), step):
             rows_ = left[at : at + step]
-            agree = (prints[rows_][:, None, :] == prints[right][None, :, :]).sum(axis=2, dtype=np.uint16)
-            i, j = np.nonzero((agree >= enough) & (parts[rows_][:, None] != parts[right][None, :]))
+            likely = (prints[rows_][:, None, :] == prints[right][None, :, :]).sum(axis=2, dtype=np.uint16) >= enough
+            # a pair of texts without repeats has been compared; the others are compared by equal weights too
+            for x, y in ((both[rows_], np.ones(len(right), dtype=bool)), (~both[rows_], both[right])):
+                if x.any() and y.any():
+                    at_x, at_y = np.flatnonzero(x), np.flatnonzero(y)
+                    likely[np.ix_(at_x, at_y)] |= (plain[rows_[at_x]][:, None, :] == plain[right[at_y]][None, :, :]).sum(axis=2, dtype=np.uint16) >= enough
+            i, j = np.nonzero(likely & (parts[rows_][:, None] != parts[right][None, :]))
             i, j = rows_[i], right[j]
-            same = (prints[i] == prints[j]).reshape(len(i), registers // rows, rows).all(axis=2)
+            shape = (len(i), registers // rows, rows)
+            same = (prints[i] == prints[j]).reshape(shape).all(axis=2)
+            if (both[i] | both[j]).any():  # they may meet in a bucket of either sketch of both
+                for x, y in ((plain, plain), (prints, plain), (plain, prints)):
+                    same |= (x[i] == y[j]).reshape(shape).all(axis=2)
             first = same.argmax(axis=1) == band
             found += [(min(x, y), max(x, y)) for x, y in zip(keys[i[first]].tolist(), keys[j[first]].tolist(), strict=True)]
         found = sorted(set(found))

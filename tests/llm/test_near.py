@@ -107,6 +107,38 @@ def test_blocks_of_a_large_bucket_lose_no_pair(spark):
     assert pairs(8192) == pairs(16) == pairs(7) == want
 
 
+def _repeated(name, distinct, repeated, times):
+    """A text of ``distinct`` shingles, and one in which a line of it comes ``times`` times more."""
+    text = [f"{name}x{i}" for i in range(distinct + 4)]
+    return " ".join(text), " ".join(text + text[40 : 40 + repeated] * times)
+
+
+def test_lines_repeated_in_one_copy_only(spark):
+    docs, weighted = [], []
+    for k in range(16):
+        one, other = _repeated(f"a{k}", 100, 20, 1000)
+        docs += [(2 * k, one), (2 * k + 1, other)]
+        text, element, weight = probminhash.weighted(*Shingler()([one, other]))
+        plain, jp = probminhash.similarities(*[(element[text == i], weight[text == i]) for i in (0, 1)])
+        assert plain > 0.9
+        weighted.append(jp)
+    assert max(weighted) < 0.6
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in probminhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs) == {i: (i - i % 2, 2) for i in range(32)}
+
+
+def test_pairs_near_by_equal_weights_pass_the_prefilter(spark):
+    found = 0
+    for k in range(12):
+        rows = []
+        for key, (buckets, prints) in enumerate(probminhash.Sketcher(40, 6, 5)(list(_repeated(f"b{k}", 200, 30, 50)))):
+            rows += [(b, place % 40, key, key, 2, prints) for place, b in enumerate(buckets) if b is not None]
+        shared = {r[0] for r in rows if r[2] == 0} & {r[0] for r in rows if r[2] == 1}
+        df = spark.createDataFrame([r for r in rows if r[0] in shared], "bucket long, band int, key long, component long, size long, prints binary")
+        found += {tuple(r) for r in probminhash._likely(df, 0.8, 240, 3.0, 6).collect()} == {(0, 1)}
+    assert found == 12
+
+
 def test_near_edges(spark):
     docs = [(1, None), (2, None), (3, ""), (4, ""), (5, "..."), (6, "one"), (7, "One!"), (None, "one"), (8, "w " * 60_000), (8, "w " * 60_000), (9, "w " * 59_999)]
     df = spark.createDataFrame([(a, b, 0, 0) for a, b in docs], "doc_id long, text string, key int, bucket int")
