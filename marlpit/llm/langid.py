@@ -1,26 +1,29 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text's lower-cased runs of letters are read as UTF-8 bytes between two space bytes, one GRU from each side; both
-states at a byte together give that byte's probability of every language. A document's probability of a language is
-the mean over its letters' bytes. Runs longer than ``LONGEST`` bytes are read in parts. As a run's labels depend on
-the run alone, each distinct run is computed once and remembered.
+A text is read whole, lower-cased, as UTF-8 bytes, one GRU from each side; both states at a byte together give that
+byte's probability of every language, so every position is labelled, white space and digits too, and a word's labels
+depend on the words beside it. A document's probability of a language is the mean over all its bytes.
 
-The network is trained in numpy by backpropagation through time on the distinct words of a bounded sample of labelled
-documents (``sample_docs`` of each language, ``sample_bytes`` in all); the label of a word is the share of each
-language in its occurrences. The trained weights, some 30 kB, are sent to the executors.
+A text stands between ``CONTEXT`` spaces and is read in pieces of ``PIECE`` bytes side by side; each direction starts
+``CONTEXT`` bytes before its piece with a zero state. Labels so depend on the text alone, and differ from those of one
+pass over the whole text by what a state keeps beyond ``CONTEXT`` bytes.
+
+The network is trained in numpy by backpropagation through time on windows of a bounded sample of labelled documents
+(about ``sample_docs`` of them in all, spread evenly over the languages, and ``sample_chars`` characters of each). One
+more output, learned from windows whose letters are shuffled or random, stands for no language at all: it is never
+predicted, but lowers the score of what reads like none. The weights, some 50 kB, are sent to the executors.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a null id is carried; repeated rows are
 labelled each for itself; of equally probable languages the alphabetically first is taken; other columns are dropped by
-``identify`` and kept by ``keep_identified``; an empty table gives an empty result, and with no labelled row at all
-every text is ``und``.
+``identify`` and kept by ``keep_identified``; an empty table gives an empty result. With no labelled row there is no
+network: ``identify`` says ``und`` of every text, ``keep_identified`` keeps every text with a letter.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, fitting, map_batches, slices
+from .common import arrow_map, map_batches, slices
 
 UNKNOWN = "und"
-LONGEST = 24
-_RUN = re.compile(r"[^\W\d_]+")
-_MEMO = 200_000
+PIECE, CONTEXT = 384, 64
+_LATIN = re.compile(r"[a-zA-Z]")
+_GATES = "zrn"
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_LATIN.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -45,22 +52,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _parts(word: str) -> list[bytes]:
-    data = word.encode("utf-8", "surrogatepass")
-    return [data[i : i + LONGEST] for i in range(0, len(data), LONGEST)]
-
-
-def _padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of each part between spaces, filled up with spaces, and the parts' lengths."""
-    lengths = np.array([len(p) for p in parts])
-    width = int(lengths.max()) + 2
-    return np.frombuffer(b"".join((b" " + p).ljust(width) for p in parts), dtype=np.uint8).reshape(len(parts), width), lengths
-
-
 class Network:
-    """Parameters: for either direction input table i (256, 3h), recurrent u (h, 3h), bias b; output w (2h, languages), c."""
+    """Parameters: for either direction input table i (256, 3h), recurrent u (h, 3h), bias b; output w (2h, outputs), c.
 
-    def __init__(self, languages: list[str], hidden: int = 16, seed: int = 5):
+    The outputs are the languages and, last, none of them.
+    """
+
+    def __init__(self, languages: list[str], hidden: int = 12, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.languages, self.hidden = languages, hidden
         self.p: dict[str, np.ndarray] = {}
@@ -68,14 +66,14 @@ class Network:
             self.p["i" + d] = rng.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32)
             self.p["u" + d] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(np.float32)
             self.p["b" + d] = np.zeros(3 * hidden, dtype=np.float32)
-        self.p["w"] = rng.normal(0, 0.3, (2 * hidden, len(languages))).astype(np.float32)
-        self.p["c"] = np.zeros(len(languages), dtype=np.float32)
+        self.p["w"] = rng.normal(0, 0.3, (2 * hidden, len(languages) + 1)).astype(np.float32)
+        self.p["c"] = np.zeros(len(languages) + 1, dtype=np.float32)
 
-    def _states(self, x: np.ndarray, d: str, keep: bool):
+    def states(self, x: np.ndarray, d: str, keep: bool = False):
         """States (steps, rows, h) of one direction over bytes (steps, rows); what backpropagation needs, if kept."""
         h, u = self.hidden, self.p["u" + d]
         table = self.p["i" + d] + self.p["b" + d]
-        state = np.zeros((x.shape[1], h), dtype=np.float32)
+        state = np.zeros((x.shape[1], h), dtype=table.dtype)
         states, kept = [], []
         for step in x:
             g = table[step]
@@ -89,89 +87,74 @@ class Network:
             states.append(state)
         return np.stack(states), kept
 
-    def probabilities(self, parts: list[bytes]) -> list[np.ndarray]:
-        """For each part, the probability of each language at each of its bytes."""
-        out: list[np.ndarray] = [None] * len(parts)  # type: ignore[list-item]
-        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        for a in range(0, len(order), 2048):
-            rows = order[a : a + 2048]
-            x, lengths = _padded([parts[i] for i in rows])
-            both = np.concatenate([self._states(x.T, "f", False)[0], self._states(x.T[::-1], "b", False)[0][::-1]], axis=2)
-            p = _softmax(both @ self.p["w"] + self.p["c"])
-            for k, i in enumerate(rows):
-                out[i] = p[1 : lengths[k] + 1, k]
-        return out
+    def whole(self, data: bytes) -> np.ndarray:
+        """The outputs' probabilities at every byte, from one pass over the whole text in either direction."""
+        x = np.frombuffer(b" " * CONTEXT + data + b" " * CONTEXT, dtype=np.uint8)[:, None]
+        end = CONTEXT + len(data)
+        both = np.concatenate([self.states(x, "f")[0], self.states(x[::-1], "b")[0][::-1]], axis=2)
+        return _softmax(both[CONTEXT:end, 0] @ self.p["w"] + self.p["c"])
 
-    def sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of each word's probabilities over its bytes, and its number of bytes."""
-        total = np.zeros((len(words), len(self.languages)))
-        size = np.zeros(len(words))
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for p in _parts(w):
-                parts.append(p)
-                owner.append(i)
-        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        owners = np.array(owner, dtype=np.int64)
-        for a in range(0, len(order), 2048):
-            rows = order[a : a + 2048]
-            x, lengths = _padded([parts[i] for i in rows])
-            both = np.concatenate([self._states(x.T, "f", False)[0], self._states(x.T[::-1], "b", False)[0][::-1]], axis=2)
-            p = _softmax(both @ self.p["w"] + self.p["c"])
-            at = np.arange(len(x[0]))[:, None]
-            p *= ((at >= 1) & (at <= lengths))[:, :, None]
-            np.add.at(total, owners[rows], p.sum(axis=0))
-            np.add.at(size, owners[rows], lengths)
-        return total, size
-
-    def gradients(self, x: np.ndarray, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted mean cross entropy over bytes; x (rows, steps), target (rows, languages)."""
+    def gradients(self, x: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy over all positions; x (rows, steps), target (rows, outputs)."""
         h, x = self.hidden, x.T
-        forward, kept_f = self._states(x, "f", True)
-        backward, kept_b = self._states(x[::-1], "b", True)
+        forward, kept_f = self.states(x, "f", True)
+        backward, kept_b = self.states(x[::-1], "b", True)
         both = np.concatenate([forward, backward[::-1]], axis=2)
         p = _softmax(both @ self.p["w"] + self.p["c"])
-        at = np.arange(len(x))[:, None]
-        mask = ((at >= 1) & (at <= lengths)) * weight
-        delta = ((p - target) * (mask / mask.sum())[:, :, None]).astype(np.float32)
+        delta = ((p - target) / x.size).astype(p.dtype)
         grads = {"w": np.tensordot(both, delta, ([0, 1], [0, 1])), "c": delta.sum(axis=(0, 1))}
         back = delta @ self.p["w"].T
         for d, steps, kept, into in (("f", x, kept_f, back[:, :, :h]), ("b", x[::-1], kept_b, back[::-1][:, :, h:])):
             u = self.p["u" + d]
             g_u = np.zeros_like(u)
-            g_i = np.zeros_like(self.p["i" + d])
-            g_b = np.zeros_like(self.p["b" + d])
-            carry = np.zeros((x.shape[1], h), dtype=np.float32)
+            carry = np.zeros((x.shape[1], h), dtype=u.dtype)
+            pres = np.empty((len(steps), x.shape[1], 3 * h), dtype=u.dtype)
             for t in range(len(steps) - 1, -1, -1):
                 state, z, r, n, rec = kept[t]
                 ds = carry + into[t]
                 dn = ds * (1 - z) * (1 - n * n)
                 dz = ds * (state - n) * z * (1 - z)
                 dr = dn * rec * r * (1 - r)
-                pre = np.concatenate([dz, dr, dn], axis=1)
+                pres[t] = np.concatenate([dz, dr, dn], axis=1)
                 through = np.concatenate([dz, dr, dn * r], axis=1)
                 g_u += state.T @ through
-                np.add.at(g_i, steps[t], pre)
-                g_b += pre.sum(axis=0)
                 carry = ds * z + through @ u.T
-            grads |= {"u" + d: g_u, "i" + d: g_i, "b" + d: g_b}
+            flat = pres.reshape(-1, 3 * h)
+            order = np.argsort(steps, axis=None, kind="stable")
+            values, starts = np.unique(steps.reshape(-1)[order], return_index=True)
+            g_i = np.zeros_like(self.p["i" + d])
+            g_i[values] = np.add.reduceat(flat[order], starts, axis=0)
+            grads |= {"u" + d: g_u, "i" + d: g_i, "b" + d: flat.sum(axis=0)}
         return grads
 
-    def train(self, words: list[str], target: np.ndarray, weight: np.ndarray, batches: int = 500, rows: int = 512, rate: float = 0.01, seed: int = 3) -> None:
-        """Adam on batches of words of like length, drawn in proportion to their weights."""
-        parts = [(p, i) for i, w in enumerate(words) for p in _parts(w)]
-        parts.sort(key=lambda x: len(x[0]))
-        share = np.array([weight[i] for _, i in parts], dtype=np.float64)
-        mass = np.cumsum(share / share.sum())
+    def train(self, texts: list[tuple[bytes, int]], batches: int = 400, rows: int = 128, width: int = 96, rate: float = 0.012, noise: float = 0.12, seed: int = 3) -> None:
+        """Adam on windows of ``width`` bytes at random places of texts (bytes, language) of languages drawn evenly.
+
+        In a share ``noise`` of the windows letters are shuffled or random; they belong to no language.
+        """
         rng = np.random.default_rng(seed)
+        of: dict[int, list[bytes]] = defaultdict(list)
+        for data, k in texts:
+            of[k].append(data)
+        kinds = sorted(of)
+        ends = {k: np.cumsum([len(x) for x in of[k]]) for k in kinds}
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        target = np.eye(len(self.languages) + 1, dtype=np.float32)
         for step in range(1, batches + 1):
-            span = 0.15  # a batch is drawn from this share of the words, by length
-            low = rng.random() * (1 - span)
-            chosen = np.unique(np.minimum(np.searchsorted(mass, low + span * rng.random(rows)), len(parts) - 1))
-            x, lengths = _padded([parts[k][0] for k in chosen])
-            grads = self.gradients(x, lengths, target[[parts[k][1] for k in chosen]], np.ones(len(chosen)))
+            x = np.full((rows, width), 32, dtype=np.uint8)
+            label = rng.choice(kinds, rows)
+            for i, k in enumerate(label.tolist()):
+                at = int(rng.integers(ends[k][-1]))
+                t = int(np.searchsorted(ends[k], at, "right"))
+                at -= int(ends[k][t]) - len(of[k][t]) + int(rng.integers(width // 2))  # some begin before the text
+                own = np.frombuffer(of[k][t][max(0, at) : max(0, at + width)], dtype=np.uint8)
+                x[i, max(0, -at) : max(0, -at) + len(own)] = own
+            for i in np.flatnonzero(rng.random(rows) < noise).tolist():
+                label[i] = len(self.languages)
+                letters = x[i] > 63  # digits, marks and white space stay
+                x[i, letters] = rng.permutation(x[i, letters]) if rng.random() < 0.5 else rng.integers(97, 123, int(letters.sum()))
+            grads = self.gradients(x, target[label])
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
@@ -180,103 +163,163 @@ class Network:
 
 
 class Identifier:
-    """Labels texts with a trained network, remembering words."""
+    """Labels every byte of texts with a trained network."""
 
-    def __init__(self, network: Network | None):
+    def __init__(self, network: Network | None, rows: int = 2048):
         self.network = network
-        self.number: dict[str, int] = {}
-        self.sums = np.zeros((0, 0 if network is None else len(network.languages)))
-        self.sizes = np.zeros(0)
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if self.network is None:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        runs = [_RUN.findall(t.lower()) if t else [] for t in texts]
-        if len(self.number) > _MEMO:
-            self.number, self.sums, self.sizes = {}, self.sums[:0], self.sizes[:0]
-        new = list(set(filterfalse(self.number.__contains__, chain.from_iterable(runs))))
-        if new:
-            sums, sizes = self.network.sums(new)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.sums, self.sizes = np.concatenate([self.sums, sums]), np.concatenate([self.sizes, sizes])
-        lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
-        there = np.flatnonzero(lengths)
-        out = [(UNKNOWN, 0.0)] * len(texts)
-        if len(there):
-            at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(runs)), dtype=np.int64, count=int(lengths.sum()))
-            starts = (np.cumsum(lengths) - lengths)[there]
-            pooled = np.add.reduceat(self.sums[at], starts, axis=0) / np.add.reduceat(self.sizes[at], starts)[:, None]
-            best = pooled.argmax(axis=1)
-            for i, b, p in zip(there.tolist(), best.tolist(), pooled, strict=True):
-                out[i] = (self.network.languages[b], float(min(1.0, p[b])))
+        if network is None:
+            return
+        h, self.outputs = network.hidden, len(network.languages) + 1
+        # what a batch holds of outputs is bounded also with very many languages
+        self.rows = max(16, min(rows, (1 << 25) // ((PIECE + 2 * CONTEXT) * self.outputs)))
+        self.tables, self.recurrent, self.out = {}, {}, {}
+        for n, d in enumerate("fb"):
+            table = network.p["i" + d] + network.p["b" + d]
+            for k, gate in enumerate(_GATES):
+                half = 1.0 if gate == "n" else 0.5  # a logistic gate is (1 + tanh(x / 2)) / 2
+                self.tables[d + gate] = np.ascontiguousarray(table[:, k * h : (k + 1) * h] * np.float32(half))
+                self.recurrent[d + gate] = np.ascontiguousarray(network.p["u" + d][:, k * h : (k + 1) * h] * np.float32(half))
+            self.out[d] = np.ascontiguousarray(network.p["w"][n * h : (n + 1) * h])
+
+    def _sweep(self, x: np.ndarray, d: str, starts: np.ndarray, logits: np.ndarray, step_of: int) -> None:
+        """Add one direction's share of the logits: x (steps, rows), row i begins at step starts[i] (ascending)."""
+        rows, h = x.shape[1], self.network.hidden
+        z, r, n, rec, state = (np.zeros((rows, h), dtype=np.float32) for _ in range(5))
+        part = np.empty((rows, self.outputs), dtype=np.float32)
+        (tz, tr, tn), (uz, ur, un) = ([of[d + g] for g in _GATES] for of in (self.tables, self.recurrent))
+        begun = int(np.searchsorted(starts, 0, "right"))
+        for s in range(len(x)):
+            if begun < rows and starts[begun] == s:
+                upto = int(np.searchsorted(starts, s, "right"))
+                state[begun:upto] = 0
+                begun = upto
+            step = x[s]
+            for gate, table, u in ((z, tz, uz), (r, tr, ur)):
+                np.take(table, step, axis=0, out=gate, mode="clip")
+                np.matmul(state, u, out=rec)
+                np.add(gate, rec, out=gate)
+                np.tanh(gate, out=gate)
+                np.multiply(gate, 0.5, out=gate)
+                np.add(gate, 0.5, out=gate)
+            np.matmul(state, un, out=rec)
+            np.multiply(rec, r, out=rec)
+            np.take(tn, step, axis=0, out=n, mode="clip")
+            np.add(n, rec, out=n)
+            np.tanh(n, out=n)
+            np.subtract(state, n, out=state)
+            np.multiply(state, z, out=state)
+            np.add(state, n, out=state)
+            if s >= CONTEXT:
+                np.matmul(state, self.out[d], out=part)
+                logits[(s - CONTEXT) if step_of > 0 else len(x) - 1 - s] += part
+
+    def _batch(self, stream: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Logits (steps, rows, outputs) of pieces of descending lengths that begin at these places of the stream."""
+        width = int(lengths[0])
+        logits = np.empty((width, len(at), self.outputs), dtype=np.float32)
+        logits[:] = self.network.p["c"]
+        steps = np.arange(width + CONTEXT)[:, None]
+        none = np.zeros(len(at), dtype=np.int64)
+        last = len(stream) - 1
+        self._sweep(stream[np.minimum(at - CONTEXT + steps, last)], "f", none, logits, 1)
+        back = at + width + CONTEXT - 1 - steps  # shorter pieces begin later
+        self._sweep(stream[np.minimum(back, last)], "b", width - lengths, logits, -1)
+        return logits
+
+    def _pieces(self, data: list[bytes]):
+        """(text, start, logits) of runs of pieces of all texts; a piece's logits beyond its length mean nothing."""
+        gap = b" " * CONTEXT
+        stream = np.frombuffer(gap + gap.join(data) + gap, dtype=np.uint8).astype(np.intp)
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        begins = CONTEXT + np.cumsum(sizes + CONTEXT) - (sizes + CONTEXT)
+        counts = -(-sizes // PIECE)
+        text = np.repeat(np.arange(len(data)), counts)
+        start = PIECE * (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
+        length = np.minimum(PIECE, sizes[text] - start)
+        order = np.argsort(-length, kind="stable")
+        for a in range(0, len(order), self.rows):
+            own = order[a : a + self.rows]
+            yield text[own], start[own], length[own], self._batch(stream, begins[text[own]] + start[own], length[own])
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """Language, mean probability of it, and the number of positions whose own label it is."""
+        out: list[tuple[str, float, int]] = [(UNKNOWN, 0.0, 0)] * len(texts)
+        there = [i for i, t in enumerate(texts) if has_letter(t)]
+        if self.network is None or not there:
+            return out
+        data = [texts[i].lower().encode("utf-8", "surrogatepass") for i in there]
+        total = np.zeros((len(there), self.outputs))
+        hits = np.zeros((len(there), self.outputs), dtype=np.int64)
+        for text, _, length, logits in self._pieces(data):
+            best = logits[:, :, 0].copy()
+            for k in range(1, self.outputs):
+                np.maximum(best, logits[:, :, k], out=best)
+            valid = np.arange(len(logits))[:, None] < length
+            p = np.subtract(logits, best[:, :, None], out=logits)
+            top = p == 0
+            np.exp(p, out=p)
+            scale = valid / np.matmul(p, np.ones(self.outputs, dtype=np.float32))
+            np.add.at(total, text, np.einsum("trk,tr->rk", p, scale))
+            np.add.at(hits, text, np.einsum("trk,tr->rk", top, valid, dtype=np.int64, casting="unsafe"))
+        mean = total / np.array([len(x) for x in data])[:, None]
+        named = mean[:, :-1].argmax(axis=1)
+        for i, k, m, n in zip(there, named.tolist(), mean, hits, strict=True):
+            out[i] = (self.network.languages[k], float(min(1.0, m[k])), int(n[k]))
         return out
 
     def positions(self, text: str) -> list[str]:
-        """The language of every byte of the lower-cased text; ``und`` where there is no letter."""
-        lower = text.lower()
-        out: list[str] = []
-        end = 0
-        blank = lambda s: [UNKNOWN] * len(s.encode("utf-8", "surrogatepass"))
-        for m in _RUN.finditer(lower):
-            out += blank(lower[end : m.start()])
-            for p in self.network.probabilities(_parts(m[0])) if self.network else []:
-                out += [self.network.languages[k] for k in p.argmax(axis=1)]
-            end = m.end()
-        return out + blank(lower[end:])
-
-
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1200, sample_bytes: int = 12 << 20, most_languages: int = 256, hidden: int = 16, batches: int = 500) -> Network | None:
-    """A network from a bounded sample of each of the ``most_languages`` commonest languages: texts whose hashes are low,
-    about ``sample_docs`` of each, and in all at most ``sample_bytes``, taken from the languages in turn.
-
-    A text that does not fit is passed over; every language gets at least its smallest text.
+        """The label of every byte of the lower-cased text; ``und`` where it reads like no language."""
+        data = text.lower().encode("utf-8", "surrogatepass")
+        names = np.array([*(self.network.languages if self.network else []), UNKNOWN], dtype=object)
+        label = np.full(len(data), len(names) - 1)
+        if self.network is not None and data:
+            for _, start, length, logits in self._pieces([data]):
+                for s, n, own in zip(start.tolist(), length.tolist(), logits.argmax(axis=2).T, strict=True):
+                    label[s : s + n] = own[:n]
+        return names[label].tolist()
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4_000, sample_chars: int = 2_500, most_languages: int = 10_000, hidden: int = 12, batches: int = 400) -> Network | None:
+    """A network from a bounded sample: distinct texts whose hashes are low, about ``sample_docs`` in all and as many of each
+    language, but at least its text of least hash. Of a longer text ``sample_chars`` characters are taken, from a place
+    that its hash tells.
+
+    More than ``most_languages`` different labels are an error.
     """
     own = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not sizes:
-        return None
-    # about sample_docs rows of each language, by a threshold on their hashes: no language's rows meet in one task
-    hashed = own.select("lang", F.xxhash64("text", "lang").alias("h"), F.octet_length("text").alias("n"))
-    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
-    low = F.pmod("h", F.lit(1 << 30)) < F.try_element_at(limit, F.col("lang")) * float(1 << 30)
-    rank: Counter = Counter()
-    turns = []
-    for r in sorted(hashed.where(low).distinct().collect(), key=lambda r: r["h"]):
-        rank[r["lang"]] += 1
-        turns.append((rank[r["lang"]], r["lang"], r["h"], r["n"]))
-    turns.sort()
-    names = {lang for _, lang, _, _ in turns}
-    taken = fitting([n for *_, n in turns], sample_bytes, len(turns), sample_bytes // (8 * max(1, len(names))))
-    for lang in sorted(names - {turns[i][1] for i in taken}):  # none of its texts fits: its smallest
-        taken.append(min((i for i, t in enumerate(turns) if t[1] == lang), key=lambda i: turns[i][3]))
-    chosen = [(turns[i][2],) for i in taken]
-    if not chosen:
+    hashed = own.withColumn("h", F.xxhash64("text", "lang"))
+    known = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).limit(most_languages + 1).collect()
+    if len(known) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not known:
         return None
-    wanted = own.sparkSession.createDataFrame(sorted(set(chosen)), "h long")
-    rows = own.withColumn("h", F.xxhash64("text", "lang")).join(F.broadcast(wanted), "h", "left_semi").dropDuplicates(["h"]).select("text", "lang").collect()
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for text, lang in sorted(rows):
-        counts[lang].update(_RUN.findall(text.lower()))
-    languages = sorted(counts)
-    words = sorted(set().union(*counts.values()))
-    if not words:
+    each = max(1, sample_docs // len(known))
+    limits = own.sparkSession.createDataFrame([(r["lang"], min(1.0, each / max(1, r["n"])), r["least"]) for r in known], "lang string, share double, least long")
+    low = F.pmod("h", F.lit(1 << 30)) < F.col("share") * float(1 << 30)
+    chosen = hashed.join(F.broadcast(limits), "lang").where(low | (F.col("h") == F.col("least")))
+    spare = F.greatest(F.length("text") - sample_chars, F.lit(0))
+    part = F.substr("text", 1 + F.pmod(F.shiftrightunsigned("h", 8), spare + 1).cast("int"), F.lit(sample_chars))
+    # one row for each hash: copies of a text meet only as parts of it, and combine before they are sent
+    rows = chosen.select("lang", "h", part.alias("part")).groupBy("lang", "h").agg(F.min("part").alias("part")).collect()
+    languages = sorted({r["lang"] for r in rows})
+    number = {x: i for i, x in enumerate(languages)}
+    texts = [(r["part"].lower().encode("utf-8", "surrogatepass"), number[r["lang"]]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"])) if has_letter(r["part"])]
+    if not texts:
         return None
-    table = np.array([[counts[lang][w] for lang in languages] for w in words], dtype=np.float64)
-    share = table / np.maximum(1, table.sum(axis=0))
     network = Network(languages, hidden)
-    network.train(words, share / share.sum(axis=1, keepdims=True), share.sum(axis=1) ** 0.5, batches)
+    network.train(texts, batches)
     return network
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score of every row."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    """doc_id, lang_pred, score, and the number of byte positions that lang_pred labels, of every row."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("positions", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         label = Identifier(network)
-        for b in slices(batches, 256):
-            for i, (lang, score) in zip(b.column(0).to_pylist(), label(b.column(1).to_pylist()), strict=True):
-                yield i, lang, score
+        for b in slices(batches):
+            for i, (lang, score, positions) in zip(b.column(0).to_pylist(), label(b.column(1).to_pylist()), strict=True):
+                yield i, lang, score, positions
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
@@ -287,8 +330,10 @@ def keep_identified(docs: DataFrame, network: Network | None, text_col: str = "t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Identifier(network)
-        for b in slices(batches, 256):
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in label(b.column(at).to_pylist())], pa.bool_()))
+        for b in slices(batches):
+            texts = b.column(at).to_pylist()
+            kept = [has_letter(t) for t in texts] if network is None else [lang != UNKNOWN and score >= least for lang, score, _ in label(texts)]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
 

@@ -25,7 +25,7 @@ def op2_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs.where(fold("doc_id", 5) != 0)))
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "positions")
 
 
 def op3_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
