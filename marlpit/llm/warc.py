@@ -19,6 +19,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,13 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .common import arrow_map, slices
 
 _MAGIC = b"\x1f\x8b\x08"
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_VERSION_BYTES = 10
 _FEED = 16_384
+_EXPANDED = 1 << 20
 _ONCE = frozenset(["warc-type", "warc-record-id", "content-length", "content-type", "warc-date", "warc-block-digest", "warc-payload-digest"])
 _ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,12 +97,23 @@ def _has_digest(headers: dict[str, str]) -> bool:
     return any(x and x.partition(":")[0].strip().lower() in hashlib.algorithms_available for x in said)
 
 
-def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, payload and end of the record that starts at ``at``; raises Broken when a check fails."""
+class _More(Exception):
+    """The text held ends before the record does."""
+
+
+def _parse(data: bytes, at: int, whole: bool = True, most: int = 1 << 62) -> tuple[dict[str, str], bytes, int]:
+    """Headers, payload and end of the record that starts at ``at``; raises Broken when a check fails.
+
+    Where ``data`` is not the whole, a record that reaches beyond it raises _More; one of over ``most`` bytes is broken.
+    """
     if not (m := _VERSION.match(data, at)):
+        if not whole and len(data) - at < _VERSION_BYTES:
+            raise _More
         raise Broken("no version line")
     end = data.find(b"\r\n\r\n", m.end() - 2)
     if end < 0:
+        if not whole and len(data) - at < most:
+            raise _More
         raise Broken("headers do not end")
     headers: dict[str, str] = {}
     for line in data[m.end() : end].decode("utf-8", "replace").split("\r\n"):
@@ -114,6 +129,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if not re.fullmatch(r"[0-9]{1,15}", size := headers.get("content-length", "")):
         raise Broken("bad content length")
     start, stop = end + 4, end + 4 + int(size)
+    if stop + 4 > len(data) and not whole and stop - at < most:
+        raise _More
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Broken("record does not end where its length says")
     block = data[start:stop]
@@ -132,90 +149,142 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, payload, stop + 4
 
 
-def _member(data: bytes, at: int, most: int) -> tuple[bytes, int, str]:
-    """What a member expands to, where it ends, and why the expansion stopped early (empty if it did not)."""
-    z = zlib.decompressobj(31)
-    out, size, end, reason = [], 0, at, ""
-    while not z.eof:
-        if end >= len(data):
-            reason = "gzip member does not end"
-            break
-        piece = data[end : end + _FEED]  # in pieces, as what follows the member is copied each time
-        end += len(piece)
+class _Member:
+    """A gzip member, expanded piece by piece; once ``pieces`` has ended, where the member does, and why it stopped early (empty if
+    it did not)."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.end, self.reason = data, at, at, ""
+
+    def pieces(self) -> Iterator[bytes]:
+        z, at = zlib.decompressobj(31), self.at
+        while not z.eof:
+            if at >= len(self.data) and not z.unconsumed_tail:
+                self.reason = "gzip member does not end"
+                break
+            piece = z.unconsumed_tail or self.data[at : at + _FEED]  # in pieces, as what follows the member is copied each time
+            at += 0 if z.unconsumed_tail else len(piece)
+            before = z.copy()
+            try:
+                out = z.decompress(piece, _EXPANDED)
+            except zlib.error:
+                yield _before_error(before, piece)
+                self.reason = _DAMAGED
+                break
+            yield out
+        self.end = at - len(z.unused_data)
+
+
+def _before_error(z, piece: bytes) -> bytes:
+    """What a piece with a damaged byte expands to before it."""
+    out = []
+    for k in range(len(piece)):
         try:
-            out.append(z.decompress(piece, most - size + 1))
+            out.append(z.decompress(piece[k : k + 1]))
         except zlib.error:
-            out += _before_error(data[at:end], size, most)
-            reason = _DAMAGED
-            break
-        size += len(out[-1])
-        if size > most:
-            reason = "member too large"
             break
-    return b"".join(out), end - len(z.unused_data), reason
-
-
-def _before_error(data: bytes, known: int, most: int) -> list[bytes]:
-    """What a damaged member expands to beyond its first ``known`` bytes: byte by byte, only for its last piece."""
-    z = zlib.decompressobj(31)
-    whole = max(0, (len(data) - 1) // _FEED * _FEED)
-    out, size = [], 0
-    for a in range(0, whole, _FEED):
-        size += len(z.decompress(data[a : a + _FEED], most - size + 1))
-    for k in range(whole, len(data)):
-        try:
-            out.append(z.decompress(data[k : k + 1], most - size + 1))
-        except zlib.error:
-            break
-        size += len(out[-1])
-    return out
-
-
-def _inside(text: bytes, reason: str) -> list[tuple[int, int, dict[str, str], bytes] | tuple[int, int, str]]:
+    return b"".join(out)
+
+
+class _Text:
+    """A member's text, of which as much is held as a record needs."""
+
+    def __init__(self, held: bytes, rest: Iterator[bytes]):
+        self.held, self.base, self.rest, self.whole = held, 0, rest, False
+
+    def grow(self) -> bool:
+        """Hold about twice as much; False where the text ends."""
+        parts, size = [self.held], 0
+        for piece in self.rest:
+            parts.append(piece)
+            size += len(piece)
+            if size >= max(len(self.held), _EXPANDED):
+                break
+        else:
+            self.whole = True
+        self.held = b"".join(parts)
+        return size > 0
+
+    def parse(self, at: int, most: int):
+        while True:
+            if at - self.base > _EXPANDED:
+                self.held, self.base = self.held[at - self.base :], at
+            try:
+                headers, payload, end = _parse(self.held, at - self.base, self.whole, most)
+            except _More:
+                self.grow()
+                continue
+            return headers, payload, end + self.base
+
+    def ended(self, at: int) -> bool:
+        while at - self.base >= len(self.held):
+            if not self.grow():
+                return True
+        return False
+
+    def next_version(self, at: int) -> int:
+        """Where the next version line starts, or the text ends."""
+        while True:
+            if m := _VERSION.search(self.held, at - self.base):
+                return m.start() + self.base
+            at = max(at, self.base + len(self.held) - _VERSION_BYTES + 1)
+            self.held, self.base = self.held[at - self.base :], at
+            if not self.grow():
+                return self.base + len(self.held)
+
+
+def _inside(text: _Text, reason: str, most: int) -> Iterator[tuple[int, int, dict[str, str], bytes] | tuple[int, int, str]]:
     """The records of a member's text and the gaps between them, as (offset, length, headers, payload) or (offset, length, reason)."""
-    found, at, bad, why = [], 0, -1, ""
-    while at < len(text):
+    at, bad, why = 0, -1, ""
+    while not text.ended(at):
         try:
-            headers, payload, end = _parse(text, at)
+            headers, payload, end = text.parse(at, most)
             if reason == _DAMAGED and not _has_digest(headers):
                 raise Broken("no digest in a damaged member")
         except Broken as e:
             if bad < 0:
                 bad, why = at, str(e)
-            m = _VERSION.search(text, at + 1)
-            at = m.start() if m else len(text)
+            at = text.next_version(at + 1)
             continue
         if bad >= 0:
-            found.append((bad, at - bad, why))
+            yield bad, at - bad, why
             bad = -1
-        found.append((at, end - at, headers, payload))
+        yield at, end - at, headers, payload
         at = end
     if bad >= 0:
-        found.append((bad, len(text) - bad, reason or why))
+        yield bad, at - bad, reason or why
     elif reason:
-        if len(found) == 1:  # a member of one record: its own check is the record's
-            return []
-        found.append((len(text), 0, reason))
-    return found
+        yield at, 0, reason
 
 
-def salvage(data: bytes, most: int = 1 << 30) -> Iterator[Record | Gap]:
+def salvage(data: bytes, most: int = 1 << 30, held: int = 64 << 20) -> Iterator[Record | Gap]:
     """All records of an archive that pass the checks, and the byte gaps between them, in file order.
 
-    ``most`` bounds what one gzip member may expand to; of a larger one the text up to there is read.
+    A member may expand to any size: beyond ``held`` bytes it is expanded a second time, record by record. One record
+    of a member may have ``most`` bytes; a larger one is a gap.
     """
     at, bad, reason = 0, -1, ""
     while at < len(data):
-        found, stopped = [], ""
+        found: Iterator[tuple] = iter(())
+        stopped = ""
         try:
             if data[at : at + 3] == _MAGIC:
-                text, end, stopped = _member(data, at, most)
-                found = _inside(text, stopped)
-                if not any(len(x) == 4 for x in found) and (found or stopped):
-                    raise Broken(stopped or found[0][2])
+                member, parts, size = _Member(data, at), [], 0
+                for piece in member.pieces():
+                    size += len(piece)
+                    parts = [*parts, piece] if size <= held and len(parts) < 64 else [b"".join([*parts, piece])] if size <= held else []
+                end, stopped = member.end, member.reason
+                text = _Text(b"".join(parts), iter(())) if size <= held else _Text(b"", _Member(data, at).pieces())
+                found = _inside(text, stopped, most)
+                first = list(islice(found, 2))
+                if (first or stopped) and not any(len(x) == 4 for x in first):
+                    raise Broken(stopped or first[0][2])
+                if stopped and len(first) == 2 and len(first[0]) == 4 and first[1][1:] == (0, stopped):
+                    raise Broken(stopped)  # a member of one record: its own check is the record's
+                found = chain(first, found)
             else:
                 headers, payload, end = _parse(data, at)
-                found = [(0, end - at, headers, payload)]
+                found = iter([(0, end - at, headers, payload)])
         except Broken as e:
             if bad < 0:
                 bad, reason = at, str(e)
@@ -238,17 +307,25 @@ def salvage(data: bytes, most: int = 1 << 30) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data) - bad, reason)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit: int = 100, file_bytes: int = 32 << 20, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit: int = 100, file_bytes: int = 32 << 20, date: str = "1970-01-01T00:00:00Z", broadcast_digests: int = 100_000) -> None:
     """Write one record per row below ``path``; ``file_bytes`` is the aim for a file's uncompressed size.
 
-    Digests are grouped with a map-side combine and joined back to the rows by digest; a hot digest is split by
-    adaptive skew handling, as nothing above the join needs its rows together.
+    Only digests are grouped, and only those of several rows are joined back: by broadcast where there are at most
+    ``broadcast_digests`` of them (some 10 MB), so that no payload is shuffled. Beyond that payloads are joined by
+    digest, those too short for a revisit left out; a hot digest is split by adaptive skew handling, as nothing above
+    the join needs its rows together.
     """
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha2(F.col("html"), 256))
+    long = F.octet_length("html") >= least_revisit
     mean = base.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    firsts = base.where(F.octet_length("html") >= least_revisit).groupBy(F.col("digest").alias("of")).agg(F.min("id").alias("first"))
-    rows = base.join(firsts, F.col("digest") == F.col("of"), "left").select("id", "url", "html", "digest", "first")
+    grouped = base.where(long).groupBy(F.col("digest").alias("of")).agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+    firsts = cut(grouped.where("rows > 1").select("of", "first"), "digests")
+    if firsts.limit(broadcast_digests + 1).count() <= broadcast_digests:
+        rows = base.join(F.broadcast(firsts), F.col("digest") == F.col("of"), "left")
+    else:
+        rows = base.where(long).join(firsts, F.col("digest") == F.col("of"), "left").unionByName(base.where(~long), allowMissingColumns=True)
+    rows = rows.select("id", "url", "html", "digest", "first")
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for b in slices(batches, 256):
