@@ -1,33 +1,37 @@
 """Main-text extraction by minimum-cut labelling.
 
-A page is read into blocks: runs of text that no block-level tag interrupts, with the path of open elements. A
-logistic classifier gives each block the probability of being content; the costs of either label become capacities from
-the source and to the sink. Blocks that follow one another, and blocks with one parent, are tied by edges whose
-capacity falls with their distance in the document tree. The minimum cut, found by augmenting shortest paths,
-separates content from boilerplate.
-
-The classifier is trained in numpy on a bounded sample of pages (``sample_pages`` of the least hashes). Its labels come
-from the pages' own markup: inside article or main elements and outside of any boilerplate element is content. For half
-of the training blocks what the markup says is hidden, so that text density, links and shape carry weight where a page
-has no telling elements.
-
-Text of scripts, styles, templates, forms' controls and the head is never a block. Reader comments, adverts, notices
-and forms are boilerplate wherever they stand, with a fixed cost (``_NEVER``), where a whole name of an element's class,
-id or role tells it; a name that only holds such a word is a feature with a finite cost. Neither counts for an element
-that holds half of the text in article and main elements and stands outside of them, nor for a form, or an element
-with such a word in its name, that holds most of the page's text; ``has-sidebar`` and the like tell nothing.
+A page is read into blocks: runs of text that no block-level tag interrupts, each with the element it lies in. A
+logistic classifier on length, links, punctuation and shape, and finite evidence from the markup around a block,
+together give the block's log-odds of being content; the costs of either label become capacities from the source and
+to the sink. Blocks that follow one another, and blocks side by side in one element, are tied by edges whose capacity
+falls with their distance in the document tree. The maximum flow's minimum cut separates content from boilerplate.
+
+The flow network is reduced first: a block with at most two neighbours is folded into them with the capacity of the
+flow that it lets pass, which changes neither the greatest flow nor the cut. Edges between blocks of one element never
+cross, so pages reduce completely, in time proportional to their blocks; what other networks leave is solved by
+augmenting paths.
+
+Evidence is never certain. An article or main element speaks for content; elements as nav, aside or form, and names in
+class, id or role that tell boilerplate, speak against it, names that only hold such a word half as much; the nearest
+of them prevails. Against a wrapper that holds most of the page's marked text it weakens to nothing, and a form or a
+name with such a word also where it holds most of the whole text; names of readers' comments keep their weight. What the
+classifier weighs is learned in numpy from a bounded sample of pages (``sample_pages`` of the least hashes), with the
+blocks on which the markup is clear as labels; it sees nothing of the markup's names itself.
+
+Text of scripts, styles, templates, iframes, forms' controls and the head is never a block.
 
 Defined results: a null or empty html has an empty text, as has a page all of whose blocks are boilerplate; ids and
 URLs are carried, null too; repeated rows are extracted each for itself; of several minimum cuts the one with the
-fewest content blocks is taken; other columns are dropped; an empty table gives an empty result. A very long page is
-one row in one task; its graph has two edges for each block at most, besides the terminals'.
+fewest content blocks is taken; a tag whose quotes do not close ends at its next >; other columns are dropped; an empty
+table gives an empty result. A very long or very deep page is one row in one task, in time linear in its length.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 
@@ -40,7 +44,8 @@ from pyspark.sql import types as T
 from .common import arrow_map, slices
 
 # Kinds of elements.
-_SKIPPED = frozenset(["script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "button", "option", "audio", "video"])
+_SKIPPED = frozenset(["script", "style", "template", "head", "title", "iframe", "select", "textarea", "button", "option", "datalist", "annotation", "annotation-xml"])
+_RAW = frozenset(["script", "style", "iframe", "textarea"])
 _VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"])
 _BLOCKS = frozenset(
     ["address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"]
@@ -70,35 +75,41 @@ _MAIN_ROLE = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|entry|post|sto
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+)(?:>|\Z)"
-    r"|</?([a-zA-Z][^\s/>]*+)([^>]*)>",  # quotes that do not close
+    r"|</?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|=)*+)(>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
+_NAMED = re.compile(r"(?i)class|id|role|hidden")
 _SPACE = re.compile(r"\s+")
+_BODY = re.compile(r"<body[\s>]", re.I)
+
+_PART, _WHOLE, _READERS = 1, 2, 3
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[int, ...]  # numbers of the open elements, outermost first
-    tags: tuple[str, ...]
+    element: int  # the innermost open element
     linked: int  # characters of the text inside links
-    tells: tuple[int, ...]  # of each open element whether its class, id or role tells boilerplate: _PART, _WHOLE, _READERS
-    main: bool  # one tells content
-    hidden: bool
+    shared: int  # open elements that it has in common with the block before
 
 
-class _Open(NamedTuple):
-    number: int
-    tag: str
-    tells: int
-    main: bool
-    hidden: bool
+class Elements:
+    """The page's block-level elements in the order in which they open; element 0 is the page itself."""
 
+    def __init__(self):
+        self.parent, self.depth, self.tag, self.tells, self.main, self.hidden = [0], [0], [""], [0], [False], [False]
 
-_PART, _WHOLE, _READERS = 1, 2, 3
+    def open(self, parent: int, tag: str, tells: int, main: bool, hidden: bool) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.tag.append(tag)
+        self.tells.append(tells)
+        self.main.append(main or self.main[parent])
+        self.hidden.append(hidden or self.hidden[parent])
+        return len(self.tag) - 1
 
 
+@lru_cache(1 << 14)
 def _telling(said: str, tag: str) -> int:
     """How surely names of class, id and role tell boilerplate: a word in one, all of one, or readers' comments."""
     found = 0
@@ -112,30 +123,48 @@ def _telling(said: str, tag: str) -> int:
     return found
 
 
-def blocks_of(html: str | None) -> list[Block]:
-    """The page's non-empty blocks in order, white space collapsed and character references decoded."""
+@lru_cache(1 << 14)
+def _is_main(said: str) -> bool:
+    return _MAIN_ROLE.search(said) is not None
+
+
+def blocks_of(html: str | None) -> tuple[list[Block], Elements]:
+    """The page's non-empty blocks in order, white space collapsed and character references decoded; and its elements."""
     out: list[Block] = []
+    elements = Elements()
     if not html:
-        return out
-    stack: list[_Open] = []
+        return out, elements
+    stack = [0]
+    opened: Counter = Counter()
+    endless: set[str] = set()  # skipped elements that are not closed any more
     parts: list[str] = []
     link_parts: list[str] = []
-    count = depth_of_link = 0
+    in_link = False
+    lowest = 0  # the fewest open elements since the last block
 
     def flush() -> None:
+        nonlocal lowest
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
             linked = len(_SPACE.sub(" ", unescape("".join(link_parts))).strip())
-            out.append(Block(text, tuple(e.number for e in stack), tuple(e.tag for e in stack), min(linked, len(text)), tuple(e.tells for e in stack), any(e.main for e in stack), any(e.hidden for e in stack)))
+            out.append(Block(text, stack[-1], min(linked, len(text)), lowest))
+            lowest = len(stack) - 1
         parts.clear()
         link_parts.clear()
 
     def take(text: str) -> None:
         if text:
             parts.append(text)
-            if depth_of_link:
+            if in_link:
                 link_parts.append(text)
 
+    def close(count: int) -> None:
+        nonlocal lowest
+        for e in stack[count:]:
+            opened[elements.tag[e]] -= 1
+        del stack[count:]
+        lowest = min(lowest, count - 1)
+
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.search(html, at)
@@ -146,178 +175,209 @@ def blocks_of(html: str | None) -> list[Block]:
         at = m.end()
         if m[0].startswith("<![CDATA["):
             take(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-        if not (name := m[1] or m[3]):
+        if not m[1]:
             continue
-        tag, said = name.lower(), m[2] or m[4]
-        if m[0][1] == "/":
+        tag, said = m[1].lower(), m[2]
+        if not m[3]:  # a quote that does not close, or a tag cut off at the page's end
+            end = html.find(">", m.end(1))
+            said, at = (html[m.end(1) : end], end + 1) if end >= 0 else ("", size)
+            if end < 0:
+                break
+        if html[m.start() + 1] == "/":
             if tag in _BLOCKS:
-                found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
                 flush()
-                if found >= 0:
-                    del stack[found:]
+                if opened[tag]:
+                    last = len(stack) - 1
+                    while elements.tag[stack[last]] != tag:
+                        last -= 1
+                    close(last)
             elif tag == "a":
-                depth_of_link = 0
+                in_link = False
             elif tag == "br":
                 take(" ")
             continue
         if tag in _SKIPPED:
-            if not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                # an unclosed head or title ends where the body starts, another unclosed element at the page's end
-                body = re.compile(r"<body[\s>]", re.I).search(html, at) if tag in ("head", "title") and not end else None
-                at = end.end() if end else body.start() if body else size
+            if not said.endswith("/"):
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                else:
+                    # an unclosed head or title ends where the body starts, raw text at the page's end; of others only the tag goes
+                    body = _BODY.search(html, at) if tag in ("head", "title") and tag not in endless else None
+                    at = body.start() if body else size if tag in _RAW else at
+                    endless.add(tag)
             take(" ")
             continue
         if tag in _BLOCKS:
             flush()
-            while stack and tag in _CLOSED_BY.get(stack[-1].tag, ()):
-                stack.pop()
+            while tag in _CLOSED_BY.get(elements.tag[stack[-1]], ()):
+                close(len(stack) - 1)
             if tag in _VOID:
                 continue
-            names = [(x[0].lower(), x[1] or x[2] or x[3] or "") for x in _ATTRIBUTE.findall(said)] if said else []
-            said = " ".join(v for n, v in names if n in ("class", "id", "role")) if tag not in ("html", "body") else ""
+            names: list[tuple[str, str]] = []
+            if said and _NAMED.search(said):
+                names = [(n.lower(), x or y or z) for n, x, y, z in _ATTRIBUTE.findall(said)]
+            own = " ".join(v for n, v in names if n in ("class", "id", "role")) if tag not in ("html", "body") else ""
             hidden = any(n == "hidden" or (n == "aria-hidden" and v == "true") for n, v in names)
-            count += 1
-            stack.append(_Open(count, tag, _telling(said, tag) if said else 0, bool(said and _MAIN_ROLE.search(said)), hidden))
-            depth_of_link = 0
+            stack.append(elements.open(stack[-1], tag, _telling(own, tag) if own else 0, bool(own) and _is_main(own), hidden))
+            opened[tag] += 1
+            in_link = False
         elif tag == "a":
-            depth_of_link = 1
-        elif tag in ("br", "img", "input", "wbr"):
-            take("" if tag == "wbr" else " ")
+            in_link = True
+        elif tag in ("br", "img", "input"):
+            take(" ")
     flush()
-    return out
-
-
-_FEATURES = 12
-_MARKUP = slice(0, 5)
-
-
-def features(blocks: list[Block]) -> np.ndarray:
-    """One row for each block; the columns of ``_MARKUP`` are what the page's elements say."""
-    x = np.zeros((len(blocks), _FEATURES))
-    for row, b, (boilerplate, telling, _) in zip(x, blocks, _evidence(blocks), strict=True):
-        n = len(b.text)
-        inner = b.tags[::-1]
-        row[0] = any(t in _CONTENT for t in b.tags)
-        row[1] = boilerplate
-        row[2] = telling
-        row[3] = b.main
-        row[4] = b.hidden
-        row[5] = min(np.log1p(n) / 6, 1.5)
-        row[6] = b.linked / n
-        row[7] = bool(inner) and inner[0] in ("p", "blockquote", "pre")
-        row[8] = bool(inner) and inner[0] in ("h1", "h2", "h3", "h4", "h5", "h6")
-        row[9] = "li" in inner[:2]
-        row[10] = sum(b.text.count(c) for c in ".,;:!?") > n / 60
-        row[11] = 1
+    return out, elements
+
+
+def evidence(blocks: list[Block], elements: Elements) -> np.ndarray:
+    """What the markup says of each block: in an article or main element (0 or 1), in boilerplate (0 to 1), in an element
+    whose name tells content (0 or 1), hidden (0 or 1)."""
+    count = len(elements.tag)
+    parent, tag, tells = elements.parent, elements.tag, elements.tells
+    readers, marked = [False] * count, [False] * count
+    for e in range(1, count):
+        readers[e] = readers[parent[e]] or tells[e] == _READERS
+        marked[e] = not readers[e] and (marked[parent[e]] or tag[e] in _CONTENT)
+    size, within = [0] * count, [0] * count  # characters in each element, and those of them in marked ones
+    for b in blocks:
+        size[b.element] += len(b.text)
+        within[b.element] += len(b.text) if marked[b.element] else 0
+    for e in range(count - 1, 0, -1):
+        size[parent[e]] += size[e]
+        within[parent[e]] += within[e]
+    beyond_half = lambda part, whole: min(1.0, max(0.0, 2 * part / whole - 1)) if whole else 0.0
+    content, boilerplate = [0.0] * count, [0.0] * count
+    for e in range(1, count):
+        up = parent[e]
+        content[e], boilerplate[e] = content[up], boilerplate[up]
+        if tag[e] in _CONTENT and tells[e] != _READERS:
+            content[e] = 1.0
+            continue
+        kind = tag[e] in _BOILERPLATE and not (tag[e] == "header" and content[up])  # such a header holds the article's own title
+        if not kind and not tells[e]:
+            continue
+        strength = 1.0 if kind or tells[e] != _PART else 0.5
+        if tells[e] != _READERS:
+            strength *= 1 - (beyond_half(within[e], within[0]) if within[0] else beyond_half(size[e], size[0]))
+            if tag[e] == "form" or not kind and tells[e] == _PART:
+                strength *= 1 - beyond_half(size[e], size[0])
+        boilerplate[e] = max(boilerplate[up], strength)
+    return np.array([(content[b.element], boilerplate[b.element], elements.main[b.element], elements.hidden[b.element]) for b in blocks], dtype=np.float64).reshape(-1, 4)
+
+
+#: Log-odds of content that the columns of ``evidence`` add.
+EVIDENCE = np.array([4.0, -11.0, 1.5, -8.0])
+#: Before any training: the weights of the columns of ``shape``, in order. Their sum counts up to 4 either way.
+DEFAULT = np.array([2.5, -3.0, 1.0, 0.3, -1.0, 1.0, -2.2])
+_MOST = 4.0
+
+
+def shape(blocks: list[Block], elements: Elements) -> np.ndarray:
+    """One row for each block: length, share of links, in a paragraph, in a heading, in a list, punctuation, 1."""
+    x = np.zeros((len(blocks), len(DEFAULT)))
+    for row, b in zip(x, blocks, strict=True):
+        n, tag = len(b.text), elements.tag[b.element]
+        row[0] = min(np.log1p(n) / 6, 1.5)
+        row[1] = b.linked / n
+        row[2] = tag in ("p", "blockquote", "pre")
+        row[3] = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        row[4] = tag == "li" or elements.tag[elements.parent[b.element]] == "li"
+        row[5] = sum(b.text.count(c) for c in ".,;:!?") > n / 60
+        row[6] = 1
     return x
 
 
-def _evidence(blocks: list[Block]) -> list[tuple[bool, bool, bool]]:
-    """Of each block whether it is in a boilerplate element, in one whose names tell so, and in one that is surely so."""
-    size: dict[int, int] = {}
-    within: dict[int, int] = {}  # of it in article or main elements
-    whole = inside = 0
-    for b in blocks:
-        n, marked = len(b.text), any(t in _CONTENT for t in b.tags)
-        whole += n
-        inside += n if marked else 0
-        for e in b.path:
-            size[e] = size.get(e, 0) + n
-            if marked:
-                within[e] = within.get(e, 0) + n
-    out = []
-    for b in blocks:
-        boilerplate = telling = sure = content = False
-        for e, tag, tells in zip(b.path, b.tags, b.tells, strict=True):
-            kind = tag in _BOILERPLATE and not (tag == "header" and content)  # such a header holds the article's own title
-            if (kind or tells) and (tells == _READERS or content or not inside or 2 * within.get(e, 0) < inside):
-                most = 2 * size[e] > whole
-                if kind and not (tag == "form" and most and tells != _READERS):
-                    boilerplate = sure = True
-                if tells >= _WHOLE and not (tag == "form" and most and tells != _READERS):
-                    telling = True
-                    sure = sure or tells == _READERS or bool(inside) or not most
-                elif tells == _PART and not most:
-                    telling = True
-            content = content or tag in _CONTENT
-        out.append((boilerplate, telling, sure))
-    return out
-
-
-def _marked(blocks: list[Block]) -> list[float]:
-    """What the markup says of each: 1 content, 0 boilerplate, 0.5 neither."""
-    out = []
-    for b, (_, telling, sure) in zip(blocks, _evidence(blocks), strict=True):
-        out.append(0.0 if b.hidden or sure else 1.0 if any(t in _CONTENT for t in b.tags) and not telling else 0.5)
-    return out
-
-
-#: Before any training: the weights of the columns of ``features``, in order.
-DEFAULT = np.array([3.0, -4.0, -4.0, 1.5, -6.0, 2.5, -3.0, 1.0, 0.3, -1.0, 1.0, -2.2])
-
-
-def train(pages: list[str | None], epochs: int = 300, rate: float = 0.5, strength: float = 20.0, seed: int = 4) -> np.ndarray:
+def train(pages: list[str | None], epochs: int = 300, rate: float = 0.5, strength: float = 20.0) -> np.ndarray:
     """Logistic regression by gradient descent, pulled towards ``DEFAULT`` as by ``strength`` blocks."""
-    rows, labels = [np.zeros((0, _FEATURES))], []
+    rows, labels = [np.zeros((0, len(DEFAULT)))], [np.zeros(0)]
     for html in pages:
-        blocks = blocks_of(html)
-        marked = np.array(_marked(blocks))
-        rows.append(features(blocks)[marked != 0.5])
-        labels += marked[marked != 0.5].tolist()
-    x, y = np.concatenate(rows), np.array(labels)
+        blocks, elements = blocks_of(html)
+        content, boilerplate, _, hidden = evidence(blocks, elements).T
+        against = (boilerplate >= 0.75) | (hidden > 0)
+        clear = against | ((content > 0) & (boilerplate == 0))
+        rows.append(shape(blocks, elements)[clear])
+        labels.append((~against[clear]).astype(np.float64))
+    x, y = np.concatenate(rows), np.concatenate(labels)
     if len(np.unique(y)) < 2:
         return DEFAULT.copy()
-    x[np.random.default_rng(seed).random(len(x)) < 0.5, _MARKUP] = 0
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w = DEFAULT.copy()
     for _ in range(epochs):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= rate * (x.T @ ((p - y) * weight) + strength * (w - DEFAULT) / 10) / len(x)
-    # what the markup says is certain evidence, whatever the sample holds of it
-    w[_MARKUP] = np.where(np.abs(w[_MARKUP]) > np.abs(DEFAULT[_MARKUP]), w[_MARKUP], DEFAULT[_MARKUP])
     return w
 
 
-_NEVER = 1e6
-
-
 def minimum_cut(content: np.ndarray, boilerplate: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
     """The labels (True: content) of least total cost.
 
     ``content`` and ``boilerplate`` are the costs of giving a block that label; an edge costs its weight when its ends
-    differ. Shortest augmenting paths in the residual graph; the source's side is content.
+    differ. Blocks of at most two neighbours are folded away first; the label of each follows from its neighbours'.
     """
     n = len(content)
-    source, sink = n, n + 1
-    to: list[list[int]] = [[] for _ in range(n + 2)]
-    room: list[dict[int, float]] = [{} for _ in range(n + 2)]
-
-    def arc(u: int, v: int, c: float, back: float) -> None:
-        for a, b, x in ((u, v, c), (v, u, back)):
-            if b not in room[a]:
-                to[a].append(b)
-                room[a][b] = 0.0
-            room[a][b] += x
-
-    for i in range(n):
-        both = min(content[i], boilerplate[i])  # flows straight through
-        arc(source, i, float(boilerplate[i] - both), 0.0)
-        arc(i, sink, float(content[i] - both), 0.0)
+    more = (np.asarray(content, dtype=np.float64) - boilerplate).tolist()  # what content costs more than boilerplate
+    near: list[dict[int, float]] = [{} for _ in range(n)]
     for u, v, c in edges:
-        arc(u, v, c, c)
-    tiny = 1e-9
+        if u != v and c > 0:
+            near[u][v] = near[v][u] = near[u].get(v, 0.0) + c
+    folded: list[tuple[int, float, tuple[tuple[int, float], ...]]] = []
+    gone = [False] * n
+    queue = [i for i in range(n - 1, -1, -1) if len(near[i]) <= 2]
+    while queue:
+        v = queue.pop()
+        if gone[v] or len(near[v]) > 2:
+            continue
+        gone[v] = True
+        cost, ends = more[v], tuple(near[v].items())
+        folded.append((v, cost, ends))
+        if len(ends) == 1:
+            ((a, w),) = ends
+            more[a] += min(w, cost) - min(0.0, cost + w)  # the flow that v passes on to a
+        elif ends:
+            (a, x), (b, y) = ends
+            # least costs of v for the labels of a and b
+            neither, only_b, only_a, both = min(0.0, cost + x + y), min(y, cost + x), min(x, cost + y), min(x + y, cost)
+            more[a] += (only_a + both - neither - only_b) / 2
+            more[b] += (only_b + both - neither - only_a) / 2
+            passing = (only_a + only_b - neither - both) / 2
+            if passing > 0:
+                near[a][b] = near[b][a] = near[a].get(b, 0.0) + passing
+        for a, _ in ends:
+            del near[a][v]
+            if len(near[a]) <= 2:
+                queue.append(a)
+    label = [False] * n
+    left = [i for i in range(n) if not gone[i]]
+    if left:
+        for i, y in zip(left, _augmented(left, more, near), strict=True):
+            label[i] = y
+    for v, cost, ends in reversed(folded):
+        label[v] = cost + sum(-w if label[a] else w for a, w in ends) < -1e-9
+    return np.array(label, dtype=bool)
+
+
+def _augmented(nodes: list[int], more: list[float], near: list[dict[int, float]]) -> list[bool]:
+    """The labels of the least minimum cut by shortest augmenting paths; the source's side is content."""
+    source, sink = -1, -2
+    room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes}
+    room |= {source: {i: -more[i] for i in nodes if more[i] < 0}, sink: {}}
+    for i in nodes:
+        if more[i] > 0:
+            room[i][sink] = more[i]
+            room[sink][i] = 0.0
+        room[i][source] = 0.0
     while True:
         before = {source: source}
         queue = deque([source])
         while queue and sink not in before:
             u = queue.popleft()
-            for v in to[u]:
-                if v not in before and room[u][v] > tiny:
+            for v, c in room[u].items():
+                if c > 1e-9 and v not in before:
                     before[v] = u
                     queue.append(v)
         if sink not in before:
-            return np.array([i in before for i in range(n)], dtype=bool)
+            return [i in before for i in nodes]
         path, v = [], sink
         while v != source:
             path.append((before[v], v))
@@ -325,37 +385,40 @@ def minimum_cut(content: np.ndarray, boilerplate: np.ndarray, edges: list[tuple[
         flow = min(room[u][v] for u, v in path)
         for u, v in path:
             room[u][v] -= flow
-            room[v][u] += flow
+            room[v][u] = room[v].get(u, 0.0) + flow
 
 
-def smoothness(blocks: list[Block], near: float, sibling: float) -> list[tuple[int, int, float]]:
-    """Edges between neighbours, and between a block and the last one with the same parent, by nearness in the tree."""
+def smoothness(blocks: list[Block], elements: Elements, near: float, sibling: float) -> list[tuple[int, int, float]]:
+    """Edges between neighbours by nearness in the tree, and between a block and the last one beside it in an element.
+
+    Text that lies in an element beside other elements counts among them.
+    """
+    holds = [False] * len(elements.tag)
+    for p in elements.parent[1:]:
+        holds[p] = True
     edges = []
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            shared = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            edges.append((i - 1, i, near / (1 + len(a) + len(b.path) - 2 * shared)))
-        parent = b.path[:-1]
-        if (j := last.get(parent)) is not None:
+            apart = elements.depth[blocks[i - 1].element] + elements.depth[b.element] - 2 * b.shared
+            edges.append((i - 1, i, near / (1 + apart)))
+        beside = b.element if holds[b.element] else elements.parent[b.element]
+        if (j := last.get(beside)) is not None:
             edges.append((j, i, sibling))
-        last[parent] = i
+        last[beside] = i
     return edges
 
 
-def label(blocks: list[Block], weights: np.ndarray, near: float = 1.0, sibling: float = 0.5) -> np.ndarray:
+def label(blocks: list[Block], elements: Elements, weights: np.ndarray, near: float = 1.0, sibling: float = 0.5) -> np.ndarray:
     if not blocks:
         return np.zeros(0, dtype=bool)
-    logit = np.clip(features(blocks) @ weights, -12, 12)
-    content, boilerplate = np.log1p(np.exp(-logit)), np.log1p(np.exp(logit))
-    content[[y == 0.0 for y in _marked(blocks)]] = _NEVER
-    return minimum_cut(content, boilerplate, smoothness(blocks, near, sibling))
+    logit = np.clip(shape(blocks, elements) @ weights, -_MOST, _MOST) + evidence(blocks, elements) @ EVIDENCE
+    return minimum_cut(np.log1p(np.exp(-logit)), np.log1p(np.exp(logit)), smoothness(blocks, elements, near, sibling))
 
 
 def main_text(html: str | None, weights: np.ndarray) -> str:
-    blocks = blocks_of(html)
-    return "\n".join(b.text for b, keep in zip(blocks, label(blocks, weights), strict=True) if keep)
+    blocks, elements = blocks_of(html)
+    return "\n".join(b.text for b, keep in zip(blocks, label(blocks, elements, weights), strict=True) if keep)
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = 400) -> np.ndarray:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from marlpit.llm import htmlcut
-from marlpit.llm.htmlcut import DEFAULT, blocks_of, main_text, minimum_cut
+from marlpit.llm.htmlcut import DEFAULT, blocks_of, label, main_text, minimum_cut
 
 
 def test_minimum_cut_equals_brute_force():
@@ -19,6 +19,47 @@ def test_minimum_cut_equals_brute_force():
         assert cost(minimum_cut(content, boiler, edges)) == pytest.approx(min(map(cost, itertools.product([0, 1], repeat=n))))
 
 
+def test_series_parallel_networks_equal_augmenting_paths():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(2, 30))
+        content, boiler = rng.integers(0, 8, n) / 4, rng.integers(0, 8, n) / 4  # ties are common
+        edges = [(i - 1, i, float(rng.integers(0, 5)) / 4) for i in range(1, n)]
+        last: dict[int, int] = {}
+        for i in range(n):  # nested groups never cross
+            if (j := last.get(k := int(rng.integers(1, 4)))) is not None and all(last.get(x, -1) <= j for x in range(1, k)):
+                edges.append((j, i, float(rng.integers(0, 5)) / 4))
+            last[k] = i
+        near: list[dict] = [{} for _ in range(n)]
+        for u, v, c in edges:
+            if c:
+                near[u][v] = near[v][u] = near[u].get(v, 0.0) + c
+        assert minimum_cut(content, boiler, edges).tolist() == htmlcut._augmented(list(range(n)), (content - boiler).tolist(), near)
+
+
+def test_the_cut_overrules_the_labels_of_single_blocks():
+    long = "This is a sentence, which goes on for a while, as prose does. And here is another one, just as long as the first."
+    page = f"<body><div><div><a href='/'>Home</a></div><div><a href='/n'>News</a></div></div><div><p>{long}</p><p>{long}</p><div>So be it</div><p>{long}</p><p>{long}</p></div></body>"
+    blocks, elements = blocks_of(page)
+    alone = htmlcut.shape(blocks, elements) @ DEFAULT + htmlcut.evidence(blocks, elements) @ htmlcut.EVIDENCE > 0
+    together = label(blocks, elements, DEFAULT)
+    at = [b.text for b in blocks].index("So be it")
+    assert not alone[at] and together[at] and (alone != together).sum() == 1
+    assert main_text(page, DEFAULT) == f"{long}\n{long}\nSo be it\n{long}\n{long}"
+
+
+def test_pages_of_many_blocks_and_deep_pages_take_seconds():
+    import time
+
+    began = time.time()
+    weak = "<div>Some words here, and there.</div><div><a href='/'>some link</a></div>"
+    got = main_text("<body>" + "".join(f"<div>{weak}<p>Text {i}, of a few words.</p></div>" for i in range(20_000)), DEFAULT)
+    assert got.count("Text ") == 20_000
+    assert main_text("<article>" + "<div>x " * 20_000, DEFAULT).count("x") == 20_000
+    main_text("<p>" + "</div>" * 50_000 + "<title>" * 50_000 + "<p a='" * 3 + "<b>" * 50_000, DEFAULT)
+    assert time.time() - began < 30
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="nav-open">
 <header><p>Site name and slogan of the whole site.</p></header><nav><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies, as everyone does. Please agree.</p></div>
@@ -71,6 +112,37 @@ def test_wrappers_do_not_lose_the_article(page):
     assert main_text(f"<body>{page.replace('{links}', links).replace('{}', BODY)}</body>", DEFAULT) == "\n".join(PROSE)
 
 
+ONE = "A long paragraph, as prose has it, with commas and a full stop. It goes on and on, for some sentences more than one."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div class='page has-sidebar'>{}</div>", "<div class='content-sidebar wrap'>{}</div>", "<form id='aspnet'>{}</form>", "<div class='topic social-science'>{}</div>", "<div class='comments-open'>{}</div>"],
+)
+def test_telling_wrappers_of_an_article(page):
+    for inner in ("<article><h1>Heading</h1><p>{}</p></article>", "<main class='comments-open'><h1>Heading</h1><p>{}</p></main>", "<article class='topic social-science'><h1>Heading</h1><p>{}</p></article>"):
+        assert main_text(f"<body>{page.format(inner.format(ONE))}</body>", DEFAULT) == f"Heading\n{ONE}"
+
+
+def test_long_attributes_and_embedded_text():
+    for n in (60_000, 70_000, 1_000_000):
+        assert main_text(f'<article><p data-x="a>{"b" * n}">{ONE}</p></article>', DEFAULT) == ONE
+    assert main_text(f"<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds. {ONE}</p></article>", DEFAULT) == f"Energy E=m holds. {ONE}"
+    kept = main_text(f"<article><p>{ONE}</p><p>See <svg><text>label</text><style>x</style></svg> and <object>fallback</object>, <noscript>plain</noscript>.</p></article>", DEFAULT)
+    assert kept == f"{ONE}\nSee label and fallback, plain."
+
+
+def test_attributes_that_only_look_like_names():
+    assert main_text(f"<article><div data-id='comments' alt=\"class='comments'\"><p>{ONE}</p></div></article>", DEFAULT) == ONE
+    assert main_text(f"<article><p title=\"it's\">{ONE}</p><p don't>{ONE}</p></article>", DEFAULT) == f"{ONE}\n{ONE}"
+    assert main_text(f"<article><p>{ONE}</p><p title='open>{ONE}</p></article>", DEFAULT) == f"{ONE}\n{ONE}"
+
+
+def test_articles_beside_the_article():
+    teaser = "<article><h3>Other news</h3><p>A teaser of a few words, no more than that.</p></article>"
+    assert main_text(f"<body><div class='sidebar'>{teaser}</div><article>{BODY}</article><aside>{teaser}</aside></body>", DEFAULT) == "\n".join(PROSE)
+
+
 def test_title_in_the_header_of_main():
     got = main_text(f"<body><header><p>Site name and its slogan.</p></header><main><header class='page-header'><h1>The title</h1></header>{BODY}</main></body>", DEFAULT)
     assert got == "\n".join(["The title", *PROSE])
@@ -86,8 +158,8 @@ def test_boilerplate_inside_the_article_goes(part):
 
 def test_blocks():
     got = blocks_of("a<div>b<i>c</i> d<script>no</script></div>e &amp;amp; f<!-- g --><![CDATA[h & i]]>")
-    assert [b.text for b in got] == ["a", "bc d", "e &amp; fh & i"]
-    assert blocks_of('<p><a href="x">all link</a></p>')[0].linked == 8
+    assert [b.text for b in got[0]] == ["a", "bc d", "e &amp; fh & i"]
+    assert blocks_of('<p><a href="x">all link</a></p>')[0][0].linked == 8
 
 
 def test_extract_edges(spark):
