@@ -145,7 +145,7 @@ def test_recall(spark, kind):
         v[rng.random(3000) < 0.33] = v[0]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     got = {}
-    for r in colhash.search(df, F.col("id") % 100 == 0, shard_rows=800, block_rows=16).orderBy("query_id", "rank").collect():
+    for r in colhash.search(df, F.col("id") % 100 == 0, shard_rows=800).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     ids, wide = np.arange(3000), v.astype(np.float64)
     hit = 0
@@ -167,3 +167,33 @@ def test_neighbour_edges(spark):
     assert got == [(20, 1, 1, 2.0), (20, 2, 9, 2.0)]
     assert colhash.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
     assert colhash.search(df, F.col("id") < 0).count() == 0
+
+
+def test_recall_over_many_shards(spark):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((6000, 48)) + 2 * rng.standard_normal((12, 48))[rng.integers(0, 12, 6000)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    hit = total = 0
+    for shard_rows in (300, 20_000):
+        got = {}
+        for r in colhash.search(df, F.col("id") % 20 == 0, shard_rows=shard_rows).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert set(got) == set(range(0, 6000, 20)) and all(len(x) == 20 for x in got.values())
+        for q in range(0, 6000, 20):
+            hit += len(got[q] & {i for i, _ in brute(np.arange(6000), v, q, 20)})
+            total += 20
+    assert hit / total >= 0.95
+
+
+@pytest.mark.parametrize("size", [1e-300, 1e-310, 1e200])
+def test_huge_and_tiny_components(spark, size):
+    v = [[1.0, 0.5], [2.0, 1.0], [-1.0, 0.25], [4.0, -4.0], [0.5, 8.0]]
+    df = spark.createDataFrame([(20 * i, [x * size for x in row] if i else row) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"]) for r in colhash.search(df, F.col("id") == 0).orderBy("rank").collect()]
+    scores = {20 * i: sum(x * size * y for x, y in zip(v[i], v[0], strict=True)) for i in range(1, 5)}
+    assert got == sorted(scores, key=lambda i: (-scores[i], i))
+
+
+def test_of_one_id_with_two_vectors_the_least_counts(spark):
+    df = spark.createDataFrame([(20, [1.0, 1.0]), (1, [3.0, 0.0]), (1, [2.0, 9.0]), (2, [4.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in colhash.search(df, F.col("id") == 20).orderBy("rank").collect()] == [(20, 1, 1, 11.0), (20, 2, 2, 4.0)]
