@@ -11,9 +11,10 @@ Texts are grouped by digest first, so exact copies cost one row each. Bands of r
 bucket's centre is its text with the most neighbours over all its buckets, and each text is verified against the centre
 that it shares most buckets with: one pair a text, which joins nearly all of a group of near copies. In the buckets
 that still hold several components, sketches are compared, in blocks, and every pair of different components whose
-sketches of either kind agree in at least ``least`` less ``slack`` standard deviations of the registers is verified too. So no pair of
-a bucket that could join two components goes unverified, but for what the sketches' slack leaves (1e-3 of pairs right
-at the threshold), and pairs within a component are not made. Verification is exact, on the texts' shingles.
+sketches of either kind agree in at least ``least`` less ``slack`` standard deviations of the registers is verified
+too. So no pair of a bucket that could join two components goes unverified, but for what the sketches' slack leaves
+(4e-6 of pairs right at the threshold, as the bands do; none where ``slack`` is so great that every pair of a bucket is
+verified), and pairs within a component are not made. Verification is exact, on the texts' shingles.
 
 A pair is linked when its probability Jaccard or its plain Jaccard similarity is at least ``least``. Classes are the
 connected components.
@@ -199,7 +200,9 @@ def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, sl
     links = cut(_verified(tested, carried, least, width), "links")
 
     label = members.select("bucket", "band", "key").join(components(links), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where(F.col("x") != F.col("y")).select("bucket", "size")
+    parts = label.groupBy("bucket", "component").agg(F.count("*").alias("texts"))
+    mixed = parts.groupBy("bucket").agg(F.sum("texts").alias("size"), F.max(F.struct("texts", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("bucket", "size", F.col("top.component").alias("largest"), (F.col("size") - F.col("top.texts")).alias("rest"))
     prints = own(keyed, of).select("key", "prints").dropDuplicates(["key"])
     open_ = label.join(mixed, "bucket").join(prints, "key")
     likely = _likely(open_, least, bands * rows, slack, rows)
@@ -208,11 +211,12 @@ def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, sl
     return keyed.select("id", "key"), numbered, components(links)
 
 
-def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows: int, block: int = 8192) -> DataFrame:
+def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows: int, block: tuple[int, int] = (512, 8192)) -> DataFrame:
     """Pairs (a, b) of different components in a bucket whose sketches agree often enough, each in its first bucket only.
 
-    ``open_`` holds bucket, band, key, component, size, prints. A bucket of more than ``block`` texts is dealt over
-    pairs of blocks, so no task holds more than two blocks.
+    ``open_`` holds bucket, band, key, component, prints, and of the bucket its size, its largest component and the
+    rest, the texts outside of it. The rest is compared with all texts, either dealt over blocks of a 64th of the
+    bucket, but of no fewer and no more texts than ``block`` says: a task holds two blocks, whatever the bucket.
     """
     enough = registers * (least - slack * (least * (1 - least) / registers) ** 0.5)
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -220,17 +224,13 @@ def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows:
     def run(key, table):
         band = table.column("band")[0].as_py() if table.num_rows else 0
         keys, parts = table.column("key").to_numpy(), table.column("component").to_numpy()
-        side = table.column("side").to_numpy()
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        outside = table.column("outside").to_numpy(zero_copy_only=False)
         held = table.column("prints").to_pylist()
         both = np.array([len(x) > 2 * registers for x in held], dtype=bool)  # those with two sketches
         prints = np.frombuffer(b"".join(x[: 2 * registers] for x in held), dtype="<u2").reshape(len(keys), registers)
         plain = np.frombuffer(b"".join(x[-2 * registers :] for x in held), dtype="<u2").reshape(len(keys), registers) if both.any() else prints
-        one, two = key[1].as_py(), key[2].as_py()
-        left = np.flatnonzero(side == one)
-        right = np.flatnonzero(side == two)
-        if one == two and len(left):  # of pairs within a block, those with one text outside the largest component
-            values, sizes = np.unique(parts, return_counts=True)
-            left = left[parts[left] != values[sizes.argmax()]]
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         found: list[tuple[int, int]] = []
         step = max(1, (16 << 20) // (max(1, len(right)) * registers))
         for at in range(0, len(left), step):
@@ -241,7 +241,9 @@ def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows:
                 if x.any() and y.any():
                     at_x, at_y = np.flatnonzero(x), np.flatnonzero(y)
                     likely[np.ix_(at_x, at_y)] |= (plain[rows_[at_x]][:, None, :] == plain[right[at_y]][None, :, :]).sum(axis=2, dtype=np.uint16) >= enough
-            i, j = np.nonzero(likely & (parts[rows_][:, None] != parts[right][None, :]))
+            # two texts of the rest meet twice, and count where the one with the smaller key asks
+            once = ~outside[right][None, :] | (keys[rows_][:, None] < keys[right][None, :])
+            i, j = np.nonzero(likely & once & (parts[rows_][:, None] != parts[right][None, :]))
             i, j = rows_[i], right[j]
             shape = (len(i), registers // rows, rows)
             same = (prints[i] == prints[j]).reshape(shape).all(axis=2)
@@ -253,11 +255,14 @@ def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows:
         found = sorted(set(found))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = open_.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("other", other).withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
-    return dealt.select("bucket", "band", "key", "component", "prints", "side", "low", "high").groupBy("bucket", "low", "high").applyInArrow(run, schema)
+    texts = F.least(F.lit(block[1]), F.greatest(F.lit(block[0]), F.col("size") / 64))
+    sized = open_.withColumn("outside", F.col("component") != F.col("largest")).withColumn("lefts", F.ceil(F.col("rest") / texts).cast("int")).withColumn("rights", F.ceil(F.col("size") / texts).cast("int"))
+    place = lambda count: F.pmod(F.xxhash64("key"), F.col(count)).cast("int")
+    upto = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    asking = F.transform(upto("rights"), lambda r: F.struct(place("lefts").alias("low"), r.alias("high"), F.lit(True).alias("asks")))
+    asked = F.transform(upto("lefts"), lambda x: F.struct(x.alias("low"), place("rights").alias("high"), F.lit(False).alias("asks")))
+    dealt = sized.withColumn("at", F.explode(F.when(F.col("outside"), F.concat(asking, asked)).otherwise(asked)))
+    return dealt.select("bucket", "band", "key", "component", "prints", "outside", "at.*").groupBy("bucket", "low", "high").applyInArrow(run, schema)
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -269,7 +274,7 @@ def _with_component(numbered: DataFrame, labels: DataFrame) -> DataFrame:
     return numbered.join(labels.withColumnRenamed("key", "number"), "number", "left").withColumn("component", F.coalesce("component", "number"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, width: int = 5, slack: float = 3.0) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, width: int = 5, slack: float = 4.5) -> DataFrame:
     """doc_id, class_id and class_size of every row."""
     keyed, numbered, labels = _labels(_prepared(docs, id_col, text_col), least, bands, rows, width, slack)
     texts = _with_component(numbered, labels)
@@ -279,7 +284,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return found.select(F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, width: int = 5, slack: float = 3.0) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 40, rows: int = 6, width: int = 5, slack: float = 4.5) -> DataFrame:
     """``docs`` with all columns, one row of each class: the one with the least id (a text all of whose
     ids are null comes first).
 
@@ -288,10 +293,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _, numbered, labels = _labels(_prepared(docs, id_col, text_col), least, bands, rows, width, slack)
     rank = F.struct(F.col("id").isNotNull(), "id", "number")
     kept = _with_component(numbered, labels).groupBy("component").agg(F.min_by(F.struct("id", "key"), rank).alias("x")).select(F.col("x.id").alias("_kept_id"), F.col("x.key").alias("_kept_key"))
-    key = text_key(F.col(text_col).cast("string"))
-    marked = docs.join(kept, (key == F.col("_kept_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    once = marked.withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key")
-    return once.unionByName(docs.where(F.col(text_col).isNull()))
+    # columns by number, as theirs may have any name
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    long, key = F.col(own_id).cast("long"), text_key(F.col(own_text).cast("string"))
+    marked = plain.join(kept, (key == F.col("_kept_key")) & long.eqNullSafe(F.col("_kept_id")), "left_semi")
+    once = marked.withColumn("_key", key).withColumn("_id", long).dropDuplicates(["_id", "_key"]).select(*names)
+    return once.union(plain.where(F.col(own_text).isNull())).toDF(*docs.columns)
 
 
 def classes_sql(least: float = 0.8) -> str:

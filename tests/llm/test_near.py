@@ -90,6 +90,9 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(docs)
 
 
+_OPEN = "bucket long, band int, key long, component long, size long, prints binary, largest long, rest long"
+
+
 def test_blocks_of_a_large_bucket_lose_no_pair(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 65536, 240).astype("<u2")
@@ -97,14 +100,14 @@ def test_blocks_of_a_large_bucket_lose_no_pair(spark):
     for k in range(60):
         p = base.copy()
         p[rng.random(240) < 0.1] = k
-        rows.append((7, 0, k, k // 20, 60, p.tobytes()))
-    df = spark.createDataFrame(rows, "bucket long, band int, key long, component long, size long, prints binary")
-    pairs = lambda block: {tuple(r) for r in probminhash._likely(df, 0.8, 240, 3.0, 6, block).collect()}
+        rows.append((7, 0, k, k // 20, 60, p.tobytes(), 2, 40))
+    df = spark.createDataFrame(rows, _OPEN)
+    pairs = lambda *block: {tuple(r) for r in probminhash._likely(df, 0.8, 240, 3.0, 6, block).collect()}
     mats = [np.frombuffer(r[5], dtype="<u2") for r in rows]
     first = lambda i, j: (mats[i] == mats[j]).reshape(40, 6).all(axis=1)
     enough = 240 * (0.8 - 3 * (0.16 / 240) ** 0.5)
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i // 20 != j // 20 and (mats[i] == mats[j]).sum() >= enough and first(i, j)[0]}
-    assert pairs(8192) == pairs(16) == pairs(7) == want
+    assert pairs(512, 8192) == pairs(16, 16) == pairs(1, 7) == want
 
 
 def _repeated(name, distinct, repeated, times):
@@ -134,7 +137,7 @@ def test_pairs_near_by_equal_weights_pass_the_prefilter(spark):
         for key, (buckets, prints) in enumerate(probminhash.Sketcher(40, 6, 5)(list(_repeated(f"b{k}", 200, 30, 50)))):
             rows += [(b, place % 40, key, key, 2, prints) for place, b in enumerate(buckets) if b is not None]
         shared = {r[0] for r in rows if r[2] == 0} & {r[0] for r in rows if r[2] == 1}
-        df = spark.createDataFrame([r for r in rows if r[0] in shared], "bucket long, band int, key long, component long, size long, prints binary")
+        df = spark.createDataFrame([(*r, 1, 1) for r in rows if r[0] in shared], _OPEN)
         found += {tuple(r) for r in probminhash._likely(df, 0.8, 240, 3.0, 6).collect()} == {(0, 1)}
     assert found == 12
 
@@ -153,6 +156,25 @@ def test_near_edges(spark):
     assert probminhash.classes(df.limit(0)).count() == 0 and probminhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_columns_named_like_internal_ones(spark):
+    names = ["doc_id", "_key", "_id", "text", "c0", "_kept_key", "key"]
+    df = spark.createDataFrame([(i, "k", i, "the same text of a few words", 1, "x", None) for i in (3, 1, 2)] + [(4, "k", 1, None, 1, "x", None)], "doc_id int, _key string, _id int, text string, c0 int, _kept_key string, key string")
+    kept = probminhash.keep_first(df)
+    assert kept.columns == names and kept.dtypes == df.dtypes and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_a_repeated_passage_lowers_only_the_weighted_similarity(spark):
+    """Texts that differ by how often a passage stands in them: no pair is lost (plain 0.85, weighted 0.5)."""
+    rng = random.Random(8)
+    docs = []
+    for k in range(40):
+        text = [f"t{k}w{rng.randrange(10**6)}" for _ in range(200)]
+        passage = [f"p{k}w{i}" for i in range(30)]
+        docs += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + passage * 200))]
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in probminhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r["key"]: r["component"] for r in comp.components(links).collect()}
