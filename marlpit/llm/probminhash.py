@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, uncut
 from .common import arrow_map, slices
 from .components import components
 from .shingles import Shingler, mix
@@ -207,8 +207,10 @@ def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, sl
     open_ = label.join(mixed, "bucket").join(prints, "key")
     likely = _likely(open_, least, bands * rows, slack, rows)
     fresh = cut(likely.join(tested, ["a", "b"], "left_anti").distinct(), "pairs")  # two buckets of a band may hold a pair
-    links = cut(links.union(_verified(fresh, carried, least, width)), "links")
-    return keyed.select("id", "key"), numbered, components(links)
+    every = cut(links.union(_verified(fresh, carried, least, width)), "links")
+    found = components(every)
+    uncut(members, carried, tested, links, fresh, every)
+    return keyed.select("id", "key"), numbered, found
 
 
 def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows: int, block: tuple[int, int] = (512, 8192)) -> DataFrame:
