@@ -205,23 +205,24 @@ def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, sl
     mixed = mixed.select("bucket", "size", F.col("top.component").alias("largest"), (F.col("size") - F.col("top.texts")).alias("rest"))
     prints = own(keyed, of).select("key", "prints").dropDuplicates(["key"])
     open_ = label.join(mixed, "bucket").join(prints, "key")
-    likely = _likely(open_, least, bands * rows, slack, rows)
-    fresh = cut(likely.join(tested, ["a", "b"], "left_anti").distinct(), "pairs")  # two buckets of a band may hold a pair
-    every = cut(links.union(_verified(fresh, carried, least, width)), "links")
+    tiles = cut(_likely(open_, least, bands * rows, slack, rows), "tiles")
+    every = cut(links.union(_linking(tiles, carried, least, width)), "links")
     found = components(every)
-    uncut(members, carried, tested, links, fresh, every)
+    uncut(members, carried, tested, links, tiles, every)
     return keyed.select("id", "key"), numbered, found
 
 
-def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows: int, block: tuple[int, int] = (512, 8192)) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose sketches agree often enough, each in its first bucket only.
+def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows: int, block: tuple[int, int] = (512, 1024)) -> DataFrame:
+    """Pairs of different components in a bucket whose sketches agree often enough, each in its first bucket only.
 
     ``open_`` holds bucket, band, key, component, prints, and of the bucket its size, its largest component and the
     rest, the texts outside of it. The rest is compared with all texts, either dealt over blocks of a 64th of the
-    bucket, but of no fewer and no more texts than ``block`` says: a task holds two blocks, whatever the bucket.
+    bucket, but of no fewer and no more texts than ``block`` says: a task holds two blocks, whatever the bucket. Two
+    blocks with such pairs make one row: bucket, low, high, and the pairs' keys a, b and components x, y as arrays.
     """
     enough = registers * (least - slack * (least * (1 - least) / registers) ** 0.5)
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("bucket", "low", "high")), *(T.StructField(c, longs) for c in "abxy")])
 
     def run(key, table):
         band = table.column("band")[0].as_py() if table.num_rows else 0
@@ -233,7 +234,7 @@ def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows:
         prints = np.frombuffer(b"".join(x[: 2 * registers] for x in held), dtype="<u2").reshape(len(keys), registers)
         plain = np.frombuffer(b"".join(x[-2 * registers :] for x in held), dtype="<u2").reshape(len(keys), registers) if both.any() else prints
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        found: list[tuple[int, int]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         step = max(1, (16 << 20) // (max(1, len(right)) * registers))
         for at in range(0, len(left), step):
             rows_ = left[at : at + step]
@@ -253,9 +254,13 @@ def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows:
                 for x, y in ((plain, plain), (prints, plain), (plain, prints)):
                     same |= (x[i] == y[j]).reshape(shape).all(axis=2)
             first = same.argmax(axis=1) == band
-            found += [(min(x, y), max(x, y)) for x, y in zip(keys[i[first]].tolist(), keys[j[first]].tolist(), strict=True)]
-        found = sorted(set(found))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+            found.append((i[first], j[first]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 2
+        if not len(i):
+            return pa.table({f.name: pa.array([], t) for f, t in zip(schema, [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4, strict=True)})
+        own = [pa.array([k.as_py()], pa.int64()) for k in key]
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (keys[i], keys[j], parts[i], parts[j])]
+        return pa.table(dict(zip(schema.names, own + lists, strict=True)))
 
     texts = F.least(F.lit(block[1]), F.greatest(F.lit(block[0]), F.col("size") / 64))
     sized = open_.withColumn("outside", F.col("component") != F.col("largest")).withColumn("lefts", F.ceil(F.col("rest") / texts).cast("int")).withColumn("rights", F.ceil(F.col("size") / texts).cast("int"))
@@ -267,6 +272,51 @@ def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows:
     return dealt.select("bucket", "band", "key", "component", "prints", "outside", "at.*").groupBy("bucket", "low", "high").applyInArrow(run, schema)
 
 
+class _Merged(dict):
+    """Components that were found to be one, by their least number."""
+
+    def top(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+
+def _linking(tiles: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """Pairs (a, b) of the tiles that are similar enough, but for those whose components others of their tile join.
+
+    A text goes to each tile that has a pair of it, once, however many pairs that are; pairs stay in their tile's row.
+    """
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    tile = ["bucket", "low", "high"]
+
+    def verified(pairs, sets) -> Iterator[tuple]:
+        merged = _Merged()
+        for a, b, x, y in zip(*pairs, strict=True):
+            x, y = merged.top(x), merged.top(y)
+            if x != y and max(similarities(sets[a], sets[b])) >= least - 1e-12:
+                merged[max(x, y)] = min(x, y)
+                yield a, b
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        shingler = Shingler(width)
+        pairs, sets = [[]] * 4, {}
+        for b in slices(batches, 64):
+            keys, held = b.column(3).to_pylist(), b.column(4).to_pylist()
+            text, element, weight = weighted(*shingler(held))
+            ends = np.searchsorted(text, np.arange(len(held) + 1))
+            for i, key in enumerate(keys):
+                if key is None:  # a tile's pairs come before its texts
+                    yield from verified(pairs, sets)
+                    pairs, sets = [b.column(c)[i].as_py() for c in range(5, 9)], {}
+                else:
+                    sets[key] = element[ends[i] : ends[i + 1]].copy(), weight[ends[i] : ends[i + 1]].copy()
+        yield from verified(pairs, sets)
+
+    held = tiles.select(*tile, F.explode(F.array_distinct(F.concat("a", "b"))).alias("key")).join(texts, "key").select(*tile, "key", "text")
+    rows = tiles.select(*tile, F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("text"), *"abxy").unionByName(held, allowMissingColumns=True)
+    return arrow_map(rows.repartition(*tile).sortWithinPartitions(*tile, F.col("key").asc_nulls_first()), run, schema)
+
+
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("key"), text.alias("text"))

@@ -93,6 +93,12 @@ def test_classes_equal_brute_force(spark):
 _OPEN = "bucket long, band int, key long, component long, size long, prints binary, largest long, rest long"
 
 
+def _pairs(tiles):
+    found = [(min(p), max(p)) for r in tiles.collect() for p in zip(r["a"], r["b"], strict=True)]
+    assert len(found) == len(set(found))
+    return set(found)
+
+
 def test_blocks_of_a_large_bucket_lose_no_pair(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 65536, 240).astype("<u2")
@@ -102,7 +108,7 @@ def test_blocks_of_a_large_bucket_lose_no_pair(spark):
         p[rng.random(240) < 0.1] = k
         rows.append((7, 0, k, k // 20, 60, p.tobytes(), 2, 40))
     df = spark.createDataFrame(rows, _OPEN)
-    pairs = lambda *block: {tuple(r) for r in probminhash._likely(df, 0.8, 240, 3.0, 6, block).collect()}
+    pairs = lambda *block: _pairs(probminhash._likely(df, 0.8, 240, 3.0, 6, block))
     mats = [np.frombuffer(r[5], dtype="<u2") for r in rows]
     first = lambda i, j: (mats[i] == mats[j]).reshape(40, 6).all(axis=1)
     enough = 240 * (0.8 - 3 * (0.16 / 240) ** 0.5)
@@ -138,7 +144,7 @@ def test_pairs_near_by_equal_weights_pass_the_prefilter(spark):
             rows += [(b, place % 40, key, key, 2, prints) for place, b in enumerate(buckets) if b is not None]
         shared = {r[0] for r in rows if r[2] == 0} & {r[0] for r in rows if r[2] == 1}
         df = spark.createDataFrame([(*r, 1, 1) for r in rows if r[0] in shared], _OPEN)
-        found += {tuple(r) for r in probminhash._likely(df, 0.8, 240, 3.0, 6).collect()} == {(0, 1)}
+        found += _pairs(probminhash._likely(df, 0.8, 240, 3.0, 6)) == {(0, 1)}
     assert found == 12
 
 
@@ -156,6 +162,22 @@ def test_near_edges(spark):
     assert probminhash.classes(df.limit(0)).count() == 0 and probminhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_pairs_of_tiles_are_verified_exactly(spark):
+    docs = _near_copies(11, groups=3, size=10)
+    texts = spark.createDataFrame(docs, "key long, text string")
+    ids = range(len(docs))
+    lists = lambda rows: tuple(map(list, zip(*[(a, b, a, b) for a, b in rows])))
+    every = [(a, b) for a in ids for b in ids if a < b]
+    tiles = spark.createDataFrame([(k, 0, 0, *lists(every[k::1])) for k in range(1)], "bucket long, low long, high long, a array<long>, b array<long>, x array<long>, y array<long>")
+    got = probminhash._linking(tiles, texts, 0.8, 5)
+    near = {(a, b) for a, b in every if len(grams(docs[a][1]) & grams(docs[b][1])) >= 0.8 * len(grams(docs[a][1]) | grams(docs[b][1]))}
+    links = {tuple(r) for r in got.collect()}
+    assert links <= near and len(links) < len(near)
+    joined = {r["key"]: r["component"] for r in comp.components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    want = brute_classes(docs)
+    assert all(joined.get(i, i) == want[i][0] for i in ids)
+
+
 def test_columns_named_like_internal_ones(spark):
     names = ["doc_id", "_key", "_id", "text", "c0", "_kept_key", "key"]
     df = spark.createDataFrame([(i, "k", i, "the same text of a few words", 1, "x", None) for i in (3, 1, 2)] + [(4, "k", 1, None, 1, "x", None)], "doc_id int, _key string, _id int, text string, c0 int, _kept_key string, key string")
