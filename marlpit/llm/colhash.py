@@ -52,7 +52,7 @@ class Shard:
         projected = (extended @ self.directions.T).T
         order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, order, axis=1)
-        self.order = order.astype(np.uint16 if len(ids) <= 65_536 else np.uint32)
+        self.order = order
         p = math.erf(1 / math.sqrt(2))  # a vector at distance R is within R of the query along a direction this often
         self.threshold = max(1, math.floor(hashes * p - misses * math.sqrt(hashes * p * (1 - p))))
         steps = math.ceil(math.log(2.01 / 0.2) / math.log(ratio))
