@@ -1,14 +1,20 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), with docs in the columns of the table ``documents``; all but the last return
-those columns. Stages work row by row or by text, so null ids, repeated rows and empty tables pass through them as
-their operators define. A document goes when it holds no letter or its language is told with a mean probability under
-``LEAST_LANGUAGE``, when its toxicity reaches 0.3, when a nearly equal document with a smaller id stays, or when it
+those columns. A document goes when it holds no letter or reads like no language (a mean probability under
+``LEAST_LANGUAGE``), when its toxicity reaches 0.3, when a nearly equal document with a smaller id stays, or when it
 holds 0.8 of the five-word shingles of a benchmark item.
+
+Defined results: a null text goes in the first stage, as does an empty one; null ids pass through all stages, and come
+first where the smallest id stays; of repeated rows, and of equal texts, one stays; very long texts are read whole;
+extra columns, whatever their names, are carried until packing; empty tables pass through. What cannot be learned
+rejects nothing, with a warning: without a labelled language every text with a letter stays, and without toxicity
+labels of both values every text.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +23,7 @@ from marlpit.llm import containment, langid, packing, probminhash, toxicity
 from marlpit.llm.common import table
 from marlpit.session import cut
 
-LEAST_LANGUAGE = 0.3
+LEAST_LANGUAGE = 0.05
 
 #: No stage but decontamination is SQL; the whole is tested stage by stage.
 ORACLE_SQL: str | None = None
@@ -25,12 +31,17 @@ ORACLE_SQL: str | None = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = langid.fit(docs.where(langid.fold("doc_id", 5) != 0))
+    if network is None:
+        warnings.warn("no document has a language: all texts with a letter stay", stacklevel=2)
     return langid.keep_identified(docs, network, least=LEAST_LANGUAGE)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(langid.fold("doc_id", 4) != 2)
-    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+    classifier = toxicity.fit(docs, labels)
+    if classifier is None:
+        warnings.warn("toxicity labels lack one of the two values: all texts stay", stacklevel=2)
+    return toxicity.keep_clean(docs, classifier)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
