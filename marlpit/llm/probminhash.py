@@ -212,7 +212,7 @@ def _labels(docs: DataFrame, least: float, bands: int, rows: int, width: int, sl
     return keyed.select("id", "key"), numbered, found
 
 
-def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows: int, block: tuple[int, int] = (512, 1024)) -> DataFrame:
+def _likely(open_: DataFrame, least: float, registers: int, slack: float, rows: int, block: tuple[int, int] = (256, 1024)) -> DataFrame:
     """Pairs of different components in a bucket whose sketches agree often enough, each in its first bucket only.
 
     ``open_`` holds bucket, band, key, component, prints, and of the bucket its size, its largest component and the

@@ -1,6 +1,7 @@
 """Stages keep the columns and the clean documents, and take what was planted."""
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,41 @@ def test_stages(spark, planted):
     assert ids(packed) == ids(docs)
 
 
+def test_junk_goes_and_clean_texts_stay(spark, planted):
+    sf, _ = planted
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and doc_id < 9000")
+    rng = np.random.default_rng(3)
+    junk = [(20_000 + i, " ".join("".join(map(chr, rng.integers(97, 123, int(rng.integers(4, 11))))) for _ in range(120)), None, "p", 1) for i in range(10)]
+    kept = {r["doc_id"] for r in cp.identify_language(spark, docs.unionByName(spark.createDataFrame(junk, docs.schema)), sf).select("doc_id").collect()}
+    assert len([i for i in kept if i >= 20_000]) <= 1
+    clean = {r["doc_id"] for r in docs.where("text rlike '[a-zA-Z]'").collect()}
+    assert len(clean - kept) <= len(clean) / 500
+
+
+def test_without_labels_nothing_is_rejected(spark, planted, tmp_path):
+    sf, _ = planted
+    out = f"file://{tmp_path}"
+    spark.read.parquet(f"{sf}/labels.parquet").withColumn("toxic", F.lit(0)).write.parquet(f"{out}/labels.parquet")
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12", None), (3, None, None), (None, "other words", None)], "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="language"):
+        kept = cp.identify_language(spark, docs, out)
+    assert {r["doc_id"] for r in kept.collect()} == {1, None}
+    with pytest.warns(UserWarning, match="toxicity"):
+        assert cp.drop_toxic(spark, docs, out).count() == 4
+
+
+def test_extra_columns_with_names_of_internals(spark, planted):
+    sf, _ = planted
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    for c in ("_key", "_id", "key", "id", "h", "bucket", "c0", "score", "lang_pred", "_kept_id", "number"):
+        docs = docs.withColumn(c, F.lit(c))
+    docs = cut(docs, "named")
+    for _, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns and after.count() > 0
+    assert cp.STAGES[-1][1](spark, docs, sf).count() >= 40
+
+
 def test_empty_documents(spark, planted):
     sf, _ = planted
     docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.lit(False))
