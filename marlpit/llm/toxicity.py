@@ -1,11 +1,12 @@
 """Toxicity by a convolutional text classifier.
 
-A word's vector is the sum of two hashed embeddings, of the word and of its first letters; words and beginnings that
-the training texts lack share the zero vector. Filters of several widths run over the whole text, each filter's
-greatest activation is kept, and a logistic layer gives the probability. Everything is trained in numpy on a bounded
-sample of labelled rows. A threshold is calibrated for each language on rows of the sample held back from training,
-the language being told from the words themselves (naive Bayes over the same hashed words); scores are shifted so that
-the language's threshold lies at ``cut_off``.
+A word's vector is the sum of two hashed embeddings, of the word and of its first letters, so a word that training
+lacked has the vector of its buckets. Filters of several widths run over the whole text, each filter's greatest
+activation is kept, and a logistic layer gives the probability. Everything starts from random weights and is trained in
+numpy on a bounded sample of labelled rows; words are left out at random, so that each word gets its turn as a text's
+greatest. A threshold is calibrated for each language on rows of the sample held back from training, the language being
+told from the words themselves (naive Bayes over the same hashed words); scores are shifted so that the language's
+threshold lies at ``cut_off``.
 
 In prediction the filters' products with every word vector are computed once, so a text costs gathers and sums.
 
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 from .common import arrow_map, fitting, map_batches, slices, words
 
 WIDTHS = (1, 2, 3)
+#: A sample is read so often at least, a smaller one until there were ``STEPS`` steps, but ``MOST_EPOCHS`` times at most.
+EPOCHS, STEPS, MOST_EPOCHS = 8, 800, 30
 _MEMO = 200_000
 _RUN = 1 << 17
 
@@ -48,77 +51,41 @@ def _sigmoid(x):
 
 
 class Classifier:
-    """Word table, convolution and calibration; ``rows`` maps words and beginnings seen in training to table rows."""
+    """Word table, convolution and calibration."""
 
     def __init__(self, buckets: int = 1 << 18, size: int = 16, filters: int = 8, beginning: int = 4, cut_off: float = 0.3, seed: int = 9):
         self.buckets, self.size, self.filters, self.beginning, self.cut_off = buckets, size, filters, beginning, cut_off
         rng = np.random.default_rng(seed)
-        self.seen = np.zeros(0, dtype=np.uint64)  # hashes of trained words and beginnings, sorted
-        self.table = np.zeros((0, size), dtype=np.float32)  # of the buckets in use
-        self.bucket = np.zeros(0, dtype=np.int64)  # by bucket in use, sorted
-        self.conv = {w: rng.normal(0, 0.5 / np.sqrt(w * size), (w * size, filters)).astype(np.float32) for w in WIDTHS}
-        for w in WIDTHS:
-            self.conv[w][:size] += np.eye(size, filters, dtype=np.float32)
+        self.table = rng.normal(0, 0.1, (buckets + 1, size)).astype(np.float32)
+        self.table[-1] = 0  # of no word
+        self.conv = {w: rng.normal(0, 1 / np.sqrt(w * size), (w * size, filters)).astype(np.float32) for w in WIDTHS}
         self.bias = {w: np.zeros(filters, dtype=np.float32) for w in WIDTHS}
-        self.out = np.full(len(WIDTHS) * filters, 0.1, dtype=np.float32)
-        self.c = np.float32(-2)
+        self.out = rng.normal(0, 0.3, len(WIDTHS) * filters).astype(np.float32)
+        self.c = np.float32(0)
         self.languages: list[str] = []
-        self.language_rows = np.zeros((0, 0), dtype=np.float32)
+        self.language_rows = np.zeros((buckets + 1, 0), dtype=np.float32)
         self.prior = np.zeros(0)
         self.cuts: dict[str, float] = {}
 
-    # -- words to vectors -------------------------------------------------
     def features(self, word: str) -> tuple[int, int]:
-        return _hash(word, 0), _hash(word[: self.beginning], 1)
-
-    def _row(self, h: int) -> int:
-        """The row of a feature's bucket, -1 for one that training lacked."""
-        at = int(np.searchsorted(self.seen, np.uint64(h)))
-        if at == len(self.seen) or int(self.seen[at]) != h:
-            return -1
-        return int(np.searchsorted(self.bucket, h % self.buckets))
+        """The buckets of the word and of its beginning."""
+        return _hash(word, 0) % self.buckets, _hash(word[: self.beginning], 1) % self.buckets
 
     # -- training ----------------------------------------------------------
-    def train(self, texts: list[str], labels: np.ndarray, langs: list[str | None], epochs: int = 4, rate: float = 0.02, least_docs: int = 3, seed: int = 2) -> None:
+    def train(self, texts: list[str], labels: np.ndarray, langs: list[str | None], epochs: int | None = None, rate: float = 0.01, table_rate: float = 0.1, left_out: float = 0.3, seed: int = 2) -> None:
         known: dict[str, tuple[int, int]] = {}
-        features, present = [], []
+        ids = []
         for text in texts:
             if len(known) > 100_000:
                 known.clear()
             ws = words(text)
             known.update((w, self.features(w)) for w in set(ws).difference(known))
-            features.append(np.array([known[w] for w in ws], dtype=np.uint64).reshape(-1, 2))
-            present.append(np.unique(features[-1]))
+            ids.append(np.array([known[w] for w in ws], dtype=np.int32).reshape(-1, 2))
         del known
-        both = [np.unique(np.concatenate([p for p, y in zip(present, labels, strict=True) if y == k]), return_counts=True) for k in (0, 1)]
-        del present
-        every = np.union1d(both[0][0], both[1][0])
-        docs_with = np.zeros((len(every), 2))
-        for k, (h, n) in enumerate(both):
-            docs_with[np.searchsorted(every, h), k] = n
-        enough = docs_with.sum(axis=1) >= least_docs
-        kept, docs_with = every[enough], docs_with[enough]
-        self.seen = kept
-        self.bucket = np.unique(kept % np.uint64(self.buckets)).astype(np.int64)
         rng = np.random.default_rng(seed)
-        self.table = rng.normal(0, 0.01, (len(self.bucket) + 1, self.size)).astype(np.float32)
-        # the first component starts from how much more often, at least, the bucket's words are in texts of label 1
-        counts = np.zeros((len(self.bucket), 2))
-        rows = np.searchsorted(self.bucket, (kept % np.uint64(self.buckets)).astype(np.int64))
-        np.add.at(counts, rows, docs_with)
-        share = (counts + 0.5) / (np.bincount(labels, minlength=2) + 1)
-        certain = np.log(share[:, 1] / share[:, 0]) - 1.5 * np.sqrt((1 / (counts + 0.5)).sum(axis=1))
-        self.table[:-1, 0] += np.clip(certain / 2, 0, 2)
-        self.table[-1] = 0
-        ids = []
-        while features:
-            f = features.pop(0)
-            at = np.minimum(np.searchsorted(kept, f), max(0, len(kept) - 1))
-            there = kept[at] == f if len(kept) else np.zeros(f.shape, dtype=bool)
-            ids.append(np.where(there, np.searchsorted(self.bucket, (f % np.uint64(self.buckets)).astype(np.int64)), len(self.bucket)).astype(np.int32))
         self._fit_languages(ids, langs)
         held = rng.random(len(ids)) < 0.2
-        self._descend([ids[i] for i in np.flatnonzero(~held)], labels[~held], epochs, rate, rng)
+        self._descend([ids[i] for i in np.flatnonzero(~held)], labels[~held], epochs, rate, table_rate, left_out, rng)
         self._calibrate([ids[i] for i in np.flatnonzero(held)], labels[held], [ids[i] for i in np.flatnonzero(~held)], labels[~held])
 
     def _fit_languages(self, ids: list[np.ndarray], langs: list[str | None]) -> None:
@@ -130,8 +97,9 @@ class Classifier:
                 k = self.languages.index(lang)
                 totals[k] += 1
                 np.add.at(counts[:, k], own[:, 0], 1)
-        self.language_rows = np.log(counts / counts.sum(axis=0)).astype(np.float32) if self.languages else np.zeros((len(self.table), 0), dtype=np.float32)
-        self.language_rows[-1:] = 0  # unknown words say nothing
+        self.language_rows = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+        self.language_rows -= self.language_rows.mean(axis=1, keepdims=True) if self.languages else 0
+        self.language_rows[counts.sum(axis=1) < 0.3 * len(self.languages)] = 0  # words never seen say nothing
         self.prior = np.log(totals / totals.sum())
 
     def _pooled(self, vectors: np.ndarray, starts: np.ndarray):
@@ -152,7 +120,7 @@ class Classifier:
 
     def _spread(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' rows one after another, each followed by zero vectors; and where each begins."""
-        gap = np.full((max(WIDTHS), 2), len(self.bucket))
+        gap = np.full((max(WIDTHS), 2), self.buckets)
         joined = np.concatenate([x for own in ids for x in (own, gap)])
         sizes = np.array([len(x) + max(WIDTHS) for x in ids])
         return joined, np.cumsum(sizes) - sizes
@@ -165,26 +133,32 @@ class Classifier:
         hidden = np.concatenate([np.tanh(b + self.bias[w]) for b, w in zip(best, WIDTHS, strict=True)], axis=1)
         return joined, vectors, where, hidden, _sigmoid(hidden @ self.out + self.c)
 
-    def _descend(self, ids: list[np.ndarray], labels: np.ndarray, epochs: int, rate: float, rng: np.random.Generator) -> None:
+    def _descend(self, ids: list[np.ndarray], labels: np.ndarray, epochs: int | None, rate: float, table_rate: float, left_out: float, rng: np.random.Generator) -> None:
+        """Adam on the filters and the output, steps scaled by past gradients on the words' rows."""
         if not len(ids):
             return
         square = np.zeros_like(self.table)
         state: dict = {}
 
-        def adam(key, value, grad, t):
+        def adam(key, value, grad, t, slower):
             m, v = state.get(key, (np.zeros_like(value), np.zeros_like(value)))
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             state[key] = m, v
-            return (value - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            return (value - slower * rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
 
         heavy = np.where(labels == 1, (labels == 0).sum() / max(1, (labels == 1).sum()), 1.0) ** 0.5
-        t = 0
+        batch = max(8, min(64, len(ids) // 40))
+        once = -(-len(ids) // batch)
+        epochs = min(MOST_EPOCHS, max(EPOCHS, -(-STEPS // once))) if epochs is None else epochs
+        steps, t = epochs * once, 0
         for _ in range(epochs):
             order = rng.permutation(len(ids))
-            for a in range(0, len(order), 64):
-                rows = order[a : a + 64]
+            for a in range(0, len(order), batch):
+                rows = order[a : a + batch]
                 t += 1
-                joined, vectors, where, hidden, p = self._forward([ids[i] for i in rows])
+                slower = 1 - 0.9 * t / steps
+                seen = [np.where((rng.random(len(ids[i])) < left_out)[:, None], self.buckets, ids[i]) for i in rows]
+                joined, vectors, where, hidden, p = self._forward(seen)
                 delta = ((p - labels[rows]) * heavy[rows] / len(rows)).astype(np.float32)
                 g_hidden = delta[:, None] * self.out[None, :] * (1 - hidden**2)
                 out, c = hidden.T @ delta, delta.sum()
@@ -197,22 +171,19 @@ class Classifier:
                         block = slice(k * self.size, (k + 1) * self.size)
                         conv[block] = np.einsum("bf,bfs->sf", g, vectors[at + k])
                         spread = (g[:, :, None] * self.conv[w][block].T[None]).reshape(-1, self.size)
-                        place = np.minimum(at + k, len(joined) - 1).ravel()
-                        touched.append(joined[place])
+                        touched.append(joined[np.minimum(at + k, len(joined) - 1).ravel()])
                         pushed.append(spread)
-                    self.conv[w] = adam(("w", w), self.conv[w], conv, t)
-                    self.bias[w] = adam(("b", w), self.bias[w], g.sum(axis=0), t)
-                self.out = adam("out", self.out, out, t)
-                self.c = adam("c", np.asarray(self.c), np.asarray(c), t)
-                both = np.concatenate(touched)
-                grad = np.concatenate(pushed)
+                    self.conv[w] = adam(("w", w), self.conv[w], conv, t, slower)
+                    self.bias[w] = adam(("b", w), self.bias[w], g.sum(axis=0), t, slower)
+                self.out = adam("out", self.out, out, t, slower)
+                self.c = adam("c", np.asarray(self.c), np.asarray(c), t, slower)
+                both, grad = np.concatenate(touched), np.concatenate(pushed)
                 rows_, back = np.unique(both.ravel(), return_inverse=True)
                 total = np.zeros((len(rows_), self.size), dtype=np.float32)
                 np.add.at(total, back.reshape(-1), np.repeat(grad, 2, axis=0))
-                inner = rows_ < len(self.bucket)
-                rows_, total = rows_[inner], total[inner]
+                rows_, total = rows_[rows_ < self.buckets], total[rows_ < self.buckets]
                 square[rows_] += total**2
-                self.table[rows_] -= rate * total / (np.sqrt(square[rows_]) + 1e-6)
+                self.table[rows_] -= slower * table_rate * total / (np.sqrt(square[rows_]) + 1e-6)
 
     def _predict(self, ids: list[np.ndarray]) -> tuple[np.ndarray, list[str]]:
         p, langs = [], []
@@ -261,24 +232,17 @@ class Scorer:
         self.row_of: dict[str, int] = {}
         if c is None:
             return
-        self.pairs: dict[tuple[int, int], int] = {(-1, -1): 0}
         self.products = np.zeros((1, sum(WIDTHS) * c.filters), dtype=np.float32)
         self.language = np.zeros((1, len(c.languages)), dtype=np.float32)
         self.weights = np.concatenate([c.conv[w][k * c.size : (k + 1) * c.size] for w in WIDTHS for k in range(w)], axis=1)
 
-    def _learn(self, new: set[str]) -> None:
-        c, fresh = self.c, []
-        for w in new:
-            rows = tuple(c._row(h) for h in c.features(w))
-            at = self.pairs.get(rows)
-            if at is None:
-                at = self.pairs[rows] = len(self.pairs)
-                fresh.append(rows)
-            self.row_of[w] = at
-        if fresh:
-            at = np.array(fresh)
-            self.products = np.concatenate([self.products, (c.table[at[:, 0]] + c.table[at[:, 1]]) @ self.weights])
-            self.language = np.concatenate([self.language, c.language_rows[at[:, 0]]])
+    def _learn(self, new: list[str]) -> None:
+        """Rows of words, behind row 0, which is of no word."""
+        c = self.c
+        self.row_of.update(zip(new, range(len(self.products), len(self.products) + len(new)), strict=True))
+        at = np.array([c.features(w) for w in new], dtype=np.int64).reshape(-1, 2)
+        self.products = np.concatenate([self.products, (c.table[at[:, 0]] + c.table[at[:, 1]]) @ self.weights])
+        self.language = np.concatenate([self.language, c.language_rows[at[:, 0]]])
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         c = self.c
@@ -287,7 +251,9 @@ class Scorer:
         split = [words(t) for t in texts]
         if len(self.row_of) > _MEMO:
             self.row_of.clear()
-        self._learn(set(chain.from_iterable(split)).difference(self.row_of))
+            self.products, self.language = self.products[:1], self.language[:1]
+        if new := list(set(chain.from_iterable(split)).difference(self.row_of)):
+            self._learn(new)
         scores: list[float] = []
         a = 0
         while a < len(split):

@@ -129,17 +129,45 @@ def test_held_out_toxicity(spark, classifier):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_training_beats_the_untrained_network(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").where("toxic is not null and text is not null").orderBy("doc_id").collect()
+    learn, held = rows[: 3 * len(rows) // 4], rows[3 * len(rows) // 4 :]
+    found = []
+    for epochs in (0, None):
+        c = toxicity.Classifier()
+        c.train([r["text"] for r in learn], np.array([r["toxic"] for r in learn]), [r["lang"] for r in learn], epochs=epochs)
+        score = np.array(toxicity.Scorer(c)([r["text"] for r in held]))
+        toxic = np.array([r["toxic"] for r in held]) == 1
+        found.append(((score >= 0.3)[toxic].mean(), (score >= 0.3)[~toxic].mean()))
+    assert found[1][0] > 0.8 and found[1][1] < 0.02 and found[0][0] < 0.3
+
+
+def test_words_never_seen_have_the_vectors_of_their_buckets(classifier):
+    at = classifier.features("neverseenwordofanykind")
+    assert np.abs(classifier.table[list(at)]).sum(axis=1).min() > 0 and classifier.features("neverseen")[1] == at[1]
+    scorer = toxicity.Scorer(classifier)
+    assert scorer(["neverseenwordofanykind"]) != scorer([""])
+
+
 def test_scorer_equals_the_plain_network(classifier):
-    texts = ["the stupid idiot", "", None, "a", "thea the of " * 30, "moron"]
+    texts = ["the stupid idiot", "", None, "a", "thea the of " * 30, "moron", "moron"]
     got = toxicity.Scorer(classifier)(texts)
+    assert got[-1] == got[-2]
     for t, s in zip(texts, got, strict=True):
-        ids = np.array([[classifier._row(h) for h in classifier.features(w)] for w in toxicity.words(t)], dtype=np.int64).reshape(-1, 2)
-        ids = np.where(ids < 0, len(classifier.bucket), ids)
+        ids = np.array([classifier.features(w) for w in toxicity.words(t)], dtype=np.int64).reshape(-1, 2)
         p = classifier._forward([ids])[-1][0]
         lang = classifier._language(classifier.language_rows[ids[:, 0]].sum(axis=0))
         assert s == pytest.approx(classifier.shifted(np.log(p / (1 - p)), [lang])[0], abs=1e-3)
 
 
+def test_labels_with_clashing_columns(spark, classifier):
+    docs = spark.createDataFrame([(i, f"{'wretched vermin' if i % 2 else 'pleasant walk'} number{i}", "en", i % 2) for i in range(60)], "doc_id long, text string, lang string, toxic int")
+    labels = spark.createDataFrame([(i, i % 2, "x", "y") for i in range(60)] + [(None, 1, "x", "y"), (1, None, "x", "y")], "doc_id long, toxic int, text string, lang string")
+    found = toxicity.fit(docs, labels)
+    assert {r["doc_id"] for r in toxicity.scores(docs, found).where("predicted = 1").collect()} == set(range(1, 60, 2))
+
+
 def test_toxicity_edges(spark, classifier):
     df = spark.createDataFrame([(i if i else None, t, 1) for i, t in enumerate(EDGE)], "doc_id long, text string, predicted int")
     got = toxicity.scores(df, classifier).collect()
