@@ -62,6 +62,10 @@ def place(df: DataFrame, key_col: str, shards: Sequence[str], slots: int = 65_53
 
 
 def write_shards(df: DataFrame, path: str, key_col: str, shards: Sequence[str], slots: int = 65_537) -> None:
-    """Write ``df`` as Parquet with one folder per shard; each task writes only the shards of its slots."""
+    """Write ``df`` as Parquet with one folder per shard; each task writes only the shards of its slots.
+
+    Rows of one slot are ordered by a hash of the whole row, so that a hot key's shard is written by several tasks.
+    """
     placed = place(df, key_col, shards, slots)
-    placed.repartitionByRange("shard", "slot").write.partitionBy("shard").parquet(path)
+    plain = [F.col(f"`{f.name}`") for f in placed.schema.fields if "map<" not in f.dataType.simpleString()]
+    placed.repartitionByRange("shard", "slot", F.xxhash64(*plain)).write.partitionBy("shard").parquet(path)

@@ -58,6 +58,23 @@ def test_place(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/o").count() == 4
 
 
+def test_long_and_hot_keys(spark, tmp_path):
+    long = "k" * 1_000_000
+    df = spark.createDataFrame([(long if i % 3 == 0 else str(i), i, {"a": i}) for i in range(300)], "k string, v int, m map<string,int>")
+    got = shardtable.place(df, "k", ["x", "y"], 101)
+    assert len({r["shard"] for r in got.where(F.length("k") > 10).select("shard").collect()}) == 1 and got.count() == 300
+    shardtable.write_shards(df, f"file://{tmp_path}/o", "k", ["x", "y"], 101)
+    assert spark.read.parquet(f"file://{tmp_path}/o").select("v").distinct().count() == 300
+
+
+def test_licences_in_long_and_repeated_texts(spark):
+    mit = licences.KNOWN["MIT"][1]
+    long = "word, " * 300_000
+    df = spark.createDataFrame([(1, mit), (1, mit), (2, long), (3, mit + "\n" * 500_000 + " "), (4, mit.replace("\n", "\r\n"))], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["licence"] or "") for r in licences.scan(df).collect())
+    assert got == [(1, "MIT"), (1, "MIT"), (2, ""), (3, "MIT"), (4, "MIT")]
+
+
 def test_placement_query_equals_table(spark, tiny):
     from marlpit.llm.queries import queries
 

@@ -241,3 +241,14 @@ def test_containment_edges(spark):
     kept = containment.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5]
     assert containment.find(docs.limit(0), items).count() == 0 and containment.find(docs, items.limit(0)).count() == 0
+
+
+def test_containment_in_a_very_long_text_and_repeated_rows(spark):
+    rng = random.Random(9)
+    item = " ".join(f"i{k}" for k in range(40))
+    filler = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    docs = spark.createDataFrame([(1, f"{filler} {item} {filler}"), (2, filler), (3, item), (3, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["shared"]) for r in containment.find(docs, items).collect())
+    assert got == [(1, 7, 36)] * 2 + [(3, 7, 36)] * 4  # each pair of rows for itself
+    assert [r["doc_id"] for r in containment.drop_contaminated(docs, items).collect()] == [2]
