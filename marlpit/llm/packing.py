@@ -34,6 +34,9 @@ from .common import arrow_map, slices
 #: Characters whose handling by the tokenizer's normaliser and splitter is reproduced here; other texts go through it whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0370-\u03a2\u03a4-\u052f\u2010-\u2027\u20ac]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+# How a tokenizer must normalise and split for its words to be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Most words, and pieces of words, that a Python worker remembers.
 _MEMO, _PIECE_MEMO = 500_000, 500_000
 
@@ -54,8 +57,9 @@ _SCHEMA = T.StructType(
 class WordTokens:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    No token of this kind of tokenizer spans white space, so the ids of each word are remembered. New words are split
-    into the tokenizer's pieces, and new pieces encoded together; a piece ends at a token that closes a word.
+    Where a tokenizer of words with an end mark normalises and splits as is known here, no token spans white space, and
+    the ids of each word are remembered. New words are split into the tokenizer's pieces, and new pieces encoded
+    together; a piece ends at a token that closes a word. Texts go through any other tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -63,9 +67,14 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        own = json.loads(self.tokenizer.to_str())
+        suffix = own["model"].get("end_of_word_suffix")
+        splits = [x.get("pattern", {}).get("Regex") for x in (own["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        special = all(x["content"].startswith("<|") for x in own["added_tokens"])
+        self.by_word = bool(suffix) and own["normalizer"] == _NORMALIZER and splits == [_SPLITTER, None] and special
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        if self.by_word:
+            self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -94,7 +103,7 @@ class WordTokens:
         for text in texts:
             if not text:
                 found.append([])
-            elif "<|" in text or _PLAIN.fullmatch(text) is None:
+            elif not self.by_word or "<|" in text or _PLAIN.fullmatch(text) is None:
                 found.append([self._encode([text])[0].tobytes()])
             else:
                 words = unicodedata.normalize("NFC", text).lower().split()

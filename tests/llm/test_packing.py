@@ -28,6 +28,26 @@ def test_ids_are_the_tokenizers(tokenizer, t):
     assert list(own([t, None, t])) == [want, b"", want]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    assert packing._word_tokens(PATH).by_word
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing._word_tokens(path), Tokenizer.from_file(path)
+    assert not own.by_word
+    for t in ("Some words, and  spaces\n", "Größe 12", "", None):
+        want = np.array(plain.encode(t, add_special_tokens=False).ids if t else [], dtype="<u4").tobytes()
+        assert list(own([t])) == [want]
+
+
+def test_a_word_tokenizer_that_splits_otherwise(tmp_path):
+    import json
+
+    data = json.loads(open(PATH, encoding="utf-8").read())
+    data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\s]+"
+    (tmp_path / "t.json").write_text(json.dumps(data), encoding="utf-8")
+    own, plain = packing.WordTokens(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not own.by_word and list(own(["it's 12 o'clock"])) == [np.array(plain.encode("it's 12 o'clock", add_special_tokens=False).ids, dtype="<u4").tobytes()]
+
+
 def check(rows, docs, tokenizer, window):
     """Every id in exactly one piece, sequences gapless and at most the window; returns the share of padding."""
     by_doc, by_sequence = {}, {}
@@ -80,3 +100,12 @@ def test_edges(spark, tokenizer):
     twice = [r.asDict() for r in packing.pack(df.where("doc_id = 1").union(df.where("doc_id = 1")), PATH).collect()]
     assert sorted((r["start"], r["length"]) for r in twice) == [(0, 1), (0, 1)] or len(twice) == 2
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_ties_between_windows_go_to_the_first():
+    windows = packing._Windows(10, 4, 0, 0)
+    data = lambda n: np.arange(n, dtype="<u4").tobytes()
+    for doc in ("a", "b", "c"):
+        assert list(windows.place(doc, 0, data(6), 6)) == []
+    assert list(windows.place("d", 0, data(3), 3)) == []
+    assert [[p[0] for p in w[1]] for w in windows.open] == [["a", "d"], ["b"], ["c"]]
