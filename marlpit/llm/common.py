@@ -55,8 +55,28 @@ def give_back() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow``, shipping this package and giving memory back after each task.
+#: What a worker remembers from task to task, by the module that does, and the module whose tasks it ran last.
+_MEMORIES: dict[str, Callable[[], None]] = {}
+_last = ""
+
+
+def remembers(module: str, forget: Callable[[], None]) -> None:
+    """``forget`` is called in a worker before it runs tasks of another module."""
+    _MEMORIES[module] = forget
+
+
+def _begin(module: str) -> None:
+    global _last
+    if _last and _last != module:
+        for name, forget in _MEMORIES.items():
+            if name != module:
+                forget()
+        give_back()
+    _last = module
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType, module: str | None = None) -> DataFrame:
+    """``mapInArrow``, shipping this package and giving memory back after each task, and before it what other modules remember.
 
     Texts are long, so the session's rows a batch are lowered to ``BATCH_ROWS`` where they are more.
     """
@@ -65,7 +85,12 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
+    module = module or f.__module__
+
     def run(batches):
+        from marlpit.llm import common  # the worker's own, not what is pickled with this function
+
+        common._begin(module)
         yield from f(batches)
         give_back()
 
@@ -86,7 +111,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[tu
         if held:
             yield _batch(held, arrow)
 
-    return map_batches(df, run, schema)
+    return map_batches(df, run, schema, f.__module__)
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, ship
-from .common import arrow_map, slices
+from .common import arrow_map, remembers, slices
 
 #: Characters whose handling by the tokenizer's normaliser and splitter is reproduced here; other texts go through it whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0370-\u03a2\u03a4-\u052f\u2010-\u2027\u20ac]*")
@@ -129,6 +129,9 @@ def _word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+remembers(__name__, _word_tokens.cache_clear)
+
+
 class _Windows:
     """Open windows of one partition; pieces are (doc_id, start, ids, doc_tokens)."""
 

@@ -109,3 +109,14 @@ def test_ties_between_windows_go_to_the_first():
         assert list(windows.place(doc, 0, data(6), 6)) == []
     assert list(windows.place("d", 0, data(3), 3)) == []
     assert [[p[0] for p in w[1]] for w in windows.open] == [["a", "d"], ["b"], ["c"]]
+
+
+def test_a_worker_forgets_the_words_before_tasks_of_other_modules():
+    from marlpit.llm import common
+
+    own = packing._word_tokens(PATH)
+    for module in (packing.__name__, packing.__name__):
+        common._begin(module)
+        assert packing._word_tokens(PATH) is own
+    common._begin("marlpit.llm.langid")
+    assert packing._word_tokens(PATH) is not own
