@@ -1,4 +1,7 @@
-"""Columns of a knowledge-base export: the model that a page embeds, and the front matter made of it."""
+"""Columns of a knowledge-base export: the model that a page embeds, and the front matter made of it.
+
+Null pages have no model; missing fields, and explicit nulls, have the defaults below; very long pages are one row.
+"""
 
 from __future__ import annotations
 

@@ -91,59 +91,75 @@ def _rows(table: Node) -> list[Node]:
     return found
 
 
-def _detach_tables(node: Node, found: list[Node]) -> None:
-    """Take the outermost tables below ``node`` out of it."""
-    for child in node.nodes():
-        if child.tag == "table":
-            node.children.remove(child)
-            found.append(child)
+def _outermost(node: Node, tag: str) -> list[Node]:
+    """The elements of this kind below ``node`` that lie in no other of them, in order."""
+    found = []
+    pending = node.nodes()[::-1]
+    while pending:
+        x = pending.pop()
+        if x.tag == tag:
+            found.append(x)
         else:
-            _detach_tables(child, found)
+            pending += x.nodes()[::-1]
+    return found
 
 
-def table_markdown(table: Node) -> str:
-    """Pipe rows, a separator below row 0 if that has cells, and nested tables as blocks of their own afterwards."""
-    shown, after = [], []
+def _all(node: Node, tag: str) -> list[Node]:
+    """The elements of this kind below ``node``, each after those that it holds."""
+    found = []
+    pending = node.nodes()
+    while pending:
+        x = pending.pop()
+        if x.tag == tag:
+            found.append(x)
+        pending += x.nodes()
+    return found[::-1]
+
+
+def _as_text(node: Node, text: str) -> None:
+    """``node`` becomes a string in its place."""
+    node.tag, node.children = "", [text] if text else []
+
+
+def _shown(table: Node) -> tuple[str, list[Node]]:
+    """The table's pipe rows, a separator below row 0 if that has cells; and the tables in its cells, taken out of them."""
+    lines, inner = [], []
     for number, row in enumerate(_rows(table)):
         cells = []
         for cell in row.nodes():
             if cell.tag in ("td", "th"):
-                nested: list[Node] = []
-                _detach_tables(cell, nested)
-                after += [t for t in map(table_markdown, nested) if t]
+                for nested in _outermost(cell, "table"):
+                    held = Node("table", nested.attrs)
+                    held.children = nested.children
+                    inner.append(held)
+                    _as_text(nested, "")
                 cells.append(" ".join(strings(cell)).replace("\n", " "))
         if cells:
-            shown.append("| " + " | ".join(cells) + " |")
+            lines.append("| " + " | ".join(cells) + " |")
             if number == 0:
-                shown.append("| " + " | ".join("---" for _ in cells) + " |")
-    return "\n\n".join(x for x in ("\n".join(shown), *after) if x)
-
-
-def _rewrite(node: Node, base: str) -> None:
-    """Links and outermost tables become strings in place."""
-    for i, child in enumerate(node.children):
-        if not isinstance(child, Node):
-            continue
-        _rewrite_links(child, base)
-        if child.tag == "a" and "href" in child.attrs:
-            node.children[i] = _link(child, base)
-        elif child.tag == "table":
-            node.children[i] = f"\n\n{table_markdown(child)}\n\n"
-        else:
-            _rewrite(child, base)
+                lines.append("| " + " | ".join("---" for _ in cells) + " |")
+    return "\n".join(lines), inner
 
 
-def _link(node: Node, base: str) -> str:
-    url = node.attrs["href"]
-    return f" [{''.join(strings(node))}]({base + url if url.startswith('/') else url}) "
+def table_markdown(table: Node) -> str:
+    """The table's rows, then those of nested tables as blocks of their own."""
+    blocks = []
+    pending = [table]
+    while pending:
+        text, inner = _shown(pending.pop())
+        blocks.append(text)
+        pending += inner[::-1]
+    return "\n\n".join(filter(None, blocks))
 
 
-def _rewrite_links(node: Node, base: str) -> None:
-    for i, child in enumerate(node.children):
-        if isinstance(child, Node):
-            _rewrite_links(child, base)
-            if child.tag == "a" and "href" in child.attrs:
-                node.children[i] = _link(child, base)
+def _rewrite(root: Node, base: str) -> None:
+    """Links and outermost tables become strings in place."""
+    for link in _all(root, "a"):
+        if "href" in link.attrs:
+            url = link.attrs["href"]
+            _as_text(link, f" [{''.join(strings(link))}]({base + url if url.startswith('/') else url}) ")
+    for table in _outermost(root, "table"):
+        _as_text(table, f"\n\n{table_markdown(table)}\n\n")
 
 
 def body_text(html: str | None, base: str = "") -> str:

@@ -1,23 +1,32 @@
-"""Splitting documents. All splitters map one row to an array, so nothing is shuffled."""
+"""Splitting documents. All splitters map one row to an array, so nothing is shuffled.
+
+A null text has no pieces, nor has an empty one, but for ``packed_paragraphs`` and whole rules, whose piece is the empty
+text. Repeated rows are split each for itself; ids are carried, null too. Pieces are numbered by their place in the
+text, so there are no ties. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
+from itertools import accumulate, dropwhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import metadata
 
 # Sizes and overlaps in characters.
 PLAIN, FAQ, RULE_OVERFLOW, CHILD = (800, 150), (2000, 200), (3000, 200), (800, 100)
 SEPARATORS = ("\n\n", "\n", " ", "")
 CHILD_SEPARATORS = ("\n\n", "\n", "。", ". ", " ", "")
+FAQ_MARK = "faq"
 
-_MAJOR = re.compile(r"([0-9]+\.[0-9]+(?:\.[0-9]+)?)\s+(.+)")
-_SUB = re.compile(r"([0-9]+)\.\s+(.+)")
+# Headings of numbered rules (number and title), their items, markdown headings.
+_RULE = re.compile(r"(?P<major>[0-9]+\.[0-9]+(?:\.[0-9]+)?)\s+(?P<title>.+)|(?P<item>[0-9]+)\.\s+(?P<name>.+)")
 _HEADING = re.compile(r"(#{1,3}) (.*)")
 
 
@@ -61,62 +70,53 @@ def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
 
 
 def pack_paragraphs(text: str, most: int = 1200, overlap: int = 150) -> list[str]:
-    """Paragraphs joined while they fit; a longer one is sliced, and only its slices overlap."""
-    if len(text) <= most:
-        return [text]
+    """Paragraphs joined while they fit; a longer one is sliced, and only its slices overlap.
+
+    From the place of every paragraph in the text that all would make together, the last that fits beside a first one is
+    found by bisection.
+    """
     if overlap >= most:
         raise ValueError("overlap must be less than the size")
-    out: list[str] = []
-    held = ""
-    for p in filter(None, (x.strip() for x in text.split("\n\n"))):
-        joined = f"{held}\n\n{p}" if held else p
-        if len(joined) <= most:
-            held = joined
-            continue
-        if held:
-            out.append(held)
-        held = p
-        if len(p) > most:
-            slices = (p[i : i + most].strip() for i in range(0, len(p), most - overlap))
-            out += [s for s in slices if s]
-            held = ""
-    return [*out, held] if held else out
+    if len(text) <= most:
+        return [text]
+    paragraphs = [x for x in map(str.strip, text.split("\n\n")) if x]
+    place = [0, *accumulate(len(x) + 2 for x in paragraphs)]
+    chunks: list[str] = []
+    first = 0
+    while first < len(paragraphs):
+        beyond = bisect_right(place, place[first] + most + 2) - 1
+        if beyond > first:
+            chunks.append("\n\n".join(paragraphs[first:beyond]))
+            first = beyond
+        else:
+            long = paragraphs[first]
+            chunks += filter(None, (long[i : i + most].strip() for i in range(0, len(long), most - overlap)))
+            first += 1
+    return chunks
 
 
 def numbered_sections(text: str) -> list[dict]:
     """Sections of numbered rules, in the order in which they end: a heading's items, then its own text.
 
     What stands before the first heading ``N.N title`` is dropped. A heading without text of its own has no section
-    for it, an item without text has an empty one.
+    for it, an item without text has an empty one. The lines that are headings or items are marked first; a section's
+    body is what lies between two marks.
     """
+    lines = [x.rstrip() for x in re.sub(r"\r\n?", "\n", text).split("\n")]
+    marks = [(i, m) for i, m in enumerate(_RULE.fullmatch(x.strip()) for x in lines) if m]
+    marks = list(dropwhile(lambda x: x[1]["major"] is None, marks))
+    ends = [*(i for i, _ in marks[1:]), len(lines)][: len(marks)]
     out: list[dict] = []
-    major: tuple[str, str] | None = None
-    item: tuple[str, str] | None = None
-    own: list[str] = []
-    body: list[str] = []
-
-    def close(kind: tuple[str, str] | None, said: list[str], keep_empty: bool) -> None:
-        joined = "\n".join(said).strip()
-        if major and (joined or keep_empty):
-            out.append({"major_no": major[0], "major_title": major[1], "sub_no": kind and kind[0], "sub_title": kind and kind[1], "body": joined})
-
-    for raw in re.sub(r"\r\n?", "\n", text).split("\n"):
-        line = raw.rstrip()
-        if m := _MAJOR.fullmatch(line.strip()):
-            if item:
-                close(item, body, True)
-            close(None, own, False)
-            major, item, own = (m[1], m[2].strip()), None, []
-        elif major and (m := _SUB.fullmatch(line.strip())):
-            if item:
-                close(item, body, True)
-            item, body = (m[1], m[2].strip()), []
+    own = None
+    for (at, m), end in zip(marks, ends, strict=True):
+        section = {"sub_no": m["item"], "sub_title": m["name"] and m["name"].strip(), "body": "\n".join(lines[at + 1 : end]).strip()}
+        if m["major"]:
+            out += [own] if own and own["body"] else []
+            major = {"major_no": m["major"], "major_title": m["title"].strip()}
+            own = major | section
         else:
-            (body if item else own).append(line)
-    if item:
-        close(item, body, True)
-    close(None, own, False)
-    return out
+            out.append(major | section)
+    return out + ([own] if own and own["body"] else [])
 
 
 def header_sections(text: str) -> list[dict]:
@@ -155,15 +155,18 @@ def recursive_chunks(text: Column, size: Column, overlap: Column, separators: Se
     return _column(lambda t, s, o: recursive_split(t, int(s), int(o), separators), "array<string>", text, size, overlap)
 
 
-def route(docs: DataFrame, class_col: str = "source_class", text_col: str = "text", plain=PLAIN, faq=FAQ, overflow=RULE_OVERFLOW) -> DataFrame:
+def route(docs: DataFrame, source_col: str = "source", type_col: str = "doc_type", text_col: str = "text", plain=PLAIN, faq=FAQ, overflow=RULE_OVERFLOW, rule_folder: str = metadata.RULE_FOLDER, faq_mark: str = FAQ_MARK) -> DataFrame:
     """``docs`` by chunk: ``chunk_id`` from 1 in each document, and the chunk in place of the text.
 
-    Rules that fit stay whole; longer ones, FAQ pages and others have sizes of their own.
+    The folder decides together with the document: rules in the rule folder stay whole where they fit, longer ones have
+    a size of their own; so do other documents of folders whose path holds ``faq_mark``. Rules elsewhere are split like
+    any document. A null text has no chunk, an empty one neither, unless it is a whole rule.
     """
     ship(docs.sparkSession)
-    kind = F.col(class_col)
-    pick = lambda i: F.when(kind == "internal_rule", overflow[i]).when(kind == "faq", faq[i]).otherwise(plain[i])
-    whole = (kind == "internal_rule") & (F.length(text_col) <= overflow[0])
+    folder = F.regexp_extract(F.replace(F.coalesce(F.col(source_col), F.lit("")), F.lit("\\"), F.lit("/")), r"^(.*)/[^/]*$", 1)
+    rule = F.contains(folder, F.lit(rule_folder)) & metadata.is_rule(F.col(source_col), F.col(type_col), rule_folder)
+    pick = lambda i: F.when(rule, overflow[i]).when(F.contains(F.lower(folder), F.lit(faq_mark)), faq[i]).otherwise(plain[i])
+    whole = rule & (F.length(text_col) <= overflow[0])
     parts = F.when(whole, F.array(F.col(text_col))).otherwise(recursive_chunks(F.when(~whole, F.col(text_col)), pick(0), pick(1)))
     kept = [c for c in docs.columns if c not in (text_col, "chunk_id")]
     return docs.select(*kept, F.posexplode(parts).alias("_at", text_col)).select(*kept, (F.col("_at") + 1).alias("chunk_id"), text_col)
@@ -206,11 +209,12 @@ def section_chunks(found: DataFrame, title: str, id_col: str = "doc_id", most: i
     return out.select(id_col, "chunk_id", "section_id", "major_no", "major_title", "sub_no", "sub_title", "part_no", "text", F.length("text").alias("text_len"))
 
 
-def headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per markdown section: section_id (from 1), title, section, subsection, body."""
+def headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per markdown section: the id, the columns to keep, section_id (from 1), title, section, subsection, body."""
     ship(docs.sparkSession)
     found = _column(header_sections, "array<struct<title:string,section:string,subsection:string,body:string>>", F.col(text_col))
-    return docs.select(id_col, F.posexplode(found).alias("_at", "s")).select(id_col, (F.col("_at") + 1).alias("section_id"), "s.*")
+    own = [id_col, *keep]
+    return docs.select(*own, F.posexplode(found).alias("_at", "s")).select(*own, (F.col("_at") + 1).alias("section_id"), "s.*")
 
 
 def trim_front(text: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Front matter, source classes, keys and labels of documents."""
+"""Front matter, source classes, keys and labels of documents.
+
+All are expressions on a row: null sources and titles count as empty, a null text has no header and a null body, rows
+repeat as they are, and an empty table stays empty. ``enrich`` replaces columns named meta, lists and doc_type.
+"""
 
 from __future__ import annotations
 
@@ -17,27 +21,37 @@ NO_PATH = "분류 없음"
 
 
 def front_matter(text: Column, strip_body: bool = True) -> Column:
-    """struct(meta map, items array, body).
+    """struct(meta map, lists map of arrays, body).
 
-    A header starts with a line ``---`` at the very start and ends with the next such line; without both, the map is
-    empty and the body the whole text. ``key: value`` lines split at the first colon and lose quotes that stand at
-    both ends; the last value of a key wins. Lines ``- "x"`` are items, not keys.
+    A header starts with a line ``---`` at the very start and ends with the next such line; without both, the maps are
+    empty and the body the whole text; a null text has a null body. ``key: value`` lines split at the first colon and
+    lose quotes that stand at both ends; the last value of a key wins. Lines ``- x``, indented or not, are the items of
+    the last key above them, if that has no value; so is a value ``[x, y]``. Other lines say nothing.
     """
     rows = lines(text)
     marks = F.transform(rows, strip)
     end = F.array_position(F.slice(marks, 2, F.greatest(F.size(marks) - 1, F.lit(0))), "---").cast("int")
     there = F.startswith(text, F.lit("---")) & (F.element_at(marks, 1) == "---") & (end > 0)
-    header = F.slice(rows, 2, F.greatest(end - 1, F.lit(0)))
-    unquoted = lambda v: F.when((F.length(v) >= 2) & F.startswith(v, F.lit('"')) & F.endswith(v, F.lit('"')), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
-    listed = lambda x: F.startswith(strip(x), F.lit("- "))
-    pairs = F.transform(F.filter(header, lambda x: F.contains(x, F.lit(":")) & ~listed(x)), lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("k"), unquoted(strip(F.substr(x, F.instr(x, ":") + 1))).alias("v")))
+    header = F.slice(marks, 2, F.greatest(end - 1, F.lit(0)))
+    quoted = lambda v, q: (F.length(v) >= 2) & F.startswith(v, F.lit(q)) & F.endswith(v, F.lit(q))
+    unquoted = lambda v: F.when(quoted(v, '"') | quoted(v, "'"), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
+    listed = lambda x: F.startswith(x, F.lit("- "))
+    numbered = F.transform(header, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    heads = F.filter(numbered, lambda r: F.contains(r["x"], F.lit(":")) & ~listed(r["x"]))
+    pairs = F.transform(heads, lambda r: F.struct(strip(F.substring_index(r["x"], ":", 1)).alias("k"), unquoted(strip(F.substr(r["x"], F.instr(r["x"], ":") + 1))).alias("v"), r["i"].alias("i")))
     none = F.create_map().cast("map<string,string>")
     meta = F.aggregate(pairs, none, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
-    items = F.transform(F.filter(header, listed), lambda x: unquoted(strip(F.regexp_replace(x, r"^\s*- ", ""))))
+    following = lambda n: F.coalesce(F.get(heads, n + 1)["i"], F.size(header))
+    inline = lambda v: F.transform(F.filter(F.split(F.substring(v, 2, F.length(v) - 2), ","), lambda x: strip(x) != ""), lambda x: unquoted(strip(x)))
+    below = lambda p, n: F.transform(F.filter(F.slice(header, p["i"] + 2, following(n) - p["i"] - 1), listed), lambda x: unquoted(strip(F.substr(x, F.lit(3)))))
+    items = F.transform(pairs, lambda p, n: F.struct(p["k"].alias("k"), F.when(p["v"] == "", below(p, n)).when(F.startswith(p["v"], F.lit("[")) & F.endswith(p["v"], F.lit("]")), inline(p["v"])).alias("v")))
+    empty = F.create_map().cast("map<string,array<string>>")
+    held = F.filter(items, lambda p: F.size(F.coalesce(p["v"], F.array().cast("array<string>"))) > 0)
+    lists = F.aggregate(held, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
     body = F.array_join(F.slice(rows, end + 2, F.greatest(F.size(rows) - end - 1, F.lit(0))), "\n")
     if strip_body:
         body = F.regexp_replace(body, r"(?U)^\s+", "")
-    return F.struct(F.when(there, meta).otherwise(none).alias("meta"), F.when(there, items).otherwise(F.array().cast("array<string>")).alias("items"), F.when(there, body).otherwise(text).alias("body"))
+    return F.struct(F.when(there, meta).otherwise(none).alias("meta"), F.when(there, lists).otherwise(empty).alias("lists"), F.when(there, body).otherwise(text).alias("body"))
 
 
 def _slashed(source: Column) -> Column:
@@ -60,11 +74,11 @@ def source_class(source: Column, doc_type: Column, marks: Sequence[tuple[str, st
 
 
 def enrich(docs: DataFrame, text_col: str = "text", source_col: str = "source", strip_body: bool = True, folder: str = RULE_FOLDER) -> DataFrame:
-    """``docs`` with the header taken out of the text into ``meta``, ``items`` and ``doc_type``."""
+    """``docs`` with the header taken out of the text into ``meta``, ``lists`` and ``doc_type``."""
     out = docs.withColumn("_front", front_matter(F.col(text_col), strip_body))
     said = F.try_element_at(F.col("_front.meta"), F.lit("doc_type"))
     kind = F.coalesce(said, F.when(is_rule(F.col(source_col), said, folder), F.lit(RULE_TYPE)))
-    return out.withColumn("meta", F.col("_front.meta")).withColumn("items", F.col("_front.items")).withColumn("doc_type", kind).withColumn(text_col, F.col("_front.body")).drop("_front")
+    return out.withColumn("meta", F.col("_front.meta")).withColumn("lists", F.col("_front.lists")).withColumn("doc_type", kind).withColumn(text_col, F.col("_front.body")).drop("_front")
 
 
 def doc_key(source: Column, chunk_id: Column) -> Column:
@@ -89,3 +103,10 @@ def categories(path: Column) -> Column:
     """The trimmed parts of a category path; empty where there is no category."""
     none = path.isNull() | path.isin("", NO_PATH)
     return F.when(none, F.array().cast("array<string>")).otherwise(F.transform(F.split(path, " > "), strip))
+
+
+def category_depths(meta: Column, key: str = "분류") -> Column:
+    """The map with an entry category_depth1, category_depth2, ... for each part of its category path."""
+    parts = F.transform(categories(F.try_element_at(meta, F.lit(key))), lambda x, i: F.struct(F.concat(F.lit("category_depth"), i + 1), x))
+    added = F.map_from_entries(parts)
+    return F.map_concat(F.map_filter(meta, lambda k, _: ~F.startswith(k, F.lit("category_depth"))), added)

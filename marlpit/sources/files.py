@@ -1,14 +1,22 @@
-"""Text files, pages and exports as tables."""
+"""Text files, pages and exports as tables.
+
+Null pages and texts are empty ones; ids are carried, null too; repeated rows stay; empty tables, and paths that are not
+there, give no rows. Of several masters of one type and group the one with the greatest pk counts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GLOBS = ("*.md", "*.txt")
+from ..session import ship
+
+GLOBS = ("*.md",)
+#: Tried in this order on texts that are not UTF-8.
+ENCODINGS = ("cp949",)
 _SCHEMA = "source string, text string, error string"
 
 
@@ -23,23 +31,37 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return found
 
 
-def scan_texts(spark: SparkSession, paths: Sequence[str], globs: Sequence[str] = GLOBS) -> DataFrame:
+def scan_texts(spark: SparkSession, paths: Sequence[str], globs: Sequence[str] = GLOBS, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """source, text, error of every matching file below the paths that are there; missing ones are skipped.
 
-    A file that is not UTF-8 has an error in place of a text, so one bad file stops nothing.
+    A file that is not UTF-8 is read as UTF-16 where it starts with that byte order mark, and else in the first of
+    ``encodings`` that fits; one that fits none has an error in place of a text, so one bad file stops nothing.
     """
+    ship(spark)
     there = existing(spark, paths)
     if not there:
         return spark.createDataFrame([], _SCHEMA)
     pattern = globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}"
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(there)
-    ok = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(ok, F.regexp_replace(F.col("content").cast("string"), "^﻿", ""))
-    return raw.select(F.col("path").alias("source"), text.alias("text"), F.when(~ok, F.lit("not UTF-8")).alias("error"))
+    said = F.col("content").cast("string")
+    ok = F.is_valid_utf8(said)
+    other = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else decoded(x, encodings)), "string")(F.when(~ok, F.col("content")))
+    text = F.when(ok, F.regexp_replace(said, "^\ufeff", "")).otherwise(other)
+    return raw.select(F.col("path").alias("source"), text.alias("text")).withColumn("error", F.when(F.col("text").isNull(), F.lit("unknown encoding")))
+
+
+def decoded(data: bytes, encodings: Sequence[str] = ENCODINGS) -> str | None:
+    """The text of bytes that are not UTF-8; null where no encoding fits."""
+    for name in (["utf-16"] if data[:2] in (b"\xff\xfe", b"\xfe\xff") else []) + [*encodings]:
+        try:
+            return data.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return None
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    """One file; raises where it is missing or not UTF-8."""
+    """One file; raises where it is missing or its encoding unknown."""
     if not existing(spark, [path]):
         raise FileNotFoundError(path)
     row = scan_texts(spark, [path], globs=("*",)).first()
@@ -56,7 +78,6 @@ def knowledge_markdown(export: DataFrame, base: str = "") -> DataFrame:
     """
     from ..functions import kms
     from ..functions.markup import body_text_column
-    from ..session import ship
 
     ship(export.sparkSession)
     parsed = export.select("id", "type", "pk", "result", kms.model(F.col("result")).alias("m"))
@@ -74,24 +95,31 @@ def knowledge_markdown(export: DataFrame, base: str = "") -> DataFrame:
 def page_texts(pages: DataFrame, institution: str = "", collected_at: str = "", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page id, title and body of raw pages; each line of a page once, at its first occurrence."""
     from ..functions.markup import page_lines_column
-    from ..session import ship
 
     ship(pages.sparkSession)
     title = F.trim(F.regexp_extract(F.coalesce(html_col, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
     return pages.select(F.col(id_col), F.col(url_col), title.alias("title"), page_lines_column(F.col(html_col)).alias("lines"))
 
 
-def merge_by_title(pages: DataFrame, institution: str, collected_at: str, kind: str = "WEB", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """title and text of corpus documents: pages with one title together, their URLs joined, under a header block.
+def merge_by_title(pages: DataFrame, institution: str, collected_at: str, kind: str = "WEB", id_col: str = "page_id", url_col: str = "url", most_pages: int = 5_000) -> DataFrame:
+    """title, part, pages and text of corpus documents: pages with one title together, their URLs joined, under a header block.
 
-    A title's pages meet in one row, as the corpus asks; a title shared by very many pages makes a long document.
+    Pages follow in the order of their ids. A title of more than ``most_pages`` pages makes several documents, its parts
+    (from 1), dealt by a hash of the id, so that no title's pages meet in one row without bound; nothing is left out.
+    Pages whose title is null or empty have none in common: each is a document of its own.
     """
-    one = F.array_sort(F.collect_list(F.struct(F.col(id_col), F.col(url_col).alias("url"), "lines")))
-    rows = pages.groupBy("title").agg(one.alias("p"))
+    alone = F.coalesce(F.col("title"), F.lit("")) == ""
+    one = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"), "lines")))
+    counted = pages.where(~alone).groupBy("title").agg(F.ceil(F.count("*") / most_pages).cast("int").alias("parts")).where("parts > 1")
+    titled = pages.where(~alone).join(counted, "title", "left")
+    part = F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64(id_col, url_col), F.col("parts")).cast("int")).otherwise(1)
+    merged = titled.withColumn("part", part).groupBy("title", "part").agg(one.alias("p"))
+    single = pages.where(alone).select(F.coalesce("title", F.lit("")).alias("title"), F.lit(1).alias("part"), F.array(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"), "lines")).alias("p"))
+    rows = merged.unionByName(single)
     urls = F.array_join(F.array_distinct(F.transform("p", lambda x: x["url"])), " | ")
     body = F.array_join(F.flatten(F.transform("p", lambda x: x["lines"])), "\n")
     head = F.concat(F.lit("# 상품명: "), "title", F.lit(f"\n기관명: {institution}\n원본 URL: "), urls, F.lit(f"\n수집일: {collected_at}\n출처유형: {kind}\n\n## 기타\n"))
-    return rows.select("title", F.size("p").alias("pages"), F.concat(head, body).alias("text"))
+    return rows.select("title", "part", F.size("p").alias("pages"), F.concat(head, body).alias("text"))
 
 
 _HEADER = T.StructType([T.StructField("title", T.StringType()), T.StructField("institution", T.StringType()), T.StructField("urls", T.ArrayType(T.StringType())), T.StructField("collected_at", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("body", T.StringType())])
@@ -102,8 +130,3 @@ def corpus_header(text: Column) -> Column:
     line = lambda label: F.nullif(F.trim(F.regexp_extract(text, rf"(?md)^(?:# )?{label}: ?(.*)$", 1)), F.lit(""))
     body = F.trim(F.regexp_extract(text, r"(?s)\n## [^\n]*\n(.*)", 1))
     return F.struct(line("상품명").alias("title"), line("기관명").alias("institution"), F.split(line("원본 URL"), r" \| ").alias("urls"), line("수집일").alias("collected_at"), line("출처유형").alias("kind"), body.alias("body")).cast(_HEADER)
-
-
-def numbered(df: DataFrame, by: str, order: Sequence[str], name: str = "ordinal") -> DataFrame:
-    """``df`` with each row's place (from 1) among those of its key."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))

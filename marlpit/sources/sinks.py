@@ -5,12 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, uncut
+from .files import existing
+
+
+BUCKETS = 64
+
+
+def _replace(rows: DataFrame, path: str) -> None:
+    """Rows keyed by pk, of several with one pk the greatest; rows stored under other keys stay.
+
+    The table is dealt over ``BUCKETS`` folders by a hash of pk. Only buckets that get rows are read and written again;
+    what they will hold is first written to the shared folder, so a failure before the last step changes nothing.
+    """
+    spark = rows.sparkSession
+    names = [c for c in rows.columns if c != "pk"]
+    new = cut(rows.groupBy("pk").agg(F.max(F.struct(*names)).alias("x")).select("pk", "x.*", F.pmod(F.xxhash64("pk"), F.lit(BUCKETS)).cast("int").alias("bucket")), "new")
+    whole = new
+    if existing(spark, [path]):
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as buckets at most
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+        whole = cut(new.unionByName(old.join(new.select("pk"), [old["pk"].eqNullSafe(new["pk"])], "left_anti")), "whole")
+    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    uncut(*{id(x): x for x in (new, whole)}.values())
+
 
 def write_markdown(rows: DataFrame, path: str, error_path: str | None = None) -> None:
-    """Texts keyed by pk, replacing earlier ones; rows with an error go to a table of their own."""
-    rows.where(F.col("error").isNull()).select("pk", "shown_id", "path", "text").write.mode("overwrite").parquet(path)
+    """Texts keyed by pk, replacing earlier ones of the same pk; rows with an error go to a table of their own."""
+    _replace(rows.where(F.col("error").isNull()).select("pk", "shown_id", "path", "text"), path)
     if error_path:
-        rows.where(F.col("error").isNotNull()).select("pk", "error").write.mode("overwrite").parquet(error_path)
+        _replace(rows.where(F.col("error").isNotNull()).select("pk", "error"), error_path)
 
 
 def append_feedback(rows: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -19,18 +19,33 @@ def test_front_matter_golden(spark):
     df = spark.createDataFrame([(one,), ("no header",), ("---\nopen: 1",), ("",), (None,), (one.replace("\n", "\r\n"),)], "t string")
     got = [r[0] for r in df.select(metadata.front_matter(F.col("t"))).collect()]
     assert got[0]["meta"] == {"doc_code": "LD10", "section_no": "10.1.8", "ratio": "3:7", "k": "2", "f": ""}
-    assert got[0]["items"] == ["f (ID: 3)"] and got[0]["body"] == "body"
+    assert got[0]["lists"] == {"f": ["f (ID: 3)"]} and got[0]["body"] == "body"
     assert got[1]["meta"] == {} and got[1]["body"] == "no header"
     assert got[2]["meta"] == {} and got[2]["body"] == "---\nopen: 1"
     assert got[3]["body"] == "" and got[4]["body"] is None
     assert got[5]["meta"] == got[0]["meta"] and got[5]["body"] == "body"
 
 
+def test_front_matter_lists_belong_to_their_keys(spark):
+    one = "---\na:\n - \"x: 1\"\n - y\nb: 2\n - stray\nc:\n- 'z'\nc:\n- w\nd: [p, \"q\", ]\ne: []\nno colon\n---\nbody"
+    got = spark.createDataFrame([(one,)], "t string").select(metadata.front_matter(F.col("t")).alias("f")).first()["f"]
+    assert got["lists"] == {"a": ["x: 1", "y"], "c": ["w"], "d": ["p", "q"]}
+    assert got["meta"]["b"] == "2" and got["body"] == "body"
+
+
+def test_category_depths(spark):
+    df = spark.createDataFrame([({"분류": "a >  b > c", "x": "1"},), ({"분류": "분류 없음"},), ({},)], "m map<string,string>")
+    got = [r[0] for r in df.select(metadata.category_depths(F.col("m"))).collect()]
+    assert got[0] == {"분류": "a >  b > c", "x": "1", "category_depth1": "a", "category_depth2": "b", "category_depth3": "c"}
+    assert got[1] == {"분류": "분류 없음"} and got[2] == {}
+
+
 def test_numbered_rules_golden():
     lines = ["개정이력", "10.1 알파론", "소개 문장", "1. 개요", "본문A", "", "2. 시기", "10.1.8 한도", "최대 2억원"]
     got = [(s["major_no"], s["sub_no"], s["body"]) for s in chunking.numbered_sections("\n".join(lines))]
     assert got == [("10.1", "1", "본문A"), ("10.1", "2", ""), ("10.1", None, "소개 문장"), ("10.1.8", None, "최대 2억원")]
-    assert chunking.numbered_sections("1. no heading before") == []
+    assert chunking.numbered_sections("1. no heading before") == [] == chunking.numbered_sections("") == chunking.numbered_sections("text\n")
+    assert [(s["sub_no"], s["body"]) for s in chunking.numbered_sections("1. early\n10.1 T\r\n\r\n1. A\n10.2 U\n")] == [("1", "")]
 
 
 def test_paragraph_pack_golden():
@@ -41,6 +56,21 @@ def test_paragraph_pack_golden():
         chunking.pack_paragraphs("x" * 30, 5, 5)
 
 
+@given(st.lists(st.text(alphabet="ab ", max_size=25), max_size=20), st.integers(4, 20), st.integers(0, 3))
+def test_packed_paragraphs_are_the_greedy_ones(paragraphs, most, overlap):
+    text = "\n\n".join(paragraphs)
+    got = chunking.pack_paragraphs(text, most, overlap)
+    if len(text) <= most:
+        assert got == [text]
+        return
+    assert all(0 < len(x) <= most and x == x.strip() for x in got)
+    whole = [x.strip() for x in paragraphs if x.strip()]
+    if all(len(x) <= most for x in whole):
+        assert "\n\n".join(got) == "\n\n".join(whole)
+        for one, two in zip(got, got[1:], strict=False):
+            assert len(one) + 2 + len(two.split("\n\n")[0]) > most
+
+
 @given(st.text(alphabet="ab \n", max_size=200), st.integers(5, 30), st.integers(0, 4))
 def test_recursive_pieces_fit_and_lose_no_letter(t, size, overlap):
     got = chunking.recursive_split(t, size, overlap)
@@ -59,10 +89,12 @@ def test_header_sections():
     assert got == [(None, None, None), ("A", None, None), ("A", "B", None), ("A", "B", "C"), ("D", None, None)]
 
 
-def test_route_numbers_from_one(spark):
-    df = spark.createDataFrame([("r", "internal_rule", "x" * 3000), ("s", "internal_rule", "y " * 2000), ("f", "faq", "z " * 1100), ("n", "kms", None)], "key string, source_class string, text string")
+def test_route_by_folder_and_rule(spark):
+    rule, faq = "./내규소수2_md/10.1.md", "./faq_output_md/a.md"
+    data = [("whole", rule, None, "x" * 3000), ("long", rule, None, "y " * 2000), ("faq", faq, None, "z " * 1100), ("null", faq, None, None), ("elsewhere", "rules/10.1.md", "internal_rule", "w " * 500), ("name", "./misc/faq.md", None, "v " * 500), ("empty", rule, None, ""), ("none", None, None, "a"), ("kind", "./내규소수2_md/b.md", None, "u" * 2900)]
+    df = spark.createDataFrame(data, "key string, source string, doc_type string, text string")
     got = chunking.route(df).groupBy("key").agg(F.min("chunk_id"), F.max("chunk_id"), F.max(F.length("text"))).orderBy("key").collect()
-    assert [tuple(r) for r in got] == [("f", 1, 2, 1999), ("r", 1, 1, 3000), ("s", 1, 2, 2999)]
+    assert [tuple(r) for r in got] == [("elsewhere", 1, 2, 799), ("empty", 1, 1, 0), ("faq", 1, 2, 1999), ("kind", 1, 1, 2900), ("long", 1, 2, 2999), ("name", 1, 2, 799), ("none", 1, 1, 1), ("whole", 1, 1, 3000)]
 
 
 def test_section_chunks(spark):
@@ -77,6 +109,14 @@ def test_table_markdown_golden():
     assert markup.body_text(html) == "| A | B |\n| --- | --- |\n| 1 | x |\n\n| n |\n| --- |"
 
 
+def test_deep_and_nested_markup():
+    deep = "<div>" * 20_000 + "text" + "<table><tr><td>" * 300 + "cell"
+    assert markup.body_text(deep).startswith("text\n") and "cell" in markup.body_text(deep) and markup.page_lines("<b>" * 20_000 + "x") == ["x"]
+    nested = "<table><tr><td>a<table><tr><td>b<table><tr><td>c</td></tr></table></td></tr></table></td><td>d<table><tr><td>e</td></tr></table></td></tr></table>"
+    assert markup.body_text(nested).split("\n\n") == ["| a | d |\n| --- | --- |", "| b |\n| --- |", "| c |\n| --- |", "| e |\n| --- |"]
+    assert markup.body_text("<a href='/x'>one <a href='/y'>two</a></a><table><tr><td><a href='z'>l</a></td></tr></table>", "B") == "[one[two](B/y)](B/x)\n| [l](z) |\n| --- |"
+
+
 def test_links_and_lines():
     assert markup.body_text('<p>see <a href="/x"> here </a><a href="http://y">z</a><a>w</a></p>', "https://b") == "see\n[here](https://b/x)\n[z](http://y)\nw"
     assert markup.page_lines("<title>t</title><p>a<br>b</p><script>no</script><p>a</p>") == ["a", "b"]
@@ -112,13 +152,18 @@ def test_legacy_and_no_date(spark):
 
 def test_files_and_sinks(spark, tmp_path):
     (tmp_path / "a.md").write_text("---\ndoc_type: internal_rule\n---\nx", encoding="utf-8")
-    (tmp_path / "b.txt").write_bytes(b"\xff\xfe bad")
-    (tmp_path / "c.html").write_text("no")
-    got = files.scan_texts(spark, [f"file://{tmp_path} ", "file:///nowhere"]).collect()
-    assert sorted((r["source"].rsplit("/", 1)[1], r["text"] is None) for r in got) == [("a.md", False), ("b.txt", True)]
+    (tmp_path / "b.md").write_bytes(b"\x81\x00\xff bad")
+    (tmp_path / "c.md").write_bytes("한글".encode("cp949"))
+    (tmp_path / "d.md").write_bytes("wide".encode("utf-16"))
+    (tmp_path / "e.md").write_bytes(b"\xef\xbb\xbfmark")
+    (tmp_path / "f.txt").write_text("no")
+    got = {r["source"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in files.scan_texts(spark, [f"file://{tmp_path} ", "file:///nowhere"]).collect()}
+    assert got == {"a.md": ("---\ndoc_type: internal_rule\n---\nx", None), "b.md": (None, "unknown encoding"), "c.md": ("한글", None), "d.md": ("wide", None), "e.md": ("mark", None)}
     assert files.scan_texts(spark, ["file:///nowhere"]).count() == 0
     with pytest.raises(FileNotFoundError):
         files.read_text(spark, "file:///nowhere")
+    with pytest.raises(ValueError):
+        files.read_text(spark, f"file://{tmp_path}/b.md")
     df = spark.createDataFrame([(2, "b" * 900), (1, "a")], "chunk_id int, text string")
     assert rows(sinks.preview(df, 1)) == [(1, "a")]
     for _ in range(2):
@@ -126,6 +171,31 @@ def test_files_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 4
 
 
+def test_markdown_replaces_by_key_and_keeps_the_others(spark, tmp_path):
+    path, wrong = f"file://{tmp_path}/md", f"file://{tmp_path}/wrong"
+    schema = "pk string, shown_id string, path string, text string, error string"
+    made = lambda *rows_: spark.createDataFrame([(pk, "s", "p", text, error) for pk, text, error in rows_], schema)
+    sinks.write_markdown(made(("1", "a", None), ("2", "b", None), (None, "n", None), ("4", None, "bad")), path, wrong)
+    sinks.write_markdown(made(("2", "c", None), ("3", "d", None), ("3", "e", None), (None, "m", None), ("5", None, "worse")), path, wrong)
+    assert {(r["pk"], r["text"]) for r in spark.read.parquet(path).collect()} == {("1", "a"), ("2", "c"), ("3", "e"), (None, "m")}
+    assert spark.read.parquet(path).count() == 4
+    assert {(r["pk"], r["error"]) for r in spark.read.parquet(wrong).collect()} == {("4", "bad"), ("5", "worse")}
+    sinks.write_markdown(made().limit(0), path, wrong)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_pages_of_one_title(spark):
+    data = [(i, f"u{i}", "t", [f"l{i}"]) for i in range(25)] + [(30, "u30", "", ["x"]), (31, "u31", None, ["y"]), (32, "u32", "t2", [])]
+    pages = spark.createDataFrame(data, "page_id long, url string, title string, lines array<string>")
+    got = files.merge_by_title(pages, "I", "D", most_pages=10).collect()
+    parts = sorted((r["part"], r["pages"]) for r in got if r["title"] == "t")
+    assert [p for p, _ in parts] == [1, 2, 3] and sum(n for _, n in parts) == 25
+    assert sum(r["title"] == "" for r in got) == 2 and sum(r["text"].count("\nl") for r in got) == 25
+    whole = {r["title"]: r for r in files.merge_by_title(pages, "I", "D").collect()}
+    assert whole["t"]["pages"] == 25 and whole["t"]["text"].endswith("\n".join(f"l{i}" for i in range(25)))
+    assert files.merge_by_title(pages.limit(0), "I", "D").count() == 0
+
+
 def test_corpus_header(spark):
     doc = "# 상품명: t\n기관명: I\n원본 URL: http://a | http://b\n수집일: 2026-03-23 17:47:50\n출처유형: WEB\n\n## 기타\nl1\nl2"
     got = spark.range(1).select(files.corpus_header(F.lit(doc)).alias("h")).first()["h"]
