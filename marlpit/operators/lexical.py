@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -14,34 +14,59 @@ from ..session import cut
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Folders that stored postings and terms are dealt over by a hash of the term, and how many terms a search names to its scans.
+BUCKETS, NAMED = 64, 1_000
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Bm25Index:
-    """postings(term, key, tf, dl), terms(term, df, idf), stats(n, avgdl)."""
+    """postings(term, key, tf, dl), terms(term, df, idf), stats(n, avgdl, first key); stored ones also have bucket."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings are sorted by term, so that a search reads few row groups of each file."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        """Postings and terms lie in folders by bucket, sorted by term; a term of many postings is spread over files."""
+        rows = self.postings.withColumn("bucket", _bucket(F.col("term")))
+        rows.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.terms.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Bm25Index:
-        return Bm25Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "stats")))
+        stats = spark.read.parquet(f"{path}/stats")
+        key = stats.schema["first"].dataType.simpleString()
+        postings = spark.read.schema(f"term string, key {key}, tf long, dl int, bucket int").parquet(f"{path}/postings")
+        return Bm25Index(postings, spark.read.schema("term string, df long, idf double, bucket int").parquet(f"{path}/terms"), stats)
+
+    def holding(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and terms, of a stored index only the folders that may hold terms asked for; few terms are named to the scan."""
+        if "bucket" not in self.postings.columns:
+            return self.postings, self.terms
+        buckets = [r[0] for r in asked.select(_bucket(F.col("term"))).distinct().collect()]  # as many as there are at most
+        named = [r["term"] for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
+        keep = F.col("bucket").isin(buckets)
+        if len(named) <= NAMED:
+            keep = keep & F.col("term").isin(named)
+        return self.postings.where(keep), self.terms.where(keep)
 
 
 def build(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
     """Postings are written once to the shared folder; all that follows reads them, so texts are split once.
 
     Terms in more than half of the documents would weigh less than nothing; they get ``EPSILON`` of the mean weight.
+    Null and empty texts are documents without terms; rows with one key are documents each for itself, whose postings
+    add up; an empty table gives an index that finds nothing.
     """
     own = docs.select(F.col(key_col).alias("key"), tokens(F.col(text_col)).alias("ts"))
     terms_of = own.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     counted = cut(terms_of.groupBy("term", "key").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl")), "postings")
-    stats = own.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    stats = own.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"), F.min("key").alias("first"))
     weight = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     raw = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", weight.alias("raw"))
     mean = raw.agg((F.avg("raw") * EPSILON).alias("low"))
@@ -56,8 +81,9 @@ def search(index: Bm25Index, requests: DataFrame, k: int = 12, request_col: str
     the postings; sums are combined on the map side, and top-k is limited before its shuffle.
     """
     asked = requests.select(F.col(request_col).alias("request_id"), F.explode(tokens(F.col(query_col))).alias("term")).groupBy("request_id", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.terms.select("term", "idf"), "term").select("request_id", "term", (F.col("idf") * F.col("times")).alias("w"))
-    found = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.stats))
+    postings, terms = index.holding(asked)
+    weighted = asked.join(terms.select("term", "idf"), "term").select("request_id", "term", (F.col("idf") * F.col("times")).alias("w"))
+    found = postings.select("term", "key", "tf", "dl").join(weighted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = found.groupBy("request_id", "key").agg(F.round(F.sum(part), 8).alias("score"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "key"))

@@ -46,6 +46,12 @@ def test_bm25_round_trip(spark, tmp_path):
     asked = spark.createDataFrame([(1, "y z")], "request_id long, query string")
     back = lexical.Bm25Index.read(spark, str(tmp_path / "i"))
     assert rows(lexical.search(index, asked), "key") == rows(lexical.search(back, asked), "key")
+    postings, terms = back.holding(spark.createDataFrame([(1, "y", 1)], "request_id long, term string, times long"))
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "In(term" in plan or "EqualTo(term" in plan
+    assert postings.select("term").distinct().count() == 1 == terms.count()
+    lexical.build(docs.limit(0)).write(str(tmp_path / "e"))
+    assert lexical.search(lexical.Bm25Index.read(spark, str(tmp_path / "e")), asked).count() == 0
 
 
 def test_vector_top_k_skips_nulls_and_other_sizes(spark):
@@ -55,6 +61,20 @@ def test_vector_top_k_skips_nulls_and_other_sizes(spark):
     assert vector.top_k(vecs, asked.limit(0), 2).count() == 0
 
 
+def test_vector_top_k_equals_brute_force_either_way(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.standard_normal((500, 6)), 1)
+    v[rng.random(500) < 0.33] = v[0]  # many ties
+    vecs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, [float("nan")] * 6), (901, [None] * 6), (902, []), (None, [0.0] * 6), (903, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 500, 7)] + [(904, [0.0, 0.0]), (905, None)], "request_id long, vector array<double>")
+    want = [(i, int(j), rank + 1) for i in range(0, 500, 7) for rank, j in enumerate(np.lexsort((np.arange(500), ((v - v[i]) ** 2).sum(axis=1)))[:5])] + [(904, 903, 1)]
+    for most in (1000, 10):
+        assert rows(vector.top_k(vecs, asked, 5, broadcast_rows=most, shard_rows=120).select("request_id", "key", "rank"), "request_id", "rank") == want
+    assert vector.top_k(vecs.limit(0), asked, 5, broadcast_rows=10).count() == 0
+
+
 def test_parent_expansion_keeps_first_hit(spark):
     hits = spark.createDataFrame([(1, 10, 1), (1, 20, 2), (1, 11, 3)], "request_id long, key long, rank int")
     kids = spark.createDataFrame([(10, 7), (11, 7), (20, 8)], "child_key long, parent_id long")
@@ -113,6 +133,8 @@ def test_history_and_pairs(spark):
     got = {r["turn"]: r["recent"] for r in context.history(m, 2).collect()}
     assert got == {0: None, 1: "Q: q1\n", 2: "Q: q1\nA: a1\n", 3: "A: a1\nA: " + "x" * 50 + "\n"}
     assert context.history(m, 0).where("recent is not null").count() == 0
+    own = context.history(m, (F.col("turn") - 1).cast("int"))
+    assert {r["turn"]: r["recent"] for r in own.collect()} == {0: None, 1: None, 2: "A: a1\n", 3: "A: a1\nA: " + "x" * 50 + "\n"}
     assert [r["question"] for r in context.answered_question(m).orderBy("turn").collect()][:2] == ["N/A", "q1"]
 
 
