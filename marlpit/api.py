@@ -9,8 +9,8 @@ from .operators.metadata import categories, display, doc_key, enrich, front_matt
 from .operators.profile import Lexicon, doc_institutions, profile
 from .operators.rerank import Weights, rerank, score
 from .operators.vector import embed, hashing_embedder, top_k
-from .plans.answer import Answers, answer
-from .plans.index import HybridIndex, SplitIndex, build, build_or_load, build_split, load
+from .plans.answer import Answers, answer, rewritten
+from .plans.index import Found, HybridIndex, SplitIndex, build, build_or_load, build_or_load_split, build_split, load, load_split, parent_table
 from .sources.files import corpus_header, knowledge_markdown, merge_by_title, page_texts, read_text, scan_texts
 from .sources.sinks import append_diagnostics, append_feedback, preview, write_chunks, write_markdown
 

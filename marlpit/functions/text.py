@@ -36,3 +36,9 @@ def hits(text: Column, words: Sequence[str]) -> Column:
 def present(text: Column, named: dict[str, Sequence[str]]) -> Column:
     """Names, in order, of which any word occurs in the text."""
     return F.filter(F.array(*[F.when(any_of(text, [w.lower() for w in ws]), F.lit(name)) for name, ws in named.items()]), lambda x: x.isNotNull())
+
+
+def shown(number: Column) -> Column:
+    """A number of at most four decimal places as text, without an exponent."""
+    small = F.regexp_replace(F.format_string("%.4f", number), "0+$", "")
+    return F.when((number > 0) & (number < 0.001), small).otherwise(number.cast("string"))

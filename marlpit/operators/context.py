@@ -1,8 +1,12 @@
-"""What goes into the prompt: selected chunks, earlier messages, templates."""
+"""What goes into the prompt: selected chunks, earlier messages, templates.
+
+Null texts count as empty; ties in a conversation's turns are in no defined order, so turns must differ; a request
+without candidates has no context; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,13 +43,19 @@ def select_context(reranked: DataFrame, limit: int = 6) -> DataFrame:
     return rows.select("request_id", F.posexplode(chosen).alias("_at", "key")).select("request_id", (F.col("_at") + 1).alias("position"), "key")
 
 
-def history(messages: DataFrame, turns: int, conv_col: str = "conv_id", turn_col: str = "turn", head: int = 50) -> DataFrame:
-    """``messages`` with recent: the last ``turns`` messages before each, one to a line, null when there are none."""
-    if turns <= 0:
+def history(messages: DataFrame, turns: int | Column, conv_col: str = "conv_id", turn_col: str = "turn", head: int = 50, most: int = 50) -> DataFrame:
+    """``messages`` with recent: the last ``turns`` messages before each, one to a line, null when there are none.
+
+    ``turns`` is a number, or a column that says it for each message, of at most ``most``.
+    """
+    if isinstance(turns, int):
+        turns, most = F.lit(turns), max(turns, 0)
+    if most <= 0:
         return messages.withColumn("recent", F.lit(None).cast("string"))
     line = F.concat(F.when(F.col("role") == "user", "Q: ").otherwise("A: "), F.left(F.coalesce("text", F.lit("")), F.lit(head)), F.lit("\n"))
-    before = Window.partitionBy(conv_col).orderBy(turn_col).rowsBetween(-turns, -1)
-    return messages.withColumn("recent", F.nullif(F.array_join(F.collect_list(line).over(before), ""), F.lit("")))
+    before = F.collect_list(line).over(Window.partitionBy(conv_col).orderBy(turn_col).rowsBetween(-most, -1))
+    kept = F.greatest(F.least(F.coalesce(turns, F.lit(0)), F.size(before)), F.lit(0))
+    return messages.withColumn("recent", F.nullif(F.array_join(F.slice(before, F.size(before) - kept + 1, kept), ""), F.lit("")))
 
 
 def answered_question(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
@@ -80,5 +90,3 @@ def joined(rows: DataFrame, by: str, order: Column | str, columns: dict[str, tup
     pairs = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), c.cast("string").alias("x")))), lambda s: s["x"]), sep).alias(name) for name, (c, sep) in columns.items()]
     return rows.groupBy(by).agg(*pairs)
 
-
-LanguageModel = Callable[[Sequence[str]], Sequence[str]]

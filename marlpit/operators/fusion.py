@@ -1,4 +1,9 @@
-"""Weighted reciprocal-rank fusion, flat and nested."""
+"""Weighted reciprocal-rank fusion, flat and nested.
+
+Lists hold request_id, key and rank; other columns are dropped. A key that a list holds twice adds up and ties by its
+first rank; null keys and requests are values like others; empty lists add nothing. Ties are broken as said in each
+function, so results do not depend on the order of rows.
+"""
 
 from __future__ import annotations
 
@@ -52,11 +57,16 @@ def with_origin(fused: DataFrame, bm25: DataFrame, dense: DataFrame) -> DataFram
     return out.withColumn("contribution", label).withColumn("similarity", similarity(F.col("distance"))).withColumn("display_rrf", shown).fillna(0, ["bm25_rank", "vector_rank"])
 
 
+def first_hits(hits: DataFrame) -> DataFrame:
+    """request_id, key, rank by the first of each key's hits; of keys with one first rank the smaller comes first."""
+    found = hits.groupBy("request_id", "key").agg(F.min("rank").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("request_id").orderBy("first", "key"))
+    return found.select("request_id", "key", rank.alias("rank"))
+
+
 def parents_of(hits: DataFrame, children: DataFrame) -> DataFrame:
-    """request_id, key (parent), rank by the first of each parent's children; hits are keyed by child."""
-    found = hits.join(children.select(F.col("child_key").alias("key"), "parent_id"), "key").groupBy("request_id", "parent_id").agg(F.min("rank").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("request_id").orderBy("first", "parent_id"))
-    return found.select("request_id", F.col("parent_id").alias("key"), rank.alias("rank"))
+    """The parents of hits that are keyed by child, in the order of their first child."""
+    return first_hits(hits.join(children.select(F.col("child_key").alias("key"), "parent_id"), "key").select("request_id", F.col("parent_id").alias("key"), "rank"))
 
 
 def debug_lists(**lists: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Rule-based reranking with the reasons for every score."""
+"""Rule-based reranking with the reasons for every score.
+
+Null texts, titles, messages and sources count as empty; ties keep the fused order, so equal rows need different ``idx``;
+other columns are carried, but for institutions, rerank_score and reasons, which are replaced; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -29,6 +33,11 @@ class Weights:
     rank: tuple[float, float] = (0.3, 0.02)
 
 
+# What the reasons are called.
+BASE, RULE, SYSTEM, CASE, OFFICIAL, COMPARE, CORE = "base", "rule_bias", "system_bias", "case_bias", "official_bias", "compare_bias", "core_source"
+PROPERTY_TITLE, PROPERTY_PARENT, PROPERTY_BODY = "property_title", "property_parent", "property_body"
+PRODUCT, INSTITUTION, AMOUNT, PARENT, RANK = "product_match", "institution", "amount_signal", "parent_section_hint", "base_rank_bias"
+
 TITLES = ("section_title", "parent_section_title", "doc_title")
 
 
@@ -58,32 +67,32 @@ def score(candidates: DataFrame, lexicon: Lexicon | None = None, weights: Weight
     titles = F.concat_ws(" ", *[low(t) for t in TITLES])
     held = doc_institutions(F.col("source"), F.col("section_title"), F.col("parent_section_title"), F.col("doc_title"), F.col("text"), lex)
     one, two, three = w.property
-    named = lambda where, points: lambda x: _item(F.lit(points), F.concat(F.lit(f"property_{where}:"), x, F.lit(f"+{points}")))
+    named = lambda where, points: lambda x: _item(F.lit(points), F.concat(F.lit(f"{where}:"), x, F.lit(f"+{points}")))
     properties = F.filter(
         F.transform(
             p["normalized_properties"],
-            lambda x: F.when(F.contains(section, F.lower(x)), named("title", one)(x)).when(F.contains(titles, F.lower(x)), named("parent", two)(x)).when(F.contains(text, F.lower(x)), named("body", three)(x)),
+            lambda x: F.when(F.contains(section, F.lower(x)), named(PROPERTY_TITLE, one)(x)).when(F.contains(titles, F.lower(x)), named(PROPERTY_PARENT, two)(x)).when(F.contains(text, F.lower(x)), named(PROPERTY_BODY, three)(x)),
         ),
         lambda x: x.isNotNull(),
     )
     products = F.size(F.filter(p["product_hits"], lambda x: F.contains(titles, F.lower(x)))) * F.lit(w.product)
-    institutions = F.transform(F.filter(p["institutions"], lambda x: F.array_contains(F.col("institutions"), x)), lambda x: _item(F.lit(w.institution), F.concat(F.lit("institution:"), x, F.lit(f"+{w.institution}"))))
+    institutions = F.transform(F.filter(p["institutions"], lambda x: F.array_contains(F.col("institutions"), x)), lambda x: _item(F.lit(w.institution), F.concat(F.lit(f"{INSTITUTION}:"), x, F.lit(f"+{w.institution}"))))
     amount = any_of(F.lower(F.coalesce(F.col("message"), F.lit(""))), lex.amount) & any_of(text, lex.amount)
     bias = F.greatest(F.lit(0.0), F.lit(w.rank[0]) - F.col("idx") * F.lit(w.rank[1]))
     before = F.array(
-        _by_class(kind, w.base, "base", F.lit(True)),
-        _by_class(kind, w.rule, "rule_bias", p["rule_score"] >= 2),
-        _by_class(kind, w.system, "system_bias", p["system_score"] >= 1),
-        _by_class(kind, w.case, "case_bias", p["case_score"] >= 1),
-        _by_class(kind, w.official, "official_bias", p["official_score"] >= 1),
-        _by_class(kind, w.compare, "compare_bias", p["is_compare"], "core_source"),
+        _by_class(kind, w.base, BASE, F.lit(True)),
+        _by_class(kind, w.rule, RULE, p["rule_score"] >= 2),
+        _by_class(kind, w.system, SYSTEM, p["system_score"] >= 1),
+        _by_class(kind, w.case, CASE, p["case_score"] >= 1),
+        _by_class(kind, w.official, OFFICIAL, p["official_score"] >= 1),
+        _by_class(kind, w.compare, COMPARE, p["is_compare"], CORE),
     )
     after = F.array(
-        F.when(amount, _item(F.lit(w.amount), F.lit(f"amount_signal+{w.amount}"))),
-        F.when(F.trim(F.coalesce(F.col("parent_section_no"), F.lit(""))) != "", _item(F.lit(w.parent), F.lit(f"parent_section_hint+{w.parent}"))),
-        _item(bias, F.concat(F.lit("base_rank_bias+"), F.format_number(bias, 2))),
+        F.when(amount, _item(F.lit(w.amount), F.lit(f"{AMOUNT}+{w.amount}"))),
+        F.when(F.trim(F.coalesce(F.col("parent_section_no"), F.lit(""))) != "", _item(F.lit(w.parent), F.lit(f"{PARENT}+{w.parent}"))),
+        _item(bias, F.concat(F.lit(f"{RANK}+"), F.format_number(bias, 2))),
     )
-    product = F.array(F.when(products > 0, _item(products, F.concat(F.lit("product_match+"), products.cast("string")))))
+    product = F.array(F.when(products > 0, _item(products, F.concat(F.lit(f"{PRODUCT}+"), products.cast("string")))))
     items = F.filter(F.concat(before, properties, product, institutions, after), lambda x: x.isNotNull())
     out = candidates.withColumn("institutions", held).withColumn("_items", items)
     total = F.round(F.aggregate("_items", F.lit(0.0), lambda s, x: s + x["points"]), 4)

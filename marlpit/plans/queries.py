@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import kms
 from ..operators import chunking, context, fusion, lexical, logs, metadata, profile, rerank, vector
 from ..operators.profile import Lexicon
-from ..session import ship
-from ..sources import files
+from ..session import scratch_path, ship
+from ..sources import files, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -52,7 +52,7 @@ _N = "CAST(replace(source, 'src', '') AS INT)"
 _DOC = {
     "key": "doc_id",
     "doc_type": f"CASE WHEN {_N} % 5 = 0 THEN 'internal_rule' END",
-    "source": f"CASE {_N} % 5 WHEN 0 THEN concat('rules/10.', {_N}, '.md') WHEN 1 THEN concat('./official_md/HUG_', source, '.md') WHEN 2 THEN concat('./faq_output_md/', source, '.md') WHEN 3 THEN concat('./kms_output_md/', source, '.md') ELSE concat('./misc/', source, '.md') END",
+    "source": f"CASE {_N} % 5 WHEN 0 THEN concat(CASE WHEN {_N} % 10 = 0 THEN '내규소수2_md' ELSE 'rules' END, '/10.', {_N}, '.md') WHEN 1 THEN concat('./official_md/HUG_', source, '.md') WHEN 2 THEN concat('./faq_output_md/', source, '.md') WHEN 3 THEN concat('./kms_output_md/', source, '.md') ELSE concat('./misc/', source, '.md') END",
     "doc_code": "CASE WHEN doc_id % 7 < 5 THEN 'LD10' ELSE '' END",
     "section_no": "CASE WHEN doc_id % 11 < 9 THEN concat('10.', doc_id % 9) ELSE '' END",
     "section_title": "CASE doc_id % 3 WHEN 0 THEN '대출한도' WHEN 1 THEN '대출금리 안내' ELSE '' END",
@@ -79,16 +79,22 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- retrieval ------------------------------------------------------------------
 _TOKENS_SQL = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
-_BM25_CTE = f"""
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS_SQL}) AS term FROM documents) GROUP BY ALL),
-dl AS (SELECT doc_id, len({_TOKENS_SQL}) AS dl FROM documents),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term, n),
-terms AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT item_id AS request_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS_SQL}) AS term FROM benchmark) GROUP BY ALL),
-sc AS (SELECT q.request_id, tf.doc_id AS key, round(sum(idf * times * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 8) AS score
-       FROM q JOIN terms USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
-bm25 AS (SELECT request_id, key, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, key) AS INT) AS rank FROM sc QUALIFY rank <= 12)"""
+
+
+def _bm25_cte(docs: str = "documents", key: str = "doc_id", asked: str = "SELECT item_id, text FROM benchmark", p: str = "") -> str:
+    return f"""
+{p}tf AS (SELECT key, term, count(*) AS tf FROM (SELECT {key} AS key, unnest({_TOKENS_SQL}) AS term FROM {docs}) GROUP BY ALL),
+{p}dl AS (SELECT {key} AS key, len({_TOKENS_SQL}) AS dl FROM {docs}),
+{p}st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {p}dl),
+{p}raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM {p}tf, {p}st GROUP BY term, n),
+{p}terms AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {p}raw) ELSE raw END AS idf FROM {p}raw),
+{p}q AS (SELECT request_id, term, count(*) AS times FROM (SELECT item_id AS request_id, unnest({_TOKENS_SQL}) AS term FROM ({asked})) GROUP BY ALL),
+{p}sc AS (SELECT q.request_id, tf.key, round(sum(idf * times * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 8) AS score
+       FROM {p}q q JOIN {p}terms USING (term) JOIN {p}tf tf USING (term) JOIN {p}dl USING (key), {p}st GROUP BY ALL),
+{p}bm25 AS (SELECT request_id, key, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, key) AS INT) AS rank FROM {p}sc QUALIFY rank <= 12)"""
+
+
+_BM25_CTE = _bm25_cte()
 _DISTANCE_SQL = "list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))))"
 
 
@@ -111,8 +117,17 @@ def _fused_cte(name: str, *lists: tuple[str, float]) -> str:
 _HYBRID_CTE = _fused_cte("hybrid", ("bm25", 0.3), ("dense", 0.7))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(lexical.build(_table(spark, sf_dir, "documents")), _requests(spark, sf_dir))
+    """Search in an index that is built once for an application and tables, as a service would hold it."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        path = scratch_path(spark, "bm25")
+        lexical.build(_table(spark, sf_dir, "documents")).write(path)
+        _STORED[at] = path
+    return lexical.search(lexical.Bm25Index.read(spark, _STORED[at]), _requests(spark, sf_dir))
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +141,10 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir)
 
 
-@_query(f"WITH {_dense_cte('a.vec_id = 0')} SELECT request_id, key, round(distance, 9) AS distance, rank, round(1 / (1 + distance), 4) AS similarity FROM dense")
+@_query(f"WITH {_dense_cte('a.vec_id % 20 = 0')} SELECT request_id, key, round(distance, 9) AS distance, rank, round(1 / (1 + distance), 4) AS similarity FROM dense")
 def vector_topk(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
-    found = vector.top_k(vectors, vectors.where("vec_id = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("vector")))
+    found = vector.top_k(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("vector")))
     return found.withColumn("similarity", vector.similarity(F.col("distance"))).withColumn("distance", F.round("distance", 9))
 
 
@@ -173,13 +188,13 @@ def debug_candidates(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_dense_cte('a.vec_id % 10 = 0')}, p AS (SELECT request_id, key // 4 AS parent, min(rank) AS first FROM dense GROUP BY ALL)
-SELECT request_id, parent AS key, CAST(row_number() OVER (PARTITION BY request_id ORDER BY first, parent) AS INT) AS rank FROM p"""
+    f"""WITH {_dense_cte('a.vec_id % 10 = 0')}, p AS (SELECT request_id, label AS parent, min(rank) AS first FROM dense JOIN embeddings ON vec_id = key GROUP BY ALL)
+SELECT request_id, CAST(parent AS BIGINT) AS key, CAST(row_number() OVER (PARTITION BY request_id ORDER BY first, parent) AS INT) AS rank FROM p"""
 )
 def parent_expand(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     hits = vector.top_k(vectors, vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("vector")))
-    return fusion.parents_of(hits, vectors.select(F.col("vec_id").alias("child_key"), F.floor(F.col("vec_id") / 4).alias("parent_id")))
+    return fusion.parents_of(hits, vectors.select(F.col("vec_id").alias("child_key"), F.col("label").cast("long").alias("parent_id")))
 
 
 @_query(f"WITH {_BM25_CTE} SELECT any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl, count(*) AS terms, round(avg(raw.raw), 6) AS mean_idf, round(min(terms.idf), 6) AS low_idf FROM st, raw JOIN terms USING (term)")
@@ -192,8 +207,7 @@ def bm25_stats(spark, sf_dir):
 
 @_query(f"WITH {_BM25_CTE} SELECT request_id, key, score, rank FROM bm25")
 def bm25_stored_index(spark, sf_dir):
-    from ..session import scratch_path
-
+    """Build and search."""
     path = scratch_path(spark, "bm25")
     lexical.build(_table(spark, sf_dir, "documents")).write(path)
     return lexical.search(lexical.Bm25Index.read(spark, path), _requests(spark, sf_dir))
@@ -220,14 +234,22 @@ def doc_key_display(spark, sf_dir):
     return _docs(spark, sf_dir).select(c("key").alias("doc_id"), metadata.doc_key(c("source"), c("chunk_id")).alias("doc_key"), shown.alias("display"))
 
 
-_FRONT = "concat('---\\nlang: ', lang, '\\ncode: \"D', doc_id, '\"\\nratio: 3:7\\ncode: \"E', doc_id, '\"\\nfiles:\\n - \"f (ID: ', doc_id, ')\"\\n---\\n\\n', text)"
+#: Its second list is not read by the query, its last key is not one of the first list.
+_FRONT = "concat('---\\nlang: ', lang, '\\ncode: \"D', doc_id, '\"\\nratio: 3:7\\ncode: \"E', doc_id, '\"\\nfiles:\\n - \"f (ID: ', doc_id, ')\"\\n - g\\ntags: [', lang, ', ', source, ']\\n---\\n\\n', text)"
 
 
-@_query("SELECT doc_id, lang AS front_lang, concat('E', doc_id) AS code, '3:7' AS ratio, concat('f (ID: ', doc_id, ')') AS item, CAST(length(ltrim(text)) AS INT) AS body_chars FROM documents")
+@_query(
+    """SELECT doc_id, lang AS front_lang, concat('E', doc_id) AS code, '3:7' AS ratio, concat('f (ID: ', doc_id, ')') AS item, 2 AS items, concat(lang, '|', source) AS tags, CAST(length(ltrim(text, ' ' || chr(10))) AS INT) AS body_chars,
+       CASE WHEN doc_id % 3 = 0 THEN 'internal_rule' WHEN doc_id % 3 = 1 THEN 'note' END AS doc_type FROM documents"""
+)
 def front_matter_map(spark, sf_dir):
-    front = metadata.front_matter(F.expr(_FRONT))
-    at = lambda k: F.try_element_at(F.col("f.meta"), F.lit(k))
-    return _table(spark, sf_dir, "documents").select("doc_id", front.alias("f")).select("doc_id", at("lang").alias("front_lang"), at("code").alias("code"), at("ratio").alias("ratio"), F.get("f.items", F.lit(0)).alias("item"), F.length("f.body").alias("body_chars"))
+    kind = "CASE WHEN doc_id % 3 = 1 THEN concat('doc_type: note', chr(10)) ELSE '' END"
+    made = F.expr(_FRONT.replace("'---\\nlang: '", f"'---\\n', {kind}, 'lang: '", 1))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'a/10.1.md' ELSE 'a/x.md' END").alias("source"), made.alias("text"))
+    rows = metadata.enrich(docs)
+    at = lambda k: F.try_element_at("meta", F.lit(k))
+    listed = lambda k: F.try_element_at("lists", F.lit(k))
+    return rows.select("doc_id", at("lang").alias("front_lang"), at("code").alias("code"), at("ratio").alias("ratio"), F.get(listed("files"), F.lit(0)).alias("item"), F.size(listed("files")).alias("items"), F.array_join(listed("tags"), "|").alias("tags"), F.length("text").alias("body_chars"), "doc_type")
 
 
 @_query("SELECT doc_id, 1 AS depth, source AS category FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 2, lang FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 3, concat('g', doc_id % 3) FROM documents WHERE doc_id % 5 <> 0")
@@ -237,31 +259,127 @@ def category_depth(spark, sf_dir):
 
 
 # -- chunks -------------------------------------------------------------------------
-@_query()
+#: Words with one space between them: then a split by size needs one separator, and SQL can follow it.
+_SPACED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+def _spaced(text) -> F.Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def _packed_cte(docs: str, separator: str) -> str:
+    """pieces(id, part, chars, start): the text of docs(id, text, size, overlap, whole) cut at one separator."""
+    n = len(separator)
+    return f"""
+w AS (SELECT id, unnest(string_split(text, '{separator}')) AS word, generate_subscripts(string_split(text, '{separator}'), 1) AS i FROM {docs} WHERE NOT whole AND text <> ''),
+c AS (SELECT id, i, sum(length(word) + CASE WHEN i > 1 THEN {n} ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS upto FROM w),
+cum AS (SELECT id, list_concat([0], list(upto ORDER BY i)) AS cum FROM c GROUP BY id),
+walk AS (
+  SELECT id, size, overlap, cum, 1 AS part, 0 AS s, len(list_filter(cum, lambda x: x <= size)) - 1 AS e FROM cum JOIN {docs} USING (id)
+  UNION ALL
+  SELECT id, size, overlap, cum, part + 1, next, len(list_filter(cum, lambda x: x <= cum[next + 1] + size)) - 1
+  FROM (SELECT *, len(list_filter(cum, lambda x: x < greatest(cum[e + 1] - overlap, cum[e + 2] - size))) AS next FROM walk WHERE e < len(cum) - 1)),
+pieces AS (SELECT id, CAST(part AS INT) AS part, cum[s + 1] AS start, CAST(length(trim(substring(text, CAST(cum[s + 1] + 1 AS BIGINT), CAST(cum[e + 1] - cum[s + 1] AS BIGINT)))) AS INT) AS chars,
+                  trim(substring(text, CAST(cum[s + 1] + 1 AS BIGINT), CAST(cum[e + 1] - cum[s + 1] AS BIGINT))) AS piece FROM walk JOIN {docs} USING (id)
+           UNION ALL SELECT id, 1, 0, CAST(length(text) AS INT), text FROM {docs} WHERE whole)"""
+
+
+_ROUTED_SQL = f"""SELECT key AS id, {_SPACED} AS text, source, source_class,
+  CASE WHEN rule THEN 3000 WHEN faq THEN 2000 ELSE 800 END AS size, CASE WHEN rule OR faq THEN 200 ELSE 150 END AS overlap, rule AND length({_SPACED}) <= 3000 AS whole
+FROM (SELECT *, contains(source, '내규소수2_md/') AS rule, contains(source, 'faq') AS faq FROM ({_CLASSED_SQL}))"""
+
+
+@_query(f"WITH RECURSIVE r AS ({_ROUTED_SQL}), {_packed_cte('r', ' ')} SELECT id AS key, r.source_class, part AS chunk_id, chars FROM pieces JOIN r USING (id)")
 def chunk_route(spark, sf_dir):
-    return chunking.route(_docs(spark, sf_dir).select("key", "source_class", "text")).select("key", "source_class", "chunk_id", F.length("text").alias("chars"))
+    docs = _docs(spark, sf_dir).withColumn("text", _spaced("text"))
+    return chunking.route(docs.select("key", "source", "doc_type", "source_class", "text")).select("key", "source_class", "chunk_id", F.length("text").alias("chars"))
+
+
+#: Sentences of ten words, so that the child's own separator is at work.
+_SENTENCES = r"regexp_replace(trim(regexp_replace(replace(text, '.', ''), '\s+', ' ', 'g')), '((?:\S+ ){9}\S+) ', '\1. ', 'g')"
 
 
-@_query()
+@_query(f"WITH RECURSIVE r AS (SELECT doc_id AS id, {_SENTENCES} AS text, 800 AS size, 100 AS overlap, false AS whole FROM documents), {_packed_cte('r', '. ')} SELECT id AS parent_id, part AS child_id, chars FROM pieces")
 def child_chunk(spark, sf_dir):
-    kids = chunking.child_chunks(_table(spark, sf_dir, "documents"), "doc_id")
+    text = F.regexp_replace(F.trim(F.regexp_replace(F.replace("text", F.lit("."), F.lit("")), r"\s+", " ")), r"((?:\S+ ){9}\S+) ", "$1. ")
+    kids = chunking.child_chunks(_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id")
     return kids.select("parent_id", "child_id", F.length("child").alias("chars"))
 
 
-@_query("WITH o AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 1050)) AS start, text FROM documents) SELECT doc_id, start, CAST(length(substring(text, start + 1, 1200)) AS INT) AS chars FROM o")
+_TRIMMED = "trim({0}, ' ' || chr(10))"
+
+
+@_query(
+    f"""WITH t AS (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents),
+o AS (SELECT doc_id, unnest(range(0, greatest(length(trim(t)), 1), 1050)) AS o, trim(t) AS t FROM t WHERE length(t) > 1200)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INT) AS part, CAST(length(trim(substring(t, o + 1, 1200))) AS INT) AS chars FROM o WHERE trim(substring(t, o + 1, 1200)) <> ''
+UNION ALL SELECT doc_id, 0, CAST(length(t) AS INT) FROM t WHERE length(t) <= 1200"""
+)
 def chunk_window_slices(spark, sf_dir):
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("text"), F.lit(1)) - 1, F.lit(1050)))
-    cut_ = F.substring(F.col("text"), F.col("start") + 1, F.lit(1200))
-    return _table(spark, sf_dir, "documents").select("doc_id", "text", at.alias("start")).select("doc_id", F.col("start").cast("long").alias("start"), F.length(cut_).alias("chars"))
+    """Texts of one paragraph: all but the short ones are sliced."""
+    parts = chunking.packed_paragraphs(F.replace("text", F.lit("\n"), F.lit(" ")))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part", "chunk")).select("doc_id", "part", F.length("chunk").alias("chars"))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE t AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {_TRIMMED.format("x")}), lambda x: x <> '') AS p FROM t WHERE length(t) > 1200),
+l AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM p),
+cum AS (SELECT doc_id, list_concat([0], list(upto ORDER BY i)) AS cum FROM (SELECT doc_id, i, sum(length(x) + 2) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l) GROUP BY doc_id),
+walk AS (
+  SELECT doc_id, cum, 0 AS first, len(list_filter(cum, lambda x: x <= 1202)) - 1 AS beyond FROM cum
+  UNION ALL
+  SELECT doc_id, cum, next, len(list_filter(cum, lambda x: x <= cum[next + 1] + 1202)) - 1
+  FROM (SELECT *, greatest(beyond, first + 1) AS next FROM walk) WHERE next < len(cum) - 1),
+packed AS (SELECT doc_id, first, 0 AS o, CAST(cum[beyond + 1] - cum[first + 1] - 2 AS INT) AS chars FROM walk WHERE beyond > first
+  UNION ALL
+  SELECT doc_id, first, o, CAST(length({_TRIMMED.format("substring(x, o + 1, 1200)")}) AS INT) FROM (SELECT doc_id, first, x, unnest(range(0, length(x), 1050)) AS o FROM walk JOIN l USING (doc_id) WHERE beyond <= first AND i = first + 1) WHERE {_TRIMMED.format("substring(x, o + 1, 1200)")} <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, o) - 1 AS INT) AS part, chars FROM packed
+UNION ALL SELECT doc_id, 0, CAST(length(t) AS INT) FROM t WHERE length(t) <= 1200"""
+)
 def paragraph_pack(spark, sf_dir):
     text = F.regexp_replace("text", "\n", "\n\n")
     parts = chunking.packed_paragraphs(text)
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part", "chunk")).select("doc_id", "part", F.length("chunk").alias("chars"))
 
 
+@_query("SELECT doc_id, concat('10.1.', doc_id, ' 제목', chr(10), lang) AS text FROM documents UNION ALL SELECT doc_id, concat('- ', replace(source, '.', '')) FROM documents")
+def trim_rules(spark, sf_dir):
+    with_rule = F.expr("concat('개정이력 2024', chr(10), '1. 항목', chr(10), regexp_replace(text, '[0-9.]', ''), chr(10), '10.1.', doc_id, ' 제목', chr(10), lang, '  ', chr(10))")
+    docs = _table(spark, sf_dir, "documents")
+    plain = F.concat(F.lit(" - "), F.replace("source", F.lit("."), F.lit("")), F.lit("\n"))
+    return docs.select("doc_id", chunking.trim_front(with_rule).alias("text")).unionByName(docs.select("doc_id", chunking.trim_front(plain).alias("text")))
+
+
+#: Knowledge-base documents: a header, and a heading before every sixty words.
+_KB_WORDS = 60
+_KB_FRONT = "concat('---', chr(10), '분류: \"', lang, ' > ', source, '\"', chr(10), '제목: T', doc_id, chr(10), '---', chr(10))"
+
+
+def _kb(docs: DataFrame) -> DataFrame:
+    words = F.split(_spaced("text"), " ")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / _KB_WORDS).cast("int")), lambda n: F.concat(F.lit("## S"), n, F.lit("\n"), F.array_join(F.slice(words, n * _KB_WORDS + 1, _KB_WORDS), " ")))
+    return docs.select("doc_id", F.concat(F.lit("kb/"), "doc_id", F.lit(".md")).alias("source"), F.concat(F.expr(_KB_FRONT), F.array_join(parts, "\n")).alias("text"))
+
+
+_SECTIONS_CTE = f"""
+kbw AS (SELECT doc_id, lang, source, string_split({_SPACED}, ' ') AS w FROM documents WHERE text IS NOT NULL),
+kbs AS (SELECT doc_id, lang, source, w, unnest(range(0, (len(w) - 1) // {_KB_WORDS} + 1)) AS n FROM kbw),
+sections AS (SELECT doc_id, lang, source, CAST(n + 1 AS INT) AS section_id, 'S' || n AS section, trim('## S' || n || chr(10) || array_to_string(w[n * {_KB_WORDS} + 1:(n + 1) * {_KB_WORDS}], ' '), ' ' || chr(10)) AS text FROM kbs)"""
+
+
+@_query(
+    f"""WITH {_SECTIONS_CTE}
+SELECT doc_id || '.md' AS file_name, section_id, 'kms' AS source_group, section, lang AS category_depth1, source AS category_depth2, 'T' || doc_id AS doc_title, CAST(length(text) AS INT) AS chars FROM sections"""
+)
+def parent_sections(spark, sf_dir):
+    from .index import parent_table
+
+    at = lambda k, n: F.try_element_at("meta", F.lit(k)).alias(n)
+    rows = parent_table(_kb(_table(spark, sf_dir, "documents")))
+    return rows.select(at("file_name", "file_name"), F.col("chunk_id").alias("section_id"), "source_group", at("section", "section"), at("category_depth1", "category_depth1"), at("category_depth2", "category_depth2"), at("제목", "doc_title"), F.length("text").alias("chars"))
+
+
 _MARKED = "list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 6 = 1 THEN '# ' || i WHEN i % 6 = 3 THEN '## ' || i WHEN i % 6 = 5 THEN '### ' || i ELSE x END)"
 
 
@@ -364,7 +482,24 @@ def rerank_order(spark, sf_dir):
     return _candidates(spark, sf_dir).select("request_id", "key", "idx", "rerank_score", "rerank_rank")
 
 
-@_query()
+_POINTS = rerank.Weights()
+
+
+def _by_class_sql(points: dict[str, float], name: str, when: str, shown: str | None = None) -> str:
+    return "CASE " + " ".join(f"WHEN {when} AND source_class = '{k}' THEN '{name}:{shown or k}+{p}'" for k, p in points.items()) + " END"
+
+
+_REASONS_SQL = f"""list_concat(
+  [{_by_class_sql(_POINTS.base, "base", "true")}, {_by_class_sql(_POINTS.rule, "rule_bias", "rule_score >= 2")}, {_by_class_sql(_POINTS.system, "system_bias", "system_score >= 1")},
+   {_by_class_sql(_POINTS.case, "case_bias", "case_score >= 1")}, {_by_class_sql(_POINTS.official, "official_bias", "official_score >= 1")}, {_by_class_sql(_POINTS.compare, "compare_bias", "compare_score >= 1", "core_source")}],
+  list_transform(properties, lambda x: CASE WHEN contains(lower(section_title), lower(x)) THEN 'property_title:' || x || '+4.0' WHEN contains({_TITLES}, lower(x)) THEN 'property_parent:' || x || '+2.5' WHEN contains(lower(text), lower(x)) THEN 'property_body:' || x || '+1.0' END),
+  [CASE WHEN len(list_filter(products, lambda x: contains({_TITLES}, lower(x)))) > 0 THEN 'product_match+' || CAST(2.5::DOUBLE * len(list_filter(products, lambda x: contains({_TITLES}, lower(x)))) AS VARCHAR) END],
+  list_transform(list_filter(asked, lambda x: list_contains(institutions, x)), lambda x: 'institution:' || x || '+1.8'),
+  [CASE WHEN {_AMOUNT.format("lower(message)")} AND {_AMOUNT.format("lower(text)")} THEN 'amount_signal+0.8' END, CASE WHEN trim(parent_section_no) <> '' THEN 'parent_section_hint+0.2' END, 'base_rank_bias+' || format('{{:.2f}}', greatest(0, 0.3 - 0.02 * idx)::DOUBLE)])"""
+_REASON_CTE = f"reasoned AS (SELECT request_id, key, array_to_string(list_filter({_REASONS_SQL}, lambda x: x IS NOT NULL), ' | ') AS reasons FROM cand)"
+
+
+@_query(f"WITH {_RERANK_CTE}, {_REASON_CTE} SELECT request_id, key, rerank_score, reasons FROM reranked JOIN reasoned USING (request_id, key)")
 def rerank_reasons(spark, sf_dir):
     return _candidates(spark, sf_dir).select("request_id", "key", "rerank_score", rerank.reason_text(F.col("reasons")).alias("reasons"))
 
@@ -378,19 +513,19 @@ def context_fill(spark, sf_dir):
     return context.select_context(rows)
 
 
-@_query(
-    f"""WITH RECURSIVE {_RERANK_CTE},
-lists AS (SELECT request_id, any_value(asked) AS asked, any_value(compare_score) >= 1 AS is_compare, list({{'key': key, 'kind': source_class, 'inst': institutions}} ORDER BY rerank_rank) AS l,
+_SELECT_CTE = f"""lists AS (SELECT request_id, any_value(asked) AS asked, any_value(compare_score) >= 1 AS is_compare, list({{'key': key, 'kind': source_class, 'inst': institutions}} ORDER BY rerank_rank) AS l,
                  list(key ORDER BY {_ORDER_SQL}, rerank_rank) AS filled FROM reranked GROUP BY request_id),
 steps AS (SELECT request_id, l, filled, CASE WHEN is_compare THEN len(asked) * 4 ELSE 0 END AS n, asked FROM lists),
-walk AS (SELECT request_id, 0 AS step, []::BIGINT[] AS taken FROM steps
+turns AS (SELECT request_id, 0 AS step, []::BIGINT[] AS taken FROM steps
   UNION ALL
   SELECT w.request_id, w.step + 1, CASE WHEN len(fit) > 0 AND len(w.taken) < 6 THEN list_append(w.taken, fit[1].key) ELSE w.taken END
   FROM (SELECT w.request_id, w.step, w.taken, list_filter(s.l, lambda x: x.kind = (['internal_rule', 'official', 'faq', 'kms'])[w.step % 4 + 1] AND list_contains(x.inst, s.asked[w.step // 4 + 1]) AND NOT list_contains(w.taken, x.key)) AS fit
-        FROM walk w JOIN steps s USING (request_id) WHERE w.step < s.n) w),
-done AS (SELECT s.request_id, (list_concat(w.taken, list_filter(s.filled, lambda x: NOT list_contains(w.taken, x))))[1:6] AS keys FROM steps s JOIN walk w ON w.request_id = s.request_id AND w.step = s.n)
-SELECT request_id, unnest(keys) AS key, CAST(generate_subscripts(keys, 1) AS INT) AS position FROM done"""
-)
+        FROM turns w JOIN steps s USING (request_id) WHERE w.step < s.n) w),
+done AS (SELECT s.request_id, (list_concat(w.taken, list_filter(s.filled, lambda x: NOT list_contains(w.taken, x))))[1:6] AS keys FROM steps s JOIN turns w ON w.request_id = s.request_id AND w.step = s.n),
+chosen AS (SELECT request_id, unnest(keys) AS key, CAST(generate_subscripts(keys, 1) AS INT) AS position FROM done)"""
+
+
+@_query(f"WITH RECURSIVE {_RERANK_CTE}, {_SELECT_CTE} SELECT request_id, key, position FROM chosen")
 def context_compare(spark, sf_dir):
     return context.select_context(_candidates(spark, sf_dir))
 
@@ -421,29 +556,121 @@ def prompt_render(spark, sf_dir):
     return rows.select("request_id", context.render(context.ANSWER, context=F.col("context"), message=F.col("query"), src=F.col("src")).alias("prompt"))
 
 
-@_query()
+@_query("SELECT conv_id, turn, nullif(array_to_string(l[greatest(len(l) - turn % 4 + 1, 1):], ''), '') AS recent FROM (SELECT *, coalesce(list(CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || left(text, 50) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), []) AS l FROM conversations)")
+def history_by_request(spark, sf_dir):
+    """Each message with its own number of earlier ones, none for every fourth."""
+    messages = _table(spark, sf_dir, "conversations")
+    return context.history(messages, (F.col("turn") % 4).cast("int")).select("conv_id", "turn", "recent")
+
+
+_RECENT_SQL = "SELECT *, string_agg(CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || left(text, 50) || chr(10), '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS recent FROM conversations"
+
+
+def _reword(prompts: list[str]) -> list[str]:
+    """Stands for a rewriting model; it fails for batches with a prompt about errors of one kind."""
+    if any(len(p) % 11 == 0 for p in prompts):
+        raise ValueError("no reply")
+    return [p.replace("e", "E") for p in prompts]
+
+
+@_query(
+    f"""WITH r AS (SELECT conv_id, turn, text AS message, CASE WHEN turn % 3 > 0 AND recent <> '' THEN 'Earlier messages:' || chr(10) || recent || chr(10) || 'Question: ' || text || chr(10) || 'Search query:' END AS prompt FROM ({_RECENT_SQL}) WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN prompt IS NULL OR length(prompt) % 11 = 0 THEN message ELSE trim(replace(prompt, 'e', 'E')) END AS search_query, CASE WHEN length(prompt) % 11 = 0 THEN 'ValueError: no reply' END AS error FROM r"""
+)
+def query_rewrite(spark, sf_dir):
+    from .answer import rewritten
+
+    asked = context.history(_table(spark, sf_dir, "conversations"), 2).where("role = 'user'").select("conv_id", "turn", F.col("text").alias("message"), "recent", (F.col("turn") % 3).alias("turns"))
+    return rewritten(asked, _reword).select("conv_id", "turn", "search_query", F.col("rewrite_error").alias("error"))
+
+
+_LABEL_SQL = """CASE WHEN doc_type = 'internal_rule' AND doc_code <> '' AND section_no <> '' AND parent_section_title <> '' AND section_title <> '' AND parent_section_title <> section_title THEN doc_code || ' ' || section_no || ' ' || parent_section_title || ' > ' || section_title
+     WHEN doc_type = 'internal_rule' AND doc_code <> '' AND section_no <> '' AND section_title <> '' THEN doc_code || ' ' || section_no || ' ' || section_title
+     WHEN doc_type = 'internal_rule' AND section_no <> '' AND section_title <> '' THEN section_no || ' ' || section_title
+     WHEN doc_type = 'internal_rule' AND section_no <> '' THEN section_no
+     ELSE regexp_extract(source, '([^/]*)$', 1) || '#' || chunk_id END"""
+
+
+@_query(
+    f"""WITH RECURSIVE {_RERANK_CTE}, {_REASON_CTE}, {_SELECT_CTE},
+every AS (SELECT request_id, key, c.position, h.rank, rerank_rank, rerank_score, reasons, coalesce(b.rank, 0) AS bm25_rank, coalesce(d.rank, 0) AS vector_rank, coalesce(round(1 / (1 + d.distance), 4), 0) AS vector_score,
+                 x.source_class AS source_type, section_no, section_title, parent_section_title, {_LABEL_SQL} AS display
+          FROM hybrid h JOIN (SELECT request_id, key, rerank_rank, rerank_score FROM reranked) USING (request_id, key) JOIN reasoned USING (request_id, key) JOIN docs x USING (key)
+          LEFT JOIN bm25 b USING (request_id, key) LEFT JOIN dense d USING (request_id, key) LEFT JOIN chosen c USING (request_id, key)),
+staged AS (SELECT *, 'bm25_top' AS stage, bm25_rank AS spot FROM every WHERE bm25_rank > 0 UNION ALL SELECT *, 'vector_top', vector_rank FROM every WHERE vector_rank > 0 UNION ALL SELECT *, 'hybrid_before_rerank', rank FROM every
+           UNION ALL SELECT *, 'rerank_after', rerank_rank FROM every UNION ALL SELECT *, 'final_context', position FROM every WHERE position IS NOT NULL)
+SELECT request_id, stage, CAST(row_number() OVER (PARTITION BY request_id, stage ORDER BY spot) AS INT) AS place, display, source_type, section_no, section_title, parent_section_title, bm25_rank, vector_rank, vector_score, rerank_score, reasons AS rerank_reason FROM staged"""
+)
 def diagnostic_summary(spark, sf_dir):
+    """The five stages of each request's diagnostic record, unfolded again."""
+    from .answer import stages
+
     keyword, dense = _bm25(spark, sf_dir), _dense(spark, sf_dir)
     c = F.col
     shown = metadata.display(c("doc_type"), c("doc_code"), c("section_no"), c("section_title"), c("parent_section_title"), c("source"), c("chunk_id"))
     origin = fusion.with_origin(fusion.hybrid(keyword, dense), keyword, dense)
-    rows = _candidates(spark, sf_dir).join(origin.select("request_id", "key", "bm25_rank", "vector_rank", "distance"), ["request_id", "key"])
-    staged = rows.withColumn("display", shown).withColumn("source_type", c("source_class")).withColumn("stage", F.lit("rerank_after")).withColumn("position", c("rerank_rank"))
+    labelled = _candidates(spark, sf_dir).join(origin.select("request_id", "key", "bm25_rank", "vector_rank", "distance"), ["request_id", "key"]).withColumn("display", shown)
+    final = labelled.join(context.select_context(labelled), ["request_id", "key"])
     asked = _requests(spark, sf_dir).withColumn("profile", profile.profile(c("message"))).withColumn("search_query", c("query"))
-    out = logs.diagnostics(staged, asked, F.lit("2024-01-01").cast("timestamp"))
-    return out.select("request_id", F.to_json("question_profile").alias("question_profile"), F.to_json("rerank_after").alias("rerank_after"))
+    records = logs.diagnostics(stages(labelled, final), asked, F.lit("2024-01-01").cast("timestamp"))
+    lists = F.explode(F.array(*[F.struct(F.lit(x).alias("stage"), c(x).alias("l")) for x in logs.STAGES]))
+    return records.select("request_id", lists.alias("s")).select("request_id", "s.stage", F.posexplode("s.l").alias("at", "c")).select("request_id", "stage", (c("at") + 1).alias("place"), "c.*")
 
 
-@_query(
-    """SELECT '2024-01-01 00:00:00' AS timestamp, 0 AS context_turns, q AS original_question, 'N/A' AS searched_query, text AS ai_response, CASE WHEN turn % 2 = 0 THEN 'LIKE' ELSE 'DISLIKE' END AS feedback,
-       'N/A' AS ref_documents, 'N/A' AS search_reasons, 'N/A' AS vector_similarities, 'N/A' AS bm25_ranks, 'N/A' AS rrf_final_scores
-FROM (SELECT *, lag(text, 1, 'N/A') OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations) WHERE role = 'assistant'"""
-)
-def feedback_log(spark, sf_dir):
+_FEEDBACK_SQL = """SELECT '2024-01-01 00:00:00' AS timestamp, CASE WHEN known THEN turn % 5 ELSE 0 END AS context_turns, q AS original_question, CASE WHEN known THEN 'q ' || left(text, 20) ELSE 'N/A' END AS searched_query, text AS ai_response, CASE WHEN turn % 2 = 0 THEN 'LIKE' ELSE 'DISLIKE' END AS feedback,
+       CASE WHEN known THEN 'doc ' || conv_id || '|doc ' || turn ELSE 'N/A' END AS ref_documents, CASE WHEN known THEN role || '|-' ELSE 'N/A' END AS search_reasons, CASE WHEN known THEN '0.' || turn ELSE 'N/A' END AS vector_similarities, CASE WHEN known THEN conv_id || '|0' ELSE 'N/A' END AS bm25_ranks, CASE WHEN known THEN turn || '.5' ELSE 'N/A' END AS rrf_final_scores
+FROM (SELECT *, (conv_id + turn) % 3 > 0 AS known, lag(text, 1, 'N/A') OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations) WHERE role = 'assistant'"""
+
+
+def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events on all answers; two in three have results."""
     messages = _table(spark, sf_dir, "conversations")
     events = messages.where("role = 'assistant'").select("conv_id", "turn", (F.col("turn") % 2 == 0).alias("liked"))
-    none = messages.limit(0).select("conv_id", "turn", F.lit(0).alias("context_turns"), *[F.lit("").alias(c) for c in ("searched_query", *logs.FEEDBACK[6:])])
-    return logs.feedback_rows(events, messages, none, F.lit("2024-01-01").cast("timestamp"))
+    made = {"context_turns": "turn % 5", "searched_query": "concat('q ', left(text, 20))", "ref_documents": "concat('doc ', conv_id, '|doc ', turn)", "search_reasons": "concat(role, '|-')", "vector_similarities": "concat('0.', turn)", "bm25_ranks": "concat(conv_id, '|0')", "rrf_final_scores": "concat(turn, '.5')"}
+    results = messages.where("(conv_id + turn) % 3 > 0").select("conv_id", "turn", *[F.expr(v).alias(k) for k, v in made.items()])
+    return logs.feedback_rows(events, messages, results, F.lit("2024-01-01").cast("timestamp"))
+
+
+@_query(_FEEDBACK_SQL)
+def feedback_log(spark, sf_dir):
+    return _feedback(spark, sf_dir)
+
+
+# -- sinks, written and read back -----------------------------------------------------------------
+@_query(f"SELECT ai_response, feedback, searched_query, 2 AS times FROM ({_FEEDBACK_SQL}) GROUP BY ALL HAVING count(*) = 1 UNION ALL SELECT ai_response, feedback, searched_query, 2 * count(*) FROM ({_FEEDBACK_SQL}) GROUP BY ALL HAVING count(*) > 1")
+def feedback_append(spark, sf_dir):
+    """The log appended twice."""
+    path = scratch_path(spark, "feedback")
+    for _ in range(2):
+        sinks.append_feedback(_feedback(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("ai_response", "feedback", "searched_query").agg(F.count("*").alias("times"))
+
+
+@_query("SELECT request_id, text AS question, n FROM (SELECT item_id AS request_id, text FROM benchmark) CROSS JOIN (VALUES (1), (2)) v(n)")
+def diagnostics_append(spark, sf_dir):
+    path = scratch_path(spark, "diagnostics")
+    for n in (1, 2):
+        sinks.append_diagnostics(_requests(spark, sf_dir).select("request_id", F.col("query").alias("question"), F.lit(n).alias("n")), path)
+    return spark.read.schema("request_id long, question string, n int").json(path)
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS pk, CASE WHEN doc_id % 3 = 0 THEN 'new ' ELSE 'old ' END || lang AS text FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def markdown_by_pk(spark, sf_dir):
+    """Texts written for every second document, then for every third: the later ones replace, the others stay."""
+    path = scratch_path(spark, "markdown")
+    for each, word in ((2, "old "), (3, "new ")):
+        docs = _table(spark, sf_dir, "documents").where(F.col("doc_id") % each == 0)
+        rows = docs.select(F.col("doc_id").cast("string").alias("pk"), F.lit("s").alias("shown_id"), F.lit("p").alias("path"), F.concat(F.lit(word), "lang").alias("text"), F.lit(None).cast("string").alias("error"))
+        sinks.write_markdown(rows, path)
+    return spark.read.parquet(path).select("pk", "text")
+
+
+@_query("SELECT doc_id AS chunk_id, left(text, 800) AS text FROM documents ORDER BY doc_id LIMIT 5")
+def chunk_preview(spark, sf_dir):
+    """The first chunks of a dump of all of them."""
+    path = scratch_path(spark, "chunks")
+    sinks.write_chunks(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), path)
+    return sinks.preview(spark.read.schema("chunk_id long, text string").json(path))
 
 
 @_query("SELECT doc_id, source AS title, lang AS institution, 2 AS urls, concat('u', doc_id + 1) AS last_url, 'WEB' AS kind, CAST(length(trim(text, ' ' || chr(10))) AS INT) AS chars FROM documents")
@@ -453,24 +680,131 @@ def corpus_header(spark, sf_dir):
     return h.select("doc_id", "h.title", "h.institution", F.size("h.urls").alias("urls"), F.element_at("h.urls", -1).alias("last_url"), "h.kind", F.length("h.body").alias("chars"))
 
 
-@_query()
+_RULED_LINE = "CASE WHEN i % 7 = 1 THEN '10.' || ((i - 1) // 7 + 1) || ' 제목' WHEN i % 7 = 4 THEN '1. 항목' ELSE rtrim('· ' || x) END"
+
+
+@_query(
+    f"""WITH l AS (SELECT doc_id, (i - 1) // 7 AS m, (i - 1) % 7 AS line, i, {_RULED_LINE} AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+r AS (SELECT doc_id, m, line >= 3 AS sub, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE line NOT IN (0, 3)), '') AS body FROM l GROUP BY ALL),
+k AS (SELECT doc_id, m, sub, body FROM r WHERE sub OR body <> ''),
+p AS (SELECT doc_id, m, sub, 0 AS o, body AS part FROM k WHERE length(body) <= 1200 UNION ALL SELECT doc_id, m, sub, o, trim(substring(body, o + 1, 1200), ' ' || chr(10)) FROM (SELECT *, unnest(range(0, length(body), 1050)) AS o FROM k WHERE length(body) > 1200)),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m, NOT sub, o) AS INT) AS chunk_id, CAST(row_number() OVER (PARTITION BY doc_id, m, sub ORDER BY o) AS INT) AS part_no FROM p WHERE part <> '' OR o = 0)
+SELECT doc_id, chunk_id, '10.' || (m + 1) AS major_no, CASE WHEN sub THEN '1' END AS sub_no, part_no, text, CAST(length(text) AS INT) AS text_len
+FROM (SELECT *, trim('[문서] LD10' || chr(10) || '[대분류] 10.' || (m + 1) || ' 제목' || CASE WHEN sub THEN chr(10) || '[세부항목] 1. 항목' ELSE '' END || chr(10) || chr(10) || part, ' ' || chr(10)) AS text FROM n)"""
+)
 def section_chunks(spark, sf_dir):
-    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("10."), (i / 7).cast("int") + 1, F.lit(" 제목"))).when(i % 7 == 3, F.lit("1. 항목")).otherwise(x)), "\n")
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("10."), (i / 7).cast("int") + 1, F.lit(" 제목"))).when(i % 7 == 3, F.lit("1. 항목")).otherwise(F.concat(F.lit("· "), x))), "\n")
     found = chunking.sections(_table(spark, sf_dir, "documents").select("doc_id", marked.alias("text")))
-    return chunking.section_chunks(found, "LD10").select("doc_id", "chunk_id", "major_no", "sub_no", "part_no", "text_len")
+    return chunking.section_chunks(found, "LD10").select("doc_id", "chunk_id", "major_no", "sub_no", "part_no", "text", "text_len")
+
+
+#: An embedder that SQL can follow: how often a text holds each of some letters.
+_LETTERS = "enatisro"
+_COUNTS_SQL = "list_transform([" + ", ".join(f"'{c}'" for c in _LETTERS) + "], lambda c: CAST(length({0}) - length(replace({0}, c, '')) AS DOUBLE))"
+_META = ("doc_code", "section_no", "section_title", "parent_section_no", "parent_section_title", "doc_title")
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    return [[float(t.count(c)) for c in _LETTERS] for t in texts]
 
 
-@_query()
+def _speak(prompts: list[str]) -> list[str]:
+    """Stands for a language model: it says how long the prompt is, and fails for some lengths."""
+    if any(len(p) % 7 == 0 for p in prompts):
+        raise ValueError("no reply")
+    return [f"{len(p)} characters" for p in prompts]
+
+
+def _answer_sql(fused: str, chunks: str, keyword: str, dense: str, more: str = "") -> str:
+    """Results over the CTEs chunks(key, text, the columns of docs), and the ranked lists named."""
+    rerank_cte = _RERANK_CTE[_RERANK_CTE.index("docs AS (") :].replace(f"docs AS ({_CLASSED_SQL})", f"docs AS (SELECT * FROM {chunks})").replace("FROM hybrid h", f"FROM {fused} h")
+    return f"""{more}, {rerank_cte}, {_REASON_CTE}, {_SELECT_CTE},
+final AS (SELECT c.request_id, c.position, {_LABEL_SQL} AS display, x.text, coalesce(round(1 / (1 + d.distance), 4), 0) AS similarity, coalesce(b.rank, 0) AS bm25_rank, rerank_score, reasons
+          FROM chosen c JOIN docs x USING (key) JOIN reasoned USING (request_id, key) JOIN (SELECT request_id, key, rerank_score FROM reranked) USING (request_id, key)
+          LEFT JOIN {keyword} b USING (request_id, key) LEFT JOIN {dense} d USING (request_id, key)),
+told AS (SELECT request_id, string_agg('--- [참조: ' || display || '] ---' || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS context, string_agg(display, ', ' ORDER BY position) AS src, string_agg(display, '|' ORDER BY position) AS ref_documents,
+                string_agg(reasons, '|' ORDER BY position) AS search_reasons, string_agg(CAST(similarity AS VARCHAR), '|' ORDER BY position) AS vector_similarities, string_agg(CAST(bm25_rank AS VARCHAR), '|' ORDER BY position) AS bm25_ranks, string_agg(CAST(rerank_score AS VARCHAR), '|' ORDER BY position) AS rrf_final_scores FROM final GROUP BY request_id),
+asked_ AS (SELECT item_id AS request_id, {_MESSAGE} AS message FROM benchmark),
+said AS (SELECT *, 'Answer from the given documents only.' || chr(10) || chr(10) || 'Documents:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || message || chr(10) || chr(10) || 'Sources: ' || coalesce(src, '') AS prompt FROM asked_ LEFT JOIN told USING (request_id))
+SELECT request_id, message, message AS search_query, prompt, CASE WHEN length(prompt) % 7 <> 0 THEN length(prompt) || ' characters' END AS answer, CASE WHEN length(prompt) % 7 = 0 THEN 'ValueError: no reply' END AS error, ref_documents, search_reasons, vector_similarities, bm25_ranks, rrf_final_scores FROM said"""
+
+
+def _letters_cte(name: str, source: str, p: str = "") -> str:
+    """The 12 nearest rows of source(key, text) for each message."""
+    counts = lambda x: _COUNTS_SQL.format(x)
+    return f"""
+{p}qv AS (SELECT item_id AS request_id, {counts("m")} AS v FROM (SELECT item_id, {_MESSAGE} AS m FROM benchmark)),
+{p}cv AS (SELECT key, {counts("text")} AS v FROM {source}),
+{name} AS (SELECT request_id, key, list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance, CAST(row_number() OVER (PARTITION BY request_id ORDER BY distance, key) AS INT) AS rank FROM {p}qv q, {p}cv c QUALIFY rank <= 12)"""
+
+
+_ASKED_SQL = f"SELECT item_id, {_MESSAGE} AS text FROM benchmark"
+_CHUNKS_CTE = f"""r AS ({_ROUTED_SQL}), {_packed_cte("r", " ")},
+chunks AS (SELECT id * 10000 + part AS key, x.source, x.doc_type, x.source_class, x.doc_code, x.section_no, x.section_title, x.parent_section_title, x.parent_section_no, x.doc_title, part AS chunk_id, piece AS text
+           FROM pieces JOIN ({_CLASSED_SQL}) x ON x.key = id)"""
+
+
+def _chunk_table(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Chunks of the documents with all their fields, keyed so that SQL can name them."""
+    docs = (_docs(spark, sf_dir) if docs is None else docs).withColumn("text", _spaced("text"))
+    meta = F.create_map(*[x for k in _META for x in (F.lit(k), F.col(k))])
+    return chunking.route(docs.select("key", "source", "doc_type", "source_class", meta.alias("meta"), "text")).withColumn("key", F.col("key") * 10_000 + F.col("chunk_id"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests(spark, sf_dir).select("request_id", "message", F.lit(None).cast("string").alias("recent"))
+
+
+@_query(
+    "WITH RECURSIVE "
+    + _answer_sql("hybrid", "chunks", "bm25", "dense", f"{_CHUNKS_CTE}, {_bm25_cte('chunks', 'key', _ASKED_SQL)}, {_letters_cte('dense', 'chunks')}, {_HYBRID_CTE}")
+)
 def answer_prompts(spark, sf_dir):
     """The whole flow over a stored index of the documents' chunks."""
-    from ..session import scratch_path
     from . import answer, index
 
-    docs = _docs(spark, sf_dir)
-    meta = F.create_map(*[x for k in ("doc_code", "section_no", "section_title", "parent_section_no", "parent_section_title", "doc_title") for x in (F.lit(k), F.col(k))])
-    chunks = chunking.route(docs.select("key", "source", "doc_type", "source_class", meta.alias("meta"), "text")).withColumn("key", F.col("key") * 10_000 + F.col("chunk_id"))
-    built = index.build(spark, [], scratch_path(spark, "index"), chunks=chunks)
-    return answer.answer(built, _requests(spark, sf_dir).select("request_id", "message", F.lit(None).cast("string").alias("recent"))).results
+    built = index.build(spark, [], scratch_path(spark, "index"), _letters, _chunk_table(spark, sf_dir))
+    return answer.answer(built, _asked(spark, sf_dir), model=_speak).results
+
+
+#: Of the split index, documents of even number are the knowledge base, by section; the others are chunks.
+_SPLIT_CTE = f"""{_CHUNKS_CTE.replace("FROM pieces JOIN", "FROM (SELECT * FROM pieces WHERE id % 2 = 1) JOIN")}, {_SECTIONS_CTE},
+parents AS (SELECT doc_id * 10000 + section_id AS key, text FROM sections WHERE doc_id % 2 = 0),
+kc AS (SELECT key, text FROM parents),
+every AS (SELECT * FROM chunks UNION ALL SELECT doc_id * 10000 + section_id, 'kb/' || doc_id || '.md', NULL, 'kms', '', '', '', '', '', '', section_id, text FROM sections WHERE doc_id % 2 = 0),
+{_bm25_cte("chunks", "key", _ASKED_SQL)}, {_letters_cte("dense", "chunks")}, {_HYBRID_CTE},
+{_bm25_cte("parents", "key", _ASKED_SQL, "k_")}, {_letters_cte("k_hits", "kc", "k_")},
+k_dense AS (SELECT request_id, key, CAST(row_number() OVER (PARTITION BY request_id ORDER BY rank, key) AS INT) AS rank FROM k_hits),
+{_fused_cte("kms", ("k_dense", 0.5), ("k_bm25", 0.5))}, {_fused_cte("top", ("kms", 0.5), ("hybrid", 0.5))}"""
+
+
+def _split_index(spark: SparkSession, sf_dir: str):
+    """Built, and loaded from what was stored."""
+    from . import index
+
+    docs = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    sections = index.parent_table(_kb(docs))
+    number = F.regexp_extract("source", r"kb/(-?[0-9]+)\.md", 1).cast("long")
+    parents = sections.withColumn("key", number * 10_000 + F.col("chunk_id"))
+    path = scratch_path(spark, "split")
+    index.build_split(spark, parents, [], path, _letters, others=_chunk_table(spark, sf_dir, _docs(spark, sf_dir).where("key % 2 = 1")))
+    return index.build_or_load_split(spark, [], [], path, _letters)
+
+
+@_query(
+    f"""WITH RECURSIVE {_SPLIT_CTE}
+SELECT 'kms_docs' AS list_name, request_id, key, rank FROM kms UNION ALL SELECT 'non_kms_bm25_docs', request_id, key, rank FROM bm25 UNION ALL SELECT 'non_kms_vector_docs', request_id, key, rank FROM dense
+UNION ALL SELECT 'non_kms_hybrid_docs', request_id, key, rank FROM hybrid UNION ALL SELECT 'top_hybrid_docs', request_id, key, rank FROM top"""
+)
+def split_lists(spark, sf_dir):
+    return _split_index(spark, sf_dir).search(_asked(spark, sf_dir).select("request_id", F.col("message").alias("query"))).debug()
+
+
+@_query("WITH RECURSIVE " + _answer_sql("top", "every", "bm25", "dense", _SPLIT_CTE))
+def split_answer(spark, sf_dir):
+    from . import answer
+
+    return answer.answer(_split_index(spark, sf_dir), _asked(spark, sf_dir), model=_speak).results
 
 
 # -- pages and exports ---------------------------------------------------------------------------
@@ -492,18 +826,28 @@ def page_line_dedup(spark, sf_dir):
 
 @_query(
     f"""WITH {_LINES_CTE}
-SELECT title, CAST(count(*) AS INT) AS pages, concat('# 상품명: ', title, chr(10), '기관명: -', chr(10), '원본 URL: ', array_to_string(list(url ORDER BY page_id), ' | '), chr(10), '수집일: 2024-01-01 00:00:00', chr(10), '출처유형: WEB', chr(10), chr(10), '## 기타', chr(10),
+SELECT title, 1 AS part, CAST(count(*) AS INT) AS pages, concat('# 상품명: ', title, chr(10), '기관명: -', chr(10), '원본 URL: ', array_to_string(list(url ORDER BY page_id), ' | '), chr(10), '수집일: 2024-01-01 00:00:00', chr(10), '출처유형: WEB', chr(10), chr(10), '## 기타', chr(10),
        array_to_string(flatten(list(lines ORDER BY page_id)), chr(10))) AS text FROM u GROUP BY title"""
 )
 def page_merge_by_title(spark, sf_dir):
     return files.merge_by_title(files.page_texts(_table(spark, sf_dir, "pages")), "-", "2024-01-01 00:00:00")
 
 
+_PLAIN = "trim(regexp_replace(text, '[^a-zA-Z]+', ' '{0}))"
+_HTML = (
+    "concat('<h2>', lang, '</h2><p>', {plain}, '</p><p>see <a href=\\\\\"/doc/', doc_id, '\\\\\">doc <b>', doc_id, '</b></a> and <a href=\\\\\"https://x.example/\\\\\">x</a></p>"
+    "<table><thead><tr><th>k</th><th>v</th></tr></thead><tr><td>source</td><td>', source, '<table><tr><td>', lang, '</td></tr></table></td></tr></table><script>no</script>')"
+)
+#: Every tenth page is a master; of the others some have no model or a malformed one.
+_NO_MODEL, _MALFORMED = "doc_id % 10 > 0 AND doc_id % 19 = 18", "doc_id % 10 > 0 AND doc_id % 17 = 16"
 _EXPORT = {
     "id": "CASE WHEN doc_id % 10 > 0 THEN CAST(doc_id AS STRING) END",
     "type": "CASE WHEN doc_id % 20 < 10 THEN 'kms' ELSE 'doc' END",
     "pk": "CAST(doc_id AS STRING)",
-    "result": """concat('<html catalog="/a/SVC', doc_id % 3, '/catalog.xml.jsp"><script>var model = {"gid": ', CAST(floor(doc_id / 10) AS INT), ', "id": ', doc_id, ', "title": "T', doc_id, '", "lastUpdt": 1600000000000, "folders": [{"path": ["a", "k', doc_id, '"]}], "folder": {"path": ["b", "d', doc_id, '"]}, "content": "<p>x</p>"};</script></html>')""",
+    "result": f"""concat('<html catalog="/a/SVC', doc_id % 3, '/catalog.xml.jsp"><script>', CASE WHEN {_NO_MODEL} THEN 'nothing' WHEN {_MALFORMED} THEN 'var model = {{oops}};' ELSE concat(
+        'var model = {{"gid": ', CAST(floor(doc_id / 10) AS INT), ', "id": ', doc_id, ', "title": "T', doc_id, '", "author": {{"displayName": "A', doc_id % 5, '"}}, "lastUpdt": ', CASE WHEN doc_id % 6 = 0 THEN '0' ELSE '1600000000000' END,
+        ', "trnsSrc": "', CASE WHEN doc_id % 3 = 0 THEN '{kms.LEGACY_CODES[0]}' ELSE 'NEW' END, '", "attachments": ', CASE WHEN doc_id % 4 = 0 THEN concat('[{{"filename": "f', doc_id, '", "id": 7}}, {{"filename": "g", "id": "h"}}]') ELSE '[]' END,
+        ', "folders": [{{"path": ["a", "k', doc_id, '"]}}], "folder": {{"path": ["b", "d', doc_id, '"]}}, "content": "', {_HTML.format(plain=_PLAIN.format(""))}, '"}};') END, '</script></html>')""",
 }
 
 
@@ -511,21 +855,23 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(*[F.expr(v).alias(k) for k, v in _EXPORT.items()])
 
 
-@_query(
-    """SELECT CAST(doc_id AS VARCHAR) AS pk, concat('svc', doc_id % 3, '_', doc_id // 10, CASE WHEN doc_id <> doc_id // 10 THEN concat('_', doc_id) ELSE '' END) AS shown_id,
-       concat(CASE WHEN doc_id % 20 < 10 THEN 'a > k' ELSE 'b > d' END, doc_id // 10 * 10) AS path FROM documents"""
-)
+_WRONG_SQL = f"CASE WHEN {_NO_MODEL} THEN 'no model' WHEN {_MALFORMED} THEN 'malformed model' END"
+_SHOWN_SQL = f"concat('svc', doc_id % 3, '_', CASE WHEN {_WRONG_SQL} IS NOT NULL THEN 'N/A' ELSE concat(doc_id // 10, CASE WHEN doc_id <> doc_id // 10 THEN concat('_', doc_id) ELSE '' END) END)"
+_PATH_SQL = f"CASE WHEN {_WRONG_SQL} IS NOT NULL THEN '분류 없음' ELSE concat(CASE WHEN doc_id % 20 < 10 THEN 'a > k' ELSE 'b > d' END, doc_id // 10 * 10) END"
+
+
+@_query(f"SELECT CAST(doc_id AS VARCHAR) AS pk, {_SHOWN_SQL} AS shown_id, {_PATH_SQL} AS path FROM documents")
 def kms_path_lookup(spark, sf_dir):
     return files.knowledge_markdown(_export(spark, sf_dir)).select("pk", "shown_id", "path")
 
 
-_SHOWN_SQL = "concat('svc', doc_id % 3, '_', doc_id // 10, CASE WHEN doc_id <> doc_id // 10 THEN concat('_', doc_id) ELSE '' END)"
-_PATH_SQL = "concat(CASE WHEN doc_id % 20 < 10 THEN 'a > k' ELSE 'b > d' END, doc_id // 10 * 10)"
+_BODY_SQL = f"""array_to_string(list_filter(['# T' || doc_id, '', lang, {_PLAIN.format(", 'g'")}, 'see', '[doc' || doc_id || '](https://example.org/doc/' || doc_id || ')', 'and', '[x](https://x.example/)', '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| source | ' || source || ' |', '', '| ' || lang || ' |' || chr(10) || '| --- |'], lambda x, i: x <> '' OR i IN (2, 10)), chr(10))"""
 
 
 @_query(
-    f"""SELECT CAST(doc_id AS VARCHAR) AS pk, {_SHOWN_SQL} AS shown_id, {_PATH_SQL} AS path, NULL::VARCHAR AS error,
-       array_to_string(['---', '지식_ID: "' || {_SHOWN_SQL} || '"', '제목: "T' || doc_id || '"', '분류: "' || {_PATH_SQL} || '"', '최종수정일: "2020-09-13 12:26:40"', '작성자: "미상"', '이관자료: false', '---', '', '# T' || doc_id, '', 'x'], chr(10)) AS text FROM documents"""
+    f"""SELECT CAST(doc_id AS VARCHAR) AS pk, {_SHOWN_SQL} AS shown_id, {_PATH_SQL} AS path, {_WRONG_SQL} AS error,
+       CASE WHEN {_WRONG_SQL} IS NULL THEN array_to_string(['---', '지식_ID: "' || {_SHOWN_SQL} || '"', '제목: "T' || doc_id || '"', '분류: "' || {_PATH_SQL} || '"', '최종수정일: "' || CASE WHEN doc_id % 6 = 0 THEN 'N/A' ELSE '2020-09-13 12:26:40' END || '"', '작성자: "A' || doc_id % 5 || '"', '이관자료: ' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END], chr(10))
+         || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '첨부파일:' || chr(10) || ' - "f' || doc_id || ' (ID: 7)"' || chr(10) || ' - "g (ID: h)"' ELSE '' END || chr(10) || '---' || chr(10) || chr(10) || {_BODY_SQL} END AS text FROM documents"""
 )
 def kms_markdown(spark, sf_dir):
     return files.knowledge_markdown(_export(spark, sf_dir), base="https://example.org")

@@ -10,7 +10,7 @@ def _corpus(tmp_path):
     folder = tmp_path / "official_md"
     folder.mkdir()
     (folder / "one.md").write_text("---\nsection_title: 대출한도\n---\nHUG 전세자금대출 한도 는 최대 2억원", encoding="utf-8")
-    (folder / "two.txt").write_text("unrelated words about gardens", encoding="utf-8")
+    (folder / "two.md").write_text("unrelated words about gardens", encoding="utf-8")
     return [f"file://{tmp_path}"], [f"file://{folder}"]
 
 
@@ -20,27 +20,67 @@ def test_answer_end_to_end(spark, tmp_path):
     built = index.build_or_load(spark, paths, where)
     again = index.build_or_load(spark, paths, where)
     assert built.chunks.count() == again.chunks.count() == 2
-    asked = spark.createDataFrame([(1, "HUG 한도 얼마", None), (2, "gardens", None)], "request_id long, message string, recent string")
-    out = answer.answer(again, asked)
+    asked = spark.createDataFrame([(1, "HUG 한도 얼마", None), (2, "gardens", None), (3, None, None)], "request_id long, message string, recent string")
+    out = answer.answer(again, asked, system="")
     got = {r["request_id"]: r for r in out.results.collect()}
     assert got[1]["ref_documents"].split("|")[0] == "one.md#1" and "최대 2억원" in got[1]["prompt"]
-    assert got[2]["answer"] == got[2]["prompt"] and "gardens" in got[2]["prompt"]
+    assert got[2]["answer"] == got[2]["prompt"] and "gardens" in got[2]["prompt"] and len(got) == 3
     record = out.diagnostics.where("request_id = 1").first()
     assert [x["bm25_rank"] for x in record["bm25_top"]] == [1] and len(record["final_context"]) == 2
     loud = answer.answer(again, asked.where("request_id = 2"), model=lambda prompts: [p.upper() for p in prompts])
-    assert loud.results.first()["answer"].startswith("DOCUMENTS")
+    assert loud.results.first()["answer"].startswith("ANSWER FROM THE GIVEN")
+    assert {r["list_name"] for r in out.debug.collect()} == {"bm25_docs", "vector_docs", "top_hybrid_docs"}
+    assert answer.answer(again, asked.limit(0)).results.count() == 0
 
 
-def test_split_index_lists(spark, tmp_path):
+def test_errors_stay_with_their_request(spark, tmp_path):
     _, paths = _corpus(tmp_path)
-    parents = spark.createDataFrame([(1, "k", 1, "alpha beta"), (2, "k", 2, "gamma")], "key long, source string, chunk_id int, text string")
-    split = index.build_split(spark, parents, paths, f"file://{tmp_path}/split")
-    asked = spark.createDataFrame([(1, "alpha gardens")], "request_id long, query string")
-    lists = split.search_lists(asked)
-    assert set(lists) == {"kms_dense", "kms_bm25", "kms_fused", "other_fused", "fused"}
-    assert lists["kms_fused"].orderBy("rank").first()["key"] == 1
+    built = index.build(spark, paths, f"file://{tmp_path}/index")
+
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no")
+        return ["fine"] * len(prompts)
+
+    asked = spark.createDataFrame([(1, "good", "Q: x\n", 1), (2, "bad", "Q: x\n", 0), (3, "other", "Q: bad\n", 2), (4, "more", None, 2)], "request_id long, message string, recent string, turns int")
+    got = {r["request_id"]: r for r in answer.answer(built, asked, rewrite=model, model=model).results.collect()}
+    assert [got[i]["search_query"] for i in (1, 2, 3, 4)] == ["fine", "bad", "other", "more"]  # no turns, a failure, no history
+    assert [got[i]["answer"] for i in (1, 2, 3, 4)] == ["fine", None, "fine", "fine"]
+    assert got[1]["error"] is None and got[2]["error"] == "RuntimeError: no" == got[3]["error"]
+
+
+KB = "---\n분류: \"a > b\"\n첨부파일:\n - \"f (ID: 1)\"\n---\n\n# T\nalpha beta\n## U\ngamma delta"
+
+
+def test_split_index_and_its_answers(spark, tmp_path):
+    _, paths = _corpus(tmp_path)
+    kb = tmp_path / "kms_output_md"
+    kb.mkdir()
+    (kb / "1.md").write_text(KB, encoding="utf-8")
+    where = f"file://{tmp_path}/split"
+    for _ in range(2):  # built, then loaded
+        split = index.build_or_load_split(spark, [f"file://{kb}"], paths, where)
+    parents = split.parents.chunks.orderBy("chunk_id").collect()
+    assert [(r["chunk_id"], r["meta"]["title"], r["meta"].get("section")) for r in parents] == [(1, "T", None), (2, "T", "U")]
+    assert parents[0]["meta"]["category_depth2"] == "b" and parents[0]["meta"]["file_name"] == "1.md" and parents[0]["source_group"] == "kms"
+    assert {r["source_group"] for r in split.others.chunks.collect()} == {"non_kms"} and split.chunks.count() == 4
+    asked = spark.createDataFrame([(1, "gamma gardens")], "request_id long, query string")
+    found = split.search(asked)
+    assert set(found.lists) == {"kms_docs", "non_kms_bm25_docs", "non_kms_vector_docs", "non_kms_hybrid_docs", "top_hybrid_docs"}
+    assert found.lists["kms_docs"].orderBy("rank").first()["key"] == parents[1]["key"]
+    out = answer.answer(split, asked.selectExpr("request_id", "query as message", "cast(null as string) as recent"))
+    got = out.results.first()
+    assert "1.md#2" in got["ref_documents"] and "two.md#1" in got["ref_documents"] and "gamma delta" in got["prompt"]
+    assert {r["list_name"] for r in out.debug.collect()} == set(found.lists)
+
+
+def test_split_index_without_other_documents(spark, tmp_path):
+    parents = index.parent_table(spark.createDataFrame([("k/1.md", KB), ("k/2.md", None), ("k/3.md", "")], "source string, text string"))
     alone = index.build_split(spark, parents, ["file:///nowhere"], f"file://{tmp_path}/alone")
-    assert set(alone.search_lists(asked)) == {"kms_dense", "kms_bm25", "kms_fused", "fused"}
+    asked = spark.createDataFrame([(1, "alpha")], "request_id long, query string")
+    assert alone.others is None and set(alone.search(asked).lists) == {"kms_dense_docs", "kms_bm25_docs", "top_hybrid_docs"}
+    got = answer.answer(alone, asked.selectExpr("request_id", "query as message")).results.first()
+    assert got["ref_documents"].split("|")[0] == "1.md#1"
 
 
 def test_feedback_rows_and_log(spark, tmp_path):
