@@ -165,7 +165,7 @@ class Network:
 class Identifier:
     """Labels every byte of texts with a trained network."""
 
-    def __init__(self, network: Network | None, rows: int = 2048):
+    def __init__(self, network: Network | None, rows: int = 1024):
         self.network = network
         if network is None:
             return

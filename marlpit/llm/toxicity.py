@@ -33,7 +33,7 @@ from .common import arrow_map, fitting, map_batches, slices, words
 WIDTHS = (1, 2, 3)
 #: A sample is read so often at least, a smaller one until there were ``STEPS`` steps, but ``MOST_EPOCHS`` times at most.
 EPOCHS, STEPS, MOST_EPOCHS = 8, 800, 30
-_MEMO = 200_000
+_MEMO = 120_000
 _RUN = 1 << 17
 
 
@@ -232,17 +232,22 @@ class Scorer:
         self.row_of: dict[str, int] = {}
         if c is None:
             return
-        self.products = np.zeros((1, sum(WIDTHS) * c.filters), dtype=np.float32)
-        self.language = np.zeros((1, len(c.languages)), dtype=np.float32)
+        # row 0 is of no word; room for more is made in steps, so that nothing of this size is copied often
+        self.rows = 1
+        self.products = np.zeros((1 << 15, sum(WIDTHS) * c.filters), dtype=np.float32)
+        self.language = np.zeros((1 << 15, len(c.languages)), dtype=np.float32)
         self.weights = np.concatenate([c.conv[w][k * c.size : (k + 1) * c.size] for w in WIDTHS for k in range(w)], axis=1)
 
     def _learn(self, new: list[str]) -> None:
-        """Rows of words, behind row 0, which is of no word."""
-        c = self.c
-        self.row_of.update(zip(new, range(len(self.products), len(self.products) + len(new)), strict=True))
+        c, end = self.c, self.rows + len(new)
+        if end > len(self.products):
+            more = max(end - len(self.products), 1 << 15)
+            self.products, self.language = (np.concatenate([x, np.zeros((more, x.shape[1]), dtype=np.float32)]) for x in (self.products, self.language))
+        self.row_of.update(zip(new, range(self.rows, end), strict=True))
         at = np.array([c.features(w) for w in new], dtype=np.int64).reshape(-1, 2)
-        self.products = np.concatenate([self.products, (c.table[at[:, 0]] + c.table[at[:, 1]]) @ self.weights])
-        self.language = np.concatenate([self.language, c.language_rows[at[:, 0]]])
+        self.products[self.rows : end] = (c.table[at[:, 0]] + c.table[at[:, 1]]) @ self.weights
+        self.language[self.rows : end] = c.language_rows[at[:, 0]]
+        self.rows = end
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         c = self.c
@@ -251,7 +256,7 @@ class Scorer:
         split = [words(t) for t in texts]
         if len(self.row_of) > _MEMO:
             self.row_of.clear()
-            self.products, self.language = self.products[:1], self.language[:1]
+            self.rows = 1
         if new := list(set(chain.from_iterable(split)).difference(self.row_of)):
             self._learn(new)
         scores: list[float] = []
