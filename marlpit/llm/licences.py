@@ -214,10 +214,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
 
 
 def scan_sql() -> str:
-    """The digests in DuckDB's SQL over ``documents``, and the licences of ``KNOWN`` by the first form."""
+    """The digests in DuckDB's SQL over ``documents``, and the licences that they tell; the looser form's pattern looks ahead,
+    which this SQL cannot."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     pairs = "map {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in EQUIVALENT.items()) + "}"
-    known = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in sorted(known_digests().items()))
+    known = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in _lookup(KNOWN | full_texts()))
     return f"""
 WITH known(canonical_digest, licence) AS (VALUES {known}),
 spaced AS (

@@ -104,7 +104,11 @@ def test_licences_in_other_dress(spark):
     assert got[5]["canonical_digest"] is None and got[6]["canonical_digest"] is not None
     c = duckdb.connect()
     c.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
-    c.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    full = licences.full_texts()["GPL-3.0"][1]
+    df = df.unionByName(spark.createDataFrame([(90, full, "x"), (91, "/* " + full.replace("\n", "\n * ") + " */", "x")], df.schema))
+    got |= {r["doc_id"]: r for r in licences.scan(df.where("doc_id >= 90")).collect()}
+    assert got[90]["licence"] == got[91]["licence"] == "GPL-3.0"
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [*texts, (90, full), (91, "/* " + full.replace("\n", "\n * ") + " */")])
     assert {tuple(r) for r in c.execute(licences.scan_sql()).fetchall()} == {(r["doc_id"], r["canonical_digest"], r["licence"]) for r in got.values()}
     assert licences.scan(df.limit(0)).count() == 0
     assert len(licences.known_digests()) == sum(1 + len(t) for t, _ in licences.KNOWN.values())
