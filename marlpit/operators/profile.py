@@ -1,11 +1,15 @@
-"""What a question asks for, told by keywords."""
+"""What a question asks for, told by keywords.
+
+A null question is an empty one; expressions on a row, so there are no ties, rows repeat as they are, and an empty table
+stays empty.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hits, present, strip
@@ -36,6 +40,24 @@ class Lexicon:
         }
     )
 
+    @classmethod
+    def of(cls, rows: DataFrame, most: int = 10_000) -> Lexicon:
+        """A lexicon kept as a table: kind (a field of this class), name (null where the field is a plain list), word.
+
+        Words and names are in alphabetic order; kinds that the table lacks are as above. More than ``most`` rows are an
+        error, as all become part of expressions.
+        """
+        found = rows.select("kind", "name", "word").distinct().orderBy("kind", "name", "word").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} words")
+        held: dict = {}
+        for r in found:
+            if r["name"] is None:
+                held.setdefault(r["kind"], []).append(r["word"])
+            else:
+                held.setdefault(r["kind"], {}).setdefault(r["name"], []).append(r["word"])
+        return cls(**held)
+
 
 def profile(question: Column, lexicon: Lexicon | None = None) -> Column:
     """struct of raw_text, five scores, is_compare, institutions, normalized_properties and product_hits."""

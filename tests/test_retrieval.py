@@ -103,6 +103,15 @@ def test_profile_golden(spark):
     assert none["raw_text"] == "" and none["institutions"] == []
 
 
+def test_lexicon_of_a_table(spark):
+    table = spark.createDataFrame([("rule", None, "limit"), ("rule", None, "rate"), ("asked_institutions", "A", "aaa"), ("properties", "p", "rate")], "kind string, name string, word string")
+    lex = profile.Lexicon.of(table)
+    p = spark.range(1).select(profile.profile(F.lit("AAA rate limit"), lex).alias("p")).first()["p"]
+    assert (p["rule_score"], p["institutions"], p["normalized_properties"]) == (2, ["A"], ["p"])
+    with pytest.raises(ValueError):
+        profile.Lexicon.of(table, most=3)
+
+
 def test_rerank_golden_and_reasons_add_up(spark):
     got = rerank.rerank(rerank.score(_candidates(spark))).orderBy("idx").collect()
     assert [r["rerank_score"] for r in got] == [18.3, 9.08, 2.26]
