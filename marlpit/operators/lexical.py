@@ -31,10 +31,13 @@ class Bm25Index:
     stats: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings and terms lie in folders by bucket, sorted by term; a term of many postings is spread over files."""
-        rows = self.postings.withColumn("bucket", _bucket(F.col("term")))
-        rows.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.terms.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        """Postings and terms lie in folders by bucket, sorted by term; a bucket is dealt over as many tasks as there are shuffle
+        partitions for each, by a hash of the key, so that terms of many postings are spread."""
+        parts = max(1, int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        for rows, name, by in ((self.postings, "postings", "key"), (self.terms, "terms", "term")):
+            placed = rows.withColumn("bucket", _bucket(F.col("term")))
+            dealt = placed.repartition("bucket", F.pmod(F.xxhash64(by), F.lit(parts)))
+            dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
