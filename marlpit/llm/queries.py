@@ -91,7 +91,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_warc_roundtrip, op2_byte_gru_language, op3_cnn_toxicity, op4_probminhash_classes, op5_shard_table, op6_minimum_cut_text, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences, op11_importance_resampling)
+def op12_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccardjoin import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_warc_roundtrip, op2_byte_gru_language, op3_cnn_toxicity, op4_probminhash_classes, op5_shard_table, op6_minimum_cut_text, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences, op11_importance_resampling, op12_jaccard_metric_join)
 
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -117,8 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .containment import find_sql
+    from .jaccardjoin import join_sql
     from .licences import scan_sql
     from .probminhash import classes_sql
     from .resample import resample_sql
 
-    return {"op1_warc_roundtrip": _WARC_SQL, "op4_probminhash_classes": classes_sql(), "op6_minimum_cut_text": _ARTICLE_SQL, "op7_licence_digests": scan_sql(), "op9_benchmark_containment": find_sql(), "op11_importance_resampling": resample_sql()}
+    return {"op1_warc_roundtrip": _WARC_SQL, "op4_probminhash_classes": classes_sql(), "op6_minimum_cut_text": _ARTICLE_SQL, "op7_licence_digests": scan_sql(), "op9_benchmark_containment": find_sql(), "op11_importance_resampling": resample_sql(), "op12_jaccard_metric_join": join_sql()}
