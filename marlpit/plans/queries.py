@@ -68,6 +68,11 @@ _DOC_SQL = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in _DOC.items()) + " FRO
 _CLASSED_SQL = f"SELECT *, {_CLASS_SQL} AS source_class FROM ({_DOC_SQL})"
 
 
+def made_documents() -> dict[str, str]:
+    """Expressions by which documents get sources, types and titles, in the SQL that both engines share."""
+    return dict(_DOC)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _table(spark, sf_dir, "documents").select(*[F.expr(v).alias(k) for k, v in _DOC.items()])
     return made.withColumn("source_class", metadata.source_class(F.col("source"), F.col("doc_type")))
@@ -289,7 +294,12 @@ _ROUTED_SQL = f"""SELECT key AS id, {_SPACED} AS text, source, source_class,
 FROM (SELECT *, contains(source, '내규소수2_md/') AS rule, contains(source, 'faq') AS faq FROM ({_CLASSED_SQL}))"""
 
 
-@_query(f"WITH RECURSIVE r AS ({_ROUTED_SQL}), {_packed_cte('r', ' ')} SELECT id AS key, r.source_class, part AS chunk_id, chars FROM pieces JOIN r USING (id)")
+def routed_chunks_sql(select: str) -> str:
+    """``select`` over r (the documents with their routes) and pieces (their chunks)."""
+    return f"WITH RECURSIVE r AS ({_ROUTED_SQL}), {_packed_cte('r', ' ')} {select}"
+
+
+@_query(routed_chunks_sql("SELECT id AS key, r.source_class, part AS chunk_id, chars FROM pieces JOIN r USING (id)"))
 def chunk_route(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("text", _spaced("text"))
     return chunking.route(docs.select("key", "source", "doc_type", "source_class", "text")).select("key", "source_class", "chunk_id", F.length("text").alias("chars"))
@@ -441,6 +451,26 @@ def question_profile(spark, sf_dir):
     return p.select("request_id", *[f"p.{s}_score" for s in ("rule", "system", "case", "official", "compare")], "p.is_compare", *[F.array_join(f"p.{c}", "|").alias(n) for n, c in listed.items()])
 
 
+def answer_review_sql(turns: int = 3, k: int = 3, well: float = 0.5) -> str:
+    """Answers with the documents that their questions find, and the share of their words that those hold."""
+    said = lambda c: "list_distinct(" + _TOKENS_SQL.replace("text", f"coalesce({c}, '')") + ")"
+    recent = f"coalesce(string_agg(CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || left(text, 50) || chr(10), '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {turns} PRECEDING AND 1 PRECEDING), '')"
+    return f"""
+WITH m AS (SELECT conv_id, turn, role, text, conv_id || ':' || turn AS request_id, lag(text) OVER c AS question, row_number() OVER c AS place, {recent} AS recent
+           FROM conversations WINDOW c AS (PARTITION BY conv_id ORDER BY turn)),
+qa AS (SELECT *, lower(question) AS low FROM m WHERE role = 'assistant' AND place > 1),
+{_bm25_cte(asked="SELECT request_id AS item_id, question AS text FROM qa").lstrip()},
+hits AS (SELECT request_id, key, score, rank FROM bm25 WHERE rank <= {k}),
+refs AS (SELECT request_id, string_agg(key, '|' ORDER BY rank) AS ref_documents, round(max(score), 6) AS top_score FROM hits GROUP BY request_id),
+words AS (SELECT request_id, {said("text")} AS said FROM qa),
+common AS (SELECT request_id, len(list_distinct(flatten(list(list_intersect(said, {said("d.text")}))))) AS supported FROM hits JOIN words USING (request_id) JOIN documents d ON d.doc_id = key GROUP BY request_id),
+sums AS (SELECT qa.*, ref_documents, top_score, len(said)::INT AS words, coalesce(supported, 0)::INT AS supported, round(CASE WHEN len(said) > 0 THEN coalesce(supported, 0) / len(said) ELSE 0 END, 6) AS support,
+         {_hits_sql("low", _LEX.official)} AS official_score, {_hits_sql("low", _LEX.compare)} + CASE WHEN len({_present_sql("low", _LEX.asked_institutions)}) >= 2 THEN 2 ELSE 0 END >= 1 AS is_compare
+         FROM qa JOIN words USING (request_id) LEFT JOIN refs USING (request_id) LEFT JOIN common USING (request_id))
+SELECT conv_id, turn, question, nullif(recent, '') AS recent, official_score, is_compare, ref_documents, top_score, words, supported, support,
+       CASE WHEN support >= {well} THEN 'good' WHEN support > 0 THEN 'weak' ELSE 'none' END AS grade FROM sums"""
+
+
 _HAY_SQL = "lower(concat_ws(' ', source, section_title, parent_section_title, doc_title, left(text, 1200)))"
 
 
