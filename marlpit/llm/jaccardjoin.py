@@ -510,10 +510,11 @@ def _tiles(cells: DataFrame, block: int) -> DataFrame:
     return dealt.select("cell", "at.low", "at.high", "owner", "n", "hashes", "label", "ask")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, block: int = 1_000_000, most: int = 2_048, pivots: int = 8) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, block: int = 1_000_000, most: int = 256, pivots: int = 8, tile: int = 1_024) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
-    ``block`` shingles of texts are one entry of the exchange; regions of over ``most`` sets are split by ``pivots``.
+    ``block`` shingles of texts are one entry of the exchange; regions of over ``most`` sets are split by
+    ``pivots``, and cells that they do not split are compared in pairs of blocks of ``tile`` sets at most.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -522,7 +523,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     replies = cut(_counted(_exchange(plain, width, bits, block), 1 << bits, groups), "counted")
     bundles = replies.where(F.col("kind").isin(_OWNED, _SIZE)).union(_answered(replies, groups))
     contacts = cut(_contacts(bundles, percent, groups), "contacts")
-    labels = components(_links(contacts, percent, most, pivots, most))
+    labels = components(_links(contacts, percent, most, pivots, tile))
     rows = replies.where(F.col("kind") == _ROW).select("id", "owner", "n")
     sets = rows.where(F.col("owner").isNotNull()).groupBy("owner").agg(F.min("id").alias("low"))
     named = sets.join(labels.withColumnRenamed("key", "owner"), "owner", "left").withColumn("component", F.coalesce("component", "owner"))

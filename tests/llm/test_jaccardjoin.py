@@ -83,7 +83,7 @@ def test_like_all_pairs(spark, seed):
 @pytest.mark.parametrize(("percent", "length", "most"), [(80, 60, 12), (60, 40, 20), (90, 150, 8)])
 def test_regions_over_the_limit(spark, percent, length, most):
     docs = drifting(random.Random(7), 220, 3, length, length)
-    same(spark, docs, percent, block=2_000, most=most, pivots=3)
+    same(spark, docs, percent, block=2_000, most=most, pivots=3, tile=most)
 
 
 @pytest.mark.parametrize("seed", range(6))
