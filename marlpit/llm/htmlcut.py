@@ -13,9 +13,11 @@ augmenting paths.
 
 Evidence is never certain. An article or main element speaks for content; elements as nav, aside or form, and names in
 class, id or role that tell boilerplate, speak against it, names that only hold such a word half as much; the nearest
-of them prevails. Against a wrapper that holds most of the page's marked text it weakens to nothing, and a form or a
+of them prevails. Ids are often made from headings, so a word in an id alone says little: nothing on a heading, a quarter
+inside an article or main, unless half of the element's text is links or it holds a form's controls, and elsewhere the
+less, the more of its text is prose (ids of readers' comments count in full). Against a wrapper that holds most of the page's marked text it weakens to nothing, and a form or a
 name with such a word also where it holds most of the whole text; names of readers' comments keep their weight. What the
-classifier weighs is learned in numpy from a bounded sample of pages (``sample_pages`` of the least hashes), with the
+classifier weighs is learned in numpy from a bounded sample of pages (``sample_pages`` of the least hashes and ``sample_bytes``), with the
 blocks on which the markup is clear as labels; it sees nothing of the markup's names itself.
 
 Text of scripts, styles, templates, iframes, forms' controls and the head is never a block.
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, slices
+from .common import arrow_map, fitting, slices
 
 # Kinds of elements.
 _SKIPPED = frozenset(["script", "style", "template", "head", "title", "iframe", "select", "textarea", "button", "option", "datalist", "annotation", "annotation-xml"])
@@ -52,6 +54,8 @@ _BLOCKS = frozenset(
 )
 _CONTENT = frozenset(["article", "main"])
 _BOILERPLATE = frozenset(["nav", "footer", "header", "aside", "form", "menu", "dialog", "fieldset"])
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+_CONTROLS = frozenset(["input", "select", "textarea", "button"])
 _CLOSED_BY = {
     "p": _BLOCKS,
     "li": frozenset(["li"]),
@@ -98,12 +102,15 @@ class Elements:
 
     def __init__(self):
         self.parent, self.depth, self.tag, self.tells, self.main, self.hidden = [0], [0], [""], [0], [False], [False]
+        self.by_id, self.controls = [0], [0]  # what an id alone tells, and controls of forms
 
-    def open(self, parent: int, tag: str, tells: int, main: bool, hidden: bool) -> int:
+    def open(self, parent: int, tag: str, tells: int, by_id: int, main: bool, hidden: bool) -> int:
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
         self.tag.append(tag)
         self.tells.append(tells)
+        self.by_id.append(by_id)
+        self.controls.append(0)
         self.main.append(main or self.main[parent])
         self.hidden.append(hidden or self.hidden[parent])
         return len(self.tag) - 1
@@ -196,6 +203,8 @@ def blocks_of(html: str | None) -> tuple[list[Block], Elements]:
             elif tag == "br":
                 take(" ")
             continue
+        if tag in _CONTROLS:
+            elements.controls[stack[-1]] += 1
         if tag in _SKIPPED:
             if not said.endswith("/"):
                 end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -217,9 +226,13 @@ def blocks_of(html: str | None) -> tuple[list[Block], Elements]:
             names: list[tuple[str, str]] = []
             if said and _NAMED.search(said):
                 names = [(n.lower(), x or y or z) for n, x, y, z in _ATTRIBUTE.findall(said)]
-            own = " ".join(v for n, v in names if n in ("class", "id", "role")) if tag not in ("html", "body") else ""
+            own = " ".join(v for n, v in names if n in ("class", "role")) if tag not in ("html", "body") else ""
+            named = " ".join(v for n, v in names if n == "id") if tag not in ("html", "body") else ""
+            tells = _telling(own, tag) if own else 0
+            by_id = _telling(named, tag) if named and tag not in _HEADINGS else 0
             hidden = any(n == "hidden" or (n == "aria-hidden" and v == "true") for n, v in names)
-            stack.append(elements.open(stack[-1], tag, _telling(own, tag) if own else 0, bool(own) and _is_main(own), hidden))
+            main = _is_main(f"{own} {named}") if own or named else False
+            stack.append(elements.open(stack[-1], tag, max(tells, by_id if by_id == _READERS else 0), by_id if by_id > tells else 0, main, hidden))
             opened[tag] += 1
             in_link = False
         elif tag == "a":
@@ -240,12 +253,16 @@ def evidence(blocks: list[Block], elements: Elements) -> np.ndarray:
         readers[e] = readers[parent[e]] or tells[e] == _READERS
         marked[e] = not readers[e] and (marked[parent[e]] or tag[e] in _CONTENT)
     size, within = [0] * count, [0] * count  # characters in each element, and those of them in marked ones
+    linked, prose, controls = [0] * count, [0] * count, list(elements.controls)
     for b in blocks:
-        size[b.element] += len(b.text)
-        within[b.element] += len(b.text) if marked[b.element] else 0
+        n = len(b.text)
+        size[b.element] += n
+        within[b.element] += n if marked[b.element] else 0
+        linked[b.element] += b.linked
+        prose[b.element] += n if n >= 80 and 2 * b.linked < n and _punctuated(b.text) else 0
     for e in range(count - 1, 0, -1):
-        size[parent[e]] += size[e]
-        within[parent[e]] += within[e]
+        for sums in (size, within, linked, prose, controls):
+            sums[parent[e]] += sums[e]
     beyond_half = lambda part, whole: min(1.0, max(0.0, 2 * part / whole - 1)) if whole else 0.0
     content, boilerplate = [0.0] * count, [0.0] * count
     for e in range(1, count):
@@ -255,9 +272,14 @@ def evidence(blocks: list[Block], elements: Elements) -> np.ndarray:
             content[e] = 1.0
             continue
         kind = tag[e] in _BOILERPLATE and not (tag[e] == "header" and content[up])  # such a header holds the article's own title
-        if not kind and not tells[e]:
+        if not kind and not tells[e] and not elements.by_id[e]:
             continue
-        strength = 1.0 if kind or tells[e] != _PART else 0.5
+        strength = 1.0 if kind or _WHOLE in (tells[e], elements.by_id[e]) or tells[e] == _READERS else 0.5
+        if not kind and not tells[e]:  # an id alone
+            if content[up] or elements.main[up]:
+                strength *= 1.0 if 2 * linked[e] >= size[e] or controls[e] else 0.25
+            else:
+                strength *= 1 - 0.6 * prose[e] / size[e] if size[e] else 1.0
         if tells[e] != _READERS:
             strength *= 1 - (beyond_half(within[e], within[0]) if within[0] else beyond_half(size[e], size[0]))
             if tag[e] == "form" or not kind and tells[e] == _PART:
@@ -273,6 +295,10 @@ DEFAULT = np.array([2.5, -3.0, 1.0, 0.3, -1.0, 1.0, -2.2])
 _MOST = 4.0
 
 
+def _punctuated(text: str) -> bool:
+    return sum(text.count(c) for c in ".,;:!?") > len(text) / 60
+
+
 def shape(blocks: list[Block], elements: Elements) -> np.ndarray:
     """One row for each block: length, share of links, in a paragraph, in a heading, in a list, punctuation, 1."""
     x = np.zeros((len(blocks), len(DEFAULT)))
@@ -281,9 +307,9 @@ def shape(blocks: list[Block], elements: Elements) -> np.ndarray:
         row[0] = min(np.log1p(n) / 6, 1.5)
         row[1] = b.linked / n
         row[2] = tag in ("p", "blockquote", "pre")
-        row[3] = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        row[3] = tag in _HEADINGS
         row[4] = tag == "li" or elements.tag[elements.parent[b.element]] == "li"
-        row[5] = sum(b.text.count(c) for c in ".,;:!?") > n / 60
+        row[5] = _punctuated(b.text)
         row[6] = 1
     return x
 
@@ -421,10 +447,12 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
     return "\n".join(b.text for b, keep in zip(blocks, label(blocks, elements, weights), strict=True) if keep)
 
 
-def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = 400) -> np.ndarray:
-    """Weights from the pages with the least hashes."""
+def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = 400, sample_bytes: int = 64 << 20) -> np.ndarray:
+    """Weights from ``sample_pages`` pages of the least hashes, of ``sample_bytes`` in all at most; pages that do not fit are passed over."""
     own = pages.select(F.col(html_col).cast("string").alias("html")).where(F.col("html").isNotNull())
-    hashed = own.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(sample_pages)
+    drawn = own.select(F.xxhash64("html").alias("h"), F.octet_length("html").alias("n")).groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(4 * sample_pages).collect()
+    taken = [drawn[i]["h"] for i in fitting([r["n"] for r in drawn], sample_bytes, sample_pages, sample_bytes // 32)]
+    hashed = pages.sparkSession.createDataFrame([(h,) for h in taken], "h long")
     rows = own.withColumn("h", F.xxhash64("html")).join(F.broadcast(hashed), "h", "left_semi").dropDuplicates(["h"]).select("html").collect()
     return train(sorted(r["html"] for r in rows))
 

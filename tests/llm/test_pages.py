@@ -156,6 +156,54 @@ def test_boilerplate_inside_the_article_goes(part):
     assert main_text(f"<body><div class='has-sidebar'><article>{BODY}</article>{long}</div></body>", DEFAULT) == "\n".join(PROSE)
 
 
+def parts(inner):
+    return f"<body><nav><a href='/'>Home</a> <a href='/n'>News</a></nav><article><h1>Title</h1><p>{ONE}</p>{inner}<p>{PROSE[0]}</p></article><footer>All rights</footer></body>"
+
+
+@pytest.mark.parametrize("name", ["search-algorithms", "search", "form-and-style", "copyright", "share", "notice", "related", "alert-levels", "menu"])
+@pytest.mark.parametrize("text", [PROSE[1], "Short text here.", "A few words, no more."])
+def test_sections_with_telling_ids_stay(name, text):
+    for inner in (f"<section id='{name}'><h2>Of {name}</h2><p>{text}</p></section>", f"<h2 id='{name}'>Of {name}</h2><p>{text}</p>", f"<div id='{name}'><h2>Of {name}</h2><p>{text}</p><p>{text}</p></div>"):
+        for page in (parts(inner), parts(inner).replace("article>", "main>")):
+            got = main_text(page, DEFAULT)
+            assert got.startswith(f"Title\n{ONE}\nOf {name}\n{text}") and got.endswith(PROSE[0]) and "News" not in got and "rights" not in got
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<div id='related'><ul><li><a href='/1'>Other text</a></li><li><a href='/2'>Another one</a></li></ul></div>",
+        "<div id='newsletter'><p>Your address, please, and we write.</p><input><button>Go</button></div>",
+        "<aside id='x'><p>{}</p></aside>",
+        "<div class='notice'><p>{}</p></div>",
+        "<div id='comments'><p>{}</p></div>",
+        "<nav id='toc'><p>{}</p></nav>",
+    ],
+)
+def test_telling_elements_with_a_second_sign_go(inner):
+    assert main_text(parts(inner.replace("{}", "I, a reader, say so, and so on. " * 3)), DEFAULT) == f"Title\n{ONE}\n{PROSE[0]}"
+
+
+def test_an_id_outside_the_article_is_outvoted_by_prose_only():
+    assert main_text(f"<body><div id='search'>{BODY}</div></body>", DEFAULT) == "\n".join(PROSE)
+    page = "<body><div id='{}'><p>We use cookies, as all do. Agree.</p></div><div>" + BODY + "</div></body>"
+    for name in ("cookie-notice", "banner", "footer"):
+        assert main_text(page.format(name), DEFAULT) == "\n".join(PROSE)
+
+
+def test_training_pages_are_bounded_in_bytes(spark):
+    rows = [(k, "u", f"<article><p>{k} {ONE}</p></article><nav><p>menu {k}</p></nav>" + ("x" * 300_000 if k < 5 else "")) for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    train = htmlcut.train
+    htmlcut.train = lambda pages: seen.append(pages) or train(pages)
+    try:
+        htmlcut.fit(df, sample_pages=20, sample_bytes=400_000)
+    finally:
+        htmlcut.train = train
+    assert len(seen[0]) == 20 and sum(map(len, seen[0])) <= 400_000
+
+
 def test_blocks():
     got = blocks_of("a<div>b<i>c</i> d<script>no</script></div>e &amp;amp; f<!-- g --><![CDATA[h & i]]>")
     assert [b.text for b in got[0]] == ["a", "bc d", "e &amp; fh & i"]
