@@ -7,6 +7,11 @@ next place at which a valid member or version line starts; the bytes between are
 search runs inside a member's text, also where the member is cut or damaged and only its start can be expanded; a gap
 inside a member has the member's place in the file and its own place in the text.
 
+Records of WARC 0.10 to 1.9 are known, header lines may be folded, and a body that is chunked is decoded where its payload
+digest is of the decoded body, or where it has none. A payload digest that fits neither form is a mark on the record
+(``note``), not a gap, as its other checks hold; only in a damaged member is it one. In a member that expands to more than
+is held, a record of over ``most`` bytes is streamed past its digests: it is a record without a payload.
+
 Defined results: a null html is an empty payload; a null id is carried (in a group of equal payloads null ids revisit
 the smallest id); of repeated rows all with the group's smallest id are responses; control characters in a URL are
 percent-encoded, a null URL gives no target header; other columns are dropped; an empty table gives no records.
@@ -18,7 +23,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
 from typing import NamedTuple
 
@@ -32,9 +37,11 @@ from .common import arrow_map, slices
 
 _MAGIC = b"\x1f\x8b\x08"
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
-_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
-_VERSION_BYTES = 10
+_VERSION = re.compile(rb"WARC/(?:0\.1[0-9]|1\.[0-9])\r\n")
+_START = re.compile(_VERSION.pattern + rb"|\x1f\x8b\x08")
+_VERSION_BYTES = 11
+#: Bytes in which the headers of a record and of its HTTP message must end.
+_HEADERS = 16 << 20
 _FEED = 16_384
 _EXPANDED = 1 << 20
 _ONCE = frozenset(["warc-type", "warc-record-id", "content-length", "content-type", "warc-date", "warc-block-digest", "warc-payload-digest"])
@@ -49,7 +56,10 @@ class Record(NamedTuple):
     offset: int
     length: int
     headers: dict[str, str]
-    payload: bytes
+    payload: bytes | None  # None: too large to be held
+    size: int  # bytes of the payload
+    sha256: str  # of the payload
+    note: str = ""
 
 
 class Gap(NamedTuple):
@@ -82,41 +92,74 @@ def compress(record: bytes) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def _digest_ok(said: str, data: bytes) -> bool:
-    name, _, value = said.partition(":")
+def _hash(said: str | None):
+    """A hash of the algorithm that a digest names; None where there is no digest, or an unknown algorithm, which is no evidence."""
     try:
-        found = hashlib.new(name.strip().lower(), data).digest()
+        return hashlib.new(said.partition(":")[0].strip().lower()) if said else None
     except ValueError:
-        return True  # an unknown algorithm is no evidence against the record
-    return value.strip().lower() in (found.hex(), base64.b32encode(found).decode().lower().rstrip("="), base64.b32encode(found).decode().lower())
+        return None
+
+
+def _is(said: str, found: bytes) -> bool:
+    value = said.partition(":")[2].strip().lower()
+    return value in (found.hex(), base64.b32encode(found).decode().lower().rstrip("="), base64.b32encode(found).decode().lower())
+
+
+def _digest_ok(said: str, data: bytes) -> bool:
+    h = _hash(said)
+    if h is None:
+        return True
+    h.update(data)
+    return _is(said, h.digest())
 
 
 def _has_digest(headers: dict[str, str]) -> bool:
-    """Whether ``_parse`` checked a digest of the record."""
-    said = (headers.get("warc-block-digest"), headers.get("warc-payload-digest") if headers["warc-type"] == "response" else None)
-    return any(x and x.partition(":")[0].strip().lower() in hashlib.algorithms_available for x in said)
+    """Whether a digest of the record has been checked."""
+    return any(_hash(x) for x in (headers.get("warc-block-digest"), headers.get("warc-payload-digest") if headers["warc-type"] == "response" else None))
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """A chunked body decoded; None where it is not one."""
+    parts, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        at = m.end() + size
+        if not size:
+            return b"".join(parts)
+        if body[at : at + 2] != b"\r\n":
+            return None
+        parts.append(body[m.end() : at])
+        at += 2
+    return None
+
+
+_CHUNK = re.compile(rb"([0-9a-fA-F]{1,12})[ \t]*(?:;[^\r\n]*)?\r\n")
+_CHUNKED = re.compile(rb"(?i)\r\ntransfer-encoding:[^\r\n]*chunked")
+_HTTP_LENGTH = re.compile(rb"(?i)\r\ncontent-length:\s*([0-9]{1,15})")
+_DIFFERS = "payload digest differs"
 
 
 class _More(Exception):
     """The text held ends before the record does."""
 
 
-def _parse(data: bytes, at: int, whole: bool = True, most: int = 1 << 62) -> tuple[dict[str, str], bytes, int]:
-    """Headers, payload and end of the record that starts at ``at``; raises Broken when a check fails.
-
-    Where ``data`` is not the whole, a record that reaches beyond it raises _More; one of over ``most`` bytes is broken.
-    """
+def _headers(data: bytes, at: int, whole: bool) -> tuple[dict[str, str], int, int]:
+    """Headers of the record that starts at ``at``, where its block starts and the block's length; raises Broken when a check fails."""
     if not (m := _VERSION.match(data, at)):
         if not whole and len(data) - at < _VERSION_BYTES:
             raise _More
         raise Broken("no version line")
     end = data.find(b"\r\n\r\n", m.end() - 2)
     if end < 0:
-        if not whole and len(data) - at < most:
+        if not whole and len(data) - at < _HEADERS:
             raise _More
         raise Broken("headers do not end")
     headers: dict[str, str] = {}
+    name = ""
     for line in data[m.end() : end].decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and name:  # folded
+            headers[name] = f"{headers[name]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             raise Broken("malformed header")
@@ -128,25 +171,49 @@ def _parse(data: bytes, at: int, whole: bool = True, most: int = 1 << 62) -> tup
         raise Broken("required header missing")
     if not re.fullmatch(r"[0-9]{1,15}", size := headers.get("content-length", "")):
         raise Broken("bad content length")
-    start, stop = end + 4, end + 4 + int(size)
-    if stop + 4 > len(data) and not whole and stop - at < most:
+    return headers, end + 4, int(size)
+
+
+def _http(headers: dict[str, str]) -> bool:
+    return headers.get("content-type", "").startswith("application/http")
+
+
+def _noted(headers: dict[str, str], head: bytes) -> bool:
+    """Keep what the HTTP headers say of the length; whether they say that the body is chunked."""
+    if m := _HTTP_LENGTH.search(head):
+        headers["http-content-length"] = m[1].decode()
+    return _CHUNKED.search(head) is not None
+
+
+def _parse(data: bytes, at: int, whole: bool = True) -> tuple[Record, int]:
+    """The record that starts at ``at`` and its end; raises Broken when a check fails, and _More where ``data``, not the whole,
+    ends before it."""
+    headers, start, size = _headers(data, at, whole)
+    stop = start + size
+    if stop + 4 > len(data) and not whole:
         raise _More
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Broken("record does not end where its length says")
     block = data[start:stop]
     if (said := headers.get("warc-block-digest")) and not _digest_ok(said, block):
         raise Broken("block digest differs")
-    payload = block
-    if headers.get("content-type", "").startswith("application/http"):
+    payload, plain = block, None
+    if _http(headers):
         cutoff = block.find(b"\r\n\r\n")
         if cutoff < 0:
             raise Broken("HTTP headers do not end")
         payload = block[cutoff + 4 :]
-        if m := re.search(rb"(?i)\r\ncontent-length:\s*([0-9]{1,15})", block[:cutoff]):
-            headers["http-content-length"] = m[1].decode()
-    if headers["warc-type"] == "response" and (said := headers.get("warc-payload-digest")) and not _digest_ok(said, payload):
-        raise Broken("payload digest differs")
-    return headers, payload, stop + 4
+        plain = _unchunked(payload) if _noted(headers, block[:cutoff]) else None
+    note = ""
+    said = headers.get("warc-payload-digest") if headers["warc-type"] == "response" else None
+    if _hash(said) is None:
+        payload = payload if plain is None else plain
+    elif not _digest_ok(said, payload):
+        if plain is not None and _digest_ok(said, plain):
+            payload = plain
+        else:
+            note = _DIFFERS
+    return Record(at, stop + 4 - at, headers, payload, len(payload), hashlib.sha256(payload).hexdigest(), note), stop + 4
 
 
 class _Member:
@@ -187,10 +254,11 @@ def _before_error(z, piece: bytes) -> bytes:
 
 
 class _Text:
-    """A member's text, of which as much is held as a record needs."""
+    """A member's text, of which as much is held as a record needs; ``again`` expands it anew."""
 
-    def __init__(self, held: bytes, rest: Iterator[bytes]):
-        self.held, self.base, self.rest, self.whole = held, 0, rest, False
+    def __init__(self, held: bytes, again: Callable[[], Iterator[bytes]] | None = None):
+        self.held, self.base, self.again, self.whole = held, 0, again, again is None
+        self.rest = again() if again else iter(())
 
     def grow(self) -> bool:
         """Hold about twice as much; False where the text ends."""
@@ -205,16 +273,72 @@ class _Text:
         self.held = b"".join(parts)
         return size > 0
 
-    def parse(self, at: int, most: int):
+    def parse(self, at: int, most: int) -> tuple[Record, int]:
         while True:
             if at - self.base > _EXPANDED:
                 self.held, self.base = self.held[at - self.base :], at
             try:
-                headers, payload, end = _parse(self.held, at - self.base, self.whole, most)
+                if not self.whole:
+                    headers, start, size = _headers(self.held, at - self.base, False)
+                    if size > most:
+                        return self.streamed(at, headers, start + self.base, size)
+                record, end = _parse(self.held, at - self.base, self.whole)
             except _More:
                 self.grow()
                 continue
-            return headers, payload, end + self.base
+            return record._replace(offset=at), end + self.base
+
+    def streamed(self, at: int, headers: dict[str, str], start: int, size: int) -> tuple[Record, int]:
+        """A record whose block is not held: it passes its digests piece by piece."""
+        try:
+            return self._streamed(at, headers, start, size)
+        except Broken:
+            self.held, self.base, self.whole, self.rest = b"", 0, False, self.again()  # the search goes on inside it
+            self.skip(at)
+            raise
+
+    def _streamed(self, at: int, headers: dict[str, str], start: int, size: int) -> tuple[Record, int]:
+        end = start + size
+        while _http(headers) and (cutoff := self.held.find(b"\r\n\r\n", start - self.base, end - self.base)) < 0:
+            if self.base + len(self.held) >= min(end, start + _HEADERS) or not self.grow():
+                raise Broken("HTTP headers do not end")
+        body = start
+        chunked = False
+        if _http(headers):
+            body = cutoff + 4 + self.base
+            chunked = _noted(headers, self.held[start - self.base : cutoff])
+        block_said, said = headers.get("warc-block-digest"), headers.get("warc-payload-digest") if headers["warc-type"] == "response" else None
+        block, payload, own = _hash(block_said), _hash(said), hashlib.sha256()
+        if block:
+            block.update(self.held[start - self.base : body - self.base])
+        at_byte = body
+        while at_byte < end:
+            piece = self.held[at_byte - self.base : end - self.base]
+            for h in (block, payload, own):
+                if h:
+                    h.update(piece)
+            at_byte += len(piece)
+            if at_byte < end:
+                self.held, self.base = b"", at_byte
+                if not self.grow():
+                    raise Broken("record does not end where its length says")
+        self.skip(end)
+        while len(self.held) < 4 and self.grow():
+            pass
+        if self.held[:4] != b"\r\n\r\n":
+            raise Broken("record does not end where its length says")
+        if block and not _is(block_said, block.digest()):
+            raise Broken("block digest differs")
+        note = "payload not held" + (", still chunked" if chunked else "") + (f", {_DIFFERS}" if payload and not chunked and not _is(said, payload.digest()) else "")
+        return Record(at, end + 4 - at, headers, None, end - body, own.hexdigest(), note), end + 4
+
+    def skip(self, at: int) -> None:
+        """Let go of what lies before ``at``."""
+        while self.base + len(self.held) < at:
+            self.base, self.held = self.base + len(self.held), b""
+            if not self.grow():
+                return
+        self.held, self.base = self.held[at - self.base :], at
 
     def ended(self, at: int) -> bool:
         while at - self.base >= len(self.held):
@@ -233,14 +357,16 @@ class _Text:
                 return self.base + len(self.held)
 
 
-def _inside(text: _Text, reason: str, most: int) -> Iterator[tuple[int, int, dict[str, str], bytes] | tuple[int, int, str]]:
-    """The records of a member's text and the gaps between them, as (offset, length, headers, payload) or (offset, length, reason)."""
+def _inside(text: _Text, reason: str, most: int) -> Iterator[Record | tuple[int, int, str]]:
+    """The records of a member's text, with offsets in it, and the gaps between them as (offset, length, reason)."""
     at, bad, why = 0, -1, ""
     while not text.ended(at):
         try:
-            headers, payload, end = text.parse(at, most)
-            if reason == _DAMAGED and not _has_digest(headers):
+            record, end = text.parse(at, most)
+            if reason == _DAMAGED and not _has_digest(record.headers):
                 raise Broken("no digest in a damaged member")
+            if reason == _DAMAGED and _DIFFERS in record.note:
+                raise Broken(_DIFFERS)
         except Broken as e:
             if bad < 0:
                 bad, why = at, str(e)
@@ -249,7 +375,7 @@ def _inside(text: _Text, reason: str, most: int) -> Iterator[tuple[int, int, dic
         if bad >= 0:
             yield bad, at - bad, why
             bad = -1
-        yield at, end - at, headers, payload
+        yield record
         at = end
     if bad >= 0:
         yield bad, at - bad, reason or why
@@ -257,15 +383,15 @@ def _inside(text: _Text, reason: str, most: int) -> Iterator[tuple[int, int, dic
         yield at, 0, reason
 
 
-def salvage(data: bytes, most: int = 1 << 30, held: int = 64 << 20) -> Iterator[Record | Gap]:
+def salvage(data: bytes, most: int = 256 << 20, held: int = 64 << 20) -> Iterator[Record | Gap]:
     """All records of an archive that pass the checks, and the byte gaps between them, in file order.
 
-    A member may expand to any size: beyond ``held`` bytes it is expanded a second time, record by record. One record
-    of a member may have ``most`` bytes; a larger one is a gap.
+    A member may expand to any size: beyond ``held`` bytes it is expanded a second time, record by record, and there a
+    record's block of over ``most`` bytes is not held.
     """
     at, bad, reason = 0, -1, ""
     while at < len(data):
-        found: Iterator[tuple] = iter(())
+        found: Iterator = iter(())
         stopped = ""
         try:
             if data[at : at + 3] == _MAGIC:
@@ -274,17 +400,17 @@ def salvage(data: bytes, most: int = 1 << 30, held: int = 64 << 20) -> Iterator[
                     size += len(piece)
                     parts = [*parts, piece] if size <= held and len(parts) < 64 else [b"".join([*parts, piece])] if size <= held else []
                 end, stopped = member.end, member.reason
-                text = _Text(b"".join(parts), iter(())) if size <= held else _Text(b"", _Member(data, at).pieces())
+                text = _Text(b"".join(parts)) if size <= held else _Text(b"", _Member(data, at).pieces)
                 found = _inside(text, stopped, most)
                 first = list(islice(found, 2))
-                if (first or stopped) and not any(len(x) == 4 for x in first):
+                if (first or stopped) and not any(isinstance(x, Record) for x in first):
                     raise Broken(stopped or first[0][2])
-                if stopped and len(first) == 2 and len(first[0]) == 4 and first[1][1:] == (0, stopped):
+                if stopped and len(first) == 2 and isinstance(first[0], Record) and first[1][1:] == (0, stopped):
                     raise Broken(stopped)  # a member of one record: its own check is the record's
                 found = chain(first, found)
             else:
-                headers, payload, end = _parse(data, at)
-                found = iter([(0, end - at, headers, payload)])
+                record, end = _parse(data, at)
+                found = iter([record])
         except Broken as e:
             if bad < 0:
                 bad, reason = at, str(e)
@@ -298,10 +424,7 @@ def salvage(data: bytes, most: int = 1 << 30, held: int = 64 << 20) -> Iterator[
             m = _START.search(data, at + 1)
             end = m.start() if m else len(data)
         for x in found:
-            if len(x) == 4:
-                yield Record(at, end - at, x[2], x[3])
-            else:
-                yield Gap(at, end - at, x[2], x[0], x[1])
+            yield x._replace(offset=at, length=end - at) if isinstance(x, Record) else Gap(at, end - at, x[2], x[0], x[1])
         at = end
     if bad >= 0:
         yield Gap(bad, len(data) - bad, reason)
@@ -354,6 +477,7 @@ _READ = T.StructType(
         T.StructField("payload", T.BinaryType()),
         T.StructField("inner_offset", T.LongType()),
         T.StructField("inner_length", T.LongType()),
+        T.StructField("note", T.StringType()),
     ]
 )
 
@@ -363,7 +487,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
     gap inside a gzip member, ``inner_offset`` and ``inner_length`` in the member's text).
 
     payload_bytes and payload_digest are of the full payload: a response's are taken from its bytes, a revisit's from
-    its headers.
+    its headers. ``note`` says where a payload digest differs, or a payload is too large to be a value.
     """
     bare = lambda x: x[1:-1] if x and x[0] == "<" else x
 
@@ -372,15 +496,15 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
             file, data = b.column(0)[0].as_py(), b.column(1)[0].as_py()
             for x in salvage(data):
                 if isinstance(x, Gap):
-                    yield file, x.offset, x.length, x.reason, *[None] * 7, x.inner_offset, x.inner_length
+                    yield file, x.offset, x.length, x.reason, *[None] * 7, x.inner_offset, x.inner_length, None
                     continue
                 h = x.headers
                 kind = h["warc-type"]
                 if kind == "revisit":
                     size, digest = int(h.get("http-content-length", 0)), h.get("warc-payload-digest", "").partition(":")[2]
                 else:
-                    size, digest = len(x.payload), hashlib.sha256(x.payload).hexdigest()
-                yield file, x.offset, x.length, None, kind, bare(h["warc-record-id"]), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), size, digest, x.payload if keep_payload else None, None, None
+                    size, digest = x.size, x.sha256
+                yield file, x.offset, x.length, None, kind, bare(h["warc-record-id"]), h.get("warc-target-uri"), bare(h.get("warc-refers-to")), size, digest, x.payload if keep_payload else None, None, None, x.note or None
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return arrow_map(files, read, _READ, rows=256 if keep_payload else 4096)

@@ -50,8 +50,57 @@ def test_later_records_are_recovered_and_the_gap_is_exact(wrap, harm):
 def test_a_record_that_is_too_large_in_a_member_read_piece_by_piece():
     big = compress(_record(1, b"a" * 3_000_000) + _record(2))
     found = list(salvage(big + compress(_record(3)), most=50_000, held=1_000))
-    assert [type(x) for x in found] == [Gap, Record, Record] and _ids(found) == ["<urn:page:2>", "<urn:page:3>"]
-    assert _ids(salvage(big, held=1_000)) == ["<urn:page:1>", "<urn:page:2>"]
+    assert [type(x) for x in found] == [Record] * 3 and _ids(found) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
+    assert found[0].payload is None and found[0].note == "payload not held"
+    whole = list(salvage(big, held=1_000))
+    assert [(x.size, x.sha256) for x in whole] == [(x.size, x.sha256) for x in found[:2]] and whole[0].payload == b"a" * 3_000_000
+    assert found[0].sha256 == hashlib.sha256(b"a" * 3_000_000).hexdigest()
+
+
+@pytest.mark.parametrize("harm", ["length", "digest", "cut"])
+def test_bad_records_that_are_streamed_lose_no_record_inside_or_after(harm):
+    inner = [_record(i, b"inner %d " % i * 9_000) for i in range(2, 6)]
+    bad = _record(1, b"a" * 300_000)
+    if harm == "length":
+        bad = bad.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1) if bad.count(b"\r\nContent-Length: ") == 1 else bad.replace(b"msgtype=response\r\nContent-Length: ", b"msgtype=response\r\nContent-Length: 9")
+    elif harm == "digest":
+        bad = bad.replace(b"aaaaaa", b"aabaaa", 1)
+    else:
+        bad = bad[:200_000]
+    data = compress(_record(0) + bad + b"".join(inner)) + compress(_record(9))
+    found = list(salvage(data, most=50_000, held=1_000))
+    assert _ids(found) == [f"<urn:page:{i}>" for i in (0, 2, 3, 4, 5, 9)]
+    assert [(x.inner_offset, x.inner_length) for x in found if isinstance(x, Gap)] == [(len(_record(0)), len(bad))]
+
+
+def _made(head, body, http="HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n", version="WARC/1.0"):
+    block = http.encode() + body
+    return f"{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Type: application/http\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+CHUNKED = b"5;x=1\r\nhello\r\nA\r\n, in parts\r\n0\r\n\r\n"
+
+
+@pytest.mark.parametrize("wrap", [compress, lambda x: x])
+def test_valid_records_that_others_write(wrap):
+    plain = b"hello, in parts"
+    sha1 = lambda x: hashlib.sha1(x).hexdigest()
+    cases = [
+        (_made(f"WARC-Payload-Digest: sha1:{sha1(plain)}\r\n", CHUNKED), plain, ""),  # of the decoded body
+        (_made(f"WARC-Payload-Digest: sha1:{sha1(CHUNKED)}\r\n", CHUNKED), CHUNKED, ""),  # of the body as it came
+        (_made("", CHUNKED), plain, ""),
+        (_made("", b"zz not chunked"), b"zz not chunked", ""),
+        (_made(f"WARC-Payload-Digest: sha1:{sha1(b'other')}\r\n", CHUNKED), CHUNKED, "payload digest differs"),
+        (_made("WARC-Target-URI: http://e/\r\n a\r\n\tb\r\n", b"x", "HTTP/1.1 200 OK\r\n\r\n"), b"x", ""),
+        (_made("", b"old", "HTTP/1.0 200 OK\r\n\r\n", "WARC/0.18"), b"old", ""),
+        (_made("WARC-Payload-Digest: md9:abc\r\n", b"unknown", "HTTP/1.0 200 OK\r\n\r\n", "WARC/0.17"), b"unknown", ""),
+    ]
+    found = list(salvage(b"".join(wrap(r) for r, _, _ in cases)))
+    assert [(x.payload, x.note) for x in found] == [(p, n) for _, p, n in cases]
+    assert found[5].headers["warc-target-uri"] == "http://e/ a b"
+    assert all((x.size, x.sha256) == (len(x.payload), hashlib.sha256(x.payload).hexdigest()) for x in found)
+    one = compress(b"".join(r for r, _, _ in cases))
+    assert [(x.payload, x.note) for x in salvage(one, held=0)] == [(p, n) for _, p, n in cases]
 
 
 @pytest.mark.parametrize("harm", ["none", "digest", "cut", "flip", "junk", "version"])
