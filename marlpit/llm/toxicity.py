@@ -5,7 +5,8 @@ lacked has the vector of its buckets. Filters of several widths run over the who
 activation is kept, and a logistic layer gives the probability. Everything starts from random weights and is trained in
 numpy on a bounded sample of labelled rows; words are left out at random, so that each word gets its turn as a text's
 greatest. A threshold is calibrated for each language on rows of the sample held back from training, the language being
-told from the words themselves (naive Bayes over the same hashed words); scores are shifted so that the language's
+told from the words themselves (naive Bayes over the same hashed words, in a table of bounded size; languages of few
+sampled rows are one, with the common threshold); scores are shifted so that the language's
 threshold lies at ``cut_off``.
 
 In prediction the filters' products with every word vector are computed once, so a text costs gathers and sums.
@@ -13,11 +14,12 @@ In prediction the filters' products with every word vector are computed once, so
 Defined results: a null, empty or wordless text has the score of a text of zero vectors; a null id is carried; repeated
 rows are scored each for itself; of equally likely languages the alphabetically first sets the threshold; other
 columns are dropped by ``scores`` and kept by ``keep_clean``; an empty table gives an empty result; with no label of
-one of the two values all scores are 0. Texts are scored whole; a very long one is read in runs of words.
+one of the two values all scores are 0. Texts are scored whole, a very long one in one pass.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from itertools import chain
@@ -34,6 +36,8 @@ WIDTHS = (1, 2, 3)
 #: A sample is read so often at least, a smaller one until there were ``STEPS`` steps, but ``MOST_EPOCHS`` times at most.
 EPOCHS, STEPS, MOST_EPOCHS = 8, 800, 30
 _MEMO = 120_000
+#: Languages of fewer sampled rows are one, which has the common threshold; and numbers in a table of words by languages.
+_OWN, _CELLS = 20, 1 << 22
 _RUN = 1 << 17
 
 
@@ -50,6 +54,15 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of a table's rows, repeats counted; of many, no more are held than there are different ones."""
+    if len(rows) * table.shape[1] <= _CELLS:
+        return table[rows].sum(axis=0)
+    rows, times = np.unique(rows, return_counts=True)
+    step = max(1, _CELLS // table.shape[1])
+    return sum(times[a : a + step].astype(np.float32) @ table[rows[a : a + step]] for a in range(0, len(rows), step))
+
+
 class Classifier:
     """Word table, convolution and calibration."""
 
@@ -63,6 +76,7 @@ class Classifier:
         self.out = rng.normal(0, 0.3, len(WIDTHS) * filters).astype(np.float32)
         self.c = np.float32(0)
         self.languages: list[str] = []
+        self.folds = buckets
         self.language_rows = np.zeros((buckets + 1, 0), dtype=np.float32)
         self.prior = np.zeros(0)
         self.cuts: dict[str, float] = {}
@@ -89,19 +103,29 @@ class Classifier:
         self._calibrate([ids[i] for i in np.flatnonzero(held)], labels[held], [ids[i] for i in np.flatnonzero(~held)], labels[~held])
 
     def _fit_languages(self, ids: list[np.ndarray], langs: list[str | None]) -> None:
-        self.languages = sorted({x for x in langs if x is not None})
-        counts = np.full((len(self.table), len(self.languages)), 0.2)
+        """What words tell of languages: a table of ``_CELLS`` numbers at most, into whose rows the words' buckets are folded where
+        languages are many."""
+        rows = Counter(x for x in langs if x is not None)
+        few = any(n < _OWN or not x for x, n in rows.items())
+        self.languages = sorted(x for x, n in rows.items() if n >= _OWN and x) + [""] * few
+        place = {x: k for k, x in enumerate(self.languages)}
+        self.folds = max(1, min(self.buckets, _CELLS // max(1, len(self.languages)) - 1))
+        counts = np.full((self.folds + 1, len(self.languages)), 0.2)
         totals = np.ones(len(self.languages))
         for own, lang in zip(ids, langs, strict=True):
             if lang is not None:
-                k = self.languages.index(lang)
+                k = place.get(lang, len(place) - 1)
                 totals[k] += 1
-                np.add.at(counts[:, k], own[:, 0], 1)
+                np.add.at(counts[:, k], self.folded(own[:, 0]), 1)
         self.language_rows = np.log(counts / counts.sum(axis=0)).astype(np.float32)
         self.language_rows -= self.language_rows.mean(axis=1, keepdims=True) if self.languages else 0
-        self.language_rows[counts.sum(axis=1) < 0.3 * len(self.languages)] = 0  # words never seen say nothing
+        self.language_rows[counts.sum(axis=1) < 0.2 * len(self.languages) + 0.5] = 0  # words never seen say nothing
         self.prior = np.log(totals / totals.sum())
 
+    def folded(self, buckets: np.ndarray) -> np.ndarray:
+        """Rows of the words' buckets in the table of languages; its last is of no word."""
+        return np.where(buckets == self.buckets, self.folds, buckets % self.folds)
+
     def _pooled(self, vectors: np.ndarray, starts: np.ndarray):
         """Greatest activation of every filter in each text, and the position it is at; vectors hold a gap after each text."""
         best, where = [], []
@@ -190,7 +214,7 @@ class Classifier:
         for a in range(0, len(ids), 64):
             p.append(self._forward(ids[a : a + 64])[-1])
             for own in ids[a : a + 64]:
-                langs.append(self._language(self.language_rows[own[:, 0]].sum(axis=0)))
+                langs.append(self._language(_summed(self.language_rows, self.folded(own[:, 0]))))
         return np.concatenate(p) if p else np.zeros(0), langs
 
     def _language(self, evidence: np.ndarray) -> str:
@@ -235,18 +259,19 @@ class Scorer:
         # row 0 is of no word; room for more is made in steps, so that nothing of this size is copied often
         self.rows = 1
         self.products = np.zeros((1 << 15, sum(WIDTHS) * c.filters), dtype=np.float32)
-        self.language = np.zeros((1 << 15, len(c.languages)), dtype=np.float32)
+        self.fold = np.full(1 << 15, c.folds, dtype=np.int32)
         self.weights = np.concatenate([c.conv[w][k * c.size : (k + 1) * c.size] for w in WIDTHS for k in range(w)], axis=1)
 
     def _learn(self, new: list[str]) -> None:
         c, end = self.c, self.rows + len(new)
         if end > len(self.products):
             more = max(end - len(self.products), 1 << 15)
-            self.products, self.language = (np.concatenate([x, np.zeros((more, x.shape[1]), dtype=np.float32)]) for x in (self.products, self.language))
+            self.products = np.concatenate([self.products, np.zeros((more, self.products.shape[1]), dtype=np.float32)])
+            self.fold = np.concatenate([self.fold, np.full(more, c.folds, dtype=np.int32)])
         self.row_of.update(zip(new, range(self.rows, end), strict=True))
         at = np.array([c.features(w) for w in new], dtype=np.int64).reshape(-1, 2)
         self.products[self.rows : end] = (c.table[at[:, 0]] + c.table[at[:, 1]]) @ self.weights
-        self.language[self.rows : end] = c.language_rows[at[:, 0]]
+        self.fold[self.rows : end] = c.folded(at[:, 0])
         self.rows = end
 
     def __call__(self, texts: list[str | None]) -> list[float]:
@@ -287,7 +312,11 @@ class Scorer:
             act[_tails(starts)] = -np.inf
             hidden.append(np.tanh(np.maximum.reduceat(act, starts, axis=0) + c.bias[w]))
         logit = np.concatenate(hidden, axis=1) @ c.out + c.c
-        evidence = np.add.reduceat(self.language[at[:n]], starts, axis=0) if c.languages else np.zeros((len(split), 0))
+        rows = self.fold[at[:n]]
+        if n * len(c.languages) <= _CELLS:
+            evidence = np.add.reduceat(c.language_rows[rows], starts, axis=0)
+        else:
+            evidence = [_summed(c.language_rows, x) for x in np.split(rows, starts[1:])]
         return c.shifted(logit, [c._language(x) for x in evidence]).tolist()
 
 

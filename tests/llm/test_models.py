@@ -209,3 +209,31 @@ def test_fitting_passes_over_what_does_not_fit():
     assert fitting([99, 3, 4, 48, 5], 60, 9, 10) == [1, 2, 4, 3]
     assert fitting([99, 3, 4, 5], 60, 2, 10) == [1, 2]
     assert fitting([99, 98], 60, 2, 10) == [1] and fitting([], 60, 2, 10) == []
+
+
+def test_many_languages_take_bounded_memory():
+    import tracemalloc
+
+    from marlpit.llm.toxicity import Classifier, Scorer
+
+    rng = np.random.default_rng(3)
+    texts, langs, labels = [], [], []
+    for k in range(6000):
+        lang = k % 500 if k < 5500 else 500 + k  # 500 languages of eleven rows, and many of one
+        texts.append(" ".join(f"l{lang}w{x}" for x in rng.integers(0, 50, 30)) + (" bad" if k % 2 else ""))
+        langs.append(f"l{lang}" if lang else None)
+        labels.append(k % 2)
+    more = [" ".join(f"big{b}w{x}" for x in rng.integers(0, 50, 30)) + (" bad" if k % 2 else "") for b in range(60) for k in range(40)]
+    langs += [f"big{b}" for b in range(60) for _ in range(40)]
+    tracemalloc.start()
+    c = Classifier(buckets=1 << 14)
+    c.train(texts + more, np.array(labels + [k % 2 for _ in range(60) for k in range(40)]), langs, epochs=1)
+    got = Scorer(c)([more[1], more[-1], "", None, "unknown words " * 300_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.languages[-1] == "" and len(c.languages) == 61 and c.language_rows.size <= 1 << 22
+    assert peak < 600e6 and len(got) == 5
+    full = Classifier()
+    full._fit_languages([np.array([[k, k]]) for k in range(10_000)], [f"x{k % 500}" for k in range(10_000)])
+    assert len(full.languages) == 500 and full.language_rows.nbytes <= 4 << 22
+    assert full._language(full.language_rows[full.folded(np.array([7]))].sum(axis=0)) == "x7"
