@@ -234,6 +234,6 @@ def test_many_languages_take_bounded_memory():
     assert c.languages[-1] == "" and len(c.languages) == 61 and c.language_rows.size <= 1 << 22
     assert peak < 600e6 and len(got) == 5
     full = Classifier()
-    full._fit_languages([np.array([[k, k]]) for k in range(8_000)], [f"x{k % 500}" for k in range(8_000)])
+    full._fit_languages([np.array([[k % 8_000, 0]]) for k in range(16_000)], [f"x{k % 500}" for k in range(16_000)])
     assert len(full.languages) == 500 and full.language_rows.nbytes <= 4 << 22
     assert full._language(full.language_rows[full.folded(np.array([7]))].sum(axis=0)) == "x7"
