@@ -443,7 +443,7 @@ def _measured(big: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     return arrow_map(rows, run, _SPLIT, rows=512)
 
 
-def _links(contacts: DataFrame, percent: int, most: int, pivots: int, block: int) -> DataFrame:
+def _links(contacts: DataFrame, percent: int, most: int, most_shingles: int, pivots: int) -> DataFrame:
     """Links (a, b) that make the components of all sets what all links make them."""
     session = contacts.sparkSession
     rare = contacts.select("owner", F.explode("rarest").alias("s"))
@@ -456,11 +456,12 @@ def _links(contacts: DataFrame, percent: int, most: int, pivots: int, block: int
     label = None
     while True:
         named = cells.withColumn("label", F.col("owner")) if label is None else cells.join(label.select(F.col("key").alias("owner"), F.col("component").alias("of")), "owner", "left").withColumn("label", F.coalesce("of", "owner")).drop("of")
-        sizes = named.groupBy("cell").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.col("ask").cast("int")).alias("home"))
-        sizes = cut(sizes.where("low <> high and home > 0").select("cell", "rows", "home"), "sizes")  # the others are one component
-        small = named.join(sizes.where(F.col("rows") <= most), "cell")
+        sizes = named.groupBy("cell").agg(F.count("*").alias("rows"), F.sum(F.octet_length("hashes") / 8).alias("shingles"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.col("ask").cast("int")).alias("home"))
+        sizes = sizes.where("low <> high and home > 0").select("cell", "rows", F.greatest(F.col("rows") / most, F.col("shingles") / most_shingles).alias("fill"))
+        sizes = cut(sizes, "sizes")  # cells of one component are done
+        small = named.join(sizes.where(F.col("fill") <= 1), "cell")
         found.append(cut(_joined(small, percent, ["cell"]), "links"))
-        large = sizes.where(F.col("rows") > most)
+        large = sizes.where(F.col("fill") > 1)
         if large.isEmpty():
             break
         big = cut(named.join(large, "cell"), "large")
@@ -480,7 +481,7 @@ def _links(contacts: DataFrame, percent: int, most: int, pivots: int, block: int
         stuck = guests.join(sizes.withColumnRenamed("rows", "all"), "cell").groupBy("cell").agg((F.max(F.col("rows") / F.col("all")) > 0.7).alias("stuck"))
         stuck = cut(stuck, "stuck")
         labelled = measured.join(label.select(F.col("key").alias("owner"), F.col("component").alias("of")), "owner", "left").withColumn("label", F.coalesce("of", "owner"))
-        tiles = _tiles(labelled.join(stuck.where("stuck"), "cell").join(sizes, "cell"), block)
+        tiles = _tiles(labelled.join(stuck.where("stuck"), "cell").join(sizes, "cell"))
         found.append(cut(_joined(tiles, percent, ["cell", "low", "high"]), "links"))
         halves = spread.join(stuck.where("not stuck"), "cell")
         cells = cut(halves.select(F.xxhash64("cell", "to.pivot").alias("cell"), "owner", "n", "hashes", (F.col("ask") & (F.col("nearest") == F.col("to.place"))).alias("ask")), "cells")
@@ -499,10 +500,10 @@ def _labels(found: list[DataFrame]) -> DataFrame:
     return components(links)
 
 
-def _tiles(cells: DataFrame, block: int) -> DataFrame:
+def _tiles(cells: DataFrame) -> DataFrame:
     """Every set of a cell to the pairs of blocks that its block is in; cells of one component by now, and sets of it alone, are left out by the join."""
     open_ = cells.groupBy("cell").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("cell")
-    blocks = F.ceil(F.col("rows") / block).cast("int")
+    blocks = F.ceil(2 * F.col("fill")).cast("int")
     own = F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("low"), F.greatest(k, F.col("own")).alias("high")))
     dealt = cells.join(open_, "cell").withColumn("blocks", blocks).withColumn("own", own).withColumn("at", F.explode(met))
@@ -510,11 +511,11 @@ def _tiles(cells: DataFrame, block: int) -> DataFrame:
     return dealt.select("cell", "at.low", "at.high", "owner", "n", "hashes", "label", "ask")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, block: int = 1_000_000, most: int = 256, pivots: int = 8, tile: int = 1_024) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, block: int = 1_000_000, most: int = 2_048, most_shingles: int = 4_000_000, pivots: int = 8) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
-    ``block`` shingles of texts are one entry of the exchange; regions of over ``most`` sets are split by
-    ``pivots``, and cells that they do not split are compared in pairs of blocks of ``tile`` sets at most.
+    ``block`` shingles of texts are one entry of the exchange; regions of over ``most`` sets or ``most_shingles`` are split
+    by ``pivots``, and cells that they do not split are compared in pairs of blocks, which hold half as much each.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -523,7 +524,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     replies = cut(_counted(_exchange(plain, width, bits, block), 1 << bits, groups), "counted")
     bundles = replies.where(F.col("kind").isin(_OWNED, _SIZE)).union(_answered(replies, groups))
     contacts = cut(_contacts(bundles, percent, groups), "contacts")
-    labels = components(_links(contacts, percent, most, pivots, tile))
+    labels = components(_links(contacts, percent, most, most_shingles, pivots))
     rows = replies.where(F.col("kind") == _ROW).select("id", "owner", "n")
     sets = rows.where(F.col("owner").isNotNull()).groupBy("owner").agg(F.min("id").alias("low"))
     named = sets.join(labels.withColumnRenamed("key", "owner"), "owner", "left").withColumn("component", F.coalesce("component", "owner"))
