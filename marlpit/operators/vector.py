@@ -99,6 +99,13 @@ def _batch(ids, keys, distances) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(distances, pa.float64())], names=_FOUND.names)
 
 
+def sound(df: DataFrame, key: str, vec: str, name: str) -> DataFrame:
+    """``name`` and v of the rows with a key and a vector of finite components."""
+    none = F.array().cast("array<double>")
+    rows = df.select(F.col(key).cast("long").alias(name), F.coalesce(F.col(vec).cast("array<double>"), none).alias("v"))
+    return rows.where(F.col(name).isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
 def top_k(vectors: DataFrame, requests: DataFrame, k: int = 12, key_col: str = "vec_id", vec_col: str = "embedding", request_col: str = "request_id", query_col: str = "vector", broadcast_rows: int = 2048, shard_rows: int = 16_384) -> DataFrame:
     """request_id, key, distance (squared, double), rank of each request's k nearest; ties go to the smaller key.
 
@@ -110,7 +117,6 @@ def top_k(vectors: DataFrame, requests: DataFrame, k: int = 12, key_col: str = "
     """
     spark = vectors.sparkSession
     ship(spark)
-    sound = lambda df, key, vec, name: df.select(F.col(key).cast("long").alias(name), F.col(vec).cast("array<double>").alias("v")).where(F.col(name).isNotNull() & (F.size(F.coalesce("v", F.array().cast("array<double>"))) > 0) & ~F.exists(F.coalesce("v", F.array().cast("array<double>")), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     asked, own = sound(requests, request_col, query_col, "r"), sound(vectors, key_col, vec_col, "key")
     few = asked.limit(broadcast_rows + 1).collect()
     found = _to_all(own, few, k) if len(few) <= broadcast_rows else _past_shards(own, asked, k, shard_rows)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kms
-from ..operators import chunking, context, fusion, lexical, logs, metadata, profile, rerank, vector
+from ..operators import blockmax, chunking, context, fusion, lexical, logs, metadata, profile, rerank, vector, vectorindex
 from ..operators.profile import Lexicon
 from ..session import scratch_path, ship
 from ..sources import files, sinks
@@ -153,6 +153,15 @@ def vector_topk(spark, sf_dir):
     return found.withColumn("similarity", vector.similarity(F.col("distance"))).withColumn("distance", F.round("distance", 9))
 
 
+@_query(f"WITH {_dense_cte('a.vec_id % 20 = 0')} SELECT request_id, key, round(distance, 9) AS distance, rank FROM dense")
+def vector_index_topk(spark, sf_dir):
+    """Build an index around pivots and search it."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    index = vectorindex.build(vectors, scratch_path(spark, "vector-index"))
+    found = vectorindex.search(index, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("vector")))
+    return found.withColumn("distance", F.round("distance", 9))
+
+
 @_query(f"WITH {_dense_cte('a.vec_id % 10 = 0')} SELECT request_id, key, round(distance, 9) AS distance, rank FROM dense")
 def vector_topk_batch(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
@@ -218,6 +227,14 @@ def bm25_stored_index(spark, sf_dir):
     return lexical.search(lexical.Bm25Index.read(spark, path), _requests(spark, sf_dir))
 
 
+@_query(f"WITH {_BM25_CTE} SELECT request_id, key, score, rank FROM bm25")
+def bm25_block_max(spark, sf_dir):
+    """Build an index in blocks, store it, and search it."""
+    path = scratch_path(spark, "bm25-blocks")
+    blockmax.build(lexical.build(_table(spark, sf_dir, "documents"))).write(path)
+    return blockmax.search(blockmax.BlockIndex.read(spark, path), _requests(spark, sf_dir))
+
+
 # -- metadata ---------------------------------------------------------------------
 @_query(f"SELECT key, source, source_class FROM ({_CLASSED_SQL})")
 def source_class(spark, sf_dir):
