@@ -70,11 +70,16 @@ def build(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> B
     terms_of = own.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     counted = cut(terms_of.groupBy("term", "key").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl")), "postings")
     stats = own.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"), F.min("key").alias("first"))
+    return weighted_index(counted, counted.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def weighted_index(postings: DataFrame, counts: DataFrame, stats: DataFrame) -> Bm25Index:
+    """An index of postings, the documents that hold each term (term, df), and stats; terms get their weights."""
     weight = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    raw = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", weight.alias("raw"))
+    raw = counts.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", weight.alias("raw"))
     mean = raw.agg((F.avg("raw") * EPSILON).alias("low"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(counted, terms, stats)
+    return Bm25Index(postings, terms, stats)
 
 
 def search(index: Bm25Index, requests: DataFrame, k: int = 12, request_col: str = "request_id", query_col: str = "query") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kms
-from ..operators import blockmax, chunking, context, fusion, lexical, logs, metadata, profile, rerank, vector, vectorindex
+from ..operators import blockmax, chunking, context, fusion, lexical, lexicon, logs, metadata, profile, rerank, vector, vectorindex
 from ..operators.profile import Lexicon
 from ..session import scratch_path, ship
 from ..sources import files, sinks
@@ -235,6 +235,23 @@ def bm25_block_max(spark, sf_dir):
     return blockmax.search(blockmax.BlockIndex.read(spark, path), _requests(spark, sf_dir))
 
 
+@_query(
+    r"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_split_to_array(text, '\s+'))) AS w FROM benchmark),
+a AS (SELECT w, n, unnest(range(1, length(w) - n + 2)) AS place FROM w, range(3, 9) t(n) WHERE length(w) >= n),
+lex AS (SELECT DISTINCT substring(w, place, n) AS word FROM a),
+hit AS (SELECT doc_id, word FROM documents JOIN lex ON contains(lower(text), word))
+SELECT doc_id, count(*) AS n, sum(length(word))::BIGINT AS chars, md5(string_agg(word, ' ' ORDER BY word)) AS words_md5 FROM hit GROUP BY doc_id"""
+)
+def lexicon_hits(spark, sf_dir):
+    """A lexicon of tens of thousands of words: all parts of three to eight letters of the benchmark's words."""
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).distinct()
+    sized = words.select("w", F.explode(F.sequence(F.lit(3), F.lit(8))).alias("n")).where("length(w) >= n")
+    lex = sized.select("n", "w", F.explode(F.expr("sequence(1, length(w) - n + 1)")).alias("at")).select(F.expr("substring(w, at, n)").alias("word"))
+    found = lexicon.hits(_table(spark, sf_dir, "documents"), lex)
+    chars = F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    return found.select(F.col("id").alias("doc_id"), F.size("words").cast("long").alias("n"), chars.alias("chars"), F.md5(F.array_join("words", " ")).alias("words_md5"))
+
+
 # -- metadata ---------------------------------------------------------------------
 @_query(f"SELECT key, source, source_class FROM ({_CLASSED_SQL})")
 def source_class(spark, sf_dir):
@@ -322,6 +339,27 @@ def chunk_route(spark, sf_dir):
     return chunking.route(docs.select("key", "source", "doc_type", "source_class", "text")).select("key", "source_class", "chunk_id", F.length("text").alias("chars"))
 
 
+#: What a refresh finds: of the documents a third has changed, a tenth is gone.
+_REFRESHED_SQL = f"SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN concat({_SPACED}, ' changed ', lang, ' doc', doc_id) ELSE {_SPACED} END AS text, 800 AS size, 150 AS overlap, false AS whole FROM documents WHERE doc_id % 10 <> 7"
+
+
+@_query(
+    f"""WITH RECURSIVE r AS ({_REFRESHED_SQL}), {_packed_cte("r", " ")}, rc AS (SELECT id * 10000 + part AS key, piece AS text FROM pieces),
+{_bm25_cte("rc", "key").lstrip()} SELECT request_id, rank, round(score, 6) AS score FROM bm25"""
+)
+def index_refresh(spark, sf_dir):
+    """Build an index that follows its documents, change them, refresh, search; ranks and scores, as keys are hashes."""
+    from . import refresh
+
+    path = scratch_path(spark, "followed")
+    docs = _table(spark, sf_dir, "documents").withColumn("text", _spaced("text"))
+    named = F.concat(F.lit("kms_output_md/"), F.col("doc_id"), F.lit(".md")).alias("source")
+    refresh.refresh(spark, docs.select(named, "text"), path)
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" changed "), "lang", F.lit(" doc"), "doc_id")).otherwise(F.col("text"))
+    found = refresh.refresh(spark, docs.where("doc_id % 10 <> 7").select(named, changed.alias("text")), path)
+    return found.index.search(_requests(spark, sf_dir)).select("request_id", "rank", F.round("score", 6).alias("score"))
+
+
 #: Sentences of ten words, so that the child's own separator is at work.
 _SENTENCES = r"regexp_replace(trim(regexp_replace(replace(text, '.', ''), '\s+', ' ', 'g')), '((?:\S+ ){9}\S+) ', '\1. ', 'g')"
 
