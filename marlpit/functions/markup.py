@@ -6,6 +6,7 @@ Parsing uses the standard library's lenient tokenizer: tags that never close end
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -30,30 +31,44 @@ class Node:
 
 
 class _Tree(HTMLParser):
+    """Open elements are counted by name, apart in each open table, so that a stray end tag costs one look."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        self.within: list[Counter] = [Counter()]
+
+    def shut(self) -> str:
+        """Close the innermost element."""
+        tag = self.open.pop().tag
+        if tag == "table":
+            self.within.pop()
+        else:
+            self.within[-1][tag] -= 1
+        return tag
 
     def handle_starttag(self, tag: str, attrs) -> None:
         ends = _ENDS.get(tag, ())
         while self.open[-1].tag in ends:
-            self.open.pop()
+            self.shut()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            if tag == "table":
+                self.within.append(Counter())
+            else:
+                self.within[-1][tag] += 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag == "table" and tag != "table":
-                return  # a stray end tag does not close the table that holds it
+        # a stray end tag does not close the table that holds it
+        if len(self.within) > 1 if tag == "table" else self.within[-1][tag]:
+            while self.shut() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)

@@ -43,13 +43,15 @@ def select_context(reranked: DataFrame, limit: int = 6) -> DataFrame:
     return rows.select("request_id", F.posexplode(chosen).alias("_at", "key")).select("request_id", (F.col("_at") + 1).alias("position"), "key")
 
 
-def history(messages: DataFrame, turns: int | Column, conv_col: str = "conv_id", turn_col: str = "turn", head: int = 50, most: int = 50) -> DataFrame:
+def history(messages: DataFrame, turns: int | Column, conv_col: str = "conv_id", turn_col: str = "turn", head: int = 50) -> DataFrame:
     """``messages`` with recent: the last ``turns`` messages before each, one to a line, null when there are none.
 
-    ``turns`` is a number, or a column that says it for each message, of at most ``most``.
+    ``turns`` is a number, or a column that says it for each message; then the greatest number asked is looked up first.
     """
     if isinstance(turns, int):
         turns, most = F.lit(turns), max(turns, 0)
+    else:
+        most = messages.agg(F.max(turns)).first()[0] or 0
     if most <= 0:
         return messages.withColumn("recent", F.lit(None).cast("string"))
     line = F.concat(F.when(F.col("role") == "user", "Q: ").otherwise("A: "), F.left(F.coalesce("text", F.lit("")), F.lit(head)), F.lit("\n"))

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, strip
+from ..functions.yaml import NOTHING, read
 
 # Classes by a part of the path, in order of precedence after rules.
 CLASS_MARKS = (("official", "official_md"), ("faq", "faq_output_md"), ("kms", "kms_output_md"))
@@ -54,6 +56,22 @@ def front_matter(text: Column, strip_body: bool = True) -> Column:
     return F.struct(F.when(there, meta).otherwise(none).alias("meta"), F.when(there, lists).otherwise(empty).alias("lists"), F.when(there, body).otherwise(text).alias("body"))
 
 
+_YAML = "struct<meta:map<string,string>,lists:map<string,array<string>>,json:string,error:string>"
+
+
+def yaml_front_matter(text: Column) -> Column:
+    """struct(meta map of texts by dotted path, lists map of arrays by path, json, error, body): a header read as YAML.
+
+    The header stands between a line ``---`` at the very start and the next such line, with LF ends; the body is what
+    follows, as it is. Without a header the maps are empty and the body is the whole text; one that is no YAML has an
+    error, and its body too. Only headers go to Python.
+    """
+    whole = F.regexp_extract(text, r"(?s)^---\n(.*?\n)?---(\n|\z)", 0)
+    header = F.when(F.length(whole) > 0, F.regexp_replace(F.regexp_replace(whole, r"\A---\n", ""), r"---\n?\z", ""))
+    found = F.pandas_udf(lambda s: pd.DataFrame([read(x) or NOTHING for x in s], columns=list(NOTHING)), _YAML)(header)
+    return F.struct(*[found[c].alias(c) for c in NOTHING], F.when(header.isNull(), text).otherwise(F.substr(text, F.length(whole) + 1)).alias("body"))
+
+
 def _slashed(source: Column) -> Column:
     return F.replace(F.coalesce(source, F.lit("")), F.lit("\\"), F.lit("/"))
 

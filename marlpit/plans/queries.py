@@ -688,6 +688,10 @@ SELECT request_id, stage, CAST(row_number() OVER (PARTITION BY request_id, stage
 )
 def diagnostic_summary(spark, sf_dir):
     """The five stages of each request's diagnostic record, unfolded again."""
+    return _unfolded(_records(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .answer import stages
 
     keyword, dense = _bm25(spark, sf_dir), _dense(spark, sf_dir)
@@ -697,9 +701,21 @@ def diagnostic_summary(spark, sf_dir):
     labelled = _candidates(spark, sf_dir).join(origin.select("request_id", "key", "bm25_rank", "vector_rank", "distance"), ["request_id", "key"]).withColumn("display", shown)
     final = labelled.join(context.select_context(labelled), ["request_id", "key"])
     asked = _requests(spark, sf_dir).withColumn("profile", profile.profile(c("message"))).withColumn("search_query", c("query"))
-    records = logs.diagnostics(stages(labelled, final), asked, F.lit("2024-01-01").cast("timestamp"))
-    lists = F.explode(F.array(*[F.struct(F.lit(x).alias("stage"), c(x).alias("l")) for x in logs.STAGES]))
-    return records.select("request_id", lists.alias("s")).select("request_id", "s.stage", F.posexplode("s.l").alias("at", "c")).select("request_id", "stage", (c("at") + 1).alias("place"), "c.*")
+    return logs.diagnostics(stages(labelled, final), asked, F.lit("2024-01-01").cast("timestamp"))
+
+
+def _unfolded(records: DataFrame) -> DataFrame:
+    lists = F.explode(F.array(*[F.struct(F.lit(x).alias("stage"), F.col(x).alias("l")) for x in logs.STAGES]))
+    return records.select("request_id", lists.alias("s")).select("request_id", "s.stage", F.posexplode("s.l").alias("at", "c")).select("request_id", "stage", (F.col("at") + 1).alias("place"), "c.*")
+
+
+@_query(_SQL["diagnostic_summary"])
+def diagnostics_json(spark, sf_dir):
+    """The nested records as JSON lines, read back and unfolded."""
+    path = scratch_path(spark, "diagnostics")
+    records = _records(spark, sf_dir)
+    sinks.append_diagnostics(records, path)
+    return _unfolded(spark.read.schema(records.schema).json(path))
 
 
 _FEEDBACK_SQL = """SELECT '2024-01-01 00:00:00' AS timestamp, CASE WHEN known THEN turn % 5 ELSE 0 END AS context_turns, q AS original_question, CASE WHEN known THEN 'q ' || left(text, 20) ELSE 'N/A' END AS searched_query, text AS ai_response, CASE WHEN turn % 2 = 0 THEN 'LIKE' ELSE 'DISLIKE' END AS feedback,
@@ -731,6 +747,15 @@ def feedback_append(spark, sf_dir):
     return spark.read.parquet(path).groupBy("ai_response", "feedback", "searched_query").agg(F.count("*").alias("times"))
 
 
+@_query(f"SELECT ai_response, feedback, searched_query, 2 * count(*) AS times FROM ({_FEEDBACK_SQL}) GROUP BY ALL")
+def feedback_batches(spark, sf_dir):
+    """Two batches of the log, the first delivered twice."""
+    path = scratch_path(spark, "feedback")
+    for batch in ("first", "second", "first"):
+        sinks.append_feedback(_feedback(spark, sf_dir), path, batch=batch)
+    return spark.read.parquet(path).groupBy("ai_response", "feedback", "searched_query").agg(F.count("*").alias("times"))
+
+
 @_query("SELECT request_id, text AS question, n FROM (SELECT item_id AS request_id, text FROM benchmark) CROSS JOIN (VALUES (1), (2)) v(n)")
 def diagnostics_append(spark, sf_dir):
     path = scratch_path(spark, "diagnostics")
@@ -783,6 +808,77 @@ def section_chunks(spark, sf_dir):
     return chunking.section_chunks(found, "LD10").select("doc_id", "chunk_id", "major_no", "sub_no", "part_no", "text", "text_len")
 
 
+@_query(f"SELECT doc_id, chunk_id, left(text, 800) AS text FROM ({_SQL['section_chunks']}) ORDER BY doc_id, chunk_id LIMIT 5")
+def rule_preview(spark, sf_dir):
+    """The first chunks of rules out of a dump of all of them."""
+    path = scratch_path(spark, "rules")
+    sinks.write_chunks(_QUERIES["section_chunks"](spark, sf_dir), path)
+    return sinks.preview(spark.read.schema("doc_id long, chunk_id int, text string").json(path), order=["doc_id", "chunk_id"])
+
+
+# -- files on disk ----------------------------------------------------------------------------------
+#: A text of each script with the encoding that its files are written in; the last is of no encoding.
+_FILES = (
+    ("euc-kr", "전세보증금 반환보증 한도는 최대 2억원입니다"),
+    ("gbk", "中国人民银行宣布调整住房贷款利率，这项政策对购房者有利"),
+    ("shift_jis", "住宅ローンの金利は来月から変更されます"),
+    ("windows-1251", "Банк сообщил, что ставки изменятся"),
+    ("iso-8859-1", "Les intérêts déjà élevés pourraient être réduits"),
+    ("utf-16-le", "plain words"),
+    ("utf-8", "모두 그대로"),
+    ("", ""),
+)
+_ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
+
+
+@_query(
+    f"""WITH t(k, said) AS (VALUES {", ".join(f"({k}, '{said}')" for k, (_, said) in enumerate(_FILES))}),
+f AS (SELECT item_id, k, concat('item ', item_id, ' ', said, chr(10), {_ASCII}, chr(10)) AS text FROM benchmark JOIN t ON k = item_id % {len(_FILES)})
+SELECT item_id, 1::BIGINT AS n, md5(text) AS text_md5, NULL AS error FROM f WHERE k < {len(_FILES) - 1}
+UNION ALL SELECT NULL, count(*), NULL, 'unknown encoding' FROM f WHERE k = {len(_FILES) - 1} HAVING count(*) > 0
+UNION ALL SELECT -1, 1, md5(string_agg(concat(item_id, ' ', {_ASCII}, chr(10)), '' ORDER BY item_id)), NULL FROM benchmark"""
+)
+def text_files(spark, sf_dir):
+    """A file for each item, in seven encodings and none, scanned; and one file of all items, read by its name (-1)."""
+    path = scratch_path(spark, "files")
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("plain"))
+    for k, (name, said) in enumerate(_FILES):
+        own = items.where(F.col("item_id") % len(_FILES) == k)
+        text = F.concat(F.lit("item "), "item_id", F.lit(f" {said}\n"), "plain", F.lit("\n"))
+        coded = F.pandas_udf(lambda s, name=name: s.map(lambda x: x.encode(name) if name else b"\x98\x81\xff\x8d" + x.encode()), "binary")(text)
+        # Spark's text writer ends each record, the only one of its file, with the line end that the text has too
+        width = 2 if name.startswith("utf-16") else 1
+        body = own.select(coded.alias("c")).select(F.expr(f"substring(c, 1, length(c) - {width})").cast("string").alias("value"))
+        body.write.option("maxRecordsPerFile", 1).option("encoding", "UTF-16LE" if width == 2 else "UTF-8").option("lineSep", "\n").text(f"{path}/{k}")
+    lines = items.repartition(1).sortWithinPartitions("item_id")
+    lines.select(F.concat_ws(" ", "item_id", "plain").alias("value")).write.text(f"{path}/one")
+    found = files.scan_texts(spark, [f"{path}/{k}" for k in range(len(_FILES))], globs=("*.txt",))
+    number = F.regexp_extract("text", r"^item (-?\d+) ", 1).try_cast("long")
+    scanned = found.where("text is null or text <> ''")  # a task without rows may leave an empty file
+    scanned = scanned.groupBy(number.alias("item_id"), F.md5("text").alias("text_md5"), "error").agg(F.count("*").alias("n"))
+    (one,) = [r["source"] for r in files.scan_texts(spark, [f"{path}/one"], globs=("*.txt",)).select("source").collect()]
+    single = spark.createDataFrame([(files.read_text(spark, one),)], "text string").select(F.lit(-1).cast("long").alias("item_id"), F.md5("text").alias("text_md5"), F.lit(None).cast("string").alias("error"), F.lit(1).cast("long").alias("n"))
+    return scanned.unionByName(single).select("item_id", "n", "text_md5", "error")
+
+
+#: Headers that need YAML, in the SQL that both engines share.
+_YAML_DOC = """concat('---', chr(10), '# told', chr(10), 'title: |', chr(10), '  Document ', doc_id, chr(10), '    in two lines', chr(10), 'about: >-', chr(10), '  written', chr(10), '  in ', lang, chr(10),
+'origin:', chr(10), '  source: "', source, chr(92), 't."  # quoted', chr(10), '  path:', chr(10), '    first: ', chr(39), 'it', chr(39), chr(39), 's ', doc_id % 7, chr(39), chr(10),
+'tags: [', lang, ', "a, b", ', source, ']', chr(10), 'files:', chr(10), '- f', doc_id, chr(10), '- g', chr(10), CASE WHEN doc_id % 50 = 3 THEN concat('bad: [open', chr(10)) ELSE '' END, '---', chr(10), text)"""
+
+
+@_query(
+    """SELECT doc_id, CASE WHEN doc_id % 50 <> 3 THEN concat('Document ', doc_id, chr(10), '  in two lines', chr(10)) END AS title, CASE WHEN doc_id % 50 <> 3 THEN concat('written in ', lang) END AS about,
+CASE WHEN doc_id % 50 <> 3 THEN concat(source, chr(9), '.') END AS source, CASE WHEN doc_id % 50 <> 3 THEN concat('it', chr(39), 's ', doc_id % 7) END AS first, CASE WHEN doc_id % 50 <> 3 THEN concat(lang, '|a, b|', source) END AS tags,
+CASE WHEN doc_id % 50 <> 3 THEN concat('f', doc_id, '|g') END AS files, CASE WHEN doc_id % 50 = 3 THEN '] is missing' END AS error, md5(text) AS body_md5 FROM documents"""
+)
+def yaml_headers(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", metadata.yaml_front_matter(F.expr(_YAML_DOC)).alias("y"))
+    said = lambda path, name: F.try_element_at("y.meta", F.lit(path)).alias(name)
+    listed = lambda path: F.array_join(F.try_element_at("y.lists", F.lit(path)), "|").alias(path)
+    return docs.select("doc_id", said("title", "title"), said("about", "about"), said("origin.source", "source"), said("origin.path.first", "first"), listed("tags"), listed("files"), "y.error", F.md5("y.body").alias("body_md5"))
+
+
 #: An embedder that SQL can follow: how often a text holds each of some letters.
 _LETTERS = "enatisro"
 _COUNTS_SQL = "list_transform([" + ", ".join(f"'{c}'" for c in _LETTERS) + "], lambda c: CAST(length({0}) - length(replace({0}, c, '')) AS DOUBLE))"

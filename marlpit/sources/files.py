@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from .encodings import ENCODINGS, detect
 
 GLOBS = ("*.md",)
-#: Tried in this order on texts that are not UTF-8.
-ENCODINGS = ("cp949",)
 _SCHEMA = "source string, text string, error string"
 
 
@@ -31,11 +30,12 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return found
 
 
-def scan_texts(spark: SparkSession, paths: Sequence[str], globs: Sequence[str] = GLOBS, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+def scan_texts(spark: SparkSession, paths: Sequence[str], globs: Sequence[str] = GLOBS, encodings: Sequence[tuple[str, str]] = ENCODINGS) -> DataFrame:
     """source, text, error of every matching file below the paths that are there; missing ones are skipped.
 
-    A file that is not UTF-8 is read as UTF-16 where it starts with that byte order mark, and else in the first of
-    ``encodings`` that fits; one that fits none has an error in place of a text, so one bad file stops nothing.
+    A file that is not UTF-8 is read in the encoding that ``detect`` tells, of ``encodings`` with their scripts and UTF-16;
+    where that is not sure it has an error in place of a text, so one bad file stops nothing. Only such files go to Python.
+    An empty file has no row, as Spark reads none of it.
     """
     ship(spark)
     there = existing(spark, paths)
@@ -44,22 +44,12 @@ def scan_texts(spark: SparkSession, paths: Sequence[str], globs: Sequence[str] =
     pattern = globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}"
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(there)
     said = F.col("content").cast("string")
-    ok = F.is_valid_utf8(said)
-    other = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else decoded(x, encodings)), "string")(F.when(~ok, F.col("content")))
+    ok = F.is_valid_utf8(said) & ~F.contains(said, F.lit("\0"))  # ASCII as UTF-16 is valid, with a null in every character
+    other = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else (detect(x, encodings) or (None, None))[1]), "string")(F.when(~ok, F.col("content")))
     text = F.when(ok, F.regexp_replace(said, "^\ufeff", "")).otherwise(other)
     return raw.select(F.col("path").alias("source"), text.alias("text")).withColumn("error", F.when(F.col("text").isNull(), F.lit("unknown encoding")))
 
 
-def decoded(data: bytes, encodings: Sequence[str] = ENCODINGS) -> str | None:
-    """The text of bytes that are not UTF-8; null where no encoding fits."""
-    for name in (["utf-16"] if data[:2] in (b"\xff\xfe", b"\xfe\xff") else []) + [*encodings]:
-        try:
-            return data.decode(name)
-        except UnicodeDecodeError:
-            continue
-    return None
-
-
 def read_text(spark: SparkSession, path: str) -> str:
     """One file; raises where it is missing or its encoding unknown."""
     if not existing(spark, [path]):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,13 @@ def write_markdown(rows: DataFrame, path: str, error_path: str | None = None) ->
         _replace(rows.where(F.col("error").isNotNull()).select("pk", "error"), error_path)
 
 
-def append_feedback(rows: DataFrame, path: str, kind: str = "parquet") -> None:
-    out = rows.write.mode("append")
+def append_feedback(rows: DataFrame, path: str, kind: str = "parquet", batch: str | None = None) -> None:
+    """Append to the log. Rows of a named ``batch`` have a folder of their own, which a repeated append of it replaces, so a batch
+    that is delivered twice counts once; a log has named batches throughout, or none."""
+    if batch is None:
+        out = rows.write.mode("append")
+    else:
+        out = rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
     out.option("header", True).csv(path) if kind == "csv" else out.parquet(path)
 
 
@@ -51,6 +58,6 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
-def preview(chunks: DataFrame, n: int = 5, head: int = 800, order: str = "chunk_id", text_col: str = "text") -> DataFrame:
+def preview(chunks: DataFrame, n: int = 5, head: int = 800, order: str | Sequence[str] = "chunk_id", text_col: str = "text") -> DataFrame:
     """The first n chunks, their texts cut at ``head`` characters."""
-    return chunks.orderBy(order).limit(n).withColumn(text_col, F.left(F.col(text_col), F.lit(head)))
+    return chunks.orderBy(*([order] if isinstance(order, str) else order)).limit(n).withColumn(text_col, F.left(F.col(text_col), F.lit(head)))

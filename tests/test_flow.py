@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from marlpit.operators import logs
+from marlpit.operators import context, logs
 from marlpit.plans import answer, index
 from marlpit.sources import sinks
 from marlpit.streaming import feedback
@@ -107,3 +107,20 @@ def test_feedback_stream(spark, tmp_path):
         feedback.append(feedback.follow(spark, src, schema), out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 2
     assert feedback.counts(spark.read.parquet(out)).select("likes", "dislikes").first() == (1, 1)
+
+
+def test_history_of_any_length(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"m{k}", 70 if k == 80 else 0) for k in range(81)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, asked int")
+    got = {r["turn"]: r["recent"] for r in context.history(df, F.col("asked")).collect()}
+    assert len(got[80].splitlines()) == 70 and got[80].startswith("Q: m10\n") and got[79] is None
+    assert context.history(df.limit(0), F.col("asked")).count() == 0
+
+
+def test_a_batch_that_is_delivered_twice_counts_once(spark, tmp_path):
+    from marlpit.sources import sinks
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
+    for batch in ("x", "y", "x"):
+        sinks.append_feedback(rows, f"file://{tmp_path}/log", batch=batch)
+    assert spark.read.parquet(f"file://{tmp_path}/log").count() == 4

@@ -205,3 +205,120 @@ def test_corpus_header(spark):
 def test_trim_front(spark):
     got = spark.createDataFrame([("x\n\n10.1 T\ny ",), (" none ",)], "t string").select(chunking.trim_front(F.col("t"))).collect()
     assert [r[0] for r in got] == ["10.1 T\ny", "none"]
+
+
+SAID = {
+    "euc-kr": "주택도시보증공사의 전세보증금 반환보증 한도는 최대 2억원입니다. 신청 대상과 금리를 확인하십시오.",
+    "gbk": "中国人民银行今天宣布，将从下个月起调整住房贷款利率。这项政策对购房者有利，但是需要注意风险。",
+    "shift_jis": "住宅ローンの金利は来月から変更されます。詳しくは窓口にお問い合わせください。カタカナも使います。",
+    "windows-1251": "Банк сообщил, что ставки по ипотеке изменятся со следующего месяца. Подробности в отделении.",
+    "latin-1": "L'évaluation des prêts à été modifiée; les intérêts, déjà élevés, pourraient être réduits. Größe über Straße.",
+}
+
+
+def test_encodings_are_told_or_unknown():
+    import random
+
+    from marlpit.sources.encodings import detect
+
+    for name, text in SAID.items():
+        for data in (text[:8].encode(name), text.encode(name), (text * 4_000).encode(name), ("plain words before it " * 20 + text).encode(name)):
+            assert detect(data)[1] == data.decode(name), name
+        for wide in ("utf-16-le", "utf-16-be", "utf-16", "utf-32", "utf-8-sig", "utf-8"):
+            assert detect(text.encode(wide))[1] == text, (name, wide)
+    assert detect("plain words only".encode("utf-16-le"))[1] == "plain words only"
+    rng = random.Random(2)
+    for size in (2, 10, 50, 200, 3_000):
+        for _ in range(40):
+            assert detect(bytes([0x98, 0x81, 0xFF] + [rng.randrange(256) for _ in range(size)])) is None
+    declared = f'<meta charset="euc-kr"><p>{SAID["euc-kr"][:1]} {"x" * 50}</p>'.encode("euc-kr")
+    assert detect(declared) is None or detect(declared)[1] == declared.decode("euc-kr")
+    lying = f'<meta charset="euc-kr">{SAID["windows-1251"]}'.encode("windows-1251")
+    assert detect(lying)[0] == "windows-1251"
+
+
+def test_scan_of_all_encodings(spark, tmp_path):
+    for k, (name, text) in enumerate(SAID.items()):
+        (tmp_path / f"{k}.md").write_bytes(text.encode(name))
+    (tmp_path / "wide.md").write_bytes("no mark, plain words".encode("utf-16-be"))
+    (tmp_path / "bad.md").write_bytes(b"\x98\x81\xff\x8d")
+    (tmp_path / "empty.md").write_bytes(b"")
+    got = {r["source"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in files.scan_texts(spark, [f"file://{tmp_path}"]).collect()}
+    assert got == {**{f"{k}.md": (t, None) for k, t in enumerate(SAID.values())}, "wide.md": ("no mark, plain words", None), "bad.md": (None, "unknown encoding")}
+
+
+YAML = """# head
+title: |
+  two
+  lines
+
+k: >-
+  folded
+  text here
+
+  para
+nested:
+  a: 1   # one
+  b:
+    c: "q\\"uo\\n te \\u00e9"
+    d: 'it''s'
+list:
+- x
+- "y: z"
+-   key: v
+    other: w
+-
+  - inner
+  - 2
+flow: [a, "b, c", {k: v, m: [1, 2]}, d]
+url: http://e.x/a:b#c
+empty:
+tilde: ~
+"quoted key": yes it is
+last: end # comment
+more: >
+  a
+    indented
+  b
+
+
+  c
+keep: |+
+  a
+
+"""
+
+
+def test_yaml_headers():
+    from marlpit.functions import yaml
+
+    assert yaml.load(YAML) == {
+        "title": "two\nlines\n", "k": "folded text here\npara", "nested": {"a": "1", "b": {"c": 'q"uo\n te é', "d": "it's"}},
+        "list": ["x", "y: z", {"key": "v", "other": "w"}, ["inner", "2"]], "flow": ["a", "b, c", {"k": "v", "m": ["1", "2"]}, "d"],
+        "url": "http://e.x/a:b#c", "empty": None, "tilde": None, "quoted key": "yes it is", "last": "end", "more": "a\n  indented\nb\n\nc\n", "keep": "a\n\n",
+    }
+    assert yaml.load("") is None and yaml.load("a:\n  - b: 1\n    c:\n      - d\n  - e: 2\nf: 1\n") == {"a": [{"b": "1", "c": ["d"]}, {"e": "2"}], "f": "1"}
+    for bad in ("a: [1, 2", "a\n b", "- x\ny: 1", "a: 'x", "a: b\n   c: d", "\ta: b", "a: &x 1", 'a: "\\q"', "a: x\n- y", 'a: "b" c', "a: " + "[" * 3000):
+        assert yaml.read(bad)["error"], bad
+    meta, lists = yaml.flat(yaml.load("a: {b: c}\nl: [x, ~]\nm:\n- k: v\n- [y]"))
+    assert meta == {"a.b": "c", "m.0.k": "v"} and lists == {"l": ["x", ""], "m.1": ["y"]}
+
+
+def test_yaml_front_matter(spark):
+    rows = [(1, f"---\n{YAML}---\n body \n"), (2, "no header"), (3, None), (4, "---\na: [1\n---\nrest"), (5, "---\n---\nrest"), (6, "---\na: 1\n---"), (7, "---\na: 1\nnever ends"), (8, "")]
+    df = spark.createDataFrame(rows, "id long, t string").select("id", metadata.yaml_front_matter(F.col("t")).alias("y"))
+    got = {r["id"]: r["y"] for r in df.collect()}
+    assert got[1]["meta"]["nested.b.d"] == "it's" and got[1]["lists"]["list.3"] == ["inner", "2"] and got[1]["body"] == " body \n" and got[1]["error"] is None
+    assert [got[k]["body"] for k in range(2, 9)] == ["no header", None, "rest", "rest", "", "---\na: 1\nnever ends", ""]
+    assert got[4]["error"] == "] is missing" and got[6]["meta"] == {"a": "1"} and got[7]["meta"] == {} == got[2]["meta"]
+
+
+def test_stray_tags_are_read_in_linear_time():
+    import time
+
+    from marlpit.functions import markup
+
+    began = time.time()
+    markup.page_lines("<div>" * 50_000 + "</span>" * 100_000 + "x" + "<table><tr>" * 20_000 + "</div>" * 50_000)
+    assert time.time() - began < 5
+    assert markup.body_text("<table><tr><td>a</b></div>b</td></tr></table><p>c</table></p>d", "") == "| a b |\n| --- |\nc\nd"
