@@ -7,10 +7,13 @@ without candidates has no context; empty tables stay empty.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Order of source classes, and the first of them that comparisons look in.
 ORDER = ("internal_rule", "official", "faq", "kms", "other")
 COMPARED = ORDER[:4]
@@ -65,6 +68,48 @@ def answered_question(messages: DataFrame, conv_col: str = "conv_id", turn_col:
     return messages.withColumn("question", F.lag("text", 1, "N/A").over(Window.partitionBy(conv_col).orderBy(turn_col)))
 
 
+_PLACE_BITS = 33  # of monotonically_increasing_id, below the partition's number
+
+
+def in_pieces(rows: DataFrame, by: str, order: str, reach: int, pieces: int | None = None) -> DataFrame:
+    """``rows`` in pieces of like size along (by, order), as columns _piece, _place (through all rows) and _guest.
+
+    A conversation of any length is spread over as many pieces as its rows need. Each piece also holds, as guests, the
+    ``reach`` rows before its first one, so that a window over a piece sees what a window over the whole would see. There
+    are at most ``pieces``; left out, as many as Spark makes of the data's size.
+    """
+    number = [] if pieces is None else [pieces]
+    sorted_ = rows.repartitionByRange(*number, F.col(by), F.col(order)).sortWithinPartitions(by, order)
+    placed = cut(sorted_.withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_id", _PLACE_BITS).cast("int")
+    sizes = placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # a row for each piece
+    ends = list(accumulate(r["n"] for r in sizes))
+    starts = {r["p"]: end - r["n"] for r, end in zip(sizes, ends, strict=True)}
+    known = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.create_map().cast("map<int,int>")
+    place = F.try_element_at(known, part).cast("long") + F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    own = placed.withColumn("_piece", part).withColumn("_place", place).drop("_id")
+    listed = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).cast("long").alias("s")) for p, s in starts.items()]) if starts else F.array().cast("array<struct<p:int,s:bigint>>")
+    later = F.transform(F.filter(listed, lambda x: (x["s"] > F.col("_place")) & (x["s"] - reach <= F.col("_place"))), lambda x: x["p"])
+    # only a piece's last rows are guests of another
+    guests = own.withColumn("_piece", F.explode(later))
+    return own.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
+
+
+def long_history(messages: DataFrame, turns: int, conv_col: str = "conv_id", turn_col: str = "turn", head: int = 50, pieces: int | None = None) -> DataFrame:
+    """As ``history`` with a number of turns, for conversations that are too long for a task; with question as well, as
+    ``answered_question`` has it."""
+    reach = max(turns, 1)
+    line = F.concat(F.when(F.col("role") == "user", "Q: ").otherwise("A: "), F.left(F.coalesce("text", F.lit("")), F.lit(head)), F.lit("\n"))
+    rows = in_pieces(messages, conv_col, turn_col, reach, pieces)
+    before = F.collect_list(F.struct(F.col(conv_col).alias("c"), line.alias("x"), F.col("text").alias("t"))).over(Window.partitionBy("_piece").orderBy("_place").rowsBetween(-reach, -1))
+    same = F.filter(F.col("_before"), lambda b: b["c"].eqNullSafe(F.col(conv_col)))
+    kept = F.slice("_same", F.greatest(F.size("_same") - turns + 1, F.lit(1)), turns) if turns > 0 else F.slice("_same", 1, 0)
+    found = rows.withColumn("_before", before).where(~F.col("_guest")).withColumn("_same", same)
+    recent = F.nullif(F.array_join(F.transform(kept, lambda b: b["x"]), ""), F.lit(""))
+    question = F.when(F.size("_same") > 0, F.element_at("_same", -1)["t"]).otherwise("N/A")
+    return found.withColumn("recent", recent).withColumn("question", question).select(*messages.columns, "recent", "question")
+
+
 def context_block(display: Column, text: Column) -> Column:
     return F.concat(F.lit("--- [참조: "), display, F.lit("] ---\n"), text)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import cut, existing, ship
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -47,6 +47,25 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder, out_col: str = "embe
     return df.mapInArrow(run, schema)
 
 
+def kept(df: DataFrame, text_col: str, embedder: Embedder, path: str, out_col: str = "embedding", batch: int = 256) -> DataFrame:
+    """As ``embed``, with vectors kept by the text's digest below ``path``, a folder of this embedder's alone: only texts whose
+    digest is not there yet are embedded, each once, however often they occur.
+
+    A digest that two runs have added is read once, as an embedder gives equal texts equal vectors; null texts count as
+    empty.
+    """
+    spark = df.sparkSession
+    schema = "digest string, vector array<double>"
+    there = lambda: spark.read.schema(schema).parquet(path) if existing(spark, [path]) else spark.createDataFrame([], schema)
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    texts = df.select(digest.alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["digest"])
+    new = cut(texts.join(there().select("digest"), "digest", "left_anti"), "new-texts")
+    if not new.isEmpty():
+        embed(new, "text", embedder, "vector", batch).select("digest", "vector").write.mode("append").parquet(path)
+    stored = there().dropDuplicates(["digest"]).select(F.col("digest").alias("_digest"), F.col("vector").alias(out_col))
+    return df.join(stored, digest == F.col("_digest"), "left").drop("_digest")
+
+
 def similarity(distance: Column) -> Column:
     return F.coalesce(F.round(1 / (1 + distance), 4), F.lit(0.0))
 

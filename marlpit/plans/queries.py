@@ -623,6 +623,15 @@ def history_window(spark, sf_dir):
     return context.history(_table(spark, sf_dir, "conversations"), 3).select("conv_id", "turn", "recent")
 
 
+@_query(
+    """SELECT conv_id, turn, nullif(coalesce(string_agg(CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || left(text, 50) || chr(10), '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ''), '') AS recent,
+lag(text, 1, 'N/A') OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations"""
+)
+def history_in_pieces(spark, sf_dir):
+    """The same of conversations of any length."""
+    return context.long_history(_table(spark, sf_dir, "conversations"), 3).select("conv_id", "turn", "recent", "question")
+
+
 @_query("SELECT conv_id, turn, lag(text, 1, 'N/A') OVER (PARTITION BY conv_id ORDER BY turn) AS question, text AS answer FROM conversations QUALIFY role = 'assistant'")
 def feedback_pairs(spark, sf_dir):
     return context.answered_question(_table(spark, sf_dir, "conversations")).where("role = 'assistant'").select("conv_id", "turn", "question", F.col("text").alias("answer"))
@@ -936,6 +945,15 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requests(spark, sf_dir).select("request_id", "message", F.lit(None).cast("string").alias("recent"))
 
 
+@_query(f"SELECT doc_id, array_to_string(list_transform({_COUNTS_SQL.format('text')}, lambda x: CAST(x AS BIGINT)), ' ') AS counts FROM documents")
+def embeddings_kept(spark, sf_dir):
+    """Vectors of some documents, then of all: those of the first are kept."""
+    docs, path = _table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "vectors")
+    vector.kept(docs.where("doc_id % 3 <> 0"), "text", _letters, path)
+    found = vector.kept(docs, "text", _letters, path)
+    return found.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("counts"))
+
+
 @_query(
     "WITH RECURSIVE "
     + _answer_sql("hybrid", "chunks", "bm25", "dense", f"{_CHUNKS_CTE}, {_bm25_cte('chunks', 'key', _ASKED_SQL)}, {_letters_cte('dense', 'chunks')}, {_HYBRID_CTE}")

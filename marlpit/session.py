@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +79,14 @@ def uncut(*dfs: DataFrame) -> None:
     for df in dfs:
         system, where = _file_system(df.sparkSession, df._cut_at)
         system.delete(where, True)
+
+
+def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Paths, stripped, that are there, in the order given."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p.strip())
+        if where.getFileSystem(conf).exists(where):
+            found.append(p.strip())
+    return found

@@ -12,24 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import existing, ship
 from .encodings import ENCODINGS, detect
 
 GLOBS = ("*.md",)
 _SCHEMA = "source string, text string, error string"
 
 
-def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Paths, stripped, that are there, in the order given."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for p in paths:
-        where = jvm.org.apache.hadoop.fs.Path(p.strip())
-        if where.getFileSystem(conf).exists(where):
-            found.append(p.strip())
-    return found
-
-
 def scan_texts(spark: SparkSession, paths: Sequence[str], globs: Sequence[str] = GLOBS, encodings: Sequence[tuple[str, str]] = ENCODINGS) -> DataFrame:
     """source, text, error of every matching file below the paths that are there; missing ones are skipped.
 

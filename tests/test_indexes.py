@@ -94,3 +94,46 @@ def test_clustered_vectors_skip_most_folders(spark, tmp_path):
     plan = vectorindex._read(index, one, read, np.array([1.0]), 12)._jdf.queryExecution().toString()
     scan = plan[plan.rindex("PartitionFilters") :]
     assert "pivot" in scan[:120] and "away" in scan.split("PushedFilters")[1][:200]
+
+
+def test_only_new_texts_are_embedded(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def counting(texts, folder=str(seen)):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def embedded():
+        found = sorted(t for p in seen.iterdir() for t in p.read_text().split("\n"))
+        for p in seen.iterdir():
+            p.unlink()
+        return found
+
+    rows = [(1, "a", 0), (2, "bb", 0), (3, "bb", 0), (4, None, 0), (5, "", 0)]
+    df = spark.createDataFrame(rows, "key long, text string, digest int")
+    where = f"file://{tmp_path}/store"
+    first = {r["key"]: r["embedding"] for r in vector.kept(df, "text", counting, where).collect()}
+    assert first == {1: [1.0, 1.0], 2: [2.0, 1.0], 3: [2.0, 1.0], 4: [0.0, 1.0], 5: [0.0, 1.0]} and embedded() == ["", "a", "bb"]
+    more = spark.createDataFrame([*rows, (6, "ccc", 0)], "key long, text string, digest int")
+    assert len(vector.kept(more, "text", counting, where).collect()) == 6 and embedded() == ["ccc"]
+    assert vector.kept(more, "text", counting, where).count() == 6 and embedded() == []
+    assert vector.kept(df.limit(0), "text", counting, f"{where}2").count() == 0
+
+
+def test_long_conversations_are_spread(spark):
+    from marlpit.operators import context
+
+    talk = [(7, k, "user" if k % 2 else "assistant", f"t{k}" if k % 9 else None) for k in range(900)] + [(c, k, "user", f"{c}-{k}") for c in range(20, 40) for k in range(c % 4)] + [(None, 1, "user", "x"), (None, 2, "assistant", "y")]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").repartition(3)
+    key = lambda r: str(tuple(r))
+    for turns in (0, 1, 3, 70):
+        want = context.answered_question(context.history(df, turns)).select("conv_id", "turn", "recent", "question")
+        got = context.long_history(df, turns, pieces=7).select("conv_id", "turn", "recent", "question")
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    pieces = context.in_pieces(df, "conv_id", "turn", 3, 7).where("not _guest")
+    assert pieces.count() == len(talk) and pieces.where("conv_id = 7").select("_piece").distinct().count() > 1
+    assert context.long_history(df.limit(0), 3).count() == 0
