@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from functools import reduce
 from importlib.resources import files
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,18 +201,40 @@ def _lookup(known: dict[str, tuple[tuple[str, ...], str]]) -> list[tuple[str, st
     return sorted(found.items())
 
 
+def _needed(known: dict[str, tuple[tuple[str, ...], str]]) -> list[str] | None:
+    """Words of which every known text holds one in its looser form, and that have no equivalent spelling; None where there are none.
+
+    A text without any of them, in lower case, cannot have a known looser form.
+    """
+    spelt = {*EQUIVALENT, *EQUIVALENT.values()}
+    left = [{w for w in loose(x).split() if len(w) > 4 and w not in spelt} for titles, text in known.values() for x in _printings(titles, text) if loose(x)]
+    found: list[str] = []
+    while left:
+        counts = Counter(w for words in left for w in words)
+        if not all(left):
+            return None
+        found.append(min(counts, key=lambda w: (-counts[w], -len(w), w)))
+        left = [words for words in left if found[-1] not in words]
+    return found
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, tuple[tuple[str, ...], str]] | None = None) -> DataFrame:
     """doc_id, canonical_digest and licence (null when the text is no known licence) of every row.
 
     ``known`` is a table in the form of ``KNOWN``; left out, it is ``KNOWN`` and the full texts of this package. Its
-    digests are broadcast: a few for each licence.
+    digests are broadcast: a few for each licence. The looser form is taken only of texts that the first did not find and
+    that hold a word which known licences have.
     """
     schema = T.StructType([T.StructField("_digest", T.StringType()), T.StructField("_licence", T.StringType())])
-    table = F.broadcast(docs.sparkSession.createDataFrame(_lookup(KNOWN | full_texts() if known is None else known), schema))
+    known = KNOWN | full_texts() if known is None else known
+    table = F.broadcast(docs.sparkSession.createDataFrame(_lookup(known), schema))
     text = F.col(text_col).cast("string")
-    digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical_column(text), 256).alias("canonical_digest"), F.sha2(loose_column(text), 256).alias("loose_digest"))
-    first = digests.join(table, F.col("canonical_digest") == F.col("_digest"), "left").select("doc_id", "canonical_digest", "loose_digest", F.col("_licence").alias("licence"))
-    both = first.join(table, F.col("licence").isNull() & (F.col("loose_digest") == F.col("_digest")), "left")
+    digests = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.sha2(canonical_column(text), 256).alias("canonical_digest"))
+    first = digests.join(table, F.col("canonical_digest") == F.col("_digest"), "left").select("doc_id", "_text", "canonical_digest", F.col("_licence").alias("licence"))
+    needed = _needed(known)
+    may = F.lit(True) if needed is None else reduce(or_, [F.contains(F.lower("_text"), F.lit(w)) for w in needed], F.lit(False))
+    second = first.withColumn("_loose", F.when(F.col("licence").isNull() & may, F.sha2(loose_column(F.col("_text")), 256))).drop("_text")
+    both = second.join(table, F.col("_loose") == F.col("_digest"), "left")
     return both.select("doc_id", "canonical_digest", F.coalesce("licence", "_licence").alias("licence"))
 
 
