@@ -122,17 +122,23 @@ def _fused_cte(name: str, *lists: tuple[str, float]) -> str:
 _HYBRID_CTE = _fused_cte("hybrid", ("bm25", 0.3), ("dense", 0.7))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search in an index that is built once for an application and tables, as a service would hold it."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+def store_bm25(spark: SparkSession, sf_dir: str) -> str:
+    """An index of the documents as they are, built once for an application, as a service would hold it."""
+    docs = _table(spark, sf_dir, "documents")
+    stamp = docs.agg(F.max("_metadata.file_modification_time"), F.count("*")).first()  # of the files' own records
+    at = (spark.sparkContext.applicationId, sf_dir, *stamp)
     if at not in _STORED:
         path = scratch_path(spark, "bm25")
-        lexical.build(_table(spark, sf_dir, "documents")).write(path)
+        lexical.build(docs).write(path)
         _STORED[at] = path
-    return lexical.search(lexical.Bm25Index.read(spark, _STORED[at]), _requests(spark, sf_dir))
+    return _STORED[at]
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.Bm25Index.read(spark, store_bm25(spark, sf_dir)), _requests(spark, sf_dir))
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
