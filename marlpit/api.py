@@ -16,6 +16,7 @@ from .plans.answer import Answers, answer, rewritten
 from .plans.index import Found, HybridIndex, SplitIndex, build, build_or_load, build_or_load_split, build_split, load, load_split, parent_table
 from .plans.refresh import compact, refresh
 from .sources.files import corpus_header, knowledge_markdown, merge_by_title, page_texts, read_text, scan_texts
+from .sources.mdfiles import export_markdown
 from .sources.sinks import append_diagnostics, append_feedback, preview, write_chunks, write_markdown
 
 __all__ = [n for n in dir() if n[0] != "_" and n not in ("operators", "plans", "sources")]

@@ -17,7 +17,8 @@ BUCKETS = 64
 def _replace(rows: DataFrame, path: str) -> None:
     """Rows keyed by pk, of several with one pk the greatest; rows stored under other keys stay.
 
-    The table is dealt over ``BUCKETS`` folders by a hash of pk. Only buckets that get rows are read and written again;
+    The table is dealt over ``BUCKETS`` folders by a hash of pk, and each folder over as many tasks as there are shuffle partitions for
+    it. Only buckets that get rows are read and written again;
     what they will hold is first written to the shared folder, so a failure before the last step changes nothing.
     """
     spark = rows.sparkSession
@@ -28,7 +29,8 @@ def _replace(rows: DataFrame, path: str) -> None:
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as buckets at most
         old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
         whole = cut(new.unionByName(old.join(new.select("pk"), [old["pk"].eqNullSafe(new["pk"])], "left_anti")), "whole")
-    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    whole.repartition("bucket", F.pmod(F.xxhash64(F.lit("part"), "pk"), F.lit(parts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     uncut(*{id(x): x for x in (new, whole)}.values())
 
 
