@@ -12,7 +12,8 @@ Minima are kept for blocks of 16 positions; windows of all classes are unions of
 
 Defined results: a null or wordless text or item contains and is contained in nothing; an item or text of fewer than
 five words is a single shingle of all its words; null ids are carried; repeated rows are found each for itself; there
-are no ties; other columns are dropped by ``find`` and kept by ``drop_contaminated``; empty tables give no hits.
+are no ties; a very long text is read as windows of its one row; other columns are dropped by ``find`` and kept by
+``drop_contaminated``; empty tables give no hits.
 """
 
 from __future__ import annotations

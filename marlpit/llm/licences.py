@@ -10,7 +10,8 @@ The catalogue is ``KNOWN`` and the full texts in ``licence_texts``; ``scan`` tak
 
 Defined results: a null text has a null digest and no licence; a text without letters and digits has the digest of the
 empty string and no licence; a null id is carried; repeated rows are looked up each for itself; the known licences have
-distinct digests, so there are no ties; other columns are dropped; an empty table gives an empty result.
+distinct digests, so there are no ties; a very long text is hashed whole, in its row; other columns are dropped; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

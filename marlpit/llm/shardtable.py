@@ -6,7 +6,8 @@ numbers of slots, and adding or removing one moves few others. A row's slot is i
 look into the broadcast table gives its shard.
 
 Defined results: a null key hashes as the empty string; rows with equal keys share a shard; ties cannot arise (a slot
-is claimed once); other columns are kept, columns named like the result's are replaced; an empty table stays empty.
+is claimed once); other columns are kept, columns named like the result's are replaced; very long keys are hashed whole;
+an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ is held, a record of over ``most`` bytes is streamed past its digests: it is a r
 
 Defined results: a null html is an empty payload; a null id is carried (in a group of equal payloads null ids revisit
 the smallest id); of repeated rows all with the group's smallest id are responses; control characters in a URL are
-percent-encoded, a null URL gives no target header; other columns are dropped; an empty table gives no records.
+percent-encoded, a null URL gives no target header; a very long page is one record, held whole by one task; other columns
+are dropped; an empty table gives no records.
 """
 
 from __future__ import annotations
