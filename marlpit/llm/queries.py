@@ -97,7 +97,30 @@ def op12_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_warc_roundtrip, op2_byte_gru_language, op3_cnn_toxicity, op4_probminhash_classes, op5_shard_table, op6_minimum_cut_text, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences, op11_importance_resampling, op12_jaccard_metric_join)
+#: What ``licences_planted`` puts in place of texts, by doc_id % 8: how, which licence, what is found.
+_PLANTED = {0: ("dated", "MIT", "MIT"), 1: ("capitals", "ISC", "ISC"), 2: ("undated", "BSD-3-Clause", "BSD-3-Clause"), 3: ("more", "MIT", None), 4: ("dated", "GPL-3.0", "GPL-3.0")}
+
+
+def licences_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence scan over the documents with licences in place of five in eight texts, in several dresses."""
+    from .licences import KNOWN, full_texts, scan
+
+    known = {k: v[1] for k, v in (KNOWN | full_texts()).items()}
+    dress = {
+        "dated": lambda x: F.concat(F.lit("Copyright (c) 2001 "), "source", F.lit("\n\n" + x)),
+        "undated": lambda x: F.concat(F.lit("Copyright The "), "source", F.lit(" Authors. All rights reserved.\n" + x)),
+        "capitals": lambda x: F.concat(F.lit("(C) 1999 "), "lang", F.lit("\n"), F.upper(F.lit(x))),
+        "more": lambda x: F.concat(F.lit(x + "\nand "), "lang"),
+    }
+    text = F.col("text")
+    for k, (how, name, _) in _PLANTED.items():
+        text = F.when(F.pmod("doc_id", F.lit(8)) == k, dress[how](known[name])).otherwise(text)
+    return scan(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", "licence")
+
+
+_PLANTED_SQL = "SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{found}'" for k, (_, _, found) in _PLANTED.items() if found) + " END AS licence FROM documents"
+
+_ALL = (op1_warc_roundtrip, op2_byte_gru_language, op3_cnn_toxicity, op4_probminhash_classes, op5_shard_table, op6_minimum_cut_text, op7_licence_digests, op8_collision_search, op9_benchmark_containment, op10_pack_sequences, op11_importance_resampling, op12_jaccard_metric_join, licences_planted)
 
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -128,4 +151,4 @@ def oracle_sql() -> dict[str, str]:
     from .probminhash import classes_sql
     from .resample import resample_sql
 
-    return {"op1_warc_roundtrip": _WARC_SQL, "op4_probminhash_classes": classes_sql(), "op6_minimum_cut_text": _ARTICLE_SQL, "op7_licence_digests": scan_sql(), "op9_benchmark_containment": find_sql(), "op11_importance_resampling": resample_sql(), "op12_jaccard_metric_join": join_sql()}
+    return {"op1_warc_roundtrip": _WARC_SQL, "op4_probminhash_classes": classes_sql(), "op6_minimum_cut_text": _ARTICLE_SQL, "op7_licence_digests": scan_sql(), "op9_benchmark_containment": find_sql(), "op11_importance_resampling": resample_sql(), "op12_jaccard_metric_join": join_sql(), "licences_planted": _PLANTED_SQL}
