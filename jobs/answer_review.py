@@ -55,8 +55,7 @@ def run(spark: SparkSession, conversations: DataFrame, documents: DataFrame, tar
     """Review all answers of ``conversations``; how many answers were read and written."""
     settings = settings or config(None, "answer_review.json")
     docs = documents.select(F.col(settings["document_key"]).alias("key"), F.col(settings["document_text"]).alias("text")).where(F.col("key").isNotNull())
-    lexical.build(docs, "key", "text").write(f"{target}/index")
-    index = lexical.Bm25Index.read(spark, f"{target}/index")
+    index = lexical.store(docs, f"{target}/index", "key", "text")
     asked(conversations, settings["turns"]).write.mode("overwrite").parquet(f"{target}/asked")  # read by the search and both joins
     answers = spark.read.parquet(f"{target}/asked")
     found = lexical.search(index, answers.select("request_id", F.col("question").alias("query")), settings["documents_a_question"])
