@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +14,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with the value computed once for a row, where lambdas would compute it for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def lines(c: Column) -> Column:
     """Lines of a text, with CRLF and CR read as LF."""
     return F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, strip
+from ..functions.text import once, strip
 from ..functions.yaml import NOTHING, read
 
 # Classes by a part of the path, in order of precedence after rules.
@@ -30,30 +30,47 @@ def front_matter(text: Column, strip_body: bool = True) -> Column:
     lose quotes that stand at both ends; the last value of a key wins. Lines ``- x``, indented or not, are the items of
     the last key above them, if that has no value; so is a value ``[x, y]``. Other lines say nothing.
     """
-    rows = lines(text)
-    marks = F.transform(rows, strip)
-    end = F.array_position(F.slice(marks, 2, F.greatest(F.size(marks) - 1, F.lit(0))), "---").cast("int")
-    there = F.startswith(text, F.lit("---")) & (F.element_at(marks, 1) == "---") & (end > 0)
-    header = F.slice(marks, 2, F.greatest(end - 1, F.lit(0)))
+    there = F.contains(text, F.lit("\r"))
+    plain = F.when(there, F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    found = once(plain, lambda t: F.struct(F.regexp_extract(t, _FRONT, 0).alias("whole"), F.regexp_extract(t, _FRONT, 1).alias("header"), t.alias("t")))
+    return once(found, lambda x: _told(x["whole"], x["header"], x["t"], text, strip_body))
+
+
+#: A header between its two lines; only these are split, not the text.
+_FRONT = r"(?Us)\A---[^\S\n]*\n(.*?\n)??[^\S\n]*---[^\S\n]*(?:\n|\z)"
+
+
+def _told(whole: Column, header: Column, plain: Column, text: Column, strip_body: bool) -> Column:
     quoted = lambda v, q: (F.length(v) >= 2) & F.startswith(v, F.lit(q)) & F.endswith(v, F.lit(q))
     unquoted = lambda v: F.when(quoted(v, '"') | quoted(v, "'"), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
     listed = lambda x: F.startswith(x, F.lit("- "))
-    numbered = F.transform(header, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    heads = F.filter(numbered, lambda r: F.contains(r["x"], F.lit(":")) & ~listed(r["x"]))
-    pairs = F.transform(heads, lambda r: F.struct(strip(F.substring_index(r["x"], ":", 1)).alias("k"), unquoted(strip(F.substr(r["x"], F.instr(r["x"], ":") + 1))).alias("v"), r["i"].alias("i")))
-    none = F.create_map().cast("map<string,string>")
-    meta = F.aggregate(pairs, none, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
-    following = lambda n: F.coalesce(F.get(heads, n + 1)["i"], F.size(header))
-    inline = lambda v: F.transform(F.filter(F.split(F.substring(v, 2, F.length(v) - 2), ","), lambda x: strip(x) != ""), lambda x: unquoted(strip(x)))
-    below = lambda p, n: F.transform(F.filter(F.slice(header, p["i"] + 2, following(n) - p["i"] - 1), listed), lambda x: unquoted(strip(F.substr(x, F.lit(3)))))
-    items = F.transform(pairs, lambda p, n: F.struct(p["k"].alias("k"), F.when(p["v"] == "", below(p, n)).when(F.startswith(p["v"], F.lit("[")) & F.endswith(p["v"], F.lit("]")), inline(p["v"])).alias("v")))
-    empty = F.create_map().cast("map<string,array<string>>")
-    held = F.filter(items, lambda p: F.size(F.coalesce(p["v"], F.array().cast("array<string>"))) > 0)
-    lists = F.aggregate(held, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
-    body = F.array_join(F.slice(rows, end + 2, F.greatest(F.size(rows) - end - 1, F.lit(0))), "\n")
+    none, empty = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,array<string>>")
+
+    def pairs_of(heads: Column) -> Column:
+        return F.transform(heads, lambda r: F.struct(strip(F.substring_index(r["x"], ":", 1)).alias("k"), unquoted(strip(F.substr(r["x"], F.instr(r["x"], ":") + 1))).alias("v"), r["i"].alias("i")))
+
+    def maps(rows: Column, heads: Column, pairs: Column) -> Column:
+        meta = F.aggregate(pairs, none, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
+        following = lambda n: F.coalesce(F.get(heads, n + 1)["i"], F.size(rows))
+        inline = lambda v: F.transform(F.filter(F.split(F.substring(v, 2, F.length(v) - 2), ","), lambda x: strip(x) != ""), lambda x: unquoted(strip(x)))
+        below = lambda p, n: F.transform(F.filter(F.slice(rows, p["i"] + 2, following(n) - p["i"] - 1), listed), lambda x: unquoted(strip(F.substr(x, F.lit(3)))))
+        items = F.transform(pairs, lambda p, n: F.struct(p["k"].alias("k"), F.when(p["v"] == "", below(p, n)).when(F.startswith(p["v"], F.lit("[")) & F.endswith(p["v"], F.lit("]")), inline(p["v"])).alias("v")))
+        held = F.filter(items, lambda p: F.size(F.coalesce(p["v"], F.array().cast("array<string>"))) > 0)
+        lists = F.aggregate(held, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
+        return F.struct(meta.alias("meta"), lists.alias("lists"))
+
+    def read(rows: Column) -> Column:
+        numbered = F.transform(rows, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        heads = F.filter(numbered, lambda r: F.contains(r["x"], F.lit(":")) & ~listed(r["x"]))
+        return once(heads, lambda h: once(pairs_of(h), lambda p: maps(rows, h, p)))
+
+    rows = F.when(header == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(F.substring(header, 1, F.length(header) - 1), "\n"), strip))
+    body = F.substr(plain, F.length(whole) + 1)
     if strip_body:
         body = F.regexp_replace(body, r"(?U)^\s+", "")
-    return F.struct(F.when(there, meta).otherwise(none).alias("meta"), F.when(there, lists).otherwise(empty).alias("lists"), F.when(there, body).otherwise(text).alias("body"))
+    said = F.length(whole) > 0
+    found = F.when(said, once(rows, read)).otherwise(F.struct(none.alias("meta"), empty.alias("lists")))
+    return once(found, lambda m: F.struct(m["meta"].alias("meta"), m["lists"].alias("lists"), F.when(said, body).otherwise(text).alias("body")))
 
 
 _YAML = "struct<meta:map<string,string>,lists:map<string,array<string>>,json:string,error:string>"
