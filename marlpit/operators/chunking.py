@@ -12,9 +12,11 @@ from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from itertools import accumulate, dropwhile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
 from . import metadata
@@ -25,6 +27,9 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 CHILD_SEPARATORS = ("\n\n", "\n", "。", ". ", " ", "")
 FAQ_MARK = "faq"
 
+#: Rows of a batch that are Python's at a time.
+ROWS = 128
+
 # Headings of numbered rules (number and title), their items, markdown headings.
 _RULE = re.compile(r"(?P<major>[0-9]+\.[0-9]+(?:\.[0-9]+)?)\s+(?P<title>.+)|(?P<item>[0-9]+)\.\s+(?P<name>.+)")
 _HEADING = re.compile(r"(#{1,3}) (.*)")
@@ -145,10 +150,16 @@ def header_sections(text: str) -> list[dict]:
 
 
 def _column(f: Callable[..., list], kind: str, *columns: Column) -> Column:
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if row[0] is None else f(*row) for row in zip(*series, strict=True)], dtype=object)
+    """``f`` of each row. A batch is read and its pieces are put away ``ROWS`` rows at a time, so of most rows only Arrow's bytes are held."""
+    to = to_arrow_type(T.DataType.fromDDL(kind))
+
+    def run(*batch: pa.Array) -> pa.Array:
+        parts = [pa.array([], to)]
+        for i in range(0, len(batch[0]), ROWS):
+            parts.append(pa.array([None if row[0] is None else f(*row) for row in zip(*(b.slice(i, ROWS).to_pylist() for b in batch), strict=True)], to))
+        return pa.concat_arrays(parts)
 
-    return F.pandas_udf(run, kind)(*columns)
+    return F.arrow_udf(run, kind)(*columns)
 
 
 def recursive_chunks(text: Column, size: Column, overlap: Column, separators: Sequence[str] = SEPARATORS) -> Column:
