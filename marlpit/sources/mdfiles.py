@@ -1,8 +1,8 @@
 """Export of texts as files ``<pk>.md``, one each, through Spark's interface for data sources in Python.
 
-Tasks write below a staging folder of the run; when all have succeeded the driver moves the files to their places, one
-rename each, and where one fails the staging folder goes and nothing has changed. So a repeated or lost task leaves no
-half file. A file of the same pk is replaced, others stay. Meant for exports that people read; tables are for the rest.
+Tasks write below a staging folder of the run; when all have succeeded other tasks move the files to their places, one
+rename each and a staged folder a task, and where one fails to write the staging folder goes and nothing has changed. So a
+repeated or lost task leaves no half file; the driver sees the names of folders only, not of files. A file of the same pk is replaced, others stay. Meant for exports that people read; tables are for the rest.
 
 Paths are those of pyarrow's file systems (local, HDFS, object stores), seen by the driver and all executors. Letters and
 digits of a pk and ``-_.`` stay as they are, other bytes are percent-encoded; of several texts of one pk the greatest
@@ -27,7 +27,6 @@ def _source():
     @dataclass
     class Staged(WriterCommitMessage):
         folder: str
-        names: list[str]
 
     def opened(path: str):
         from pyarrow import fs
@@ -35,8 +34,8 @@ def _source():
         return fs.FileSystem.from_uri(path)
 
     class Writer(DataSourceWriter):
-        def __init__(self, path: str):
-            self.path, self.run = path.rstrip("/"), uuid.uuid4().hex
+        def __init__(self, path: str, run: str):
+            self.path, self.run = path, run
 
         def write(self, iterator):
             from urllib.parse import quote
@@ -46,27 +45,22 @@ def _source():
             system, base = opened(self.path)
             folder = f"{base}/_staged-{self.run}/{TaskContext.get().taskAttemptId()}"
             system.create_dir(folder)
-            names = []
             for row in iterator:
                 name = quote(row["pk"], safe="-_.") + ".md"
                 with system.open_output_stream(f"{folder}/{name}") as out:
                     out.write(row["text"].encode())
-                names.append(name)
-            return Staged(folder, names)
+            return Staged(folder)
 
         def commit(self, messages):
             system, base = opened(self.path)
-            for staged in messages:
-                for name in staged.names if staged else ():
-                    system.move(f"{staged.folder}/{name}", f"{base}/{name}")
-            self.clear(system, base)
+            system.create_dir(f"{base}/_staged-{self.run}")
+            with system.open_output_stream(f"{base}/_staged-{self.run}/written") as out:
+                out.write("\n".join(x.folder for x in messages if x).encode())
 
         def abort(self, messages):
-            self.clear(*opened(self.path))
-
-        def clear(self, system, base):
             from pyarrow import fs
 
+            system, base = opened(self.path)
             if system.get_file_info(f"{base}/_staged-{self.run}").type != fs.FileType.NotFound:
                 system.delete_dir(f"{base}/_staged-{self.run}")
 
@@ -76,14 +70,44 @@ def _source():
             return NAME
 
         def writer(self, schema, overwrite):
-            return Writer(self.options["path"])
+            return Writer(self.options["path"], self.options["run"])
 
     return Files
 
 
+def _mover(path: str):
+    """Moves the files of staged folders; a repeated task moves those that are left."""
+
+    def move(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path)
+        for b in batches:
+            moved = 0
+            for folder in b.column(0).to_pylist():
+                for info in system.get_file_info(fs.FileSelector(folder)):
+                    system.move(info.path, f"{base}/{info.base_name}")
+                    moved += 1
+            yield pa.RecordBatch.from_arrays([pa.array([moved], pa.int64())], names=["moved"])
+
+    return move
+
+
 def export_markdown(rows: DataFrame, path: str, pk_col: str = "pk", text_col: str = "text") -> None:
     """A file for each pk of ``rows`` below ``path``, a URI."""
+    from pyarrow import fs
+
     spark = rows.sparkSession
     spark.dataSource.register(_source())
+    path, run = path.rstrip("/"), uuid.uuid4().hex
     known = rows.select(F.col(pk_col).cast("string").alias("pk"), F.col(text_col).cast("string").alias("text")).where("pk is not null and text is not null")
-    known.groupBy("pk").agg(F.max("text").alias("text")).write.format(NAME).mode("append").option("path", path).save()
+    known.groupBy("pk").agg(F.max("text").alias("text")).write.format(NAME).mode("append").option("path", path).option("run", run).save()
+    system, base = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(f"{base}/_staged-{run}/written") as told:
+        folders = told.read().decode().split("\n")
+    folders = [x for x in folders if x]
+    if folders:  # as many as there were tasks
+        staged = spark.createDataFrame([(i, x) for i, x in enumerate(folders)], "n int, folder string").repartitionById(len(folders), "n")
+        staged.select("folder").mapInArrow(_mover(path), "moved long").agg(F.sum("moved")).collect()
+    system.delete_dir(f"{base}/_staged-{run}")
