@@ -25,8 +25,8 @@ BUCKETS, NAMED = 64, 1_000
 #: Documents that a task scores at most, about, and terms asked for that are sent to all tasks at most.
 SHARD, SENT = 16_384, 200_000
 
-#: Words that a task counts at once, about.
-WORDS = 4_000_000
+#: Words that a task counts at once, about, and shards that a task of a stored index counts at most, where tasks would not idle.
+WORDS, TOGETHER = 4_000_000, 2
 
 _LISTED = ["term", "shard", "keys", "tfs", "dls"]
 
@@ -75,8 +75,12 @@ class Bm25Index:
 def _place(rows: DataFrame, path: str, by: str, shards: int) -> None:
     parts = -(-shards // 16)
     to = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")
-    dealt = rows.withColumn("bucket", _bucket(F.col("term"))).withColumn("to", F.col("bucket") * parts + to).repartitionById(BUCKETS * parts, "to").drop("to")
-    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    _lay(rows.withColumn("to", _bucket(F.col("term")) * parts + to).repartitionById(BUCKETS * parts, "to").drop("to"), path)
+
+
+def _lay(rows: DataFrame, path: str) -> None:
+    """Into folders by bucket, each task its own rows."""
+    rows.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _read_lists(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -117,8 +121,8 @@ def measured(texts: DataFrame) -> DataFrame:
     return told.withColumn("shards", F.lit(shards_of(spark, told.first()["n"])))
 
 
-def listed(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, int]:
-    """term, shard, keys, tfs, dls of the documents, and the number of shards.
+def listed(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = WORDS, together: int = 1) -> tuple[DataFrame, int]:
+    """term, shard, keys, tfs, dls of the documents, and the number of shards, of which a task counts ``together`` at most.
 
     Texts move once, to their shards by a hash of the key; there a task counts some ``words`` words at a time, so postings are
     neither shuffled nor sorted one by one, and rows with one key are counted as one document. A row without a term says
@@ -128,7 +132,8 @@ def listed(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", wor
     ship(spark)
     shards = shards_of(spark, docs.count())
     own = docs.select(F.pmod(F.xxhash64(F.col(key_col)), F.lit(shards)).cast("int").alias("shard"), F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    dealt = own.repartitionById(shards, "shard").sortWithinPartitions("shard", "key").select("shard", "key", tokens(F.col("text")).alias("ts"))
+    tasks = min(shards, max(4 * spark.sparkContext.defaultParallelism, -(-shards // together)))
+    dealt = own.repartitionById(tasks if together > 1 else shards, "shard").sortWithinPartitions("shard", "key").select("shard", "key", tokens(F.col("text")).alias("ts"))
     key = own.schema["key"].dataType
     kinds = {"term": T.StringType(), "shard": T.IntegerType(), "keys": T.ArrayType(key), "tfs": T.ArrayType(T.IntegerType()), "dls": T.ArrayType(T.IntegerType())}
     return dealt.mapInArrow(lambda batches: _in_runs(batches, words), T.StructType([T.StructField(k, v) for k, v in kinds.items()])), shards
@@ -355,10 +360,10 @@ def dealt(requests: DataFrame, shards: int) -> DataFrame:
 
 
 def store(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
-    """As ``build``, written and read again; lists are written once only."""
+    """As ``build``, written and read again. The tasks that count write their lists in place, so no postings are shuffled."""
     spark = docs.sparkSession
-    lists, shards = listed(docs, key_col, text_col)
-    _place(lists, f"{path}/lists", "shard", shards)
+    lists, shards = listed(docs, key_col, text_col, together=TOGETHER)
+    _lay(lists, f"{path}/lists")
     stored = _read_lists(spark, path, lists.schema["keys"].dataType.elementType.simpleString())
     counts, stats = summed(stored, shards)
     index = weighted_index(_postings(stored), counts, stats, stored)
