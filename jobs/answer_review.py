@@ -41,11 +41,11 @@ def asked(messages: DataFrame, turns: int) -> DataFrame:
 def supported(answers: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """request_id, ref_documents, top_score and supported: how many of the answer's words the found documents hold.
 
-    Words meet inside a row for each found document, of which a request has few, and only those in common go on.
+    Words meet inside a row for each found document, of which a request has few, and only those in common go on. Answers go to the
+    documents, as texts; those are split where they meet.
     """
-    words = answers.select("request_id", F.array_distinct(tokens(F.col("answer"))).alias("said"))
-    held = found.join(docs.select("key", tokens(F.col("text")).alias("held")), "key")
-    common = held.join(words, "request_id").select("request_id", F.array_intersect("said", "held").alias("common"))
+    said = found.select("request_id", "key").join(answers.select("request_id", "answer"), "request_id")
+    common = said.join(docs, "key").select("request_id", F.array_intersect(F.array_distinct(tokens(F.col("answer"))), tokens(F.col("text"))).alias("common"))
     counts = common.groupBy("request_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("common")))).alias("supported"))
     refs = context.joined(found, "request_id", "rank", {"ref_documents": (F.col("key"), "|")}).join(found.groupBy("request_id").agg(F.max("score").alias("top_score")), "request_id")
     return refs.join(counts, "request_id", "left")

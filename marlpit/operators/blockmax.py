@@ -189,7 +189,7 @@ def bounds(index: BlockIndex, weights: DataFrame) -> DataFrame:
     shards = index.stats.first()["shards"]
     tops = _dealt(_sent(_asked_for(index.tops, weights), weights, "term"), F.col("block"))
     lists = tops.select("shard", F.xxhash64("term").alias("term_id"), F.array("block").alias("keys"), F.array("top").alias("parts"))
-    asking = lexical.dealt(_number(weights).withColumn("w", F.greatest("w", F.lit(0.0))), shards)
+    asking = lexical.dealt(lexical.packed(_number(weights).withColumn("w", F.greatest("w", F.lit(0.0)))), shards)
     return lexical.best(lists, asking, shards, APART).select("request_id", F.col("key").alias("block"), F.col("score").alias("bound"))
 
 
@@ -204,7 +204,7 @@ def _scored(index: BlockIndex, weights: DataFrame, chosen: DataFrame, k: int) ->
     part = lambda c: F.slice(c, F.col("b.starts") + 1, F.col("b.sizes")).alias(c)
     own = _sent(rows.select("term", "shard", F.col("b.blocks").alias("block"), part("keys"), part("tfs"), part("dls")), chosen, "block")
     lists = own.select("shard", F.xxhash64("term").alias("term_id"), "keys", lexical.parts(F.lit(stats["avgdl"]).cast("double")))
-    asking = _dealt(chosen, F.col("block")).select("request_id", "shard").distinct().join(_number(weights), "request_id")
+    asking = _dealt(chosen, F.col("block")).select("request_id", "shard").distinct().join(lexical.packed(_number(weights)), "request_id")
     return lexical.best(lists, asking, stats["shards"], k)
 
 

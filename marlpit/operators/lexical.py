@@ -265,30 +265,27 @@ def best(lists: DataFrame, requests: DataFrame, shards: int, k: int) -> DataFram
     """request_id, key, score (8 places) of each request's k best documents in each shard.
 
     ``lists`` (shard, term_id, keys, parts: what a weight is multiplied by) meet by shard with ``requests`` (shard, request_id,
-    term_id, w). A task holds a shard's lists, and requests stream past them, so only k rows for each request and shard go on, and
-    no row for a request and a document that both hold a term.
+    term_ids, ws; see ``packed``). A task holds a shard's lists, and requests stream past them, so only k rows for each request and
+    shard go on, and no row for a request and a document that both hold a term.
     """
     ship(lists.sparkSession)
     keys, request = lists.schema["keys"].dataType, requests.schema["request_id"].dataType
     at = lambda asks: (F.col("shard") * 2 + asks).alias("at")
-    held = lists.select(at(0), "shard", F.lit(None).cast(request).alias("request_id"), "term_id", F.lit(0.0).alias("w"), "keys", "parts")
-    none = [F.array().cast(keys).alias("keys"), F.array().cast("array<double>").alias("parts")]
-    asking = requests.select(at(1), "shard", "request_id", "term_id", "w", *none)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    held = lists.select(at(0), "shard", none(request, "request_id"), none("array<long>", "term_ids"), none("array<double>", "ws"), "term_id", "keys", "parts")
+    asking = requests.select(at(1), "shard", "request_id", "term_ids", "ws", none("long", "term_id"), none(keys, "keys"), none("array<double>", "parts"))
     out = T.StructType([T.StructField("request_id", request), T.StructField("key", keys.elementType), T.StructField("score", T.DoubleType())])
 
-    def answered(shard: _Shard, asked: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(asked).combine_chunks()
-        who = rows.column("request_id").combine_chunks().dictionary_encode("encode")
-        number, terms, weights = who.indices.to_numpy(), rows.column("term_id").to_numpy(), rows.column("w").to_numpy()
-        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+    def answered(shard: _Shard, asked: pa.RecordBatch) -> pa.RecordBatch:
+        terms, weights = (asked.column(c).flatten().to_numpy() for c in ("term_ids", "ws"))
+        cuts = [0, *np.cumsum(pc.list_value_length(asked.column("ws")).to_numpy()).tolist()]
         found = [shard.best(terms[a:z], weights[a:z], k) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
         docs, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        own = np.repeat(number[cuts[:-1]], [len(d) for d, _ in found])
-        return pa.RecordBatch.from_arrays([who.dictionary.take(pa.array(own)), shard.keys.take(pa.array(docs)), pa.array(score)], names=["request_id", "key", "score"])
+        own = np.repeat(np.arange(len(found)), [len(d) for d, _ in found])
+        return pa.RecordBatch.from_arrays([asked.column("request_id").take(pa.array(own)), shard.keys.take(pa.array(docs)), pa.array(score)], names=["request_id", "key", "score"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts, whole = None, [], None
-        asked: list[pa.RecordBatch] = []  # of requests, the last of which may go on in the next batch
         for b in batches:
             at = b.column("at").to_numpy()
             cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), b.num_rows]
@@ -296,29 +293,17 @@ def best(lists: DataFrame, requests: DataFrame, shards: int, k: int) -> DataFram
                 if start == end:
                     continue
                 if at[start] // 2 != shard:
-                    if asked:
-                        yield answered(whole, asked)
-                    shard, parts, whole, asked = at[start] // 2, [], None, []
+                    shard, parts, whole = at[start] // 2, [], None
                 own = b.slice(start, end - start)
                 if at[start] % 2 == 0:
                     parts.append(own.select(["keys", "term_id", "parts"]))
                 elif parts or whole:
                     whole = whole or _Shard(parts)
                     parts = []
-                    one = pc.index(own.column("request_id"), own.column("request_id")[-1]).as_py()  # the last request's first row
-                    if one > 0:
-                        yield answered(whole, [*asked, own.slice(0, one)])
-                        asked = []
-                    elif asked and asked[-1].column("request_id")[-1] != own.column("request_id")[0]:
-                        yield answered(whole, asked)
-                        asked = []
-                    asked.append(own.slice(max(one, 0)))
-        if asked:
-            yield answered(whole, asked)
-
-    # a request's terms are rows that follow each other
-    dealt = held.unionByName(asking).repartitionById(shards, "shard").sortWithinPartitions("at", "request_id").drop("shard")
-    return dealt.mapInArrow(run, out)
+                    yield answered(whole, own)
+
+    met = held.unionByName(asking).repartitionById(shards, "shard").sortWithinPartitions("at").drop("shard")
+    return met.mapInArrow(run, out)
 
 
 def part(tf: Column, dl: Column, avgdl: Column) -> Column:
@@ -340,6 +325,7 @@ def search(index: Bm25Index, requests: DataFrame, k: int = 12, request_col: str
     spark = requests.sparkSession
     asked = requests.select(F.col(request_col).alias("request_id"), F.explode(tokens(F.col(query_col))).alias("term")).groupBy("request_id", "term").agg(F.count("*").alias("times"))
     lists, terms = index.holding(asked)
+    lists = lists.where("term is not null")  # the others say what a task counted
     different = cut(asked.select("term").distinct(), "asked")
     if different.count() <= SENT:
         lists, terms = (x.join(F.broadcast(different), "term", "left_semi") for x in (lists, terms))
@@ -347,7 +333,13 @@ def search(index: Bm25Index, requests: DataFrame, k: int = 12, request_col: str
     weighted = asked.join(terms.select("term", "idf"), "term").select("request_id", number, (F.col("idf") * F.col("times")).alias("w"))
     stats = index.stats.select("avgdl", "shards").first()
     own = lists.select("shard", number, "keys", parts(F.lit(stats["avgdl"]).cast("double")))
-    return ranked(best(own, dealt(weighted, stats["shards"]), stats["shards"], k), k)
+    return ranked(best(own, dealt(packed(weighted), stats["shards"]), stats["shards"], k), k)
+
+
+def packed(weights: DataFrame) -> DataFrame:
+    """request_id, term_ids and ws of rows of request_id, term_id and w: a request's terms go to its shards as one row."""
+    one = weights.groupBy("request_id").agg(F.collect_list(F.struct("term_id", "w")).alias("x"))
+    return one.select("request_id", F.col("x.term_id").alias("term_ids"), F.col("x.w").alias("ws"))
 
 
 def parts(avgdl: Column) -> Column:
