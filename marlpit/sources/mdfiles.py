@@ -6,7 +6,8 @@ repeated or lost task leaves no half file; the driver sees the names of folders
 
 Paths are those of pyarrow's file systems (local, HDFS, object stores), seen by the driver and all executors. Letters and
 digits of a pk and ``-_.`` stay as they are, other bytes are percent-encoded; of several texts of one pk the greatest
-counts; null pks and texts make no file.
+counts; null pks and texts make no file. ``scan_markdown`` reads them again: one task lists the folder, a batch of names at a time,
+and others open the files, so here too the driver sees no file, where Spark's own reader holds the state of each in it.
 """
 
 from __future__ import annotations
@@ -14,12 +15,18 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..session import existing, ship
+from .files import decoded
+
 NAME = "markdown_files"
 
+#: Names that are listed at once, bytes of files that a task holds, about, and tasks for each core that open files.
+NAMES, HELD, TASKS = 10_000, 8_000_000, 8
+
 
 def _source():
     """The data source's class; made here, so that it is sent to workers by value."""
@@ -111,3 +118,64 @@ def export_markdown(rows: DataFrame, path: str, pk_col: str = "pk", text_col: st
         staged = spark.createDataFrame([(i, x) for i, x in enumerate(folders)], "n int, folder string").repartitionById(len(folders), "n")
         staged.select("folder").mapInArrow(_mover(path), "moved long").agg(F.sum("moved")).collect()
     system.delete_dir(f"{base}/_staged-{run}")
+
+
+def _names(path: str):
+    """Names of the markdown files in a folder; of a local one, which may be a shared mount, never all at once."""
+
+    def found():
+        import os
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path)
+        if isinstance(system, fs.LocalFileSystem):
+            with os.scandir(base) as entries:
+                yield from (e.name for e in entries if e.is_file())
+        else:
+            yield from (x.base_name for x in system.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.File)
+
+    def listed(batches):
+        from itertools import islice
+
+        import pyarrow as pa
+
+        for b in batches:
+            names = (x for _ in range(b.num_rows) for x in found() if x.endswith(".md"))
+            while some := list(islice(names, NAMES)):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["name"])
+
+    return listed
+
+
+def _opened(path: str):
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path)
+        rows = lambda held: pa.RecordBatch.from_arrays([pa.array([f"{path}/{n}" for n, _ in held], pa.string()), pa.array([x for _, x in held], pa.binary())], names=["path", "content"])
+        for b in batches:
+            held, size = [], 0
+            for name in b.column(0).to_pylist():
+                with system.open_input_stream(f"{base}/{name}") as told:
+                    held.append((name, told.read()))
+                size += len(held[-1][1])
+                if size >= HELD:
+                    yield rows(held)
+                    held, size = [], 0
+            if held:
+                yield rows(held)
+
+    return read
+
+
+def scan_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """source, text, error of every file ``*.md`` in the folder ``path``, as ``scan_texts`` has them, empty ones too."""
+    ship(spark)
+    path = path.rstrip("/")
+    if not existing(spark, [path]):
+        return spark.createDataFrame([], "source string, text string, error string")
+    names = spark.range(0, 1, 1, 1).mapInArrow(_names(path), "name string")
+    tasks = TASKS * spark.sparkContext.defaultParallelism
+    return decoded(names.repartition(tasks, "name").mapInArrow(_opened(path), "path string, content binary"))
